@@ -1,14 +1,17 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
 from gazeloom.llm.chat import op3_chat
+from gazeloom.llm.quality import op1_lm_scoring, op6_quality
 from gazeloom.llm.sentencepiece_codec import op10_sentencepiece
 from gazeloom.llm.sharding import op9_sharding
 from gazeloom.llm.token_files import op4_token_files
 from gazeloom.llm.topk import OP7_SQL, op7_topk
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_chat": op3_chat,
     "op4_token_files": op4_token_files,
+    "op6_quality": op6_quality,
     "op7_topk": op7_topk,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
