@@ -5,6 +5,7 @@ from gazeloom.llm.quality import op1_lm_scoring, op6_quality
 from gazeloom.llm.sentencepiece_codec import op10_sentencepiece
 from gazeloom.llm.sharding import op9_sharding
 from gazeloom.llm.token_files import op4_token_files
+from gazeloom.llm.toxicity import op8_toxicity
 from gazeloom.llm.topk import OP7_SQL, op7_topk
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op6_quality": op6_quality,
     "op7_topk": op7_topk,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
 }
