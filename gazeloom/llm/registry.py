@@ -1,6 +1,7 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
 from gazeloom.llm.chat import op3_chat
+from gazeloom.llm.decontamination import op5_decontamination
 from gazeloom.llm.quality import op1_lm_scoring, op6_quality
 from gazeloom.llm.sentencepiece_codec import op10_sentencepiece
 from gazeloom.llm.sharding import op9_sharding
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_chat": op3_chat,
     "op4_token_files": op4_token_files,
+    "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
     "op7_topk": op7_topk,
     "op8_toxicity": op8_toxicity,
