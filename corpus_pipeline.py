@@ -1,8 +1,71 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-STAGES: list = []
+Each stage works on all that the one before it kept. A row with a null doc_id cannot be named by a decision and stays;
+a doc_id that is rejected in one of its rows goes in all of them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gazeloom.llm.common import stage, table, without
+from gazeloom.llm.decontamination import decontaminate
+from gazeloom.llm.near_duplicates import near_duplicates
+from gazeloom.llm.quality import classify_quality
+from gazeloom.llm.sentencepiece_codec import digest_documents
+from gazeloom.llm.toxicity import score_toxicity
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the trusted-text model accepts."""
+    found = classify_quality(docs, table(spark, sf_dir, "labels"))
+    return without(docs, found.where(~F.col("accepted")))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted to be toxic."""
+    found = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return without(docs, found.where(F.col("predicted") == 1))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one of smallest doc_id. Of rows that repeat a doc_id, the first by text stays."""
+    kept = without(docs, near_duplicates(docs).where(~F.col("kept")))
+    repeated = stage(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    rows = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(*docs.columns, first.alias("_row_")).where("_row_ = 1").drop("_row_")
+    return without(kept, repeated).unionByName(rows)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no more than a small part of benchmark text."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where("contaminated"))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids, and of the text decoded from them."""
+    return digest_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("toxicity", toxicity),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", sentencepiece),
+]
+
+#: SQL cannot express the trained models and the tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), "pipeline-" + "-".join(name.split()).lower())
+    return docs

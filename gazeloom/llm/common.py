@@ -47,6 +47,16 @@ def drop_staged(*dfs: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: doc_ids (8 bytes each) up to which a list of them is broadcast; beyond that the join is left to Spark.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not among ids. Rows with a null doc_id stay: no decision can name them."""
+    gone = stage(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -2,6 +2,7 @@
 
 from gazeloom.llm.chat import op3_chat
 from gazeloom.llm.decontamination import op5_decontamination
+from gazeloom.llm.near_duplicates import op2_near_duplicates
 from gazeloom.llm.quality import op1_lm_scoring, op6_quality
 from gazeloom.llm.sentencepiece_codec import op10_sentencepiece
 from gazeloom.llm.sharding import op9_sharding
@@ -11,6 +12,7 @@ from gazeloom.llm.topk import OP7_SQL, op7_topk
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_chat": op3_chat,
     "op4_token_files": op4_token_files,
     "op5_decontamination": op5_decontamination,
