@@ -183,7 +183,7 @@ class WordEncoder:
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # in a text their strings are ordinary text
         self.vocabulary = self.tool.get_vocab_size()
-        self.cache = WordCache(self.library, 600_000)
+        self.cache = WordCache(self.library, 300_000)
 
     def library(self, text: str) -> bytes:
         return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
@@ -244,7 +244,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         narrow = max(tool.vocabulary, end_id + 1) <= 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         edges = np.array(bounds, np.int64)
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             ids = batch.column("doc_id").to_pylist()
             said = texts(batch.column("text"))
             data = [x + end for x in tool.batch(said)]
