@@ -16,6 +16,7 @@ each file, with the number of ids in all files before it.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -171,44 +172,65 @@ class TokenFile:
         self.file.close()
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable bytes stand for themselves, the others follow from U+0100."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in kept]
+    return {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
 class WordEncoder:
-    """Ids of a text by the tokenizers library. Its pattern begins a new word at each space before other text, so such words are encoded apart and frequent ones once."""
+    """Ids of a text by the tokenizers library.
 
-    def __init__(self, path: str) -> None:
-        import os
+    The tokenizer's pattern begins a new word at each space before other text, so such words are encoded apart and frequent ones once. Words of
+    letters, with or without ASCII marks behind them, are one or two words of the pattern and go to the library's BPE model at once; any other
+    goes through the whole tokenizer, as does a text with white space that isn't a single space between words.
+    """
+
+    #: White space after a space, or at either end.
+    ODD = re.compile(r" (?=\s|\Z)|\A\s")
+    #: Letters, then marks other than the apostrophe.
+    MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # in a text their strings are ordinary text
         self.vocabulary = self.tool.get_vocab_size()
-        self.cache = WordCache(self.library, 300_000)
+        self.model = self.tool.model
+        self.letters = byte_letters()
+        self.tails: dict[str, bytes] = {}
+        self.cache = WordCache(self.spaced, 450_000)
 
     def library(self, text: str) -> bytes:
         return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers. A space before a word is kept as its first character."""
-        split = []
-        for text in texts:
-            words = text.split(" ")
-            head, rest = words[0], words[1:]
-            if any(not w or w[0].isspace() for w in rest) or head.isspace():
-                split.append(None)
-            else:
-                split.append([head, *[" " + w for w in rest]] if head else [" " + w for w in rest])
-        cache = self.cache
-        unknown = list({w for words in split if words for w in words if w not in cache and w not in cache.old})
-        for k in range(0, len(unknown), 4096):
-            part = unknown[k : k + 4096]
-            for word, found in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                if len(word) <= 64:
-                    if len(cache) >= cache.size:
-                        cache.old = dict(cache)
-                        cache.clear()
-                    cache[word] = array("I", found.ids).tobytes()
-        return [self.library(t) if words is None else b"".join(map(cache.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+    def one(self, word: str) -> bytes:
+        """Ids of one word of the pattern."""
+        written = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+
+    def spaced(self, word: str) -> bytes:
+        """Ids of a word with a space before it."""
+        if word.isalpha():
+            return self.one(" " + word)
+        marked = self.MARKED.fullmatch(word)
+        if marked and marked[1].isalpha():
+            tail = self.tails.get(marked[2])
+            if tail is None:
+                tail = self.one(marked[2])
+                if len(self.tails) < 10_000:
+                    self.tails[marked[2]] = tail
+            return self.one(" " + marked[1]) + tail
+        return self.library(" " + word)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if self.ODD.search(text):
+            return self.library(text)
+        head, *words = text.split(" ")
+        return (self.library(head) if head else b"") + b"".join(map(self.cache.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -247,7 +269,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             ids = batch.column("doc_id").to_pylist()
             said = texts(batch.column("text"))
-            data = [x + end for x in tool.batch(said)]
+            data = [tool.encode(x) + end for x in said]
             if narrow:
                 data = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in data]
             tie = np.array([zlib.crc32(x.encode()) for x in said], np.int64)
