@@ -9,11 +9,11 @@ pair of similarity 0.75 meets in a table with probability 0.9997, one of 0.85 wi
 2. Keys that no other class has are dropped before pairs are formed; this loses no pair.
 3. Each class is compared with the smallest class that it shares a table key with, on the full sets, and linked classes are
    joined into components.
-4. Where classes of several components still share a table key, all pairs across components are compared by their
-   minhashes, and the likely ones on the full sets. Large buckets are compared in blocks of at most SPLIT members.
+4. Where classes of several components still share a table key, they are compared across components within the buckets of the first
+   collection: by 32-bit hashes of all their shingles, then, those that join components, on the full sets.
+   Large buckets are compared in pairs of parts of about SPLIT members. Only links leave such a task, not pairs.
 
-So every pair that shares a table key ends up in one component, or is known not to be linked (but for pairs
-whose 96 minhashes agree in fewer than LEAST_AGREE places, which happens to a link once in some millions).
+So every pair that shares a table key ends up in one component, or is known not to be linked.
 """
 
 from __future__ import annotations
@@ -28,9 +28,7 @@ SHINGLE = 5
 HALF = 3
 COLLECTION = 16
 HASHES = 2 * COLLECTION * HALF
-#: Of the 96 minhashes, 72 agree for a pair of similarity 0.75 in the mean, with a deviation of 4.2.
-LEAST_AGREE = 50
-SPLIT = 512
+SPLIT = 256
 #: doc_ids (8 bytes each) up to which a list of them is broadcast; beyond that the join is left to Spark.
 BROADCAST_IDS = 2_000_000
 PERCENT = 75
@@ -91,7 +89,7 @@ def minhashes(sets: list):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, keys (2 * COLLECTION longs, null without shingles), sketch (a byte of each minhash)."""
+    """doc_id, n_shingles, digest of the set, keys (2 * COLLECTION longs, null without shingles)."""
 
     def run(batches):
         import numpy as np
@@ -107,25 +105,22 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(part.column("text").to_pylist(), hashes)
                 filled = [k for k, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(sets)
-                sketch: list = [None] * len(sets)
                 if filled:
                     mins = minhashes([sets[k] for k in filled])
                     bands = mix((mins.reshape(len(filled), 2 * COLLECTION, HALF) * factors).sum(2, dtype=np.uint64) ^ salts).view(np.int64)
-                    low = (mix(mins) >> np.uint64(56)).astype(np.uint8)
                     for row, k in enumerate(filled):
-                        keys[k], sketch[k] = bands[row], low[row].tobytes()
+                        keys[k] = bands[row]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(sketch, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "digest", "keys", "sketch"],
+                    ["doc_id", "n_shingles", "digest", "keys"],
                 )
 
-    return labelled_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, sketch binary")
+    return labelled_text(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -189,50 +184,109 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("doc_id"), F.col("b").alias("label")).limit(0)
 
 
-def crossing(tables: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a table key and have similar sketches. tables: key, rep."""
+def short_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """rep and the first 32 bits of its shingles' hashes, for the given reps."""
+    ids = stage(ids.select("rep").distinct(), "crossing-ids")
+    wanted = ids.withColumnRenamed("rep", "doc_id")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        hashes = WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(part.column("text").to_pylist(), hashes)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "short"])
+
+    rows = labelled_text(docs).join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
+    return stage(rows.mapInArrow(run, "rep long, short binary").dropDuplicates(["rep"]), "short-sets")
+
+
+def similar_pairs(sets: list):
+    """Matrix of the pairs whose sets, given as sorted arrays, are similar enough: counts of common elements come from products of membership matrices."""
+    import numpy as np
+
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    both = np.zeros((n, n), np.float32)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts > 1  # elements of one set alone count for nothing
+    number = np.cumsum(shared) - 1
+    owner, column = owner[shared[column]], number[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = int(shared.sum())
+    for at in range(0, total, 4096):
+        here = slice(*np.searchsorted(column, [at, at + 4096]))
+        x = np.zeros((n, min(4096, total - at)), np.float32)
+        x[owner[here], column[here] - at] = 1
+        both += x @ x.T
+    return 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
+
+
+def crossing(tables: DataFrame, halves: DataFrame, labels: DataFrame, docs: DataFrame, every: bool = False) -> DataFrame:
+    """Pairs (a, b) that are similar enough by short hashes and join different components.
+
+    tables: key, rep of the table keys; halves: key, rep of the first collection's keys. Classes whose table keys lie in several
+    components are compared within the buckets of the first collection, which hold every pair that shares a table key. Of a block's pairs, those that join its
+    components are returned, or with `every` all between components.
+    """
     spark = tables.sparkSession
-    placed = tables.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-    members = placed.join(mixed, "key").withColumn("parts", F.ceil(F.col("n") / SPLIT).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("key", "rep", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).join(sketches, "rep")
+    label = F.coalesce("label", "rep")
+    by_rep = labels.withColumnRenamed("doc_id", "rep")
+    placed = stage(tables.join(by_rep, "rep", "left").withColumn("label", label), "placed")
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    ids = stage(placed.join(mixed, "key", "left_semi").select("rep", "label").distinct(), "crossing-reps")
+    if ids.isEmpty():
+        return ids.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    members = stage(halves.join(ids, "rep"), "crossing-members")
+    split = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
+    members = members.join(split, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.select("key", "rep", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).join(short_sets(docs, ids), "rep")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def compare(rows):
-            reps = np.array([r[0] for r in rows])
-            labels_ = np.array([r[1] for r in rows])
-            owns = np.array([r[2] for r in rows])
-            bytes_ = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), HASHES)
-            found = []
-            for k in range(len(rows)):
-                # Members of one part meet where p = q, those of two parts only each other.
-                rest = np.flatnonzero((labels_[k + 1 :] != labels_[k]) & ((owns[k + 1 :] != owns[k]) | (rows[0][4] == rows[0][5]))) + k + 1
-                if len(rest):
-                    rest = rest[(bytes_[rest] == bytes_[k]).sum(1) >= LEAST_AGREE]
-                    found += [(max(int(reps[k]), int(reps[j])), min(int(reps[k]), int(reps[j]))) for j in rest]
-            return found
-
-        at, rows, out = None, [], set()
+        out: set[tuple[int, int]] = set()
+
+        def compare(rows, one_part):
+            names = [r[0] for r in rows]
+            marks, owns = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            apart = marks[:, None] != marks[None, :]
+            if not one_part:  # members of one part meet in its own block
+                apart &= owns[:, None] != owns[None, :]
+            if not apart.any():
+                return
+            top: dict[int, int] = {}
+
+            def root(x):
+                while top.get(x, x) != x:
+                    x = top[x]
+                return x
+
+            for i, j in zip(*np.nonzero(np.triu(similar_pairs([r[3] for r in rows]) & apart)), strict=True):
+                x, y = root(int(marks[i])), root(int(marks[j]))
+                if every or x != y:
+                    top[max(x, y)] = min(x, y)
+                    out.add((max(names[i], names[j]), min(names[i], names[j])))
+
+        at, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "p", "q", "rep", "label", "own", "sketch")]
-            for key, p, q, rep, label, own_, sketch in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("key", "p", "q", "rep", "label", "own")]
+            for key, p, q, rep, mark, own, short in zip(*columns, batch.column("short"), strict=True):
                 if (key, p, q) != at:
                     if len(rows) > 1:
-                        out.update(compare(rows))
+                        compare(rows, at[1] == at[2])
                     at, rows = (key, p, q), []
-                rows.append((rep, label, own_, sketch, p, q))
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-                out = set()
+                rows.append((rep, mark, own, np.frombuffer(short.as_buffer(), np.uint32)))
         if len(rows) > 1:
-            out.update(compare(rows))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+            compare(rows, at[1] == at[2])
+        pairs = sorted(out)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
     n = shuffle_partitions(spark)
     return members.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
@@ -249,7 +303,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stage(signatures(docs), "signatures")
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.select("doc_id", "keys", "sketch").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
+    reps = known.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
     reps = stage(reps, "reps")
 
     # Keys that more than one class has, then pairs of such keys of both collections.
@@ -263,9 +317,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nearest = tables.where("pivot < rep").groupBy("rep").agg(F.min("pivot").alias("b")).select(F.col("rep").alias("a"), "b")
     links = linked(nearest, docs)
     labels = components(links)
-    rest = stage(crossing(tables.select("key", "rep"), labels, reps.select("rep", "sketch")), "crossing")
+    halves = single.where("slot = 0").join(shared, "key").select("key", "rep")
+    rest = stage(crossing(tables.select("key", "rep"), halves, labels, docs), "crossing")
     if not rest.isEmpty():
-        labels = components(links.union(linked(rest, docs)))
+        more = linked(rest, docs)
+        if more.count() < rest.count():  # short hashes that met by chance may have stood for a link: take all pairs
+            more = linked(stage(crossing(tables.select("key", "rep"), halves, labels, docs, every=True), "crossing"), docs)
+        links = links.union(more)
+        labels = components(links)
     return (
         signed.select("doc_id", "n_shingles", "digest")
         .join(classes, "digest", "left")
