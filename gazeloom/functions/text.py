@@ -29,6 +29,11 @@ SENTENCE_END = r"[。！？?!\.…]+"
 CUTS = ("。", "！", "？", "!", "?", ".", "，", ",", "；", ";")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_datetime(c: Column) -> Column:
     """Text as a UTC timestamp; Chinese date and time words are rewritten first; null where no format fits."""
     c = F.trim(c)
@@ -138,32 +143,40 @@ def repair_markdown(c: Column) -> Column:
 
 def first_sentence_title(c: Column, n: int = 100) -> Column:
     """The first heading, or else the text up to its first sentence end; what is longer is cut."""
-    heading = truncate(markdown_to_text(F.regexp_extract(c, r"(?m)^#+\s*(\S.*?)$", 1)), n)
-    text = markdown_to_text(c)
-    sentence = collapse(F.regexp_extract(text, rf"(?s)^.*?(?:{SENTENCE_END}|\z)", 0))
-    head = F.left(sentence, F.lit(n))
-    cut = F.coalesce(*[F.when(F.instr(head, d) > 0, _until_last(head, d)) for d in CUTS], F.concat(head, F.lit("...")))
-    return F.when(F.coalesce(c, F.lit("")) == "", "").when(heading != "", heading).when(F.length(sentence) > n, cut).otherwise(sentence)
+    text = F.coalesce(c, F.lit(""))
+
+    def cut(head: Column) -> Column:
+        marked = F.filter(F.array(*[F.lit(d) for d in CUTS]), lambda d: F.contains(head, d))
+        return F.when(F.size(marked) == 0, F.concat(head, F.lit("..."))).otherwise(let(marked[0], lambda d: F.left(head, F.length(head) - F.length(_after_last(head, d)))))
+
+    def from_sentence(sentence: Column) -> Column:
+        return F.when(F.length(sentence) > n, let(F.left(sentence, F.lit(n)), cut)).otherwise(sentence)
+
+    heading = let(markdown_to_text(F.regexp_extract(text, r"(?m)^#+\s*(\S.*?)$", 1)), lambda h: truncate(h, n))
+    sentence = let(collapse(F.regexp_extract(markdown_to_text(text), rf"(?s)^.*?(?:{SENTENCE_END}|\z)", 0)), from_sentence)
+    return let(heading, lambda h: F.when(h != "", h).otherwise(sentence))
 
 
-def _until_last(c: Column, mark: str) -> Column:
-    return F.left(c, F.length(c) - F.length(F.substring_index(c, mark, -1)))
+def _after_last(c: Column, mark: Column) -> Column:
+    """What follows the last occurrence of a mark."""
+    return F.element_at(F.split(c, F.concat(F.lit("\\Q"), mark, F.lit("\\E"))), -1)
 
 
 def title_from_content(c: Column) -> Column:
     """A title in 【】 among the first five lines, or a heading among the first three, or the first sentence; '' if there is none."""
-    lines = F.transform(F.split(F.trim(F.coalesce(c, F.lit(""))), "\n"), F.trim)
-    titled = F.transform(
-        F.slice(lines, 1, 5),
-        lambda x: F.coalesce(
-            F.when(F.length(F.trim(F.regexp_extract(x, r"【[^】]+】(.+)", 1))) > 2, F.trim(F.regexp_extract(x, r"【[^】]+】(.+)", 1))),
-            F.when(F.length(F.trim(F.regexp_extract(x, r"【(.+)】", 1))) > 3, F.trim(F.regexp_extract(x, r"【(.+)】", 1))),
-        ),
-    )
-    headed = F.transform(F.slice(lines, 1, 3), lambda x: F.when(x.startswith("#") & (F.length(F.trim(F.regexp_replace(x, r"^#+\s*", ""))) > 2), F.trim(F.regexp_replace(x, r"^#+\s*", ""))))
-    first = F.trim(F.regexp_extract(F.coalesce(c, F.lit("")), r"(?s)^[^。.]*", 0))
-    sentence = F.when((first != "") & ~first.startswith("!["), F.when(F.length(first) > 100, F.concat(F.left(first, F.lit(100)), F.lit("..."))).otherwise(first))
-    return F.coalesce(F.try_element_at(F.array_compact(titled), F.lit(1)), F.try_element_at(F.array_compact(headed), F.lit(1)), sentence, F.lit(""))
+    text = F.coalesce(c, F.lit(""))
+
+    def longer(found: Column, least: int) -> Column:
+        return F.when(F.length(F.trim(found)) > least, F.trim(found))
+
+    def from_lines(lines: Column) -> Column:
+        titled = F.transform(F.slice(lines, 1, 5), lambda x: F.coalesce(longer(F.regexp_extract(x, r"【[^】]+】(.+)", 1), 2), longer(F.regexp_extract(x, r"【(.+)】", 1), 3)))
+        headed = F.transform(F.slice(lines, 1, 3), lambda x: F.when(F.startswith(x, F.lit("#")), longer(F.regexp_replace(x, r"^#+\s*", ""), 2)))
+        return F.try_element_at(F.array_compact(F.concat(titled, headed)), F.lit(1))
+
+    first = let(F.trim(F.regexp_extract(text, r"(?s)^[^。.]*", 0)), lambda x: F.when((x == "") | F.startswith(x, F.lit("![")), "").when(F.length(x) > 100, F.concat(F.left(x, F.lit(100)), F.lit("..."))).otherwise(x))
+    lines = F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n"), F.trim)
+    return F.coalesce(let(lines, from_lines), first)
 
 
 def date_from_content(c: Column) -> Column:

@@ -51,7 +51,7 @@ def fulltext_search(queries: DataFrame, corpus: DataFrame, k: int, fields: tuple
     """BM25: query_id, key, score, rank. queries: query_id, query.
 
     Only the occurrences of query terms leave the scan; they are counted by document in the scan itself, so no term gathers
-    its occurrences in a task. A query's repeated terms count once.
+    its occurrences in a task. A query's repeated terms count once. Scores are rounded to nine digits, so that ties don't hang on the order of sums.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
     docs = corpus.select(key, tokens(F.concat_ws(" ", *fields)).alias("words"))
@@ -63,7 +63,7 @@ def fulltext_search(queries: DataFrame, corpus: DataFrame, k: int, fields: tuple
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     parts = scored.select(key, "term", weight.alias("w")).join(broadcast_if_small(asked), "term")
-    return top(parts.groupBy("query_id", key).agg(F.sum("w").alias("score")), k, key, offset)
+    return top(parts.groupBy("query_id", key).agg(F.round(F.sum("w"), 9).alias("score")), k, key, offset)
 
 
 def simple_text_search(queries: DataFrame, corpus: DataFrame, k: int, fields: tuple[str, ...] = FIELDS, key: str = "news_id", block: int = 200) -> DataFrame:
@@ -86,7 +86,10 @@ def simple_text_search(queries: DataFrame, corpus: DataFrame, k: int, fields: tu
             inside = F.concat(F.lit(r"(?U)\b\Q"), term, F.lit(r"\E\b"))
             return F.when(~F.contains(text, term), 0.0).when(text == term, 2.0).when(F.regexp_like(text, inside), 1.5).otherwise(1.0)
 
-        score = sum((F.aggregate("terms", F.lit(0.0), lambda s, t, f=f: s + weigh(t, F.col(f))) for f in fields), F.lit(0.0))
+        def field(f):
+            return F.aggregate("terms", F.lit(0.0), lambda s, t: s + weigh(t, F.col(f)))
+
+        score = sum(map(field, fields), F.lit(0.0))
         part = joined.select("query_id", key, score.alias("score")).where("score > 0")
         out = part if out is None else out.union(part)
         if len(rows) < block:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazeloom.staging import stage
 
@@ -43,7 +44,7 @@ def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: C
     """
     schema = df.schema
     for name in columns:
-        schema = schema.add(name, "array<float>")
+        schema = schema.add(name, T.ArrayType(T.FloatType()))
 
     def run(frames):
         import numpy as np
