@@ -25,6 +25,8 @@ from gazeloom.llm.common import new_path, shuffle_partitions, stage
 
 ORDER = 4
 CHUNK_BYTES = 24 << 20
+#: Characters that a task turns into n-grams at once; a longer text goes alone.
+STEP_CHARS = 1_000_000
 BEGIN, END = 0, 0xFFFF
 
 
@@ -74,14 +76,14 @@ def chunked(rows: DataFrame, name: str) -> DataFrame:
 
 
 def runs(batch):
-    """Slices of a batch that belong to one chunk."""
+    """Slices of a batch, of at most 1000 rows, that belong to one chunk."""
     import numpy as np
 
     chunk = batch.column("chunk").to_numpy()
     edges = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
     for a, b in zip(edges, edges[1:], strict=False):
-        if a < b:
-            yield int(chunk[a]), batch.slice(a, b - a)
+        for at in range(a, b, 1000):
+            yield int(chunk[a]), batch.slice(at, min(1000, b - at))
 
 
 def count_grams(docs: DataFrame, models: int) -> DataFrame:
@@ -111,8 +113,8 @@ def count_grams(docs: DataFrame, models: int) -> DataFrame:
                 for model in {*owners}:
                     own = [t for t, o in zip(texts, owners, strict=True) if o == model and t]
                     while own:
-                        n = size = 0  # some millions of characters at once
-                        while n < len(own) and size < 4_000_000:
+                        n = size = 0
+                        while n < len(own) and size < STEP_CHARS:
                             size += len(own[n])
                             n += 1
                         keys, counts = np.unique(grams(own[:n])[0], return_counts=True)
@@ -121,7 +123,7 @@ def count_grams(docs: DataFrame, models: int) -> DataFrame:
                             wide[:, model] = counts
                         held.append((keys, wide))
                         own = own[n:]
-                if len(held) > 8:
+                if len(held) > 24:
                     held = [merge_counts(held)]
         if held:
             yield from out()
@@ -251,7 +253,7 @@ def cross_entropies(docs: DataFrame, models: int, keep: list[str], name: str) ->
                 filled = [k for k, t in enumerate(texts) if t]
                 while filled:
                     n = size = 0
-                    while n < len(filled) and size < 4_000_000:
+                    while n < len(filled) and size < STEP_CHARS:
                         size += len(texts[filled[n]])
                         n += 1
                     now, filled = filled[:n], filled[n:]

@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*weights.values(), *rest], pa.float64())], ["word", "weight"])
 
     fitted = {r["word"]: r["weight"] for r in sample.repartition(1).mapInArrow(run, "word string, weight double").collect()}  # words of the bounded sample
-    return fitted, (fitted.pop("bias "), fitted.pop("scale "), fitted.pop("shift "))
+    return fitted, (fitted.pop("bias ", -8.0), fitted.pop("scale ", 1.0), fitted.pop("shift ", 0.0))  # the rest where no row is labelled
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
