@@ -77,9 +77,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine in [-1, 1]; 0 where a vector is zero."""
+    """Cosine in [-1, 1]; 0 where a vector is zero, null where one is null."""
     size = norm(a) * norm(b)
-    return F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size)))
+    return F.when(size.isNull(), None).when(size == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size)))
 
 
 def euclidean(a: Column, b: Column) -> Column:
@@ -87,7 +87,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def euclidean_similarity(a: Column, b: Column) -> Column:
-    return 1 - F.least(euclidean(a, b) / math.sqrt(2), F.lit(1.0))
+    far = euclidean(a, b)
+    return F.when(far.isNotNull(), 1 - F.least(far / math.sqrt(2), F.lit(1.0)))
 
 
 def l2_normalize(a: Column) -> Column:

@@ -13,7 +13,7 @@ from gazeloom.operators import listing as L
 from gazeloom.operators import retrieval as R
 from gazeloom.operators import reviews as W
 from gazeloom.operators import vectors as V
-from gazeloom.plans.ingest_queries import submissions
+from gazeloom.plans.ingest_queries import INGEST, submissions
 from gazeloom.plans.views import ARTICLES, LIST_PAGES, REQUESTS, api_keys, articles, list_pages, requests, table
 from gazeloom.sources.crawl import read_app_logs
 from gazeloom.staging import new_path
@@ -305,6 +305,12 @@ def reviewed(spark, sf):
     return W.apply_reviews(subs, decisions, stored)["submissions"].select("submission_id", "status", "review")
 
 
+REVIEWS_SQL = """WITH d AS (SELECT doc_id, sha256(left(text, 25) || '2024-04-05' || CASE WHEN doc_id % 3 = 0 THEN 'http://s/' || (doc_id % 50) ELSE '' END) AS submission_id, text, left(text, 25) AS title FROM documents WHERE length(text) <= 3000),
+s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY doc_id) AS n FROM d) WHERE n = 1),
+j AS (SELECT s.*, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' WHEN l.doc_id IS NOT NULL THEN 'pending' END AS action, trim(title) <> '' AND trim(text) <> '' AND length(text) >= 10 AS good FROM s LEFT JOIN labels l USING (doc_id))
+SELECT submission_id, CASE WHEN action = 'rejected' THEN 'rejected' WHEN action = 'approved' AND good THEN 'approved' ELSE 'pending' END AS status, CASE WHEN action IS NULL OR (action = 'approved' AND NOT good) THEN '' ELSE 'ok' END AS review FROM j"""
+
+
 def mine(spark, sf):
     return W.my_submissions(submissions(spark, sf), "u7").select("seq", "title")
 
@@ -473,7 +479,7 @@ ORACLE_SQL = {
     "pdf_links": "SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/_upload/f ' || page_id || '.pdf' AS url, 'f ' || page_id AS label FROM pages",
     "crawl_report": f"WITH {LIST_PAGES} SELECT list_url, count(*) AS total, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, {HOST.format('list_url')} AS source FROM list_pages GROUP BY ALL",
     "vector_ops": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), j AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, q FROM embeddings, q) SELECT vec_id, round(list_cosine_similarity(a, q), 6) AS cosine, round(list_distance(a, q), 6) AS distance, round(1 - least(list_distance(a, q) / sqrt(2), 1), 6) AS similarity, CAST(1.0 AS DOUBLE) AS length, round(0.3 * list_inner_product(a, q) + 0.7 * list_inner_product(q, q), 6) AS mixed FROM j",
-    "embed_columns": f"WITH {ARTICLES} SELECT news_id, 384 AS title_width, 1024 AS content_width, CASE WHEN trim(content_text) = '' THEN 0.0 ELSE 1.0 END AS length FROM articles",
+    "embed_columns": f"WITH {ARTICLES} SELECT news_id, 384 AS title_width, 1024 AS content_width, CAST(CASE WHEN trim(content_text) = '' THEN 0 ELSE 1 END AS DOUBLE) AS length FROM articles",
     "embed_tags": f"SELECT tag_id, CASE WHEN tag_id < 'tag_5' THEN category ELSE 'general' END AS category, 64 AS width FROM {TAGGED}",
     "match_tags": matches_sql(0.5, 5, "a.vec_id >= 10"),
     "merge_tags": f"WITH {ARTICLES}, m AS ({matches_sql(0.5, 5, 'a.vec_id >= 10')}), g AS (SELECT news_id AS doc_id, list(tag_id ORDER BY rank) AS t FROM m GROUP BY ALL) SELECT news_id, array_to_string(list_concat(tags, coalesce(t, [])), ',') AS tags FROM articles LEFT JOIN g USING (doc_id) WHERE doc_id >= 10",
@@ -507,6 +513,7 @@ ORACLE_SQL = {
     "label_count": f"WITH {NOTICE} SELECT count(DISTINCT label) AS n FROM notices",
     "dashboard": f"WITH {REQUESTS} SELECT (SELECT count(*) FROM documents) AS total_notices, (SELECT count(*) FROM keys WHERE is_active) AS active_keys, (SELECT count(*) FROM replay WHERE outcome = 'accepted') AS total_calls",
     "submission_ids": "WITH d AS (SELECT doc_id AS seq, sha256(left(text, 25) || '2024-04-05' || CASE WHEN doc_id % 3 = 0 THEN 'http://s/' || (doc_id % 50) ELSE '' END) AS submission_id, CAST(greatest(length(source), length(left(text, 25)), CASE WHEN doc_id % 3 = 0 THEN length('http://s/' || (doc_id % 50)) ELSE 0 END, length(text), 2) AS INTEGER) AS size FROM documents) SELECT submission_id, seq, size FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY seq) AS n FROM d WHERE size <= 3000) WHERE n = 1",
+    "apply_reviews": REVIEWS_SQL,
     "my_submissions": "SELECT doc_id AS seq, left(text, 25) AS title FROM documents WHERE doc_id % 20 = 7",
     "apply_registrations": REGISTRATIONS_SQL,
     "admission_replay": f"WITH {REQUESTS} SELECT event_id, outcome FROM replay",
@@ -527,5 +534,6 @@ SELECT q.query_id, md5(coalesce(c || chr(10) || chr(10), '') || coalesce(h, '未
     "cited_sources": "SELECT session, string_agg(url, ' ' ORDER BY pos) AS urls FROM (SELECT user_id AS session, 'http://' || event_type || '/' || (event_id % 5) AS url, min(event_id) AS pos FROM events GROUP BY ALL) GROUP BY ALL",
     "stream_new_urls": f"WITH {LIST_PAGES} SELECT DISTINCT list_url, url FROM links",
     "stream_admission": f"WITH {REQUESTS} SELECT event_id, outcome FROM replay",
+    "stream_ingest": f"{INGEST}, kept AS (SELECT t.* FROM titled t JOIN valid v USING (seq) WHERE NOT v.dup) SELECT news_id, url FROM (SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY seq DESC) AS n FROM kept) WHERE n = 1",
     "stream_recent_turns": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3",
 }
