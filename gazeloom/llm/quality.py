@@ -11,7 +11,10 @@ from gazeloom.llm.ngram_lm import cross_entropies
 #: Rows of labels (16 bytes each) up to which they are broadcast; beyond that the join is left to Spark.
 BROADCAST_ROWS = 2_000_000
 #: Of the trusted texts held out of training, this share is accepted in each language.
-QUANTILE = 0.99
+QUANTILE = 0.995
+#: Two standard deviations of one token's loss, in nats: log perplexities are judged less MARGIN / sqrt(tokens), the lower end of what
+#: a text of that length leaves certain, so that a few odd short texts don't widen the threshold for long ones.
+MARGIN = 4.0
 #: Languages with fewer held-out trusted texts take the threshold of all languages together.
 LEAST_TEXTS = 50
 FOLDS = 4
@@ -41,12 +44,13 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_tokens", target.alias("ce_target"), background.alias("ce_background"), (target - background).alias("score"))
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Perplexity of each document under a model of trusted text, and whether it is accepted.
 
     Documents that labels mark with quality 1 are trusted. Three quarters of them (by crc32 of doc_id) train the model; of the others,
-    the given quantile of log perplexity in each language is that language's threshold (null lang is a language of its own; languages with few such
-    texts take the quantile over all). Returns doc_id, lang, n_tokens, perplexity, threshold, accepted (perplexity <= threshold).
+    the given quantile in each language of the lower bound of perplexity is that language's threshold (null lang is a language of its own; languages with
+    few such texts take the quantile over all). The bound is exp(log perplexity - margin / sqrt(n_tokens)).
+    Returns doc_id, lang, n_tokens, perplexity, lower_bound, threshold, accepted (lower_bound <= threshold).
     Texts are taken whole. A null or empty text has null perplexity and is not accepted. A null doc_id has no label. Repeated rows are
     scored each. Other columns are not read. Without any trusted text the threshold is null and everything with text is accepted.
     """
@@ -54,10 +58,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
     rows = with_flag(docs, labels, "quality", ["lang"]).select("doc_id", "text", "lang", F.when(trusted & ~held_out, 0).alias("model"), (trusted & held_out).alias("judged"))
     found = cross_entropies(rows, 1, ["lang", "judged"], "quality")
-    found = stage(found.withColumn("log_ppl", F.expr("loss0 / nullif(n_tokens, 0)")), "perplexities")
-    judged = found.where(F.col("judged") & F.col("log_ppl").isNotNull())
-    overall = judged.agg(F.percentile_approx("log_ppl", quantile, 100_000)).first()[0]
-    own = judged.groupBy("lang").agg(F.percentile_approx("log_ppl", quantile, 100_000).alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).select(F.coalesce("lang", F.lit("")).alias("own_lang"), "own")
+    found = stage(found.withColumn("log_ppl", F.expr("loss0 / nullif(n_tokens, 0)")).withColumn("bound", F.col("log_ppl") - margin / F.sqrt("n_tokens")), "perplexities")
+    judged = found.where(F.col("judged") & F.col("bound").isNotNull())
+    overall = judged.agg(F.percentile_approx("bound", quantile, 100_000)).first()[0]
+    own = judged.groupBy("lang").agg(F.percentile_approx("bound", quantile, 100_000).alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).select(F.coalesce("lang", F.lit("")).alias("own_lang"), "own")
     if own.count() <= BROADCAST_ROWS:
         own = F.broadcast(own)
     found = found.join(own, F.coalesce("lang", F.lit("")) == F.col("own_lang"), "left")
@@ -67,8 +71,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
         "lang",
         "n_tokens",
         F.exp("log_ppl").alias("perplexity"),
+        F.exp("bound").alias("lower_bound"),
         F.exp(limit).alias("threshold"),
-        F.coalesce(F.when(limit.isNull(), F.col("log_ppl").isNotNull()).otherwise(F.col("log_ppl") <= limit), F.lit(False)).alias("accepted"),
+        F.coalesce(F.when(limit.isNull(), F.col("bound").isNotNull()).otherwise(F.col("bound") <= limit), F.lit(False)).alias("accepted"),
     )
 
 
