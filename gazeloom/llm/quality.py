@@ -11,10 +11,10 @@ from gazeloom.llm.ngram_lm import cross_entropies
 #: Rows of labels (16 bytes each) up to which they are broadcast; beyond that the join is left to Spark.
 BROADCAST_ROWS = 2_000_000
 #: Of the trusted texts held out of training, this share is accepted in each language.
-QUANTILE = 0.995
-#: Two standard deviations of one token's loss, in nats: log perplexities are judged less MARGIN / sqrt(tokens), the lower end of what
+QUANTILE = 0.99
+#: About one standard deviation of one token's loss, in nats: log perplexities are judged less MARGIN / sqrt(tokens), the lower end of what
 #: a text of that length leaves certain, so that a few odd short texts don't widen the threshold for long ones.
-MARGIN = 4.0
+MARGIN = 2.0
 #: Languages with fewer held-out trusted texts take the threshold of all languages together.
 LEAST_TEXTS = 50
 FOLDS = 4
