@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths made by the operators that are running, innermost last.
+_scopes: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -39,12 +47,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
-def drop_staged(*dfs: DataFrame) -> None:
-    """Delete staged tables that nothing will read again."""
-    for df in dfs:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_at)  # type: ignore[attr-defined]
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is staged when it returns, and whose other tables are deleted then."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        _scopes.append([])
+        try:
+            result = operator(*args, **kwargs)
+        finally:
+            made = _scopes.pop()
+        spark = result.sparkSession
+        staged = stage(result, operator.__name__.replace("_", "-"))
+        for path in made:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        return staged
+
+    return run
 
 
 #: doc_ids (8 bytes each) up to which a list of them is broadcast; beyond that the join is left to Spark.

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import blocks, labelled_text, stage, table
+from gazeloom.llm.common import blocks, labelled_text, stage, table, tidy
 from gazeloom.llm.hashing import WordHashes
 
 WINDOW = 13
@@ -260,6 +260,7 @@ def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFr
     return index.mapInArrow(run, "doc_id long, start int, end int")
 
 
+@tidy
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Benchmark windows found in each document.
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import labelled_text, shuffle_partitions, stage, table
+from gazeloom.llm.common import labelled_text, shuffle_partitions, stage, table, tidy
 from gazeloom.llm.hashing import WordHashes
 
 SHINGLE = 5
@@ -292,6 +292,7 @@ def crossing(tables: DataFrame, halves: DataFrame, labels: DataFrame, docs: Data
     return members.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
 
 
+@tidy
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Components of near-duplicate documents.
 

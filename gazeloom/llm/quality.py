@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import stage, table
+from gazeloom.llm.common import stage, table, tidy
 from gazeloom.llm.ngram_lm import cross_entropies
 
 #: Rows of labels (16 bytes each) up to which they are broadcast; beyond that the join is left to Spark.
@@ -29,6 +29,7 @@ def with_flag(docs: DataFrame, labels: DataFrame, column: str, keep: list[str])
     return plain.join(flags, "doc_id", "left")
 
 
+@tidy
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Cross-entropy of each document under a target and a background model, and their difference.
 
@@ -44,6 +45,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_tokens", target.alias("ce_target"), background.alias("ce_background"), (target - background).alias("score"))
 
 
+@tidy
 def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """Perplexity of each document under a model of trusted text, and whether it is accepted.
 

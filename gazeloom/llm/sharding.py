@@ -17,7 +17,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import labelled_text, shuffle_partitions, stage, table
+from gazeloom.llm.common import labelled_text, shuffle_partitions, stage, table, tidy
 
 SHARDS = 16
 
@@ -53,6 +53,7 @@ def leaves(content) -> list:
     return out
 
 
+@tidy
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Deal documents into shards of near-equal bytes, documents of equal text together.
 

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import stage, table
+from gazeloom.llm.common import stage, table, tidy
 
 BLOCK = 128
 RANGE_ROWS = 8192
@@ -142,6 +142,7 @@ def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
     return rows.mapInArrow(run, "no long, dim int, ids binary, data binary").select(*[F.col(c).alias(c if c == "dim" else f"{name}_{c}") for c in ("no", "dim", "ids", "data")])
 
 
+@tidy
 def block_topk(candidates: DataFrame, queries: DataFrame, k: int = 20, range_rows: int = RANGE_ROWS, query_rows: int = QUERY_ROWS, scale: int = SCALE) -> DataFrame:
     """The k candidates of highest integer inner product for each query row.
 
