@@ -199,6 +199,8 @@ class WordEncoder:
         self.tool.encode_special_tokens = True  # in a text their strings are ordinary text
         self.vocabulary = self.tool.get_vocab_size()
         self.model = self.tool.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the words that come here are mostly new; our own cache has the others
         self.letters = byte_letters()
         self.tails: dict[str, bytes] = {}
         self.cache = WordCache(self.spaced, 450_000)
@@ -222,7 +224,7 @@ class WordEncoder:
                 tail = self.one(marked[2])
                 if len(self.tails) < 10_000:
                     self.tails[marked[2]] = tail
-            return self.one(" " + marked[1]) + tail
+            return self.cache[marked[1]] + tail
         return self.library(" " + word)
 
     def encode(self, text: str) -> bytes:
