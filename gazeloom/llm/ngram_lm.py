@@ -27,7 +27,8 @@ ORDER = 4
 CHUNK_BYTES = 24 << 20
 #: Characters that a task turns into n-grams at once; a longer text goes alone.
 STEP_CHARS = 1_000_000
-BEGIN, END = 0, 0xFFFF
+#: The code unit of the end mark; begin marks are zeros. Texts have neither: they are replaced by their neighbours.
+END = 0xFFFF
 
 
 def grams(texts: list[str]):
