@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeloom.operators.adapt import SUBMISSION_SOURCE, adapt_submission
-from gazeloom.operators.dedup import partial_update, upsert
+from gazeloom.operators.dedup import partial_update
 
 STATUSES = ("pending", "approved", "rejected")
 MAX_LENGTH = 10_000
@@ -64,5 +64,3 @@ def apply_registrations(registrations: DataFrame, decisions: DataFrame, users: D
     left = partial_update(registrations.join(moved.select("registration_id"), "registration_id", "left_anti").select(registrations.columns), updates, "registration_id")
     return {"users": users.select("username", "email", "password_hash").unionByName(moved.drop("registration_id")), "registrations": left, "added": moved}
 
-
-__all__ = ["apply_registrations", "apply_reviews", "latest_decisions", "my_submissions", "submission_ids", "upsert"]
