@@ -12,9 +12,10 @@ from gazeloom.llm.ngram_lm import cross_entropies
 BROADCAST_ROWS = 2_000_000
 #: Of the trusted texts held out of training, this share is accepted in each language.
 QUANTILE = 0.99
-#: About one standard deviation of one token's loss, in nats: log perplexities are judged less MARGIN / sqrt(tokens), the lower end of what
-#: a text of that length leaves certain, so that a few odd short texts don't widen the threshold for long ones.
-MARGIN = 2.0
+#: About one and a half standard deviations of one token's loss, in nats. A text of fewer than SURE_TOKENS tokens is judged by log perplexity less
+#: MARGIN * (1 / sqrt(tokens) - 1 / sqrt(SURE_TOKENS)), the lower end of what so short a text leaves certain; else a few odd short texts would widen the
+#: threshold for all.
+MARGIN, SURE_TOKENS = 3.0, 400
 #: Languages with fewer held-out trusted texts take the threshold of all languages together.
 LEAST_TEXTS = 50
 FOLDS = 4
@@ -51,7 +52,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
 
     Documents that labels mark with quality 1 are trusted. Three quarters of them (by crc32 of doc_id) train the model; of the others,
     the given quantile in each language of the lower bound of perplexity is that language's threshold (null lang is a language of its own; languages with
-    few such texts take the quantile over all). The bound is exp(log perplexity - margin / sqrt(n_tokens)).
+    few such texts take the quantile over all). The bound is the perplexity
+    of a text of 400 tokens or more, and lower for a shorter one (see MARGIN).
     Returns doc_id, lang, n_tokens, perplexity, lower_bound, threshold, accepted (lower_bound <= threshold).
     Texts are taken whole. A null or empty text has null perplexity and is not accepted. A null doc_id has no label. Repeated rows are
     scored each. Other columns are not read. Without any trusted text the threshold is null and everything with text is accepted.
@@ -60,7 +62,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
     rows = with_flag(docs, labels, "quality", ["lang"]).select("doc_id", "text", "lang", F.when(trusted & ~held_out, 0).alias("model"), (trusted & held_out).alias("judged"))
     found = cross_entropies(rows, 1, ["lang", "judged"], "quality")
-    found = stage(found.withColumn("log_ppl", F.expr("loss0 / nullif(n_tokens, 0)")).withColumn("bound", F.col("log_ppl") - margin / F.sqrt("n_tokens")), "perplexities")
+    found = stage(found.withColumn("log_ppl", F.expr("loss0 / nullif(n_tokens, 0)")).withColumn("bound", F.col("log_ppl") - margin * F.greatest(F.lit(0.0), 1 / F.sqrt(F.nullif("n_tokens", F.lit(0))) - SURE_TOKENS**-0.5)), "perplexities")
     judged = found.where(F.col("judged") & F.col("bound").isNotNull())
     overall = judged.agg(F.percentile_approx("bound", quantile, 100_000)).first()[0]
     own = judged.groupBy("lang").agg(F.percentile_approx("bound", quantile, 100_000).alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).select(F.coalesce("lang", F.lit("")).alias("own_lang"), "own")
