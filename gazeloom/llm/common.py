@@ -70,8 +70,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of texts that go to a Python worker at once.
+BATCH_ROWS = 1000
+
+
 def labelled_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, so that further columns of any name cannot clash."""
+    """doc_id and text alone, so that further columns of any name cannot clash; they will go to Python in small batches."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

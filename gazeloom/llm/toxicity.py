@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import string
+from array import array
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,34 +81,50 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, penalty: float
     positive = sum(labels)
     if not 0 < positive < len(labels):
         return {}, (4.0 if positive else -8.0, 1.0, 0.0)
-    known: dict[str, list[str]] = {}
-    bags = [[[f for w in set(words) for f in known.get(w) or known.setdefault(w, features(w))] for words in instances(t)] for t in texts]
     found: Counter = Counter()
-    for bag, label in zip(bags, labels, strict=True):
+    for text, label in zip(texts, labels, strict=True):
         if label:
-            found.update(set().union(*bag))
-    vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in found.items() if n >= least_docs))}
-    everywhere: Counter = Counter()
-    for bag in bags:
-        everywhere.update(vocabulary.keys() & set().union(*bag))
-    least = LIFT * positive / len(labels)
-    vocabulary = {w: k for k, w in enumerate(w for w in vocabulary if found[w] >= least * everywhere[w])}
-    bags_rows = [(b, [vocabulary[w] for w in words if w in vocabulary]) for b, bag in enumerate(bags) for words in bag]
-    if not bags_rows or not vocabulary:
+            found.update({f for w in set(text.split()) for f in features(w)})
+    numbers = {w: k for k, w in enumerate(sorted(w for w, n in found.items() if n >= least_docs))}
+    # Of each instance only the numbers of its features are kept.
+    known: dict[str, tuple[int, ...]] = {}
+    everywhere = np.zeros(len(numbers), np.int64)
+    owners, sizes, index = array("i"), array("i"), array("i")
+    for doc, text in enumerate(texts):
+        in_doc: set[int] = set()
+        for words in instances(text):
+            own: list[int] = []
+            for w in set(words):
+                ids = known.get(w)
+                if ids is None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    ids = known[w] = tuple(numbers[f] for f in features(w) if f in numbers)
+                own += ids
+            in_doc.update(own)
+            owners.append(doc)
+            sizes.append(len(own))
+            index.extend(own)
+        everywhere[list(in_doc)] += 1
+    names = np.array(list(numbers), dtype=object)
+    held = np.array([found[w] for w in names], np.int64)
+    chosen = held >= LIFT * positive / len(labels) * everywhere if len(names) else np.zeros(0, bool)
+    vocabulary, found_in, everywhere = names[chosen].tolist(), held[chosen], everywhere[chosen]
+    owner, row = np.frombuffer(owners, np.int32), np.repeat(np.arange(len(owners)), np.frombuffer(sizes, np.int32))
+    index = np.frombuffer(index, np.int32)
+    if not len(owner) or not vocabulary:
         return {}, (-8.0, 1.0, 0.0)
-    owner = np.array([b for b, _ in bags_rows])
-    lengths = np.array([len(x) for _, x in bags_rows])
-    index = np.array([i for _, x in bags_rows for i in x], np.int64)
-    row = np.repeat(np.arange(len(bags_rows)), lengths)
+    kept = chosen[index]
+    row, index = row[kept], (np.cumsum(chosen) - 1)[index[kept]]
     y = np.array(labels, float)
     base = positive / len(labels)
-    rate = np.array([(found[w] + PRIOR * base) / (everywhere[w] + PRIOR) for w in vocabulary])
+    rate = (found_in + PRIOR * base) / (everywhere + PRIOR)
     share = np.array([1 + (len(STEMS) if w.endswith("-") else sum(len(w) > n for n in STEMS)) for w in vocabulary])
     start = np.maximum(0, np.log(rate / (1 - rate)) - np.log(base / (1 - base))) / share
     weights, bias = start.copy(), -6.0
     first, second = np.zeros(len(vocabulary) + 1), np.zeros(len(vocabulary) + 1)
     for step in range(1, steps + 1):
-        z = bias + np.bincount(row, weights[index], minlength=len(bags_rows))
+        z = bias + np.bincount(row, weights[index], minlength=len(owner))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         absent = np.bincount(owner, -np.logaddexp(0, z), minlength=len(y))
         none = np.exp(absent)
@@ -119,10 +136,10 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, penalty: float
         move = 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
         weights -= move[:-1]
         bias -= float(move[-1])
-    z = bias + np.bincount(row, weights[index], minlength=len(bags_rows))
+    z = bias + np.bincount(row, weights[index], minlength=len(owner))
     absent = np.bincount(owner, -np.logaddexp(0, z), minlength=len(y))
     scale, shift = calibrate(logit(absent)[absent < 0], y[absent < 0])
-    return {w: float(weights[k]) for w, k in vocabulary.items() if abs(weights[k]) > 1e-3}, (float(bias), max(scale, 0.1), shift)
+    return {w: float(weights[k]) for k, w in enumerate(vocabulary) if abs(weights[k]) > 1e-3}, (float(bias), max(scale, 0.1), shift)
 
 
 class Weights(dict):
