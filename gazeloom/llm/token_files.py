@@ -203,7 +203,7 @@ class WordEncoder:
             self.model._resize_cache(0)  # the words that come here are mostly new; our own cache has the others
         self.letters = byte_letters()
         self.tails: dict[str, bytes] = {}
-        self.cache = WordCache(self.spaced, 450_000)
+        self.cache = WordCache(self.spaced, 900_000)
 
     def library(self, text: str) -> bytes:
         return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
