@@ -85,6 +85,20 @@ def texts(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def release() -> None:
+    """Give back to the system what earlier tasks of this Python worker have freed; an executor's JVM needs the room."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(it: Iterable, size: int):
     """Lists of at most so many items."""
     part: list = []

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import blocks, labelled_text, stage, table, tidy
+from gazeloom.llm.common import blocks, labelled_text, release, stage, table, tidy
 from gazeloom.llm.hashing import WordHashes
 
 WINDOW = 13
@@ -88,6 +88,7 @@ def build_index(docs: DataFrame, name: str = "positions") -> DataFrame:
         import pyarrow as pa
         import zstandard
 
+        release()
         hashes, pack = WordHashes(), zstandard.ZstdCompressor(level=1).compress
 
         def out():
@@ -126,6 +127,7 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        release()
         hashes = WordHashes()
         for batch in batches:
             names, found = [], []
@@ -176,6 +178,7 @@ def find_phrases(index: DataFrame, phrases: DataFrame, batch_size: int = BATCH_W
             import numpy as np
             import pyarrow as pa
 
+            release()
             for record in rows:
                 for at in range(record.num_rows):  # one block unpacked at a time
                     row = record.slice(at, 1).to_pylist()[0]
@@ -230,6 +233,7 @@ def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFr
         import numpy as np
         import pyarrow as pa
 
+        release()
         wanted = WordHashes().array(asked)
         for record in rows:
             out: tuple[list, list, list] = ([], [], [])

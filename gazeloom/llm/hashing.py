@@ -6,7 +6,7 @@ from __future__ import annotations
 class WordHashes(dict):
     """Hash of a word's bytes; holds the latest words."""
 
-    def __init__(self, size: int = 400_000) -> None:
+    def __init__(self, size: int = 150_000) -> None:
         super().__init__()
         self.size = size
 

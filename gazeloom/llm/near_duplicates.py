@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import labelled_text, shuffle_partitions, stage, table, tidy
+from gazeloom.llm.common import labelled_text, release, shuffle_partitions, stage, table, tidy
 from gazeloom.llm.hashing import WordHashes
 
 SHINGLE = 5
@@ -96,6 +96,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         from xxhash import xxh3_128_digest
 
+        release()
         hashes = WordHashes()
         factors = constants(HALF, 13)
         salts = constants(2 * COLLECTION, 17)
@@ -132,6 +133,7 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def to_sets(batches):
         import pyarrow as pa
 
+        release()
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -142,6 +144,7 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        release()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
@@ -193,6 +196,7 @@ def short_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        release()
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -251,6 +255,7 @@ def crossing(tables: DataFrame, halves: DataFrame, labels: DataFrame, docs: Data
         import numpy as np
         import pyarrow as pa
 
+        release()
         out: set[tuple[int, int]] = set()
 
         def compare(rows, one_part):

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import BATCH_ROWS, new_path, shuffle_partitions, stage
+from gazeloom.llm.common import BATCH_ROWS, new_path, release, shuffle_partitions, stage
 
 ORDER = 4
 CHUNK_BYTES = 24 << 20
@@ -96,6 +96,7 @@ def count_grams(docs: DataFrame, models: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        release()
         def out():
             keys, counts = merge_counts(held)
             for k in range(0, len(keys), 100_000):
@@ -237,6 +238,7 @@ def cross_entropies(docs: DataFrame, models: int, keep: list[str], name: str) ->
         import pyarrow.parquet as pq
         from pyarrow import fs
 
+        release()
         store, root = fs.FileSystem.from_uri(folder)
         at, keys, values = None, None, None
         for batch in batches:

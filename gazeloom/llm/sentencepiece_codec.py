@@ -20,7 +20,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeloom.llm.common import labelled_text, table, texts
+from gazeloom.llm.common import labelled_text, release, table, texts
 from gazeloom.llm.words import WordCache
 
 MARK = "▁"
@@ -213,6 +213,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        release()
         tool = codec(path)
         for batch in batches:
             ids = [tool.encode(text) for text in texts(batch.column("text"))]
@@ -232,6 +233,7 @@ def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        release()
         tool = codec(path)
         for batch in batches:
             sizes, ids_digests, text_digests = [], [], []

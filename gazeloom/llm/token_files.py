@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import labelled_text, new_path, shuffle_partitions, table, texts
+from gazeloom.llm.common import labelled_text, new_path, release, shuffle_partitions, table, texts
 from gazeloom.llm.words import WordCache
 
 MAGIC = b"GZLTOK1\n"
@@ -264,6 +264,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         import numpy as np
         import pyarrow as pa
 
+        release()
         tool = encoder(path)
         narrow = max(tool.vocabulary, end_id + 1) <= 1 << 16
         end = np.array([end_id], "<u4").tobytes()
@@ -287,6 +288,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         import numpy as np
         import pyarrow as pa
 
+        release()
         tool = encoder(path)
         size = max(tool.vocabulary, end_id + 1)
         out, kind = None, "<u2" if size <= 1 << 16 else "<u4"

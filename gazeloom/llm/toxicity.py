@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import labelled_text, table
+from gazeloom.llm.common import labelled_text, release, table
 
 #: Labelled documents used for training at most: those of smallest xxhash64(doc_id).
 TRAIN_DOCS = 8000
@@ -151,7 +151,7 @@ class Weights(dict):
 
     def __missing__(self, word: str) -> float:
         found = sum(self.weights.get(f, 0.0) for f in features(word))
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found
         return found
@@ -173,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     def run(batches):
         import pyarrow as pa
 
+        release()
         rows = sorted((d, t or "", y) for b in batches for d, t, y in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True))
         weights, rest = fit([t for _, t, _ in rows], [y for _, _, y in rows]) if rows else ({}, (-8.0, 1.0, 0.0))
         names = [*weights, "bias ", "scale ", "shift "]  # words hold no space
@@ -196,6 +197,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
         import numpy as np
         import pyarrow as pa
 
+        release()
         cache = Weights(weights)
         get = cache.__getitem__
         for batch in batches:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 class WordCache(dict):
     """Maps a word to the bytes of its ids. Holds at most two generations of `size` words; older ones are computed again."""
 
-    def __init__(self, encode: Callable[[str], bytes], size: int = 300_000) -> None:
+    def __init__(self, encode: Callable[[str], bytes], size: int = 150_000) -> None:
         super().__init__()
         self.encode, self.size, self.old = encode, size, {}
 
