@@ -179,6 +179,10 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
+class OddSpaceError(ValueError):
+    """A text has white space other than single spaces between words."""
+
+
 class WordEncoder:
     """Ids of a text by the tokenizers library.
 
@@ -187,8 +191,6 @@ class WordEncoder:
     goes through the whole tokenizer, as does a text with white space that isn't a single space between words.
     """
 
-    #: White space after a space, or at either end.
-    ODD = re.compile(r" (?=\s|\Z)|\A\s")
     #: Letters, then marks other than the apostrophe.
     MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -214,7 +216,9 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def spaced(self, word: str) -> bytes:
-        """Ids of a word with a space before it."""
+        """Ids of a word with a space before it. What isn't a word comes here each time, since only words are kept."""
+        if not word or word[0].isspace():
+            raise OddSpaceError
         if word.isalpha():
             return self.one(" " + word)
         marked = self.MARKED.fullmatch(word)
@@ -229,10 +233,13 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if self.ODD.search(text):
-            return self.library(text)
         head, *words = text.split(" ")
-        return (self.library(head) if head else b"") + b"".join(map(self.cache.__getitem__, words))
+        if not head or head[0].isspace():
+            return self.library(text)
+        try:
+            return self.library(head) + b"".join(map(self.cache.__getitem__, words))
+        except OddSpaceError:
+            return self.library(text)
 
 
 @lru_cache(maxsize=2)
