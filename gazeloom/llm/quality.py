@@ -16,8 +16,9 @@ QUANTILE = 0.99
 #: MARGIN * (1 / sqrt(tokens) - 1 / sqrt(SURE_TOKENS)), the lower end of what so short a text leaves certain; else a few odd short texts would widen the
 #: threshold for all.
 MARGIN, SURE_TOKENS = 3.0, 400
-#: Languages with fewer held-out trusted texts take the threshold of all languages together.
-LEAST_TEXTS = 50
+#: A language's own threshold is its median plus its spread, from the median to the quantile. Against its held-out trusted texts, the level common to all
+#: languages weighs as much as LEVEL_TEXTS texts, and the common spread as much as SPREAD_TEXTS: a level is known from few texts, a high quantile isn't.
+LEVEL_TEXTS, SPREAD_TEXTS = 1, 50
 FOLDS = 4
 
 
@@ -51,8 +52,9 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     """Perplexity of each document under a model of trusted text, and whether it is accepted.
 
     Documents that labels mark with quality 1 are trusted. Three quarters of them (by crc32 of doc_id) train the model; of the others,
-    the given quantile in each language of the lower bound of perplexity is that language's threshold (null lang is a language of its own; languages with
-    few such texts take the quantile over all). The bound is the perplexity
+    the given quantile in each language of the lower bound of perplexity is that language's threshold (null lang is a language of its own), shrunk
+    to what all languages have in common by weights that fall smoothly with the number of such texts in the language (see LEVEL_TEXTS): with many it
+    is the language's quantile, with none the quantile over all. The bound is the perplexity
     of a text of 400 tokens or more, and lower for a shorter one (see MARGIN).
     Returns doc_id, lang, n_tokens, perplexity, lower_bound, threshold, accepted (lower_bound <= threshold).
     Texts are taken whole. A null or empty text has null perplexity and is not accepted. A null doc_id has no label. Repeated rows are
@@ -64,12 +66,19 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     found = cross_entropies(rows, 1, ["lang", "judged"], "quality")
     found = stage(found.withColumn("log_ppl", F.expr("loss0 / nullif(n_tokens, 0)")).withColumn("bound", F.col("log_ppl") - margin * F.greatest(F.lit(0.0), 1 / F.sqrt(F.nullif("n_tokens", F.lit(0))) - SURE_TOKENS**-0.5)), "perplexities")
     judged = found.where(F.col("judged") & F.col("bound").isNotNull())
-    overall = judged.agg(F.percentile_approx("bound", quantile, 100_000)).first()[0]
-    own = judged.groupBy("lang").agg(F.percentile_approx("bound", quantile, 100_000).alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).select(F.coalesce("lang", F.lit("")).alias("own_lang"), "own")
+    high = lambda c: F.percentile_approx(c, quantile, 100_000)
+    overall = judged.agg(high("bound")).first()[0]
+    own = judged.groupBy(F.coalesce("lang", F.lit("")).alias("own_lang")).agg(high("bound").alias("own"), F.percentile_approx("bound", 0.5, 100_000).alias("median"), F.count(F.lit(1)).alias("n"))
+    own = stage(own, "languages")
     if own.count() <= BROADCAST_ROWS:
         own = F.broadcast(own)
-    found = found.join(own, F.coalesce("lang", F.lit("")) == F.col("own_lang"), "left")
-    limit = F.coalesce("own", F.lit(overall).cast("double"))
+    near = F.coalesce("lang", F.lit("")) == F.col("own_lang")
+    spread = judged.join(own, near).agg(high(F.col("bound") - F.col("median"))).first()[0]
+    found = found.join(own, near, "left")
+    overall, spread = F.lit(overall).cast("double"), F.lit(spread).cast("double")
+    # What the common level and spread would change; written as differences, so that a single language keeps exactly its quantile.
+    wider = spread - (F.col("own") - F.col("median"))
+    limit = F.coalesce(F.col("own") + (overall - F.col("own") - wider) * LEVEL_TEXTS / (F.col("n") + LEVEL_TEXTS) + wider * SPREAD_TEXTS / (F.col("n") + SPREAD_TEXTS), overall)
     return found.select(
         "doc_id",
         "lang",

@@ -92,6 +92,31 @@ def test_quality(spark, documents):
     assert all(x["accepted"] == (x["n_tokens"] > 0) for x in free)
 
 
+def test_quality_of_a_rare_language(spark, documents):
+    """A language with few trusted texts is judged by its own level, by the rule that holds for one with many."""
+    r = random.Random(31)
+    prose = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(60))
+    common, rare = "abcdefgh", "klmnopqrstuvwxyzäöüß"
+    rows = {"en": [(k, prose(common)) for k in range(400)], "xx": [(2000 + k, prose(rare)) for k in range(60)], "yy": [(3000, prose(common))]}
+    docs = [documents(rows[lang], lang) for lang in rows]
+    docs = docs[0].unionByName(docs[1]).unionByName(docs[2])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)] + [(2000 + k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    found = Q.classify_quality(docs, labels).collect()
+    clean = [x for x in found if x["lang"] == "xx"]
+    assert sum(x["accepted"] for x in clean) >= 0.9 * len(clean)
+    limit = {x["lang"]: math.log(x["threshold"]) for x in found}
+    judged = {lang: sorted(math.log(x["lower_bound"]) for x in found if x["lang"] == lang and zlib.crc32(str(x["doc_id"]).encode()) % Q.FOLDS == 0 and x["doc_id"] < 2040) for lang in ("en", "xx")}
+    at = lambda v, q: v[max(0, math.ceil(q * len(v)) - 1)]
+    everything = at(sorted(judged["en"] + judged["xx"]), Q.QUANTILE)
+    spread = at(sorted(b - at(v, 0.5) for v in judged.values() for b in v), Q.QUANTILE)
+    for lang, v in judged.items():
+        n, own, median = len(v), at(v, Q.QUANTILE), at(v, 0.5)
+        level = (n * median + Q.LEVEL_TEXTS * (everything - spread)) / (n + Q.LEVEL_TEXTS)
+        width = (n * (own - median) + Q.SPREAD_TEXTS * spread) / (n + Q.SPREAD_TEXTS)
+        assert limit[lang] == pytest.approx(level + width)
+    assert limit["yy"] == pytest.approx(everything)
+
+
 def test_difference(spark, documents):
     docs = corpus(documents)
     labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 160, 2)], "doc_id long, quality int, toxic int")
