@@ -87,6 +87,11 @@ def queries_(spark, sf, n=20):
     return table(spark, sf, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
+def shared_queries(spark, sf):
+    """A share of the vectors that grows with the table. The query set of the queries named ..._whole; the others keep the 20 rows of their SQL."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def corpus(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("news_id"), F.col("embedding").alias("content_embedding"), "label")
 
@@ -130,16 +135,16 @@ def like_tags(spark, sf):
     return V.similar_tags(corpus(spark, sf), tags_(spark, sf), 3, 0.2).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
 
 
-def nearest(spark, sf):
-    return V.vector_search(queries_(spark, sf), corpus(spark, sf), 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
+def nearest(spark, sf, queries=queries_):
+    return V.vector_search(queries(spark, sf), corpus(spark, sf), 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
 
 
-def approximate(spark, sf):
-    return V.ann_search(queries_(spark, sf), corpus(spark, sf), 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
+def approximate(spark, sf, queries=queries_):
+    return V.ann_search(queries(spark, sf), corpus(spark, sf), 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
 
 
-def semantic(spark, sf):
-    return R.semantic_search(queries_(spark, sf), corpus(spark, sf), 0.5, 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
+def semantic(spark, sf, queries=queries_):
+    return R.semantic_search(queries(spark, sf), corpus(spark, sf), 0.5, 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
 
 
 def alike(spark, sf):
@@ -199,19 +204,24 @@ def simple_plain(spark, sf):
     return R.simple_text_search(q, articles(spark, sf), 5).select("query_id", "news_id", "score")
 
 
-def hits_(spark, sf, k=20):
+def simple_whole(spark, sf):
+    """simple_text_search for every benchmark item, marks and all."""
+    return R.simple_text_search(text_queries(spark, sf), articles(spark, sf), 5).select("query_id", "news_id", "score")
+
+
+def hits_(spark, sf, k=20, queries=queries_):
     a = articles(spark, sf)
-    vector = V.vector_search(queries_(spark, sf), articles(spark, sf, vectors=True), k)
+    vector = V.vector_search(queries(spark, sf), articles(spark, sf, vectors=True), k)
     return vector, R.fulltext_search(text_queries(spark, sf), a, k)
 
 
-def merged_fields(spark, sf):
-    vector, text = hits_(spark, sf)
+def merged_fields(spark, sf, queries=queries_):
+    vector, text = hits_(spark, sf, queries=queries)
     return R.merge_field_ranks(text, vector).select("query_id", "news_id", F.round("score", 6).alias("score"), F.round("title_score", 6).alias("title_score"))
 
 
-def fused(spark, sf):
-    vector, text = hits_(spark, sf)
+def fused(spark, sf, queries=queries_):
+    vector, text = hits_(spark, sf, queries=queries)
     return R.fuse_ranks(vector, text).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -226,17 +236,23 @@ def both_queries(spark, sf):
     return text_queries(spark, sf).join(queries_(spark, sf), "query_id")
 
 
-def hybrid(spark, sf):
-    return R.hybrid_search(both_queries(spark, sf), articles(spark, sf, vectors=True), 10, title_vector=None).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
+def all_queries(spark, sf):
+    """Every benchmark item, with the vector of the same number if there is one."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return text_queries(spark, sf).join(e, "query_id", "left")
+
+
+def hybrid(spark, sf, queries=both_queries):
+    return R.hybrid_search(queries(spark, sf), articles(spark, sf, vectors=True), 10, title_vector=None).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
 
 
 HYBRID = f"""WITH {BM25}, {TWENTY}, {VECTOR_HITS}, merged AS (SELECT query_id, news_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY 0.7 / rank DESC, news_id) AS INTEGER) AS rank FROM vector_hits), {FUSE.format(v="merged")},
 hybrid AS (SELECT * FROM ranked WHERE rank <= 10 AND query_id < 20)"""
 
 
-def advanced(spark, sf):
+def advanced(spark, sf, queries=both_queries):
     a = articles(spark, sf, vectors=True).withColumn("title_embedding", F.col("content_embedding"))
-    q = both_queries(spark, sf)
+    q = queries(spark, sf)
     h = R.hybrid_search(q, a, 10, title_vector=None)
     return R.advanced_search(q, a, h).select("query_id", "news_id", F.round("score", 5).alias("score"))
 
@@ -257,9 +273,9 @@ def keyword_sql(match: str) -> str:
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, news_id) AS rank FROM f) SELECT query_id, news_id, round(s, 5) AS score FROM r WHERE rank <= 5"""
 
 
-def results(spark, sf):
+def results(spark, sf, queries=queries_):
     a = articles(spark, sf, vectors=True)
-    h = V.vector_search(queries_(spark, sf), a, 10)
+    h = V.vector_search(queries(spark, sf), a, 10)
     return R.search_results(h, a).select("query_id", "rank", "news_id", "label", "detail_url", "is_page", F.round("similarity_score", 6).alias("similarity_score"), F.round("distance", 6).alias("distance"))
 
 
@@ -402,6 +418,16 @@ def rag(spark, sf):
     return C.rag_context(q.select("query_id"), h, a, chosen).select("query_id", F.md5("context").alias("context_md5"))
 
 
+def rag_whole(spark, sf):
+    """Every second query has a chosen article; queries of negative id have no hits."""
+    a = articles(spark, sf, vectors=True)
+    q = shared_queries(spark, sf)
+    h = V.vector_search(q, a, 10)
+    chosen = q.where("query_id % 100 = 0").select("query_id", F.concat(F.lit("doc_"), (F.col("query_id") + 3).cast("string")).alias("news_id"), F.lit(1).alias("position"))
+    missed = q.where("query_id % 150 = 0").select((-1 - F.col("query_id")).alias("query_id"))
+    return C.rag_context(q.select("query_id").unionByName(missed), h, a, chosen).select("query_id", F.md5("context").alias("context_md5"))
+
+
 def cited(spark, sf):
     o = table(spark, sf, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("pos"), F.concat(F.lit("http://"), "event_type", F.lit("/"), (F.col("event_id") % 5).cast("string")).alias("url"))
     return C.cited_sources(o).select("session", F.array_join("urls", " ").alias("urls"))
@@ -466,6 +492,11 @@ QUERIES = {
     "stream_new_urls": stream_urls, "stream_admission": stream_admission, "stream_recent_turns": stream_turns, "stream_ingest": stream_ingest,
 }
 
+QUERIES |= {
+    "vector_search_whole": lambda s, d: nearest(s, d, shared_queries), "ann_search_whole": lambda s, d: approximate(s, d, shared_queries), "semantic_search_whole": lambda s, d: semantic(s, d, shared_queries), "merge_field_ranks_whole": lambda s, d: merged_fields(s, d, shared_queries), "fuse_ranks_whole": lambda s, d: fused(s, d, shared_queries),
+    "hybrid_search_whole": lambda s, d: hybrid(s, d, all_queries), "advanced_search_whole": lambda s, d: advanced(s, d, all_queries), "search_results_whole": lambda s, d: results(s, d, shared_queries), "rag_context_whole": rag_whole, "simple_text_search_whole": simple_whole,
+}
+
 TAGGED = "(SELECT 'tag_' || vec_id AS tag_id, 'c' || (label % 3) AS category FROM embeddings WHERE vec_id < 10)"
 NOTICE = f"{ARTICLES}, notices AS (SELECT news_id AS id, source_site AS label, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS date FROM articles)"
 
@@ -537,3 +568,12 @@ SELECT q.query_id, md5(coalesce(c || chr(10) || chr(10), '') || coalesce(h, '未
     "stream_ingest": f"{INGEST}, kept AS (SELECT t.* FROM titled t JOIN valid v USING (seq) WHERE NOT v.dup) SELECT news_id, url FROM (SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY seq DESC) AS n FROM kept) WHERE n = 1",
     "stream_recent_turns": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3",
 }
+
+
+#: SQL of the queries over whole query sets; ann_search, rag_context and simple_text_search have none, tests hold them against plain versions.
+ORACLE_SQL |= {
+    "vector_search_whole": nearest_sql("q.vec_id % 50 = 0", 10),
+    "semantic_search_whole": nearest_sql("q.vec_id % 50 = 0", 10, threshold=0.5),
+} | {f"{name}_whole": ORACLE_SQL[name].replace("q.vec_id < 20", "q.vec_id % 50 = 0") for name in ("merge_field_ranks", "fuse_ranks", "search_results")} | {
+    f"{name}_whole": ORACLE_SQL[name].replace("q.vec_id < 20", "q.vec_id IN (SELECT item_id FROM benchmark)").replace(" AND query_id < 20", "").replace("h JOIN embeddings q", "h LEFT JOIN embeddings q") for name in ("hybrid_search", "advanced_search")
+}
