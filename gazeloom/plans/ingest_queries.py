@@ -143,10 +143,6 @@ CLEAN_SQL = """WITH t AS (SELECT doc_id, trim(regexp_replace('& ' || replace(nfc
 SELECT doc_id, md5(c) AS clean_md5, CASE WHEN length(c) > 50 THEN left(c, 47) || '...' ELSE c END AS cut FROM t"""
 
 
-def clean_plain(spark, sf):
-    return clean(spark, sf).join(table(spark, sf, "documents").where(~F.col("text").like("%&%;%")).select("doc_id"), "doc_id", "left_semi")
-
-
 def markdown(spark, sf):
     md = F.concat(F.lit("# Head\n\n![img](u.png) [word](http://l) **bold** `code`\n> quote\n- item\n1. one\n---\n"), F.regexp_replace("text", r"[*_`#>\[\]()~-]", ""))
     return table(spark, sf, "documents").select("doc_id", F.md5(X.markdown_to_text(md)).alias("text_md5"))
@@ -180,9 +176,18 @@ def content_titles(spark, sf):
 CONTENT_SQL = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'About ' || source WHEN 1 THEN 'Title ' || source WHEN 2 THEN '于5月28日举行' ELSE '' END AS title, CASE WHEN doc_id % 4 = 2 THEN '5月28日' ELSE '' END AS date FROM documents"""
 
 
+def normalized_rows(spark, sf):
+    """Normal forms of all articles; those of odd doc_id have no text but their markdown's."""
+    return A.normalize_records(articles(spark, sf).withColumn("content_text", F.when(F.col("doc_id") % 2 == 0, F.col("content_text"))).withColumn("crawl_version", F.when(F.col("doc_id") % 4 != 0, F.col("crawl_version"))))
+
+
+def normalized_whole(spark, sf):
+    return normalized_rows(spark, sf).select("news_id", "title", _day("publish_date").alias("day"), F.md5("content_text").alias("text_md5"), "crawl_version", "metadata")
+
+
 def normalized(spark, sf):
-    rows = A.normalize_records(articles(spark, sf).withColumn("content_text", F.when(F.col("doc_id") % 2 == 0, F.col("content_text"))).withColumn("crawl_version", F.when(F.col("doc_id") % 4 != 0, F.col("crawl_version"))))
-    return rows.where("doc_id % 2 = 0").select("news_id", "title", _day("publish_date").alias("day"), F.md5("content_text").alias("text_md5"), "crawl_version", "metadata")
+    """The rows of the SQL, which cannot derive text from markdown."""
+    return normalized_rows(spark, sf).where("doc_id % 2 = 0").select("news_id", "title", _day("publish_date").alias("day"), F.md5("content_text").alias("text_md5"), "crawl_version", "metadata")
 
 
 NORMALIZED_SQL = f"""WITH {ARTICLES} SELECT news_id, title, strftime(publish_date, '%Y-%m-%d') AS day, md5(content_text) AS text_md5, CASE WHEN doc_id % 4 <> 0 THEN crawl_version ELSE 1 END AS crawl_version,
@@ -290,8 +295,8 @@ final AS (SELECT t.*, CASE WHEN bad IS NOT NULL THEN 'invalid' WHEN v.dup THEN '
 
 QUERIES = {
     "read_crawl_json": read_crawl, "write_articles_json": articles_json, "append_articles": appended, "adapt_crawl": adapt_crawl, "adapt_submission": adapt_submission, "validate_documents": validate,
-    "normalize_datetime": normalize_dates, "format_date": dates, "clean_text": clean_plain, "markdown_to_text": markdown, "repair_markdown": repaired, "first_sentence_title": titles, "title_from_content": content_titles,
-    "normalize_records": lambda s, d: normalized(s, d).where(F.trim("title") != ""), "normalize_url": urls, "safe_filter": filtered, "dedup_batch": dedup, "simhash": fingerprints, "hamming": hamming, "near_duplicates": near, "classify_incoming": classified,
+    "normalize_datetime": normalize_dates, "format_date": dates, "clean_text": clean, "markdown_to_text": markdown, "repair_markdown": repaired, "first_sentence_title": titles, "title_from_content": content_titles,
+    "normalize_records_whole": normalized_whole, "normalize_records": lambda s, d: normalized(s, d).where(F.trim("title") != ""), "normalize_url": urls, "safe_filter": filtered, "dedup_batch": dedup, "simhash": fingerprints, "hamming": hamming, "near_duplicates": near, "classify_incoming": classified,
     "upsert": upserted, "upsert_update_only": updated, "partial_update": partial, "delete_ids": deleted, "existing_urls": known_urls, "fetch_by_ids": by_ids, "ingest_statuses": statuses, "ingest_summary": summary, "ingest_table": ingest_table,
 }
 

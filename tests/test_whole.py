@@ -1,6 +1,9 @@
 """Queries over whole inputs, against plain versions where SQL cannot follow."""
 
+import hashlib
+import html
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +56,35 @@ def test_ann_recall_of_a_growing_share(spark):
     exact, near = ({(r["query_id"], r["news_id"]) for r in RUN[n](spark, "/root/testdata/sf0.01").collect()} for n in ("vector_search_whole", "ann_search_whole"))
     assert len({q for q, _ in exact}) == 10
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+MARKED = [
+    (0, "&amp; plain &lt;b&gt; text", None),
+    (1, "# Head\n\nsome **bold** [word](http://l)\n- item", "Head some bold word item"),
+    (2, "e\u0301t\u00e9 &eacute;&nbsp;&#65;\r\nx", None),
+    (3, "plain   words\n\nand _more_", "plain words and more"),
+    (5, "> quote\n1. one", "quote one"),
+    (7, "", ""),
+]
+
+
+@pytest.fixture(scope="module")
+def marked(spark, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("marked"))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t, _ in MARKED], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{out}/documents.parquet")
+    return out
+
+
+def test_clean_text_decodes_every_document(spark, marked):
+    found = {r["doc_id"]: r["clean_md5"] for r in RUN["clean_text"](spark, marked).collect()}
+    plain = lambda t: " ".join(html.unescape(unicodedata.normalize("NFC", f"& {t} &lt;x&gt;")).split())
+    assert found == {k: hashlib.md5(plain(t).encode()).hexdigest() for k, t, _ in MARKED}
+
+
+def test_normalize_records_derives_text_from_markdown(spark, marked):
+    found = {r["news_id"]: r for r in RUN["normalize_records_whole"](spark, marked).collect()}
+    assert len(found) == len(MARKED)
+    for k, text, derived in MARKED:
+        assert found[f"doc_{k}"]["text_md5"] == hashlib.md5((text if k % 2 == 0 else derived).encode()).hexdigest(), k
+        assert found[f"doc_{k}"]["crawl_version"] == (1 if k % 4 == 0 else 1 + k % 3)
