@@ -19,14 +19,22 @@ def _day(c):
     return F.date_format(c, "yyyy-MM-dd")
 
 
-def read_crawl(spark, sf):
-    """Documents written as crawl files, one array of records each, and read back through the adapter."""
+def crawled(spark, sf):
+    """Whole documents written as crawl files, one array of records each, and read back through the adapter."""
     d = table(spark, sf, "documents")
-    record = F.to_json(F.struct(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.left("text", F.lit(40)).alias("title"), F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")).alias("detail_url"), F.col("source").alias("label"), F.struct(F.left("text", F.lit(200)).alias("text")).alias("content")))
+    record = F.to_json(F.struct(F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), F.left("text", F.lit(40)).alias("title"), F.concat(F.lit("http://x/"), F.col("doc_id").cast("string")).alias("detail_url"), F.col("source").alias("label"), F.struct("text").alias("content")))
     path = new_path(spark, "crawl")
     d.select(record.alias("r"), F.expr("doc_id div 50").alias("g")).groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
-    back = A.adapt_crawl(read_crawl_json(spark, path))
-    return back.select("news_id", "url", F.element_at("tags", 1).alias("tag"), F.length("content_text").cast("long").alias("n"), "title")
+    return A.adapt_crawl(read_crawl_json(spark, path))
+
+
+def read_crawl(spark, sf):
+    """n is the length of the first 200 characters, as in the SQL."""
+    return crawled(spark, sf).select("news_id", "url", F.element_at("tags", 1).alias("tag"), F.length(F.left("content_text", F.lit(200))).cast("long").alias("n"), "title")
+
+
+def read_crawl_whole(spark, sf):
+    return crawled(spark, sf).select("news_id", "url", F.element_at("tags", 1).alias("tag"), F.length("content_text").cast("long").alias("n"), F.md5("content_text").alias("text_md5"), "title")
 
 
 def articles_json(spark, sf):
@@ -294,7 +302,7 @@ INGEST = f"""WITH {ARTICLES}, {INCOMING}, {STATUS}, titled AS (
 final AS (SELECT t.*, CASE WHEN bad IS NOT NULL THEN 'invalid' WHEN v.dup THEN 'duplicate' WHEN kind = 'new' THEN 'success' ELSE kind END AS status FROM titled t LEFT JOIN valid v USING (seq))"""
 
 QUERIES = {
-    "read_crawl_json": read_crawl, "write_articles_json": articles_json, "append_articles": appended, "adapt_crawl": adapt_crawl, "adapt_submission": adapt_submission, "validate_documents": validate,
+    "read_crawl_json": read_crawl, "read_crawl_json_whole": read_crawl_whole, "write_articles_json": articles_json, "append_articles": appended, "adapt_crawl": adapt_crawl, "adapt_submission": adapt_submission, "validate_documents": validate,
     "normalize_datetime": normalize_dates, "format_date": dates, "clean_text": clean, "markdown_to_text": markdown, "repair_markdown": repaired, "first_sentence_title": titles, "title_from_content": content_titles,
     "normalize_records_whole": normalized_whole, "normalize_records": lambda s, d: normalized(s, d).where(F.trim("title") != ""), "normalize_url": urls, "safe_filter": filtered, "dedup_batch": dedup, "simhash": fingerprints, "hamming": hamming, "near_duplicates": near, "classify_incoming": classified,
     "upsert": upserted, "upsert_update_only": updated, "partial_update": partial, "delete_ids": deleted, "existing_urls": known_urls, "fetch_by_ids": by_ids, "ingest_statuses": statuses, "ingest_summary": summary, "ingest_table": ingest_table,
@@ -302,6 +310,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "read_crawl_json": "SELECT 'c' || doc_id AS news_id, 'http://x/' || doc_id AS url, source AS tag, CAST(length(left(text, 200)) AS BIGINT) AS n, left(text, 40) AS title FROM documents",
+    "read_crawl_json_whole": "SELECT 'c' || doc_id AS news_id, 'http://x/' || doc_id AS url, source AS tag, CAST(length(text) AS BIGINT) AS n, md5(text) AS text_md5, left(text, 40) AS title FROM documents",
     "write_articles_json": f"WITH {ARTICLES} SELECT news_id, strftime(publish_date, '%Y-%m-%d') AS day, array_to_string(tags, ',') AS tags FROM articles",
     "append_articles": f"WITH {ARTICLES} SELECT news_id, '未知作者' AS author, CAST(0 AS INTEGER) AS n_tags, crawl_version FROM articles WHERE doc_id % 2 = 0 OR doc_id % 9 <> 0",
     "adapt_crawl": ADAPT_SQL,

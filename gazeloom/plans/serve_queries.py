@@ -13,6 +13,7 @@ from gazeloom.operators import listing as L
 from gazeloom.operators import retrieval as R
 from gazeloom.operators import reviews as W
 from gazeloom.operators import vectors as V
+from gazeloom.operators.adapt import adapt_submission
 from gazeloom.plans.ingest_queries import INGEST, submissions
 from gazeloom.plans.views import ARTICLES, LIST_PAGES, REQUESTS, api_keys, articles, list_pages, requests, table
 from gazeloom.sources.crawl import read_app_logs
@@ -310,17 +311,31 @@ def keys_(spark, sf):
 # --- reviews
 
 
-def ids(spark, sf):
-    return W.submission_ids(submissions(spark, sf), 3000).select("submission_id", "seq", "size")
+def ids(spark, sf, limit=3000):
+    return W.submission_ids(submissions(spark, sf), limit).select("submission_id", "seq", "size")
+
+
+def decisions_(spark, sf, subs):
+    return table(spark, sf, "labels").join(subs.select("submission_id", F.col("seq").alias("doc_id")), "doc_id").select("submission_id", F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").otherwise("pending").alias("action"), F.lit("ok").alias("review"), F.col("doc_id").alias("seq"))
 
 
 def reviewed(spark, sf):
     subs = W.submission_ids(submissions(spark, sf), 3000)
-    decisions = table(spark, sf, "labels").join(subs.select("submission_id", F.col("seq").alias("doc_id")), "doc_id").select("submission_id", F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").otherwise("pending").alias("action"), F.lit("ok").alias("review"), F.col("doc_id").alias("seq"))
+    decisions = decisions_(spark, sf, subs)
     stored = articles(spark, sf).drop("doc_id").limit(0)
     return W.apply_reviews(subs, decisions, stored)["submissions"].select("submission_id", "status", "review")
 
 
+def reviewed_whole(spark, sf):
+    """All that the default limit lets through, against the articles and a part of the submissions that are stored already: as they are (seq % 10 = 0), or with a
+    later date (seq % 10 = 5, of those with a URL of their own), which makes them updates, and an approval of these isn't accepted."""
+    subs = W.submission_ids(submissions(spark, sf))
+    earlier = subs.where("seq % 10 = 0 OR (seq % 10 = 5 AND seq % 3 <> 0)")
+    late = adapt_submission(earlier.withColumn("date", F.when(F.col("seq") % 10 == 5, "2024-04-06").otherwise(F.col("date"))))
+    stored = articles(spark, sf).drop("doc_id").unionByName(late)
+    return W.apply_reviews(subs, decisions_(spark, sf, subs), stored)["submissions"].select("submission_id", "status", "review")
+
+
 REVIEWS_SQL = """WITH d AS (SELECT doc_id, sha256(left(text, 25) || '2024-04-05' || CASE WHEN doc_id % 3 = 0 THEN 'http://s/' || (doc_id % 50) ELSE '' END) AS submission_id, text, left(text, 25) AS title FROM documents WHERE length(text) <= 3000),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY doc_id) AS n FROM d) WHERE n = 1),
 j AS (SELECT s.*, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' WHEN l.doc_id IS NOT NULL THEN 'pending' END AS action, trim(title) <> '' AND trim(text) <> '' AND length(text) >= 10 AS good FROM s LEFT JOIN labels l USING (doc_id))
@@ -495,6 +510,7 @@ QUERIES = {
 QUERIES |= {
     "vector_search_whole": lambda s, d: nearest(s, d, shared_queries), "ann_search_whole": lambda s, d: approximate(s, d, shared_queries), "semantic_search_whole": lambda s, d: semantic(s, d, shared_queries), "merge_field_ranks_whole": lambda s, d: merged_fields(s, d, shared_queries), "fuse_ranks_whole": lambda s, d: fused(s, d, shared_queries),
     "hybrid_search_whole": lambda s, d: hybrid(s, d, all_queries), "advanced_search_whole": lambda s, d: advanced(s, d, all_queries), "search_results_whole": lambda s, d: results(s, d, shared_queries), "rag_context_whole": rag_whole, "simple_text_search_whole": simple_whole,
+    "submission_ids_whole": lambda s, d: ids(s, d, W.MAX_LENGTH), "apply_reviews_whole": reviewed_whole,
 }
 
 TAGGED = "(SELECT 'tag_' || vec_id AS tag_id, 'c' || (label % 3) AS category FROM embeddings WHERE vec_id < 10)"
@@ -577,3 +593,8 @@ ORACLE_SQL |= {
 } | {f"{name}_whole": ORACLE_SQL[name].replace("q.vec_id < 20", "q.vec_id % 50 = 0") for name in ("merge_field_ranks", "fuse_ranks", "search_results")} | {
     f"{name}_whole": ORACLE_SQL[name].replace("q.vec_id < 20", "q.vec_id IN (SELECT item_id FROM benchmark)").replace(" AND query_id < 20", "").replace("h JOIN embeddings q", "h LEFT JOIN embeddings q") for name in ("hybrid_search", "advanced_search")
 }
+
+ORACLE_SQL |= {
+    "submission_ids_whole": ORACLE_SQL["submission_ids"].replace("size <= 3000", "size <= 10000"),
+    "apply_reviews_whole": REVIEWS_SQL.replace("length(text) <= 3000", "length(text) <= 10000").replace("length(text) >= 10 AS good", "length(text) >= 10 AND NOT (doc_id % 10 = 5 AND doc_id % 3 <> 0) AS good"),
+}

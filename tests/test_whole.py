@@ -88,3 +88,16 @@ def test_normalize_records_derives_text_from_markdown(spark, marked):
     for k, text, derived in MARKED:
         assert found[f"doc_{k}"]["text_md5"] == hashlib.md5((text if k % 2 == 0 else derived).encode()).hexdigest(), k
         assert found[f"doc_{k}"]["crawl_version"] == (1 if k % 4 == 0 else 1 + k % 3)
+
+
+def test_long_and_odd_texts(spark, tmp_path):
+    texts = ["a" * 199 + "\u00e9" + "b" * 5000, 'say "x" \\ {"a": [1]}\n\ttab ' * 30, "\U0001f600 \u2028 " * 200, "c" * 10_000, "d" * 10_001, "plain text of it"]
+    out = str(tmp_path)
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    back = {r["news_id"]: r["text_md5"] for r in RUN["read_crawl_json_whole"](spark, out).collect()}
+    assert back == {f"c{k}": hashlib.md5(t.encode()).hexdigest() for k, t in enumerate(texts)}
+    numbers = {r["seq"]: r["submission_id"] for r in RUN["submission_ids_whole"](spark, out).collect()}
+    assert sorted(numbers) == [0, 1, 2, 3, 5]
+    status = {r["submission_id"]: r["status"] for r in RUN["apply_reviews_whole"](spark, out).collect()}
+    assert {k: status[i] for k, i in numbers.items()} == {0: "approved", 1: "approved", 2: "approved", 3: "approved", 5: "pending"}
