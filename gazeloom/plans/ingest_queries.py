@@ -181,6 +181,10 @@ def content_titles(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.title_from_content(t).alias("title"), X.date_from_content(t).alias("date"))
 
 
+def content_titles_whole(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.title_from_content(F.col("text")).alias("title"), X.date_from_content(F.col("text")).alias("date"))
+
+
 CONTENT_SQL = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'About ' || source WHEN 1 THEN 'Title ' || source WHEN 2 THEN '于5月28日举行' ELSE '' END AS title, CASE WHEN doc_id % 4 = 2 THEN '5月28日' ELSE '' END AS date FROM documents"""
 
 
@@ -303,7 +307,7 @@ final AS (SELECT t.*, CASE WHEN bad IS NOT NULL THEN 'invalid' WHEN v.dup THEN '
 
 QUERIES = {
     "read_crawl_json": read_crawl, "read_crawl_json_whole": read_crawl_whole, "write_articles_json": articles_json, "append_articles": appended, "adapt_crawl": adapt_crawl, "adapt_submission": adapt_submission, "validate_documents": validate,
-    "normalize_datetime": normalize_dates, "format_date": dates, "clean_text": clean, "markdown_to_text": markdown, "repair_markdown": repaired, "first_sentence_title": titles, "title_from_content": content_titles,
+    "normalize_datetime": normalize_dates, "format_date": dates, "clean_text": clean, "markdown_to_text": markdown, "repair_markdown": repaired, "first_sentence_title": titles, "title_from_content": content_titles, "title_from_content_whole": content_titles_whole,
     "normalize_records_whole": normalized_whole, "normalize_records": lambda s, d: normalized(s, d).where(F.trim("title") != ""), "normalize_url": urls, "safe_filter": filtered, "dedup_batch": dedup, "simhash": fingerprints, "hamming": hamming, "near_duplicates": near, "classify_incoming": classified,
     "upsert": upserted, "upsert_update_only": updated, "partial_update": partial, "delete_ids": deleted, "existing_urls": known_urls, "fetch_by_ids": by_ids, "ingest_statuses": statuses, "ingest_summary": summary, "ingest_table": ingest_table,
 }

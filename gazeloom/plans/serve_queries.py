@@ -114,12 +114,16 @@ def embedded(spark, sf):
     return out.select("news_id", F.size("title_embedding").alias("title_width"), F.size("content_embedding").alias("content_width"), F.round(V.norm(F.col("content_embedding")), 4).alias("length"))
 
 
-def tags_(spark, sf):
-    return table(spark, sf, "embeddings").where("vec_id < 10").select(F.concat(F.lit("tag_"), F.col("vec_id").cast("string")).alias("tag_id"), F.concat(F.lit("name"), F.col("vec_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("description"), F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("category"), "embedding")
+#: The tags of the queries named ..._whole, a share of the vectors that grows with the table.
+SHARED_TAGS = "vec_id % 50 = 0"
 
 
-def tag_embeddings(spark, sf):
-    t = tags_(spark, sf).drop("embedding")
+def tags_(spark, sf, which="vec_id < 10"):
+    return table(spark, sf, "embeddings").where(which).select(F.concat(F.lit("tag_"), F.col("vec_id").cast("string")).alias("tag_id"), F.concat(F.lit("name"), F.col("vec_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("description"), F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("category"), "embedding")
+
+
+def tag_embeddings(spark, sf, which="vec_id < 10"):
+    t = tags_(spark, sf, which).drop("embedding")
     return V.embed_tags(t.where("tag_id < 'tag_5'"), t.where("tag_id >= 'tag_5'").withColumn("category", F.lit(None).cast("string")), width=64).select("tag_id", "category", F.size("embedding").alias("width"))
 
 
@@ -127,13 +131,22 @@ def matched(spark, sf):
     return V.match_tags(corpus(spark, sf).where("news_id >= 10"), tags_(spark, sf), V.RELAXED).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
 
 
+def matched_whole(spark, sf):
+    return V.match_tags(corpus(spark, sf), tags_(spark, sf, SHARED_TAGS), V.RELAXED).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
+
+
+def merged_tags_whole(spark, sf):
+    a = articles(spark, sf, vectors=True)
+    return V.merge_tags(a, V.match_tags(a, tags_(spark, sf, SHARED_TAGS), V.RELAXED)).select("news_id", F.array_join("tags", ",").alias("tags"))
+
+
 def merged_tags(spark, sf):
     a = articles(spark, sf, vectors=True).where("doc_id >= 10")
     return V.merge_tags(a, V.match_tags(a, tags_(spark, sf), V.RELAXED)).select("news_id", F.array_join("tags", ",").alias("tags"))
 
 
-def like_tags(spark, sf):
-    return V.similar_tags(corpus(spark, sf), tags_(spark, sf), 3, 0.2).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
+def like_tags(spark, sf, which="vec_id < 10"):
+    return V.similar_tags(corpus(spark, sf), tags_(spark, sf, which), 3, 0.2).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
 
 
 def nearest(spark, sf, queries=queries_):
@@ -422,6 +435,23 @@ def time_windows(spark, sf):
     return C.infer_time_windows(query_log(spark, sf), F.lit("2024-02-01").cast("date"))
 
 
+def asked_texts(spark, sf):
+    """All texts of documents, benchmark and conversations, as they are."""
+    rows = [
+        table(spark, sf, name).select(F.lit(name).alias("kind"), F.col(key).cast("long").alias("id"), turn.cast("long").alias("turn"), F.col("text").alias("query"))
+        for name, key, turn in (("documents", "doc_id", F.lit(None)), ("benchmark", "item_id", F.lit(None)), ("conversations", "conv_id", F.col("turn")))
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def intents_whole(spark, sf):
+    return C.classify_queries(asked_texts(spark, sf)).drop("query")
+
+
+def time_windows_whole(spark, sf):
+    return C.infer_time_windows(asked_texts(spark, sf), F.lit("2024-02-01").cast("date")).drop("query")
+
+
 ASKED_SQL = f"asked AS (SELECT event_id, (['{chr(39).join(ASKED).replace(chr(39), chr(39) + ', ' + chr(39))}'])[event_id % {len(ASKED)} + 1] AS query FROM events)"
 
 
@@ -511,6 +541,9 @@ QUERIES |= {
     "vector_search_whole": lambda s, d: nearest(s, d, shared_queries), "ann_search_whole": lambda s, d: approximate(s, d, shared_queries), "semantic_search_whole": lambda s, d: semantic(s, d, shared_queries), "merge_field_ranks_whole": lambda s, d: merged_fields(s, d, shared_queries), "fuse_ranks_whole": lambda s, d: fused(s, d, shared_queries),
     "hybrid_search_whole": lambda s, d: hybrid(s, d, all_queries), "advanced_search_whole": lambda s, d: advanced(s, d, all_queries), "search_results_whole": lambda s, d: results(s, d, shared_queries), "rag_context_whole": rag_whole, "simple_text_search_whole": simple_whole,
     "submission_ids_whole": lambda s, d: ids(s, d, W.MAX_LENGTH), "apply_reviews_whole": reviewed_whole,
+    "match_tags_whole": matched_whole, "merge_tags_whole": merged_tags_whole, "similar_tags_whole": lambda s, d: like_tags(s, d, SHARED_TAGS), "embed_tags_whole": lambda s, d: tag_embeddings(s, d, SHARED_TAGS),
+    "count_by_category_whole": lambda s, d: L.count_by_category(tags_(s, d, SHARED_TAGS)), "tags_by_category_whole": lambda s, d: L.tags_by_category(tags_(s, d, SHARED_TAGS), "c1").select("tag_id"),
+    "classify_queries_whole": intents_whole, "infer_time_window_whole": time_windows_whole,
 }
 
 TAGGED = "(SELECT 'tag_' || vec_id AS tag_id, 'c' || (label % 3) AS category FROM embeddings WHERE vec_id < 10)"
@@ -598,3 +631,8 @@ ORACLE_SQL |= {
     "submission_ids_whole": ORACLE_SQL["submission_ids"].replace("size <= 3000", "size <= 10000"),
     "apply_reviews_whole": REVIEWS_SQL.replace("length(text) <= 3000", "length(text) <= 10000").replace("length(text) >= 10 AS good", "length(text) >= 10 AND NOT (doc_id % 10 = 5 AND doc_id % 3 <> 0) AS good"),
 }
+
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace("vec_id < 10", SHARED_TAGS) for name in ("similar_tags", "embed_tags", "count_by_category", "tags_by_category")} | {
+    "match_tags_whole": matches_sql(0.5, 5, "true").replace("vec_id < 10", SHARED_TAGS),
+    "merge_tags_whole": ORACLE_SQL["merge_tags"].replace("vec_id < 10", SHARED_TAGS).replace("a.vec_id >= 10", "true").replace(" WHERE doc_id >= 10", ""),
+}

@@ -101,3 +101,23 @@ def test_long_and_odd_texts(spark, tmp_path):
     assert sorted(numbers) == [0, 1, 2, 3, 5]
     status = {r["submission_id"]: r["status"] for r in RUN["apply_reviews_whole"](spark, out).collect()}
     assert {k: status[i] for k, i in numbers.items()} == {0: "approved", 1: "approved", 2: "approved", 3: "approved", 5: "pending"}
+
+
+def test_rules_read_the_texts(spark, tmp_path):
+    out = str(tmp_path)
+    docs = [(0, "近3天的通知"), (1, "line\n【通知】About it\nrest"), (2, "于5月28日举行。more"), (3, None), (4, "\n# Title of it")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(7, "近 2 周 count")], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    spark.createDataFrame([(1, 2, "user", "链接 真伪")], "conv_id long, turn long, role string, text string").write.parquet(f"{out}/conversations.parquet")
+    titles = {r["doc_id"]: (r["title"], r["date"]) for r in RUN["title_from_content_whole"](spark, out).collect()}
+    assert titles == {0: ("近3天的通知", ""), 1: ("About it", ""), 2: ("于5月28日举行", "5月28日"), 3: ("", ""), 4: ("Title of it", "")}
+    kinds = {(r["kind"], r["id"], r["turn"]): r["intent"] for r in RUN["classify_queries_whole"](spark, out).collect()}
+    assert len(kinds) == 7
+    assert (kinds["documents", 0, None], kinds["benchmark", 7, None], kinds["conversations", 1, 2]) == ("fuzzy_qa", "statistics", "link_verification")
+    times = {(r["kind"], r["id"]): r["start_date"] for r in RUN["infer_time_window_whole"](spark, out).collect()}
+    assert (times["documents", 0], times["benchmark", 7], times["conversations", 1]) == ("2024-01-30T00:00:00", "2024-01-19T00:00:00", None)
+
+
+def test_tags_grow_with_the_table(spark):
+    count = lambda sf: sum(r["n"] for r in RUN["count_by_category_whole"](spark, f"/root/testdata/{sf}").collect())
+    assert (count("sf0.01"), count("sf0.1")) == (10, 40)
