@@ -209,11 +209,15 @@ def short_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def similar_pairs(sets: list):
-    """Matrix of the pairs whose sets, given as sorted arrays, are similar enough: counts of common elements come from products of membership matrices."""
+    """Matrix of the pairs whose sets, given as sorted arrays, may be similar enough: counts of common elements come from products of membership matrices.
+
+    An array repeats what differs in the full hashes only. Common elements may be among its repeats, so a pair's count is raised by as many as both can hold: too much passes, never too little.
+    """
     import numpy as np
 
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
+    repeats = np.array([np.count_nonzero(x[1:] == x[:-1]) for x in sets], np.int64)
     both = np.zeros((n, n), np.float32)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
     _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
@@ -228,6 +232,7 @@ def similar_pairs(sets: list):
         x = np.zeros((n, min(4096, total - at)), np.float32)
         x[owner[here], column[here] - at] = 1
         both += x @ x.T
+    both = both.astype(np.int64) + np.minimum(repeats[:, None], repeats[None, :])
     return 100 * both >= PERCENT * (sizes[:, None] + sizes[None, :] - both)
 
 

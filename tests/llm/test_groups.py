@@ -76,6 +76,19 @@ def test_similar_pairs():
             assert got[i, j] == (100 * both >= 75 * (len(a) + len(b) - both))
 
 
+def test_similar_pairs_with_hashes_that_meet():
+    """Sets of 3 common shingles of 4, two of which have the same short hash; then a random check that no similar pair is lost."""
+    short = lambda s: np.array(sorted(x >> 4 for x in s), np.uint32)
+    a, b = {16, 17, 32, 48}, {16, 17, 32}
+    assert near_duplicates.similar_pairs([short(a), short(b)])[0, 1]
+    r = random.Random(12)
+    for _ in range(200):
+        a = set(r.sample(range(600), 60))
+        b = set(r.sample(sorted(a), r.randint(48, 60))) | set(r.sample(range(600), r.randint(0, 4)))
+        if 100 * len(a & b) >= near_duplicates.PERCENT * len(a | b):
+            assert near_duplicates.similar_pairs([short(a), short(b)])[0, 1]
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(n, n - 1) for n in range(1, 40)] + [(100, 90), (95, 100)], "a long, b long")
     labels = {x["doc_id"]: x["label"] for x in near_duplicates.components(edges).collect()}
