@@ -184,29 +184,43 @@ class OddSpaceError(ValueError):
 
 
 class WordEncoder:
-    """Ids of a text by the tokenizers library.
+    """Ids of a text by the tokenizers library, the same as `Tokenizer.encode(text, add_special_tokens=False)` gives.
 
-    The tokenizer's pattern begins a new word at each space before other text, so such words are encoded apart and frequent ones once. Words of
-    letters, with or without ASCII marks behind them, are one or two words of the pattern and go to the library's BPE model at once; any other
-    goes through the whole tokenizer, as does a text with white space that isn't a single space between words.
+    Where the tokenizer is a byte-level BPE whose pattern begins a new word at each space before other text, such words are encoded apart and frequent
+    ones once. Words of letters, with or without ASCII marks behind them, are one or two words of the pattern and go to the library's BPE model at once; any
+    other goes through the whole tokenizer, as does a text with white space that isn't a single space between words, or with the string of an added
+    token. Under a tokenizer of any other form each text goes through the whole tokenizer.
     """
 
     #: Letters, then marks other than the apostrophe.
     MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # in a text their strings are ordinary text
+        self.tool.encode_special_tokens = special_as_text
         self.vocabulary = self.tool.get_vocab_size()
         self.model = self.tool.model
-        if hasattr(self.model, "_resize_cache"):
-            self.model._resize_cache(0)  # the words that come here are mostly new; our own cache has the others
+        added = [t for t in self.tool.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = [t.content for t in added]
+        self.by_words = self.has_known_form() and not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added)
         self.letters = byte_letters()
         self.tails: dict[str, bytes] = {}
         self.cache = WordCache(self.spaced, 900_000)
 
+    def has_known_form(self) -> bool:
+        """Whether words that follow a space may be encoded apart: a byte-level pattern without a prefix, and a plain BPE model."""
+        import json
+
+        from tokenizers.models import BPE
+
+        split = json.loads(self.tool.pre_tokenizer.__getstate__()) if self.tool.pre_tokenizer else {}
+        level = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        model = self.model
+        plain = isinstance(model, BPE) and not (model.dropout or model.ignore_merges or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix)
+        return bool(level and plain) and self.tool.normalizer is None and self.tool.truncation is None and self.tool.padding is None
+
     def library(self, text: str) -> bytes:
         return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -234,7 +248,7 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         head, *words = text.split(" ")
-        if not head or head[0].isspace():
+        if not self.by_words or not head or head[0].isspace() or any(a in text for a in self.added):
             return self.library(text)
         try:
             return self.library(head) + b"".join(map(self.cache.__getitem__, words))
@@ -243,17 +257,18 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, special_as_text: bool = False) -> WordEncoder:
+    return WordEncoder(path, special_as_text)
 
 
-def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, n_files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, n_files: int | None = None, special_as_text: bool = False) -> DataFrame:
     """Encode every document and write token files to a folder that driver and executors share.
 
     Returns the manifest: file_no, path, n_docs, n_ids, n_bytes, start (ids in all files before). Files
     follow each other in doc_id order, null doc_ids first; rows that share a doc_id stand side by side,
     ordered by text. A null text counts as empty and gives end_id alone. The range of each file comes from quantiles of
     doc_id; where one doc_id fills several files, its rows are spread over them. An empty table gives no file.
+    The string of a special token inside a text becomes that token's id, as the library does it; with special_as_text it is ordinary text.
     Ids are encoded before the shuffle, in 16 or 32 bits. A task that runs again writes the same file under its own
     name first and then puts it in place.
     """
@@ -272,7 +287,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         import pyarrow as pa
 
         release()
-        tool = encoder(path)
+        tool = encoder(path, special_as_text)
         narrow = max(tool.vocabulary, end_id + 1) <= 1 << 16
         end = np.array([end_id], "<u4").tobytes()
         edges = np.array(bounds, np.int64)
@@ -296,7 +311,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
         import pyarrow as pa
 
         release()
-        tool = encoder(path)
+        tool = encoder(path, special_as_text)
         size = max(tool.vocabulary, end_id + 1)
         out, kind = None, "<u2" if size <= 1 << 16 else "<u4"
         for batch in batches:

@@ -48,21 +48,50 @@ def test_packing(bits):
     assert (T.unpack(data, bits, 1001) == ids).all()
 
 
+def plain_tokenizer():
+    """A tokenizer of the library that nothing of ours has touched."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(T.tokenizer_path())
+
+
 def test_words_as_the_library():
-    tool = T.encoder(T.tokenizer_path())
-    for text in some_texts(4000, 2):
-        assert array("I", tool.encode(text)).tolist() == tool.tool.encode(text, add_special_tokens=False).ids, text
+    tool, plain = T.encoder(T.tokenizer_path()), plain_tokenizer()
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a <|endoftext| > b", "<|endoftext|><|endoftext|> tail ", "word " * 9000 + "<|endoftext|>"]
+    assert tool.by_words
+    assert array("I", tool.encode(special[0])).tolist() == [64, 220, 50256, 275]
+    for text in [*some_texts(4000, 2), *special]:
+        assert array("I", tool.encode(text)).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_special_strings_as_text():
+    tool, plain = T.encoder(T.tokenizer_path(), True), plain_tokenizer()
+    plain.encode_special_tokens = True
+    for text in [*some_texts(500, 4), "a <|endoftext|> b", "<|endoftext|>"]:
+        assert array("I", tool.encode(text)).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+        assert 50256 not in array("I", tool.encode(text))
+
+
+def test_tokenizer_of_another_form():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tool, plain = T.WordEncoder(path), Tokenizer.from_file(path)
+    assert not tool.by_words
+    for text in some_texts(300, 5):
+        assert array("I", tool.encode(text)).tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
 def test_token_files(spark, documents, tmp_path):
     texts = some_texts(300, 3)
-    rows = [(n * 7 % 301, t) for n, t in enumerate(texts)] + [(5, None), (5, "again"), (None, "no id"), (400, "long word " * 20_000)]
+    rows = [(n * 7 % 301, t) for n, t in enumerate(texts)] + [(5, None), (5, "again"), (6, "to <|endoftext|> and on"), (None, "no id"), (400, "long word " * 20_000)]
     manifest = T.write_token_files(documents(rows), f"file://{tmp_path}/t", n_files=5)
     assert {r["n_docs"] > 0 for r in manifest.collect()} == {True}
     found = sorted(T.read_token_files(manifest).collect(), key=lambda r: r["start"])
-    tool = T.encoder(T.tokenizer_path())
+    plain = plain_tokenizer()
     want = sorted((i if i is not None else -1, t or "") for i, t in rows)
-    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["ids"])) for r in found) == sorted((i, tool.library(t) + array("I", [2]).tobytes()) for i, t in want)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, bytes(r["ids"])) for r in found) == sorted((i, array("I", [*plain.encode(t, add_special_tokens=False).ids, 2]).tobytes()) for i, t in want)
     assert [r["doc_id"] if r["doc_id"] is not None else -1 for r in found] == [i for i, _ in want]
     at = 0
     for r in found:
