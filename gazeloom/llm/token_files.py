@@ -205,6 +205,8 @@ class WordEncoder:
         added = [t for t in self.tool.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.added = [t.content for t in added]
         self.by_words = self.has_known_form() and not any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added)
+        if self.by_words:
+            self.model = self.uncached(path)
         self.letters = byte_letters()
         self.tails: dict[str, bytes] = {}
         self.cache = WordCache(self.spaced, 900_000)
@@ -221,6 +223,17 @@ class WordEncoder:
         plain = isinstance(model, BPE) and not (model.dropout or model.ignore_merges or model.unk_token or model.continuing_subword_prefix or model.end_of_word_suffix)
         return bool(level and plain) and self.tool.normalizer is None and self.tool.truncation is None and self.tool.padding is None
 
+    @staticmethod
+    def uncached(path: str):
+        """The BPE model of the file without the library's own cache: the words that come to it are mostly new, and ours has the others."""
+        import json
+
+        from tokenizers.models import BPE
+
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        return BPE(vocab=model["vocab"], merges=[tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]], cache_capacity=0)
+
     def library(self, text: str) -> bytes:
         return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
 
