@@ -56,14 +56,19 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-#: doc_ids (8 bytes each) up to which a list of them is broadcast; beyond that the join is left to Spark.
+#: Rows of a few numbers each up to which a staged table is broadcast; beyond that the join is left to Spark.
 BROADCAST_IDS = 2_000_000
 
 
+def small(staged: DataFrame) -> DataFrame:
+    """Mark a staged table of a few numbers a row for broadcast if it has few rows; else the join is left to Spark, which may split it."""
+    return F.broadcast(staged) if staged.count() <= BROADCAST_IDS else staged
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not among ids. Rows with a null doc_id stay: no decision can name them."""
     gone = stage(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

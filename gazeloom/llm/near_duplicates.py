@@ -5,23 +5,29 @@ minhashes, are computed for it; the table keys are all pairs of a key of the fir
 the second, so COLLECTION * COLLECTION tables of 2 * HALF minhashes cost 2 * COLLECTION * HALF minhashes. With 16 keys of 3, a
 pair of similarity 0.75 meets in a table with probability 0.9997, one of 0.85 with 1 - 4e-7.
 
-1. Documents of equal sets form a class, and only its smallest doc_id goes on.
+1. Texts of equal sets form a class, and only its smallest doc_id goes on, as the class's rep. A doc_id of several texts can be the
+   rep of several classes; it is one node, which has all of their sets.
 2. Keys that no other class has are dropped before pairs are formed; this loses no pair.
-3. Each class is compared with the smallest class that it shares a table key with, on the full sets, and linked classes are
-   joined into components.
-4. Where classes of several components still share a table key, they are compared across components within the buckets of the first
+3. Each rep is compared with the smallest rep that it shares a table key with, on the full sets, and linked reps are
+   joined into components, as are the reps of the classes that one doc_id is in.
+4. Where reps of several components still share a table key, they are compared across components within the buckets of the first
    collection: by 32-bit hashes of all their shingles, then, those that join components, on the full sets.
-   Large buckets are compared in pairs of parts of about SPLIT members. Only links leave such a task, not pairs.
+   A set of n shingles can be linked only with sets of 0.75 n to n / 0.75, so a bucket is cut into bands of sizes, of which only neighbours meet, and
+   large bands are compared in pairs of parts of about SPLIT members. Only links leave such a task, not pairs.
 
-So every pair that shares a table key ends up in one component, or is known not to be linked.
+So every pair that shares a table key ends up in one component, or is known not to be linked. Keys and pivots are counted from partial sums and
+staged; where they are few they go to the members by broadcast, else by a join that Spark may split, so a key with a large share of the members
+does not gather them in one task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import labelled_text, release, shuffle_partitions, stage, table, tidy
+from gazeloom.llm.common import labelled_text, release, shuffle_partitions, small, stage, table, tidy
 from gazeloom.llm.hashing import WordHashes
 
 SHINGLE = 5
@@ -29,8 +35,6 @@ HALF = 3
 COLLECTION = 16
 HASHES = 2 * COLLECTION * HALF
 SPLIT = 256
-#: doc_ids (8 bytes each) up to which a list of them is broadcast; beyond that the join is left to Spark.
-BROADCAST_IDS = 2_000_000
 PERCENT = 75
 
 
@@ -125,10 +129,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids, those whose full sets are similar enough."""
-    spark = pairs.sparkSession
-    ids = stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """Of the pairs (a, b) of doc_ids, those of which any texts have full sets that are similar enough."""
+    wanted = small(stage(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"))
 
     def to_sets(batches):
         import pyarrow as pa
@@ -154,7 +156,7 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = stage(labelled_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, shingles binary"), "sets")
+    sets = stage(labelled_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(to_sets, "doc_id long, shingles binary").where("octet_length(shingles) > 0"), "sets")
     left, right = (sets.select(F.col("doc_id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     # Pairs first meet the sets of b, of which each has few; the frequent a's come last, where Spark can split them.
     return stage(pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct(), "links")
@@ -188,24 +190,26 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def short_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep and the first 32 bits of its shingles' hashes, for the given reps."""
-    ids = stage(ids.select("rep").distinct(), "crossing-ids")
-    wanted = ids.withColumnRenamed("rep", "doc_id")
+    """rep, size and the first 32 bits of its shingles' hashes, for each distinct set of the given reps."""
+    wanted = small(stage(ids.select(F.col("rep").alias("doc_id")).distinct(), "crossing-ids"))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
 
         release()
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in shingle_sets(part.column("text").to_pylist(), hashes)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["rep", "short"])
+                full = shingle_sets(part.column("text").to_pylist(), hashes)
+                sets = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in full]
+                marks = np.array([xxh3_64_intdigest(s.tobytes()) for s in full], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(marks, pa.int64()), pa.array([len(s) for s in full], pa.int64()), pa.array(sets, pa.binary())], ["rep", "mark", "size", "short"])
 
-    rows = labelled_text(docs).join(F.broadcast(wanted) if ids.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-    return stage(rows.mapInArrow(run, "rep long, short binary").dropDuplicates(["rep"]), "short-sets")
+    rows = labelled_text(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "rep long, mark long, size long, short binary")
+    return stage(rows.where("size > 0").dropDuplicates(["rep", "mark"]), "short-sets")
 
 
 def similar_pairs(sets: list):
@@ -239,7 +243,7 @@ def similar_pairs(sets: list):
 def crossing(tables: DataFrame, halves: DataFrame, labels: DataFrame, docs: DataFrame, every: bool = False) -> DataFrame:
     """Pairs (a, b) that are similar enough by short hashes and join different components.
 
-    tables: key, rep of the table keys; halves: key, rep of the first collection's keys. Classes whose table keys lie in several
+    tables: key, rep of the table keys; halves: key, rep of the first collection's keys. Reps whose table keys lie in several
     components are compared within the buckets of the first collection, which hold every pair that shares a table key. Of a block's pairs, those that join its
     components are returned, or with `every` all between components.
     """
@@ -247,30 +251,34 @@ def crossing(tables: DataFrame, halves: DataFrame, labels: DataFrame, docs: Data
     label = F.coalesce("label", "rep")
     by_rep = labels.withColumnRenamed("doc_id", "rep")
     placed = stage(tables.join(by_rep, "rep", "left").withColumn("label", label), "placed")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    ids = stage(placed.join(mixed, "key", "left_semi").select("rep", "label").distinct(), "crossing-reps")
+    mixed = stage(placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "mixed")
+    ids = stage(placed.join(small(mixed), "key", "left_semi").select("rep", "label").distinct(), "crossing-reps")
     if ids.isEmpty():
         return ids.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    members = stage(halves.join(ids, "rep"), "crossing-members")
-    split = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
-    members = members.join(split, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("key", "rep", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).join(short_sets(docs, ids), "rep")
+    sets = short_sets(docs, ids)
+    # A set is at home in the band of its size, and a guest in the band below: linked sets lie at most one band apart.
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
+    members = halves.join(small(ids), "rep").join(small(stage(sets.select("rep", "mark", band.alias("home")), "bands")), "rep")
+    members = stage(members.withColumn("band", F.explode(F.array("home", F.col("home") - 1))), "crossing-members")
+    split = members.groupBy("key", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "band", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
+    members = members.join(small(stage(split, "crossing-split")), ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("rep", "mark"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    members = members.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "label", (F.col("home") == F.col("band")).alias("at_home"), "mark").join(sets.select("rep", "mark", "short"), ["rep", "mark"])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         release()
-        out: set[tuple[int, int]] = set()
 
         def compare(rows, one_part):
             names = [r[0] for r in rows]
-            marks, owns = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            apart = marks[:, None] != marks[None, :]
+            marks, owns, home = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+            apart = (marks[:, None] != marks[None, :]) & (home[:, None] | home[None, :])  # guests meet in their own band
             if not one_part:  # members of one part meet in its own block
                 apart &= owns[:, None] != owns[None, :]
+            out: set[tuple[int, int]] = set()
             if not apart.any():
-                return
+                return out
             top: dict[int, int] = {}
 
             def root(x):
@@ -278,28 +286,30 @@ def crossing(tables: DataFrame, halves: DataFrame, labels: DataFrame, docs: Data
                     x = top[x]
                 return x
 
-            for i, j in zip(*np.nonzero(np.triu(similar_pairs([r[3] for r in rows]) & apart)), strict=True):
+            for i, j in zip(*np.nonzero(np.triu(similar_pairs([r[4] for r in rows]) & apart)), strict=True):
                 x, y = root(int(marks[i])), root(int(marks[j]))
                 if every or x != y:
                     top[max(x, y)] = min(x, y)
                     out.add((max(names[i], names[j]), min(names[i], names[j])))
+            return out
+
+        def links(rows, at):
+            pairs = sorted(compare(rows, at[2] == at[3])) if len(rows) > 1 else []
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
 
         at, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "p", "q", "rep", "label", "own")]
-            for key, p, q, rep, mark, own, short in zip(*columns, batch.column("short"), strict=True):
-                if (key, p, q) != at:
-                    if len(rows) > 1:
-                        compare(rows, at[1] == at[2])
-                    at, rows = (key, p, q), []
-                rows.append((rep, mark, own, np.frombuffer(short.as_buffer(), np.uint32)))
-        if len(rows) > 1:
-            compare(rows, at[1] == at[2])
-        pairs = sorted(out)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], ["a", "b"])
-
-    n = shuffle_partitions(spark)
-    return members.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
+            columns = [batch.column(c).to_pylist() for c in ("key", "band", "p", "q", "rep", "label", "own", "at_home")]
+            for key, level, p, q, rep, mark, own, home, short in zip(*columns, batch.column("short"), strict=True):
+                if (key, level, p, q) != at:
+                    yield from links(rows, at)
+                    at, rows = (key, level, p, q), []
+                rows.append((rep, mark, own, home, np.frombuffer(short.as_buffer(), np.uint32)))
+        yield from links(rows, at)
+
+    block = ["key", "band", "p", "q"]
+    return members.repartition(shuffle_partitions(spark), *block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long").distinct()
 
 
 @tidy
@@ -308,27 +318,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_shingles, component_id (smallest doc_id that links reach, itself included) and kept (doc_id = component_id) for every row.
     Two documents are linked if 100 * intersection >= 75 * union of their shingle sets. A null, empty or blank text has no shingles and no link and is kept. doc_id is the
-    key: rows that repeat a doc_id and its text are one document and each get its result; rows with a null doc_id have a null component_id and are not kept.
+    key: rows that repeat a doc_id are one document, which has the links of all its texts, and each row gets its result (n_shingles is the row's own), whatever
+    the order of rows; rows with a null doc_id have a null component_id and are not kept.
     Whole texts are read; other columns are not. An empty table gives no rows.
     """
     signed = stage(signatures(docs), "signatures")
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stage(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = known.select("doc_id", "keys").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    reps = stage(reps, "reps")
+    rows = stage(signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").drop("digest"), "rows")
+    reps = known.select("doc_id", "keys", "digest").join(classes.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").withColumn("mark", F.xxhash64("digest"))
+    reps = stage(reps.dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("rep"), "mark", "keys"), "reps")
+
+    # The classes that one doc_id is in.
+    several = stage(rows.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high"), "several")
+    same = several.select(F.col("high").alias("a"), F.col("low").alias("b"))
+    if not several.isEmpty():
+        same = stage(rows.join(small(several), "doc_id").where("low < rep").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct(), "same-document")
 
     # Keys that more than one class has, then pairs of such keys of both collections.
-    single = reps.select("rep", F.posexplode("keys").alias("slot", "key")).withColumn("slot", (F.col("slot") >= COLLECTION).cast("byte"))
-    shared = single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    halves = single.join(shared, "key").groupBy("rep").agg(*[F.collect_list(F.when(F.col("slot") == k, F.col("key"))).alias(f"keys{k}") for k in (0, 1)])
+    single = reps.select("rep", "mark", F.posexplode("keys").alias("slot", "key")).withColumn("slot", (F.col("slot") >= COLLECTION).cast("byte"))
+    shared = small(stage(single.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared-keys"))
+    halves = single.join(shared, "key").groupBy("rep", "mark").agg(*[F.collect_list(F.when(F.col("slot") == k, F.col("key"))).alias(f"keys{k}") for k in (0, 1)])
     tables = halves.select("rep", F.explode("keys0").alias("k0"), "keys1").select("rep", "k0", F.explode("keys1").alias("k1")).select(F.xxhash64("k0", "k1").alias("key"), "rep")
-    pivots = (tables := stage(tables, "tables")).groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot")
-    tables = stage(tables.join(pivots, "key"), "buckets")
+    tables = stage(tables, "tables")
+    pivots = stage(tables.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"), "pivots")
+    tables = stage(tables.join(small(pivots), "key"), "buckets")
 
     nearest = tables.where("pivot < rep").groupBy("rep").agg(F.min("pivot").alias("b")).select(F.col("rep").alias("a"), "b")
-    links = linked(nearest, docs)
+    links = linked(nearest, docs).union(same)
     labels = components(links)
-    halves = single.where("slot = 0").join(shared, "key").select("key", "rep")
+    halves = single.where("slot = 0").join(shared, "key").select("key", "rep").distinct()
     rest = stage(crossing(tables.select("key", "rep"), halves, labels, docs), "crossing")
     if not rest.isEmpty():
         more = linked(rest, docs)
@@ -337,9 +356,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = links.union(more)
         labels = components(links)
     return (
-        signed.select("doc_id", "n_shingles", "digest")
-        .join(classes, "digest", "left")
-        .join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
+        rows.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )

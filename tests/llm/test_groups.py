@@ -66,6 +66,51 @@ def test_near_duplicates_of_odd_rows(documents):
     assert near_duplicates.near_duplicates(documents([])).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(documents):
+    """A doc_id with several texts has the links of all of them, in any order of rows."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+
+    def near(w, n):
+        w = list(w)
+        for k in r.sample(range(len(w)), n):
+            w[k] = word()
+        return w
+
+    texts = [[word() for _ in range(150)] for _ in range(14)]
+    say = " ".join
+    rows = [(1, say(texts[0])), (1, say(texts[1])), (2, say(near(texts[0], 2))), (3, say(near(texts[1], 2)))]
+    # Classes whose smallest doc_ids differ, joined by one doc_id that is in both; and a chain of such.
+    rows += [(10, say(texts[2])), (11, say(texts[2])), (11, say(texts[3])), (12, say(texts[3])), (12, say(near(texts[4], 1))), (13, say(texts[4])), (14, say(near(texts[4], 3)))]
+    for n in range(60):
+        rows.append((20 + r.randrange(25), say(near(texts[5 + n % 9], r.choice([0, 1, 2, 6, 40])))))
+    rows += [(1, None), (2, rows[2][1]), (900, say(texts[5]) + " tail" * 60_000), (901, say(texts[5]) + " tail" * 59_000)]
+    want = brute_components(rows)
+    assert {want[1], want[2], want[3]} == {1} and {want[k] for k in range(10, 15)} == {10}
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        found = near_duplicates.near_duplicates(documents(rows)).collect()
+        assert len(found) == len(rows)
+        assert {(x["doc_id"], x["component_id"], x["kept"]) for x in found} == {(i, want[i], i == want[i]) for i, _ in rows}
+
+
+def test_near_duplicates_of_large_buckets(documents, monkeypatch):
+    """A passage that many documents share fills buckets that are compared in parts and in bands of sizes."""
+    monkeypatch.setattr(near_duplicates, "SPLIT", 8)
+    r = random.Random(22)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage, rows = [word() for _ in range(110)], []
+    for n in range(130):
+        own = [word() for _ in range(r.choice([15, 25, 45, 80, 200]))]
+        rows.append((n, " ".join(passage + own)))
+        if n % 10 == 0:
+            own[r.randrange(len(own))] = word()
+            rows.append((1000 + n, " ".join(passage + own)))
+    want = brute_components(rows)
+    assert len(set(want.values())) > 60 and max(map(len, [[i for i in want if want[i] == c] for c in want.values()])) > 2
+    assert {x["doc_id"]: x["component_id"] for x in near_duplicates.near_duplicates(documents(rows)).collect()} == want
+
+
 def test_similar_pairs():
     r = np.random.default_rng(2)
     sets = [np.unique(r.integers(0, 60, r.integers(1, 60)).astype(np.uint32)) for _ in range(60)] + [np.arange(9000, dtype=np.uint32)] * 2
