@@ -8,8 +8,8 @@ end mark. The work takes two passes over the texts and moves no text:
    each model's training texts and for all texts.
 2. Counts are summed by n-gram. Lower orders count distinct left extensions. Joins by n-gram, by context and by
    suffix give the log probability of every n-gram that occurs, for each model.
-3. These go back to the chunks that hold the n-gram, as a table in the shared folder with a
-   folder for each chunk, and the second pass sums them by document.
+3. These go back to the chunks that hold the n-gram, as a table in the shared folder: as many files as shuffle partitions, each
+   sorted by chunk in small row groups, whose statistics are the index by which a task reads its chunk's rows alone. The second pass sums them by document.
 
 A chunk's table is bounded by the chunk's text; nothing that grows with the corpus is broadcast.
 """
@@ -25,6 +25,8 @@ from gazeloom.llm.common import BATCH_ROWS, new_path, release, shuffle_partition
 
 ORDER = 4
 CHUNK_BYTES = 24 << 20
+#: Bytes of a row group of the table that goes back to the chunks.
+GROUP_BYTES = 4 << 20
 #: Characters that a task turns into n-grams at once; a longer text goes alone.
 STEP_CHARS = 1_000_000
 #: The code unit of the end mark; begin marks are zeros. Texts have neither: they are replaced by their neighbours.
@@ -198,6 +200,21 @@ def log_probabilities(wanted: DataFrame, orders: list[Order], vocabulary: int) -
     return below.select("gram", F.log("p").alias("logp"))
 
 
+def slice_of(store, path: str, chunk: int, columns: list[str]):
+    """Tables of a chunk's rows in a file that is sorted by chunk; only row groups that may hold the chunk are read."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    with store.open_input_file(path) as source:
+        file = pq.ParquetFile(source)
+        place = file.schema_arrow.get_field_index("chunk")
+        for k in range(file.num_row_groups):
+            found = file.metadata.row_group(k).column(place).statistics
+            if found is None or not found.has_min_max or found.min <= chunk <= found.max:
+                rows = file.read_row_group(k, ["chunk", *columns], use_threads=False)
+                yield rows.filter(pc.equal(rows.column("chunk"), chunk)).select(columns)
+
+
 def cross_entropies(docs: DataFrame, models: int, keep: list[str], name: str) -> DataFrame:
     """n_tokens (code units and the end mark; 0 without text) and loss0, loss1, ... of each document, with doc_id and the columns to keep.
 
@@ -221,21 +238,22 @@ def cross_entropies(docs: DataFrame, models: int, keep: list[str], name: str) ->
         known = found if known is None else known.join(found, "gram")
     folder = new_path(spark, f"{name}-slices")
     logs = [f"logp{k}" for k in range(models)]
+    shards = shuffle_partitions(spark)
     # A chunk's grams may come from two tasks; a gram then stands twice in its slice, with one value.
     (
         counted.select("chunk", "gram")
         .join(known, "gram")
-        .select("chunk", "gram", *[F.col(c).cast("float").alias(c) for c in logs])
-        .repartition(shuffle_partitions(spark), "chunk")
-        .sortWithinPartitions("chunk", F.col("gram"))
-        .write.partitionBy("chunk")
+        .select("chunk", "gram", *[F.col(c).cast("float").alias(c) for c in logs], F.pmod("chunk", F.lit(shards)).cast("int").alias("shard"))
+        .repartitionById(shards, F.col("shard"))
+        .sortWithinPartitions("shard", "chunk", "gram")
+        .write.partitionBy("shard")
+        .option("parquet.block.size", GROUP_BYTES)
         .parquet(folder)
     )
 
     def score(batches):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.parquet as pq
         from pyarrow import fs
 
         release()
@@ -245,8 +263,8 @@ def cross_entropies(docs: DataFrame, models: int, keep: list[str], name: str) ->
             for chunk, rows in runs(batch):
                 if chunk != at:
                     at, keys, values = chunk, np.zeros(0, np.int64), np.zeros((0, models))
-                    info = store.get_file_info(fs.FileSelector(f"{root}/chunk={chunk}", allow_not_found=True))
-                    parts = [pq.ParquetFile(store.open_input_file(x.path)).read(["gram", *logs]) for x in info if x.path.endswith(".parquet")]
+                    info = store.get_file_info(fs.FileSelector(f"{root}/shard={chunk % shards}", allow_not_found=True))
+                    parts = [p for x in info if x.path.endswith(".parquet") for p in slice_of(store, x.path, chunk, ["gram", *logs])]
                     if parts:
                         keys = np.concatenate([p.column("gram").to_numpy() for p in parts])
                         values = np.concatenate([np.stack([p.column(c).to_numpy() for c in logs], 1) for p in parts]).astype(np.float64)
