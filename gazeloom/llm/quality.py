@@ -12,9 +12,9 @@ from gazeloom.llm.ngram_lm import cross_entropies
 BROADCAST_ROWS = 2_000_000
 #: Of the trusted texts held out of training, this share is accepted in each language.
 QUANTILE = 0.99
-#: About one and a half standard deviations of one token's loss, in nats. A text of fewer than SURE_TOKENS tokens is judged by log perplexity less
-#: MARGIN * (1 / sqrt(tokens) - 1 / sqrt(SURE_TOKENS)), the lower end of what so short a text leaves certain; else a few odd short texts would widen the
-#: threshold for all.
+#: About one and a half standard deviations of one token's loss, in nats, and the tokens from which on a text's mean loss counts as certain (defaults of parameters). A text
+#: is judged by log perplexity less MARGIN * max(0, 1 / sqrt(tokens) - 1 / sqrt(SURE_TOKENS)), the lower end of what a short text leaves certain; else a few odd short texts
+#: would widen the threshold for all.
 MARGIN, SURE_TOKENS = 3.0, 400
 #: A language's own threshold is its median plus its spread, from the median to the quantile. Against its held-out trusted texts, the level common to all
 #: languages weighs as much as LEVEL_TEXTS texts, and the common spread as much as SPREAD_TEXTS: a level is known from few texts, a high quantile isn't.
@@ -35,27 +35,32 @@ def with_flag(docs: DataFrame, labels: DataFrame, column: str, keep: list[str])
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Cross-entropy of each document under a target and a background model, and their difference.
 
-    The target model is trained on the documents that labels mark with quality 1, the background model on all others; both have the
-    same order, smoothing and vocabulary. Returns doc_id, n_tokens, ce_target, ce_background (nats a token) and score, the mean over
+    The target is the documents that labels mark with quality 1, the background all others. Both are halved by crc32 of doc_id, and each half trains a model of
+    the same order, smoothing and vocabulary; a document is scored by the two models of the other half, so neither its own text nor another row of its doc_id
+    has been seen by them. Returns doc_id, n_tokens, ce_target, ce_background (nats a token) and score, the mean over
     tokens of the target loss less the background loss: lower is closer to the target. Texts are taken whole. A null or empty text has no tokens and
-    null scores; a null doc_id has no label; repeated rows count and are scored each; other columns are not read. An empty table
-    gives no rows. Without any labelled row the target model is uniform.
+    null scores; a null doc_id has no label and is in the first half; repeated rows count and are scored each; other columns are not read. An empty table
+    gives no rows. A half without any labelled row has a uniform target model.
     """
-    rows = with_flag(docs, labels, "quality", []).select("doc_id", "text", F.when(F.col("flag") == 1, 0).otherwise(1).alias("model"))
-    found = cross_entropies(rows, 2, [], "difference")
-    target, background = F.expr("loss0 / nullif(n_tokens, 0)"), F.expr("loss1 / nullif(n_tokens, 0)")
+    half = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2, F.lit(0)).cast("int")
+    rows = with_flag(docs, labels, "quality", []).withColumn("half", half).select("doc_id", "text", "half", (F.when(F.col("flag") == 1, 0).otherwise(2) + F.col("half")).alias("model"))
+    found = cross_entropies(rows, 4, ["half"], "difference")
+    other = lambda first: F.when(F.col("half") == 0, F.col(f"loss{first + 1}")).otherwise(F.col(f"loss{first}"))
+    n = F.nullif("n_tokens", F.lit(0))
+    target, background = other(0) / n, other(2) / n
     return found.select("doc_id", "n_tokens", target.alias("ce_target"), background.alias("ce_background"), (target - background).alias("score"))
 
 
 @tidy
-def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, sure_tokens: int = SURE_TOKENS) -> DataFrame:
     """Perplexity of each document under a model of trusted text, and whether it is accepted.
 
     Documents that labels mark with quality 1 are trusted. Three quarters of them (by crc32 of doc_id) train the model; of the others,
     the given quantile in each language of the lower bound of perplexity is that language's threshold (null lang is a language of its own), shrunk
     to what all languages have in common by weights that fall smoothly with the number of such texts in the language (see LEVEL_TEXTS): with many it
-    is the language's quantile, with none the quantile over all. The bound is the perplexity
-    of a text of 400 tokens or more, and lower for a shorter one (see MARGIN).
+    is the language's quantile, with none the quantile over all. The bound is
+    perplexity times exp(-margin * max(0, 1 / sqrt(n_tokens) - 1 / sqrt(sure_tokens))): one continuous rule for all lengths, which comes to the perplexity itself
+    at sure_tokens tokens and stays there; margin 0 takes the perplexity at every length.
     Returns doc_id, lang, n_tokens, perplexity, lower_bound, threshold, accepted (lower_bound <= threshold).
     Texts are taken whole. A null or empty text has null perplexity and is not accepted. A null doc_id has no label. Repeated rows are
     scored each. Other columns are not read. Without any trusted text the threshold is null and everything with text is accepted.
@@ -64,7 +69,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
     rows = with_flag(docs, labels, "quality", ["lang"]).select("doc_id", "text", "lang", F.when(trusted & ~held_out, 0).alias("model"), (trusted & held_out).alias("judged"))
     found = cross_entropies(rows, 1, ["lang", "judged"], "quality")
-    found = stage(found.withColumn("log_ppl", F.expr("loss0 / nullif(n_tokens, 0)")).withColumn("bound", F.col("log_ppl") - margin * F.greatest(F.lit(0.0), 1 / F.sqrt(F.nullif("n_tokens", F.lit(0))) - SURE_TOKENS**-0.5)), "perplexities")
+    found = stage(found.withColumn("log_ppl", F.expr("loss0 / nullif(n_tokens, 0)")).withColumn("bound", F.col("log_ppl") - margin * F.greatest(F.lit(0.0), 1 / F.sqrt(F.nullif("n_tokens", F.lit(0))) - sure_tokens**-0.5)), "perplexities")
     judged = found.where(F.col("judged") & F.col("bound").isNotNull())
     high = lambda c: F.percentile_approx(c, quantile, 100_000)
     overall = judged.agg(high("bound")).first()[0]

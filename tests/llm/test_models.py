@@ -13,8 +13,8 @@ from gazeloom.llm import quality as Q
 from gazeloom.llm import toxicity as X
 
 
-def kneser_ney(texts):
-    """A plain interpolated modified Kneser-Ney model of order 4 over code units; returns the probability function."""
+def kneser_ney(texts, vocabulary=None):
+    """A plain interpolated modified Kneser-Ney model of order 4 over code units; returns the loss of a text."""
     units = lambda t: [0, 0, 0, *np.frombuffer(t.encode("utf-16-le"), "<u2").tolist(), 0xFFFF]
     levels = {4: Counter(tuple(u[k : k + 4]) for t in texts for u in [units(t)] for k in range(len(u) - 3))}
     for n in (3, 2, 1):
@@ -28,7 +28,7 @@ def kneser_ney(texts):
         for g, a in grams.items():
             s, held = context.get((n, g[:-1]), (0, 0))
             context[n, g[:-1]] = (s + a, held + d[min(a, 3) - 1])
-    vocabulary = len(levels[1]) + 1
+    vocabulary = vocabulary or len(levels[1]) + 1
 
     def p(gram):
         n = len(gram)
@@ -87,6 +87,7 @@ def test_quality(spark, documents):
     assert sum(good) >= 0.9 * len(good)
     assert not any(x["accepted"] for x in found if x["doc_id"] is not None and 1000 <= x["doc_id"] < 5000)
     assert [x["perplexity"] for x in found if x["doc_id"] in (5000, 5001)] == [None, None]
+    assert all(x["accepted"] == (x["lower_bound"] is not None and x["lower_bound"] <= x["threshold"]) for x in found)
     assert Q.classify_quality(docs.limit(0), labels).count() == 0
     free = Q.classify_quality(docs, labels.limit(0)).collect()
     assert all(x["accepted"] == (x["n_tokens"] > 0) for x in free)
@@ -118,16 +119,51 @@ def test_quality_of_a_rare_language(spark, documents):
 
 
 def test_difference(spark, documents):
+    """Scores are those of plain models: four of them, of one vocabulary, and none has seen the half of the document that it scores."""
     docs = corpus(documents)
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 160, 2)], "doc_id long, quality int, toxic int")
-    found = [x for x in Q.cross_entropy_difference(docs, labels).collect()]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 160, 2)] + [(None, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
+    rows = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    half = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % 2
+    is_target = lambda i: i is not None and i < 160 and i % 2 == 0
+    parts = {(t, h): [x for i, x in rows if x and is_target(i) == t and half(i) == h] for t in (True, False) for h in (0, 1)}
+    vocabulary = len({u for v in parts.values() for x in v for u in np.frombuffer(x.encode("utf-16-le"), "<u2").tolist()}) + 2
+    loss = {k: kneser_ney(v, vocabulary) for k, v in parts.items()}
+    found = Q.cross_entropy_difference(docs, labels).collect()
+    assert len(found) == len(rows)
+    for x in found:
+        if not x["n_tokens"]:
+            assert (x["ce_target"], x["ce_background"], x["score"]) == (None, None, None)
+    want, got = [], [(x["doc_id"] if x["doc_id"] is not None else -1, x["ce_target"], x["ce_background"], x["score"]) for x in found if x["n_tokens"]]
+    for i, x in rows:
+        if x:
+            n = len(x.encode("utf-16-le")) // 2 + 1
+            a, b = (loss[t, 1 - half(i)](x) / n for t in (True, False))
+            want.append((i if i is not None else -1, a, b, a - b))
+    for x, y in zip(sorted(got), sorted(want), strict=True):
+        assert x == pytest.approx(y, rel=1e-5, abs=1e-6)
     near = [x["score"] for x in found if x["doc_id"] is not None and x["doc_id"] < 160]
     far = [x["score"] for x in found if x["doc_id"] is not None and 1000 <= x["doc_id"] < 5000]
     assert max(near) < min(far)
-    assert all(x["score"] == pytest.approx(x["ce_target"] - x["ce_background"]) for x in found if x["n_tokens"])
     assert Q.cross_entropy_difference(docs.limit(0), labels).count() == 0
 
 
+def test_bound_at_the_sure_length(spark, documents):
+    """One continuous rule for all lengths: at sure_tokens and beyond the bound is the perplexity; what is accepted follows from bound and threshold alone."""
+    r = random.Random(41)
+    rows = [(k, "".join(r.choice("abcdef ") for _ in range(n))) for k, n in enumerate([5, 50, 98, 99, 100, 101, 400, 30_000] * 12)]
+    rows += [(500, rows[3][1]), (500, rows[3][1]), (None, rows[4][1]), (501, None)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(90)], "doc_id long, quality int, toxic int")
+    for x in Q.classify_quality(documents(rows), labels, sure_tokens=100).collect():
+        if not x["n_tokens"]:
+            assert x["lower_bound"] is None and not x["accepted"]
+            continue
+        assert x["lower_bound"] == pytest.approx(x["perplexity"] * math.exp(-Q.MARGIN * max(0, x["n_tokens"] ** -0.5 - 0.1)))
+        assert (x["lower_bound"] == pytest.approx(x["perplexity"])) == (x["n_tokens"] >= 100)
+        assert x["accepted"] == (x["lower_bound"] <= x["threshold"])
+    for x in Q.classify_quality(documents(rows), labels, margin=0.0).collect():
+        assert x["lower_bound"] == x["perplexity"]
+
+
 def toxic_rows(n, seed):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
