@@ -1,13 +1,14 @@
 """Operator 9: shards of near-equal bytes by Karmarkar-Karp differencing.
 
 Documents of equal text form a group that stays together. A partial partition is one sum
-of bytes for each shard; a group alone is a partial partition with one sum and zeros else.
+of bytes for each shard; an item alone is a partial partition with one sum and zeros else.
 The two partial partitions with the largest spread are combined, the largest sum of one with the
 smallest of the other, and so on, until one is left.
 
-This runs at two levels by the same rule: each task reduces its own groups to one partial partition, and the
-tasks' partial partitions (one row of sums each) are combined on the driver. A task's shard
-then stands for a final shard through its place in the last combination.
+An item is a group of more than 1 / (shards * HEAVY) of all bytes, of which there are fewer than shards * HEAVY, or else a bucket: the groups whose digest has one
+remainder by BUCKETS. Spark sums the bytes of groups and of items, and only this table, of bounded size whatever the corpus, is
+differenced on the driver; a row finds its shard by its digest or bucket, so no group gathers in a task. A bucket stays together
+as a group does, and at BUCKETS near-equal items or more differencing leaves a spread far below one item.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from gazeloom.llm.common import labelled_text, shuffle_partitions, stage, table, tidy
 
 SHARDS = 16
+#: Buckets of groups, and how many heavy groups a shard's share of bytes may hold.
+BUCKETS, HEAVY = 1 << 16, 256
 
 
 def difference(items: list[tuple], shards: int) -> list[list]:
@@ -66,43 +69,20 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         labelled_text(docs).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")),
         "sizes",
     )
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-
-    def reduce(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        digests, items = [], []
-        empty = [(0, None)] * (shards - 1)
-        for batch in batches:
-            for digest, size in zip(batch.column("digest").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                items.append([(size, len(digests)), *empty])
-                digests.append(digest)
-        if not digests:
-            return
-        local = [0] * len(digests)
-        for k, (_, content) in enumerate(difference(items, shards)):
-            for i in leaves(content):
-                local[i] = k
-        sizes = [x[0][0] for x in items]
-        part = TaskContext.get().partitionId()
-        for k in range(0, len(digests), 10_000):
-            chunk = slice(k, k + 10_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests[chunk], pa.binary()), pa.array([part] * len(digests[chunk]), pa.int32()), pa.array(local[chunk], pa.int32()), pa.array(sizes[chunk], pa.int64())],
-                ["digest", "part", "local", "bytes"],
-            )
-
-    placed = stage(groups.mapInArrow(reduce, "digest binary, part int, local int, bytes long"), "groups")
-    sums: dict[int, list] = {}
-    for part, local, size in placed.groupBy("part", "local").agg(F.sum("bytes")).orderBy("part", "local").collect():  # at most `shards` rows a task
-        sums.setdefault(part, [(0, None)] * shards)[local] = (size, (part, local))
-    final = []
-    marked = [[(size, Leaf(name) if name else None) for size, name in pairs] for pairs in sums.values()]
-    for shard, (_, content) in enumerate(difference(marked, shards)):
-        final += [(*x.name, shard) for x in leaves(content)]
-    names = docs.sparkSession.createDataFrame(final, "part int, local int, shard int")
-    sharded = rows.join(placed.join(F.broadcast(names), ["part", "local"]).select("digest", "shard"), "digest")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("int"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    heavy = F.col("bytes") * (shards * HEAVY) > total
+    groups = rows.groupBy("digest", "bucket").agg(F.sum("size").alias("bytes"))
+    items = groups.groupBy(F.when(heavy, F.col("digest")).alias("digest"), F.when(~heavy, F.col("bucket")).alias("bucket")).agg(F.sum("bytes").alias("bytes"))
+    items = sorted(items.collect(), key=lambda r: (-1 if r["bucket"] is None else r["bucket"], r["digest"] or b""))  # at most BUCKETS + shards * HEAVY rows
+    empty = [(0, None)] * (shards - 1)
+    names = []
+    for shard, (_, content) in enumerate(difference([[(r["bytes"], n), *empty] for n, r in enumerate(items)], shards)):
+        names += [(items[n]["digest"], items[n]["bucket"], shard) for n in leaves(content)]
+    placed = docs.sparkSession.createDataFrame(names, "digest binary, bucket int, shard int")
+    by_digest, by_bucket = (placed.where(F.col(c).isNotNull()).select(c, F.col("shard").alias(f"by_{c}")) for c in ("digest", "bucket"))
+    sharded = rows.join(F.broadcast(by_digest), "digest", "left").join(F.broadcast(by_bucket), "bucket", "left")
+    sharded = sharded.select("doc_id", "size", "text_crc32", "digest", F.coalesce("by_digest", "by_bucket").alias("shard"))
 
     # Numbering: rows in ranges of doc_id; a row's slot is its number in its range and shard plus the rows of that shard in earlier ranges.
     # A doc_id that fills several ranges is split among them by its text's digest.
@@ -124,13 +104,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
-class Leaf:
-    """A task's shard, as a leaf of the last combination."""
-
-    def __init__(self, name: tuple[int, int]) -> None:
-        self.name = name
-
-
 def numbered(batches, shards: int):
     """Number the rows of this range within each shard."""
     import numpy as np
