@@ -4,13 +4,14 @@ Vectors are dealt into ranges of ids. Within a range, a tree of cuts along the w
 component lays similar vectors side by side, and the range is cut into blocks. A block
 keeps its forward index (the vectors themselves) and, for each component, its largest
 and smallest value. For a query, the sum over components of the better of
-component * largest and component * smallest bounds every score in the block. Blocks are
-visited in order of that bound, and the visit ends when the bound falls below the query's
-k-th score so far. Queries are taken together: one block is scored for all queries
-that still need it by one matrix product.
+component * largest and component * smallest bounds every score in the block.
 
-Every range is visited for every block of queries; each gives its best k per query, and a
-ranking keeps the best k of these.
+A first pass gives each query a k-th score to start from: that among PILOT_ROWS vectors, those of smallest hash of vec_id. A final
+k-th score is never below it, so it holds in every range. Bounds are taken on two levels: of supers, each some
+neighbouring blocks, then of the blocks in those supers that a query still needs. Blocks are visited in order of their bounds, and a query's visit ends when the
+bound falls below its k-th score so far. Queries are taken together: one block is scored for all queries that still need it by one matrix product.
+
+Every range is visited for every block of queries; each gives its best k per query that reach the first pass's score, and a ranking keeps the best k of these.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import stage, table, tidy
+from gazeloom.llm.common import shuffle_partitions, stage, table, tidy
 
-BLOCK = 128
+BLOCK = 64
+SUPER = 16
 RANGE_ROWS = 8192
 QUERY_ROWS = 1024
+PILOT_ROWS = 4096
 SCALE = 64
 EXACT = 1 << 53
+LARGEST = (1 << 63) - 1
 
 
 def cut(matrix, rows, size: int) -> list:
@@ -48,15 +52,34 @@ def cut(matrix, rows, size: int) -> list:
 
 
 def exact_dtype(a, b):
-    """float64 while every sum of products stays a whole number in it, else int64."""
+    """float64 while every sum of products stays a whole number in it, int64 while it fits, else Python's integers."""
+    import numpy as np
+
+    most = max(abs(int(a.max(initial=0))), abs(int(a.min(initial=0)))) * max(abs(int(b.max(initial=0))), abs(int(b.min(initial=0)))) * max(1, a.shape[1])
+    return np.float64 if most < EXACT else np.int64 if most <= LARGEST else object
+
+
+def fitting(score):
+    """Scores as int64; an error where one does not fit."""
+    import numpy as np
+
+    if score.dtype == object and score.size and max(abs(int(score.max())), abs(int(score.min()))) > LARGEST:
+        raise OverflowError("a score does not fit 64 bits")
+    return score.astype(np.int64)
+
+
+def bounds(asked, top, low):
+    """Upper bounds of each query's scores in each box of components from low to top."""
     import numpy as np
 
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    return np.float64 if most < EXACT else np.int64
+    return np.maximum(asked, 0) @ top.T + np.minimum(asked, 0) @ low.T
+
 
+def search_range(ids, matrix, query_ids, queries, k: int, block: int = BLOCK, start=None):
+    """Each query's best k among these rows, its own id left out; ties to the smaller id. start: for each query a score that its final k-th is not below.
 
-def search_range(ids, matrix, query_ids, queries, k: int, block: int = BLOCK):
-    """(query number, id, score) of each query's best k among these rows, its own id left out; ties to the smaller id."""
+    Returns query numbers, ids, scores, and the number of blocks visited, over all queries, with the number there are. Rows below start are left out.
+    """
     import numpy as np
 
     kind = exact_dtype(matrix, queries)
@@ -64,49 +87,65 @@ def search_range(ids, matrix, query_ids, queries, k: int, block: int = BLOCK):
     data, asked = matrix.astype(kind), queries.astype(kind)
     top = np.stack([data[b].max(0) for b in blocks])
     low = np.stack([data[b].min(0) for b in blocks])
-    bound = np.maximum(asked, 0) @ top.T + np.minimum(asked, 0) @ low.T
-    order = np.argsort(-bound, axis=1, kind="stable")
+    none = np.iinfo(np.int64).min
+    start = np.full(len(asked), none, np.int64) if start is None else np.asarray(start, np.int64)
+    # Blocks lie in the order of the tree, so neighbours are alike and their supers are narrow.
+    edges = np.arange(0, len(blocks), SUPER)
+    rough = bounds(asked, np.maximum.reduceat(top, edges, axis=0), np.minimum.reduceat(low, edges, axis=0))
+    wanted = np.repeat(rough >= start[:, None], np.diff(np.append(edges, len(blocks))), axis=1)
+    bound = np.full((len(asked), len(blocks)), -np.inf if kind is np.float64 else none, dtype=kind)
+    needed = np.flatnonzero(wanted.any(0))
+    if len(needed):
+        bound[:, needed] = bounds(asked, top[needed], low[needed])
+    wanted &= bound >= start[:, None]
+    todo = wanted.sum(1)
+    order = np.argsort(np.where(wanted, 0, 1) if kind is object else np.where(wanted, -bound, np.inf if kind is np.float64 else LARGEST), axis=1, kind="stable")
+    if kind is object:  # numpy has no order of masked Python integers
+        order = np.array([[*sorted(np.flatnonzero(w), key=lambda c, row=b: -row[c]), *np.flatnonzero(~w)] for w, b in zip(wanted, bound, strict=True)])
     best_score = np.full((len(asked), 0), 0, np.int64)
     best_id = np.full((len(asked), 0), 0, np.int64)
     valid = np.zeros((len(asked), 0), bool)
     open_ = np.ones(len(asked), bool)
+    visited = 0
     for step in range(len(blocks)):
+        open_ &= todo > step
         rows = np.flatnonzero(open_)
         if valid.shape[1] >= k:
-            kth = np.where(valid[rows].sum(1) >= k, np.where(valid[rows], best_score[rows], np.iinfo(np.int64).max).min(1), np.iinfo(np.int64).min)
-            ended = bound[rows, order[rows, step]] < kth
+            kth = np.where(valid[rows].sum(1) >= k, np.where(valid[rows], best_score[rows], LARGEST).min(1), none)
+            ended = (bound[rows, order[rows, step]] < kth).astype(bool)
             open_[rows[ended]] = False
             rows = rows[~ended]
         if not len(rows):
             break
+        visited += len(rows)
         found_score = np.zeros((len(asked), block), np.int64)
         found_id = np.zeros((len(asked), block), np.int64)
         found = np.zeros((len(asked), block), bool)
         for b in np.unique(order[rows, step]):
             own = rows[order[rows, step] == b]
             members = blocks[b]
-            score = asked[own] @ data[members].T
-            found_score[own, : len(members)] = score.astype(np.int64)
+            score = fitting(asked[own] @ data[members].T)
+            found_score[own, : len(members)] = score
             found_id[own, : len(members)] = ids[members]
-            found[own, : len(members)] = ids[members][None, :] != query_ids[own][:, None]
+            found[own, : len(members)] = (ids[members][None, :] != query_ids[own][:, None]) & (score >= start[own][:, None])
         score = np.concatenate([best_score, found_score], 1)[rows]
         name = np.concatenate([best_id, found_id], 1)[rows]
         ok = np.concatenate([valid, found], 1)[rows]
-        keep = np.lexsort((name, np.where(ok, -score, np.iinfo(np.int64).max), ~ok), axis=1)[:, :k]
+        keep = np.lexsort((name, np.where(ok, -score, LARGEST), ~ok), axis=1)[:, :k]
         width = keep.shape[1]
         if best_score.shape[1] < width:
             more = width - best_score.shape[1]
             best_score, best_id, valid = (np.pad(x, ((0, 0), (0, more))) for x in (best_score, best_id, valid))
         best_score[rows, :width], best_id[rows, :width], valid[rows, :width] = (np.take_along_axis(x, keep, 1) for x in (score, name, ok))
     q, place = np.nonzero(valid)
-    return q, best_id[q, place], best_score[q, place]
+    return q, best_id[q, place], best_score[q, place], (visited, len(asked) * len(blocks))
 
 
 def quantise(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and floor(scale * component) as an array of longs; vectors that are null, or hold a null or non-finite component, are left out."""
+    """vec_id and floor(scale * component) as an array of longs; vectors that are null, or hold a null or non-finite component, are left out. A component that doesn't fit is an error."""
     x = F.col("embedding").cast("array<double>")
     whole = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    return vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.when(F.abs(c * scale) < 2.0**63, F.floor(c * scale).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")).cast("long"))).alias("v"))
 
 
 def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -142,16 +181,44 @@ def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
     return rows.mapInArrow(run, "no long, dim int, ids binary, data binary").select(*[F.col(c).alias(c if c == "dim" else f"{name}_{c}") for c in ("no", "dim", "ids", "data")])
 
 
+def pilot(vectors: DataFrame, rows: int) -> DataFrame:
+    """One row for each width, of at most so many vectors: dim, pilot_ids, pilot_data."""
+    first = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
+    few = vectors.withColumn("dim", F.size("v")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows)
+    return packed(few.select("vec_id", "v").coalesce(1), rows, "pilot").drop("pilot_no")
+
+
+def starting(batches, k: int):
+    """Blocks of queries with starts: each query's k-th score among the pilot, or the least integer where the pilot has fewer others."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(batch.num_rows):
+            part = batch.slice(at, 1)
+            row = part.to_pylist()[0]
+            names = np.frombuffer(row["query_ids"], "<i8")
+            starts = np.full(len(names), np.iinfo(np.int64).min, "<i8")
+            if row["pilot_ids"] is not None:
+                ids = np.frombuffer(row["pilot_ids"], "<i8")
+                q, _, score, _ = search_range(ids, np.frombuffer(row["pilot_data"], "<i8").reshape(len(ids), -1), names, np.frombuffer(row["query_data"], "<i8").reshape(len(names), -1), k)
+                lowest = np.full(len(names), LARGEST, "<i8")
+                np.minimum.at(lowest, q, score)
+                full = np.bincount(q, minlength=len(names)) >= k
+                starts[full] = lowest[full]
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("query_no", "dim", "query_ids", "query_data")] + [pa.array([starts.tobytes()], pa.binary())], ["query_no", "dim", "query_ids", "query_data", "starts"])
+
+
 @tidy
-def block_topk(candidates: DataFrame, queries: DataFrame, k: int = 20, range_rows: int = RANGE_ROWS, query_rows: int = QUERY_ROWS, scale: int = SCALE) -> DataFrame:
+def block_topk(candidates: DataFrame, queries: DataFrame, k: int = 20, range_rows: int = RANGE_ROWS, query_rows: int = QUERY_ROWS, scale: int = SCALE, pilot_rows: int = PILOT_ROWS) -> DataFrame:
     """The k candidates of highest integer inner product for each query row.
 
     Both frames have vec_id and embedding; further columns are not read. Components x become floor(scale * x). Returns query_id,
     rank (from 1), vec_id, score; ties go to the smaller vec_id; a candidate with the query's own vec_id is left
     out; a query with fewer candidates returns all of them. Vectors that are null, empty, or hold a null or non-finite component, and null
     vec_ids, take no part; vectors of different width never meet. Repeated candidate rows count each, repeated query rows once.
-    Values must keep scores within 63 bits. Candidates are cut into ranges of range_rows and queries into blocks of query_rows, so that
-    a task holds one range and one block.
+    A score or component beyond 63 bits is an error. Candidates are cut into ranges of range_rows and queries into blocks of query_rows, so that
+    a task holds one range and one block at a time.
     """
     spark = candidates.sparkSession
     vectors = quantise(candidates, scale).where(F.size("v") > 0)
@@ -160,12 +227,12 @@ def block_topk(candidates: DataFrame, queries: DataFrame, k: int = 20, range_row
     asked = quantise(queries, scale).where(F.size("v") > 0).dropDuplicates(["vec_id"])
     n_asked = queries.count()
     blocks = stage(packed(asked.repartitionByRange(max(1, math.ceil(n_asked / query_rows)), "vec_id"), query_rows, "query"), "query-blocks")
-    range_nos = [(r[0], r[1]) for r in ranges.select("range_no", "dim").toLocalIterator()]
-    if not range_nos:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # Each block of queries is sent to each range by an equal key.
-    targets = spark.createDataFrame(range_nos, "range_no long, dim int").groupBy("dim").agg(F.collect_list("range_no").alias("targets"))
-    sent = blocks.join(F.broadcast(targets), "dim").withColumn("range_no", F.explode("targets")).drop("targets", "dim")
+    # The pilot: at most PILOT_ROWS vectors of each width, held against all queries for a score to start from.
+    few = stage(pilot(vectors, pilot_rows), "pilot")
+    started = stage(blocks.join(F.broadcast(few), "dim", "left").mapInArrow(lambda batches: starting(batches, k), "query_no long, dim int, query_ids binary, query_data binary, starts binary"), "started")
+    # Each block of queries is sent to each range by an equal key. The list of ranges has a number for each range_rows vectors.
+    targets = ranges.groupBy("dim", F.pmod("range_no", F.lit(64)).alias("part")).agg(F.collect_list("range_no").alias("targets")).drop("part")
+    sent = started.join(F.broadcast(targets), "dim").withColumn("range_no", F.explode("targets")).drop("targets", "dim")
 
     def run(batches):
         import numpy as np
@@ -174,10 +241,11 @@ def block_topk(candidates: DataFrame, queries: DataFrame, k: int = 20, range_row
         for batch in batches:
             for row in batch.to_pylist():
                 ids, names = np.frombuffer(row["range_ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
-                q, found, score = search_range(ids, np.frombuffer(row["range_data"], "<i8").reshape(len(ids), -1), names, np.frombuffer(row["query_data"], "<i8").reshape(len(names), -1), k)
+                data, asked = np.frombuffer(row["range_data"], "<i8").reshape(len(ids), -1), np.frombuffer(row["query_data"], "<i8").reshape(len(names), -1)
+                q, found, score, _ = search_range(ids, data, names, asked, k, start=np.frombuffer(row["starts"], "<i8"))
                 yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
-    found = sent.join(ranges.drop("dim"), "range_no").repartition(len(range_nos), "range_no", "query_no").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = sent.join(ranges.drop("dim"), "range_no").repartition(shuffle_partitions(spark), "range_no", "query_no").mapInArrow(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

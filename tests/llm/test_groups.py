@@ -162,6 +162,32 @@ def test_sharding(documents):
     assert sharding.shard_documents(documents([])).count() == 0
 
 
+def test_sharding_of_large_groups(documents):
+    """Large groups, and very long texts, stay whole, and the others fill what these leave of the shards."""
+    r = random.Random(13)
+    rows = [(n, "x" * r.randint(0, 300) + str(n)) for n in range(700)] + [(5000 + n, "hot text") for n in range(600)] + [(9000, "long " * 40_000), (9001, "longer " * 50_000), (9002, "é" * 30_000)]
+    found = sharding.shard_documents(documents(rows)).collect()
+    sums, held = [0] * 16, {}
+    for x in found:
+        sums[x["shard"]] += x["size"]
+        held.setdefault(x["shard"], set()).add(x["doc_id"])
+    assert sum(sums) == sum(len(t.encode()) + 1 for _, t in rows) and len(found) == len(rows)
+    assert len({x["shard"] for x in found if 5000 <= x["doc_id"] < 5900}) == 1
+    assert sorted(sums)[13:] == [60_001, 200_001, 350_001] and sum(len(s) == 1 for s in held.values()) == 3
+    rest = sorted(sums)[:13]
+    assert rest[-1] - rest[0] <= 100
+
+
+def test_sharding_by_buckets(documents, monkeypatch):
+    """Groups that share a bucket go together, and the balance stays; most groups here are heavy or share one of 40 buckets."""
+    monkeypatch.setattr(sharding, "BUCKETS", 40)
+    monkeypatch.setattr(sharding, "HEAVY", 4)
+    rows = [(n, f"text {n}") for n in range(3000)] + [(n, "many") for n in range(4000, 4400)]
+    found = sharding.shard_documents(documents(rows), 4).collect()
+    sums = [sum(x["size"] for x in found if x["shard"] == k) for k in range(4)]
+    assert len(found) == len(rows) and max(sums) - min(sums) <= 0.03 * sum(sums)
+
+
 def test_differencing_beats_greedy():
     r = random.Random(1)
     sizes = [r.randint(1, 10_000) for _ in range(400)]
@@ -205,12 +231,39 @@ def test_topk_of_few_and_none(spark):
 
 
 def test_topk_prunes():
+    """On vectors that form groups few blocks are visited, fewer still with a score to start from; the result is that of all scores."""
     r = np.random.default_rng(1)
-    centres = r.normal(0, 30, (8, 16))
-    data = np.concatenate([c + r.normal(0, 1, (200, 16)) for c in centres]).astype(np.int64)
-    q, ids, score = topk.search_range(np.arange(len(data)), data, np.array([-1]), data[:1], 5, 100)
-    full = data @ data[0]
-    assert sorted(score.tolist()) == sorted(np.sort(full)[-5:].tolist())
+    centres = r.normal(0, 30, (64, 16))
+    data = np.concatenate([c + r.normal(0, 1, (100, 16)) for c in centres]).astype(np.int64)
+    asked = data[::200]
+    full = np.sort(asked @ data.T, axis=1)[:, ::-1]
+    seen = {}
+    for name, start in (("none", None), ("pilot", np.sort(asked @ data[::7].T, axis=1)[:, -5]), ("final", full[:, 4])):
+        q, ids, score, (visited, present) = topk.search_range(np.arange(len(data)), data, np.full(len(asked), -1), asked, 5, 16, start)
+        for k in range(len(asked)):
+            assert sorted(score[q == k].tolist(), reverse=True) == full[k, :5].tolist()
+        seen[name] = visited / present
+    assert seen["final"] <= seen["pilot"] <= seen["none"] < 0.2 and seen["pilot"] < 0.1
+
+
+def test_topk_of_repeated_rows_and_odd_columns(spark):
+    """Repeated candidates count each, repeated queries once; further columns of clashing names are not read."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 1.0]), (3, [1.0]), (20, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as score", "2 as rank", "3 as dim", "4 as query_no", "5 as v", "6 as starts")
+    found = sorted(map(tuple, topk.block_topk(df, df.where("vec_id % 20 = 0"), k=4, range_rows=2).select("query_id", "rank", "vec_id", "score").collect()))
+    assert found == [(0, 1, 1, 4096), (0, 2, 1, 4096), (0, 3, 2, 2048), (0, 4, 20, 0), (20, 1, 2, 4096), (20, 2, 0, 0), (20, 3, 0, 0), (20, 4, 1, 0)]
+
+
+def test_topk_of_very_large_components(spark):
+    """Beyond 53 and 63 bits scores are whole numbers still; one that doesn't fit is an error, not a wrong score."""
+    df = spark.createDataFrame([(0, [2.0**25, 1.0]), (1, [2.0**24, 3.0]), (2, [-(2.0**24), 0.0])], "vec_id long, embedding array<double>")
+    assert [x["score"] for x in topk.block_topk(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [2**61 + 64 * 192, -(2**61)]
+    wide = spark.createDataFrame([(0, [2.0**40, 1.0]), (1, [2.0**40, 3.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.block_topk(wide, wide.where("vec_id = 0"))
+    huge = spark.createDataFrame([(0, [1e18]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.block_topk(huge, huge.where("vec_id = 0"))
 
 
 def test_chat_round_trip(spark):
