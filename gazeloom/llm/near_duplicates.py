@@ -13,7 +13,8 @@ pair of similarity 0.75 meets in a table with probability 0.9997, one of 0.85 wi
 4. Where reps of several components still share a table key, they are compared across components within the buckets of the first
    collection: by 32-bit hashes of all their shingles, then, those that join components, on the full sets.
    A set of n shingles can be linked only with sets of 0.75 n to n / 0.75, so a bucket is cut into bands of sizes, of which only neighbours meet, and
-   large bands are compared in pairs of parts of about SPLIT members. Only links leave such a task, not pairs.
+   large bands are compared in pairs of parts of about SPLIT members; the largest component of a band is spared comparison with itself. Only links leave
+   such a task, not pairs.
 
 So every pair that shares a table key ends up in one component, or is known not to be linked. Keys and pivots are counted from partial sums and
 staged; where they are few they go to the members by broadcast, else by a join that Spark may split, so a key with a large share of the members
@@ -259,10 +260,18 @@ def crossing(tables: DataFrame, halves: DataFrame, labels: DataFrame, docs: Data
     # A set is at home in the band of its size, and a guest in the band below: linked sets lie at most one band apart.
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / PERCENT) + 1e-9).cast("int")
     members = halves.join(small(ids), "rep").join(small(stage(sets.select("rep", "mark", band.alias("home")), "bands")), "rep")
-    members = stage(members.withColumn("band", F.explode(F.array("home", F.col("home") - 1))), "crossing-members")
-    split = members.groupBy("key", "band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "band", F.ceil(F.col("n") / SPLIT).cast("int").alias("parts"))
-    members = members.join(small(stage(split, "crossing-split")), ["key", "band"]).withColumn("own", F.pmod(F.xxhash64("rep", "mark"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    members = members.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "label", (F.col("home") == F.col("band")).alias("at_home"), "mark").join(sets.select("rep", "mark", "short"), ["rep", "mark"])
+    members = members.withColumn("band", F.explode(F.array("home", F.col("home") - 1))).withColumn("at_home", F.col("home") == F.col("band"))
+    members = stage(members, "crossing-members")
+    # The largest component of a bucket is not compared with itself: its parts meet those of the other members, numbered first, and these meet each other.
+    sizes = members.groupBy("key", "band", "label").agg(F.count(F.lit(1)).alias("n"), F.max("at_home").alias("any_home"))
+    split = sizes.groupBy("key", "band").agg(F.max(F.struct("n", "label")).alias("large"), F.sum("n").alias("n"), F.max("any_home").alias("any_home")).where("any_home and large.n < n")
+    parts = lambda n: F.ceil(n / SPLIT).cast("int")
+    split = split.select("key", "band", F.col("large.label").alias("large"), parts(F.col("n") - F.col("large.n")).alias("rest"), parts(F.col("large.n")).alias("parts"))
+    is_large = F.col("label") == F.col("large")
+    number = lambda n: F.pmod(F.xxhash64("rep", "mark"), n).cast("int")
+    members = members.join(small(stage(split, "crossing-split")), ["key", "band"]).withColumn("own", F.when(is_large, F.col("rest") + number(F.col("parts"))).otherwise(number(F.col("rest"))))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_large, F.col("rest")).otherwise(F.col("rest") + F.col("parts")) - 1)))
+    members = members.select("key", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "label", "at_home", "mark").join(sets.select("rep", "mark", "short"), ["rep", "mark"])
 
     def run(batches):
         import numpy as np

@@ -87,7 +87,7 @@ def test_near_duplicates_of_repeated_ids(documents):
     rows += [(1, None), (2, rows[2][1]), (900, say(texts[5]) + " tail" * 60_000), (901, say(texts[5]) + " tail" * 59_000)]
     want = brute_components(rows)
     assert {want[1], want[2], want[3]} == {1} and {want[k] for k in range(10, 15)} == {10}
-    for seed in range(3):
+    for seed in range(2):
         random.Random(seed).shuffle(rows)
         found = near_duplicates.near_duplicates(documents(rows)).collect()
         assert len(found) == len(rows)
