@@ -6,23 +6,22 @@ places of the term. To find a phrase, the places of its terms, each less the ter
 are intersected, beginning with the rarest term; what is left are the places where the phrase begins.
 A block answers for its own documents, so building and searching move no postings.
 
-Phrases are the benchmark's windows. They come to the blocks in batches of bounded size.
+Phrases are the benchmark's windows, staged as a table. A task that searches a block reads them from the shared folder in batches of bounded size, so neither
+the driver nor a task holds all of them, and the index is read once however many there are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import blocks, labelled_text, release, stage, table, tidy
+from gazeloom.llm.common import labelled_text, release, stage, staged_batches, table, tidy
 from gazeloom.llm.hashing import WordHashes
 
 WINDOW = 13
 #: Words in a block of the index; a longer document is a block of its own.
 BLOCK_WORDS = 1_000_000
-#: Windows that are sent out at once (13 hashes of 8 bytes each).
+#: Windows that a task holds at once (13 hashes of 8 bytes each).
 BATCH_WINDOWS = 100_000
 #: Every byte that no word has becomes a space; A-Z become a-z. Bytes of other characters stay.
 FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -167,62 +166,59 @@ def search_block(block: Block, batch: list[tuple[str, bytes]]):
 
 
 def find_phrases(index: DataFrame, phrases: DataFrame, batch_size: int = BATCH_WINDOWS) -> DataFrame:
-    """For each document of the index: doc_id, n_words, spans (start and end in words, merged, of all hits) and items (sorted as strings)."""
-    spark = index.sparkSession
-    out = None
-    batches = blocks(((r["item_id"], bytes(r["terms"])) for r in phrases.toLocalIterator()), batch_size)
-    for number, batch in enumerate(_with_empty(batches)):
-        sent = spark.sparkContext.broadcast(batch)  # at most batch_size windows
-
-        def run(rows, sent=sent, number=number):
-            import numpy as np
-            import pyarrow as pa
-
-            release()
-            for record in rows:
-                for at in range(record.num_rows):  # one block unpacked at a time
-                    row = record.slice(at, 1).to_pylist()[0]
-                    block = Block(row)
-                    marks, items = search_block(block, sent.value)
-                    spans: list[list] = [[] for _ in block.docs]
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
-                    owners = block.doc_of(edges[::2]).tolist()
-                    for doc, a, b in zip(owners, edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                        spans[doc].append({"start": a - int(block.starts[doc]), "end": b - int(block.starts[doc])})
-                    kept = range(len(block.docs)) if number == 0 else sorted(items)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row["row"] for _ in kept], pa.string()),
-                            pa.array(list(kept), pa.int32()),
-                            pa.array([block.docs[k] for k in kept], pa.int64()),
-                            pa.array([int(block.lengths[k]) for k in kept], pa.int64()),
-                            pa.array([spans[k] for k in kept], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                            pa.array([sorted(items.get(k, ())) for k in kept], pa.list_(pa.string())),
-                        ],
-                        ["row", "place", "doc_id", "n_words", "spans", "items"],
-                    )
-
-        named = index.withColumn("row", F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index")))
-        found = named.mapInArrow(run, "row string, place int, doc_id long, n_words long, spans array<struct<start: int, end: int>>, items array<string>")
-        out = found if out is None else out.unionByName(found)
-    if number == 0:
-        return out.drop("row", "place")
-    merged = out.groupBy("row", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    def join(done, span):
-        last = F.element_at(done, -1)
-        touching = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= span["start"])
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
-        return F.when(touching, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(span)))
-
-    return merged.select("doc_id", "n_words", F.aggregate("spans", F.expr("cast(array() as array<struct<start: int, end: int>>)"), join).alias("spans"), "items")
-
-
-def _with_empty(batches: Iterator[list]) -> Iterator[list]:
-    """The batches, or one empty batch where there are none."""
-    first = next(batches, [])
-    yield first
-    yield from batches
+    """For each document of the index: doc_id, n_words, spans (start and end in words, merged, of all hits) and items (sorted as strings).
+
+    phrases: item_id, terms, as windows() gives them.
+    """
+    path = stage(phrases, "windows")._staged_at
+
+    def parts():
+        held: list = []
+        for found in staged_batches(path, ["item_id", "terms"], batch_size):
+            held += zip(found.column("item_id").to_pylist(), found.column("terms").to_pylist(), strict=True)
+            if len(held) >= batch_size:
+                yield held
+                held = []
+        if held:
+            yield held
+
+    def run(rows):
+        import numpy as np
+        import pyarrow as pa
+
+        release()
+        only: list | None = None  # all windows, where they are one batch
+        for record in rows:
+            for at in range(record.num_rows):  # one block unpacked at a time
+                row = record.slice(at, 1).to_pylist()[0]
+                block = Block(row)
+                marks, items, n = np.zeros(block.size, bool), {}, 0
+                for batch in [only] if only is not None else parts():
+                    hit, own = search_block(block, batch)
+                    marks |= hit
+                    for doc, names in own.items():
+                        items.setdefault(doc, set()).update(names)
+                    n += 1
+                if n == 1:
+                    only = batch
+                elif n == 0:
+                    only = []
+                spans: list[list] = [[] for _ in block.docs]
+                edges = np.flatnonzero(np.diff(np.concatenate([[0], marks.astype(np.int8), [0]])))
+                owners = block.doc_of(edges[::2]).tolist()
+                for doc, a, b in zip(owners, edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                    spans[doc].append({"start": a - int(block.starts[doc]), "end": b - int(block.starts[doc])})
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(block.docs, pa.int64()),
+                        pa.array(block.lengths, pa.int64()),
+                        pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                        pa.array([sorted(items.get(k, ())) for k in range(len(block.docs))], pa.list_(pa.string())),
+                    ],
+                    ["doc_id", "n_words", "spans", "items"],
+                )
+
+    return index.mapInArrow(run, "doc_id long, n_words long, spans array<struct<start: int, end: int>>, items array<string>")
 
 
 def proximity_matches(index: DataFrame, terms: list[str], within: int) -> DataFrame:
