@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,28 +37,69 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
+def staged_batches(path: str, columns: list[str], rows: int):
+    """Inside a task: the rows of a staged table, in Arrow batches of at most so many, from the shared folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    for found in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
+        if found.path.endswith(".parquet"):
+            with store.open_input_file(found.path) as source:
+                yield from pq.ParquetFile(source).iter_batches(rows, columns=columns, use_threads=False)
+
+
+#: Rows of texts that go to a Python worker at once, while an operator runs.
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Texts go to Python in small batches; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+@contextmanager
+def scope(made: list[str]) -> Iterator[None]:
+    """Paths made meanwhile are noted in the list."""
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """An operator whose result is staged when it returns, and whose other tables are deleted then."""
+    """An operator whose result is staged when it returns, and whose other tables are deleted then, or where it fails.
+
+    The result itself stays in the shared folder, since the caller reads from it.
+    """
 
     @wraps(operator)
     def run(*args, **kwargs) -> DataFrame:
-        _scopes.append([])
+        spark = next(x for x in (*args, *kwargs.values()) if isinstance(x, DataFrame)).sparkSession
+        made: list[str] = []
         try:
-            result = operator(*args, **kwargs)
+            with small_batches(spark):
+                with scope(made):
+                    result = operator(*args, **kwargs)
+                return stage(result, operator.__name__.replace("_", "-"))
         finally:
-            made = _scopes.pop()
-        spark = result.sparkSession
-        staged = stage(result, operator.__name__.replace("_", "-"))
-        for path in made:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        return staged
+            for path in made:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return run
 
 
 #: Rows of a few numbers each up to which a staged table is broadcast; beyond that the join is left to Spark.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def small(staged: DataFrame) -> DataFrame:
@@ -75,13 +117,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Rows of texts that go to a Python worker at once.
-BATCH_ROWS = 1000
-
-
 def labelled_text(docs: DataFrame) -> DataFrame:
-    """doc_id and text alone, so that further columns of any name cannot clash; they will go to Python in small batches."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """doc_id and text alone, so that further columns of any name cannot clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -102,15 +139,3 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
-
-
-def blocks(it: Iterable, size: int):
-    """Lists of at most so many items."""
-    part: list = []
-    for x in it:
-        part.append(x)
-        if len(part) >= size:
-            yield part
-            part = []
-    if part:
-        yield part

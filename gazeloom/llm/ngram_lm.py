@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import BATCH_ROWS, new_path, release, shuffle_partitions, stage
+from gazeloom.llm.common import new_path, release, shuffle_partitions, stage
 
 ORDER = 4
 CHUNK_BYTES = 24 << 20
@@ -67,7 +67,6 @@ def merge_counts(parts: list):
 def chunked(rows: DataFrame, name: str) -> DataFrame:
     """Stage doc_id, text, model and further columns, and give each row the number of its chunk."""
     spark = rows.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     staged = stage(rows, name)
     path = staged._staged_at
     size = staged.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()

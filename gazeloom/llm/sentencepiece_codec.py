@@ -20,7 +20,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazeloom.llm.common import labelled_text, release, table, texts
+from gazeloom.llm.common import labelled_text, release, table, texts, tidy
 from gazeloom.llm.words import WordCache
 
 MARK = "▁"
@@ -226,6 +226,7 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return labelled_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
 
 
+@tidy
 def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """encode_documents() with digests in place of ids and text, made in the same task so that the ids don't leave it."""
     path = path or model_path()

@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import labelled_text, new_path, release, shuffle_partitions, table, texts
+from gazeloom.llm.common import labelled_text, new_path, release, shuffle_partitions, small_batches, table, texts
 from gazeloom.llm.words import WordCache
 
 MAGIC = b"GZLTOK1\n"
@@ -346,7 +346,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     )
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
     files, start = [], 0
-    for row in sorted(made.collect()):  # a row for each file: as many as shuffle partitions
+    with small_batches(spark):
+        rows = sorted(made.collect())  # a row for each file: as many as shuffle partitions
+    for row in rows:
         files.append((*row, start))
         start += row["n_ids"]
     manifest = spark.createDataFrame(files, MANIFEST + ", start long")

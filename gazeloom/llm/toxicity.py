@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import labelled_text, release, table
+from gazeloom.llm.common import labelled_text, release, table, tidy
 
 #: Labelled documents used for training at most: those of smallest xxhash64(doc_id).
 TRAIN_DOCS = 8000
@@ -183,6 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> t
     return fitted, (fitted.pop("bias ", -8.0), fitted.pop("scale ", 1.0), fitted.pop("shift ", 0.0))  # the rest where no row is labelled
 
 
+@tidy
 def score_toxicity(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD) -> DataFrame:
     """Probability that a document is toxic, and the sentences at fault.
 

@@ -238,6 +238,30 @@ def test_decontamination(spark, documents, batch):
     assert sorted(got) == sorted(expected)
 
 
+def test_settings_and_folders_come_back(spark, documents, tmp_path):
+    """An operator leaves the session's settings as they were, and of its tables only the result, also where it fails."""
+    import os
+
+    from gazeloom.llm import common
+    from gazeloom.staging import shared_dir
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before, there = spark.conf.get(name), set(os.listdir(folder))
+    docs = documents([(1, "a b c"), (2, "d")])
+    kept = D.decontaminate(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert kept.count() == 2 and len(set(os.listdir(folder)) - there) == 1
+
+    @common.tidy
+    def failing(docs):
+        common.stage(docs, "left-behind")
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        failing(docs)
+    assert spark.conf.get(name) == before and len(set(os.listdir(folder)) - there) == 1
+
+
 def test_decontamination_rule_and_nothing(spark, documents):
     bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(13)))], "item_id long, text string")
     hit = " ".join(f"w{k}" for k in range(13))
