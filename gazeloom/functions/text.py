@@ -34,9 +34,23 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: White space of any kind, the control characters that part records among it.
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at its edges."""
+    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+
+
+def blank(c: Column) -> Column:
+    """Whether text is empty or white space alone; null for null."""
+    return ~c.rlike(rf"(?U)[^\s\x1c-\x1f]")
+
+
 def normalize_datetime(c: Column) -> Column:
     """Text as a UTC timestamp; Chinese date and time words are rewritten first; null where no format fits."""
-    c = F.trim(c)
+    c = strip(c)
     c = F.regexp_replace(c, r"(\d{4})年(\d{1,2})月(\d{1,2})日", "$1-$2-$3")
     c = F.regexp_replace(c, r"(\d{1,2})时(\d{1,2})分(\d{1,2})秒?", "$1:$2:$3")
     c = F.regexp_replace(c, r"(\d{1,2})时(\d{1,2})分", "$1:$2:00")
@@ -55,7 +69,7 @@ def safe_date(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the edges."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
 
 
 def truncate(c: Column, n: int, suffix: str = "...") -> Column:
@@ -80,65 +94,81 @@ def clean_text(c: Column, n: int | None = None) -> Column:
     return truncate(c, n) if n else c
 
 
+#: What becomes of the marks of markdown, in order (fixed values; code goes first, so that marks in it do not count).
+MARKDOWN_MARKS = (
+    (r"```[\s\S]*?```", ""),
+    (r"`[^`]+`", ""),
+    (r"!\[([^\]]*)\]\([^)]+\)", "$1"),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"(?m)^#+\s*", ""),
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"\*([^*]+)\*", "$1"),
+    (r"__([^_]+)__", "$1"),
+    (r"_([^_]+)_", "$1"),
+    (r"(?m)^>\s*", ""),
+    (r"(?m)^[*\-+]\s+", ""),
+    (r"(?m)^\d+\.\s+", ""),
+    (r"(?m)^[-*_]{3,}$", ""),
+)
+
+
 def markdown_to_text(c: Column) -> Column:
     """Text of markdown: code goes first, then images and links keep their words and the remaining marks go."""
     c = F.coalesce(c, F.lit(""))
-    for pattern, to in (
-        (r"```[\s\S]*?```", ""),
-        (r"`[^`]+`", ""),
-        (r"!\[([^\]]*)\]\([^)]+\)", "$1"),
-        (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"(?m)^#+\s*", ""),
-        (r"\*\*([^*]+)\*\*", "$1"),
-        (r"\*([^*]+)\*", "$1"),
-        (r"__([^_]+)__", "$1"),
-        (r"_([^_]+)_", "$1"),
-        (r"(?m)^>\s*", ""),
-        (r"(?m)^[*\-+]\s+", ""),
-        (r"(?m)^\d+\.\s+", ""),
-        (r"(?m)^[-*_]{3,}$", ""),
-    ):
+    for pattern, to in MARKDOWN_MARKS:
         c = F.regexp_replace(c, pattern, to)
     return collapse(c)
 
 
+#: Faults of markdown that show within or across lines, and what becomes of them, in order (fixed values).
+MARKDOWN_FAULTS = (
+    (r"\*\*[ \t\r\n]*\*\*", ""),
+    (r"!\[\]([^\[\n]*)\[", "![]$1 ["),
+    (r"(?<!\*)\*{4,}(?!\*)", ""),
+    (r"\*{4,}", "**"),
+    (r"\*\*([^*]+)\*\*\|", "$1|"),
+    (r"(?U)\*\*([^*]+)\*\*(\s*\z)", "$1$2"),
+    (r"(?U)(\|\s*){4,}", ""),
+)
+
+
+def _barred(line: Column) -> Column:
+    """A line with bars and dashes gets the bars that it lacks at its edges."""
+    opened = F.when(line.startswith("|"), line).otherwise(F.concat(F.lit("|"), line))
+    cut = F.regexp_replace(opened, rf"(?U){SPACE}+\z", "")
+    return F.when(line.contains("|") & line.contains("-"), F.when(cut.endswith("|"), opened).otherwise(F.concat(cut, F.lit("|")))).otherwise(line)
+
+
+def _without_rules(lines: Column) -> Column:
+    """Each run of lines that hold nothing but dashes, colons and white space becomes one empty line."""
+    bare = F.transform(lines, lambda line: ~line.rlike(r"(?U)[^-:\s\x1c-\x1f]"))
+    after = F.concat(F.array(F.lit(False)), F.slice(bare, F.lit(1), F.size(bare) - 1))
+    rows = F.zip_with(F.arrays_zip(lines.alias("line"), bare.alias("bare")), after, lambda x, before: F.struct(F.when(x["bare"], "").otherwise(x["line"]).alias("line"), (x["bare"] & before).alias("repeated")))
+    return F.transform(F.filter(rows, lambda x: ~x["repeated"]), lambda x: x["line"])
+
+
+def _line_kind(line: Column) -> Column:
+    """text, or flow for a line that stays as it is and that text may follow, or break for one after which text needs no blank line."""
+    s = strip(line)
+    cells = s.contains("|") & s.rlike(r"[^\s|:-]")
+    breaks = (s == "") | s.startswith("![") | s.startswith("|")
+    return F.when(breaks, "break").when(cells | s.startswith("#") | s.startswith("- [") | s.startswith("```"), "flow").otherwise("text")
+
+
 def repair_markdown(c: Column) -> Column:
-    """Markdown with frequent faults mended: stray stars, bold cells, missing bars of separator lines, lone rules, and a blank line between consecutive lines of text."""
-    for pattern, to in (
-        (r"\*\*[ \t\r\n]*\*\*", ""),
-        (r"!\[\]([^\[\n]*)\[", "![]$1 ["),
-        (r"(?<!\*)\*{4,}(?!\*)", ""),
-        (r"\*{4,}", "**"),
-        (r"\*\*([^*]+)\*\*\|", "$1|"),
-        (r"\*\*([^*]+)\*\*(\s*\z)", "$1$2"),
-        (r"(\|\s*){4,}", ""),
-        (r"(?m)^(?=[^\n]*\|)(?=[^\n]*-)([^|\n][^\n]*)$", "|$1"),
-        (r"(?m)^(?=[^\n]*\|)(?=[^\n]*-)([^\n]*[^|\s\n])[^\S\n]*$", "$1|"),
-        (r"(?m)^[-: \t]*-[-: \t]*$", ""),
-    ):
+    """Markdown with frequent faults mended: stray stars, bold cells, images that touch links, runs of bars, missing bars of separator lines, lone rules and runs of blank lines,
+    and a blank line between consecutive lines of text. Lines are those between line feeds. Null stays null."""
+    for pattern, to in MARKDOWN_FAULTS:
         c = F.regexp_replace(c, pattern, to)
-    lines = F.split(c, "\n", -1)
-
-    def kind(line: Column) -> Column:
-        """0 for a line that is kept as it is and that text may follow, 1 for text, 2 for what breaks the flow."""
-        s = F.trim(line)
-        row = s.contains("|") & ~s.rlike(r"^[\s|:-]+$")
-        return (
-            F.when((s == "") | s.startswith("!["), 2)
-            .when(row & s.startswith("|"), 2)
-            .when(row, 0)
-            .when(s.startswith("#") | s.startswith("- [") | s.startswith("```"), 0)
-            .when(s.startswith("|"), 2)
-            .otherwise(1)
-        )
-
-    kinds = F.transform(lines, kind)
-    spaced = F.zip_with(
-        F.arrays_zip(lines.alias("line"), kinds.alias("now")),
-        F.concat(F.array(F.lit(2)), F.slice(kinds, F.lit(1), F.greatest(F.size(kinds) - 1, F.lit(0)))),
-        lambda x, before: F.when((x["now"] == 1) & (before != 2), F.concat(F.lit("\n"), x["line"])).otherwise(x["line"]),
-    )
-    return F.array_join(spaced, "\n")
+    lines = _without_rules(F.transform(F.split(c, "\n", -1), _barred))
+    return let(lines, lambda found: let(F.transform(found, _line_kind), lambda kinds: F.array_join(_spaced(found, kinds), "\n")))
+
+
+def _spaced(lines: Column, kinds: Column) -> Column:
+    """Lines with a line feed before each line of text that follows text or flow."""
+    previous = F.concat(F.array(F.lit("break")), F.slice(kinds, F.lit(1), F.size(kinds) - 1))
+    apart = F.zip_with(kinds, previous, lambda now, before: (now == "text") & (before != "break"))
+    return F.zip_with(lines, apart, lambda line, gap: F.when(gap, F.concat(F.lit("\n"), line)).otherwise(line))
 
 
 def first_sentence_title(c: Column, n: int = 100) -> Column:
@@ -167,15 +197,15 @@ def title_from_content(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
 
     def longer(found: Column, least: int) -> Column:
-        return F.when(F.length(F.trim(found)) > least, F.trim(found))
+        return F.when(F.length(strip(found)) > least, strip(found))
 
     def from_lines(lines: Column) -> Column:
         titled = F.transform(F.slice(lines, 1, 5), lambda x: F.coalesce(longer(F.regexp_extract(x, r"【[^】]+】(.+)", 1), 2), longer(F.regexp_extract(x, r"【(.+)】", 1), 3)))
         headed = F.transform(F.slice(lines, 1, 3), lambda x: F.when(F.startswith(x, F.lit("#")), longer(F.regexp_replace(x, r"^#+\s*", ""), 2)))
         return F.try_element_at(F.array_compact(F.concat(titled, headed)), F.lit(1))
 
-    first = let(F.trim(F.regexp_extract(text, r"(?s)^[^。.]*", 0)), lambda x: F.when((x == "") | F.startswith(x, F.lit("![")), "").when(F.length(x) > 100, F.concat(F.left(x, F.lit(100)), F.lit("..."))).otherwise(x))
-    lines = F.transform(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), "\n"), F.trim)
+    first = let(strip(F.regexp_extract(text, r"(?s)^[^。.]*", 0)), lambda x: F.when((x == "") | F.startswith(x, F.lit("![")), "").when(F.length(x) > 100, F.concat(F.left(x, F.lit(100)), F.lit("..."))).otherwise(x))
+    lines = F.transform(F.split(strip(text), "\n"), strip)
     return F.coalesce(let(lines, from_lines), first)
 
 
@@ -186,9 +216,9 @@ def date_from_content(c: Column) -> Column:
 
 def normalize_url(c: Column) -> Column:
     """Lower case, without edges of white space, slashes at the end, tracking parameters and a bare question mark."""
-    c = F.regexp_replace(F.trim(F.lower(c)), "/+$", "")
+    c = F.regexp_replace(strip(F.lower(c)), r"/+\z", "")
     c = F.regexp_replace(c, r"[?&](utm_\w+|ref|source|from)=[^&]*", "")
-    return F.coalesce(F.regexp_replace(c, r"\?$", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(c, r"\?\z", ""), F.lit(""))
 
 
 def url_hash(c: Column) -> Column:
@@ -252,15 +282,16 @@ def has_any(c: Column, words: tuple[str, ...]) -> Column:
 
 def classify_query(c: Column) -> Column:
     """link_verification, statistics, detail or fuzzy_qa, by the first rule that fits."""
-    low = F.lower(F.trim(c))
-    link = F.trim(c).rlike(r"https?://\S+") | (has_any(low, LINK_WORDS) & has_any(low, VERIFY_WORDS))
-    detail = F.trim(c).rlike(r"(?U)\b[0-9]{6,8}[_-][A-Za-z0-9_-]+\b") | has_any(low, DETAIL_WORDS)
+    c = strip(c)
+    low = F.lower(c)
+    link = c.rlike(r"https?://\S+") | (has_any(low, LINK_WORDS) & has_any(low, VERIFY_WORDS))
+    detail = c.rlike(r"(?U)\b[0-9]{6,8}[_-][A-Za-z0-9_-]+\b") | has_any(low, DETAIL_WORDS)
     return F.when(link, "link_verification").when(has_any(low, COUNT_WORDS), "statistics").when(detail, "detail").otherwise("fuzzy_qa")
 
 
 def infer_time_window(c: Column, as_of: Column) -> Column:
     """Struct of label, start_date and end_date (texts with time) that a query asks for by words; null if it doesn't."""
-    low = F.lower(F.trim(c))
+    low = F.lower(strip(c))
     pattern = r"近\s*(\d{1,3})\s*(天|日|周|星期|个月|月)"
     n = F.greatest(F.try_to_number(F.regexp_extract(low, pattern, 1), F.lit("999")).cast("int"), F.lit(1))
     unit = F.regexp_extract(low, pattern, 2)
@@ -280,5 +311,5 @@ def infer_time_window(c: Column, as_of: Column) -> Column:
 
 def snippet(c: Column, n: int) -> Column:
     """At most n characters of the trimmed text, with an ellipsis where it was cut."""
-    c = F.trim(F.coalesce(c, F.lit("")))
-    return F.when(F.length(c) > n, F.concat(F.rtrim(F.left(c, F.lit(n))), F.lit("…"))).otherwise(c)
+    c = strip(F.coalesce(c, F.lit("")))
+    return F.when(F.length(c) > n, F.concat(F.regexp_replace(F.left(c, F.lit(n)), rf"(?U){SPACE}+\z", ""), F.lit("…"))).otherwise(c)

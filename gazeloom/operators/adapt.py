@@ -22,18 +22,30 @@ def filled(c: Column | str) -> Column:
 def present(c: Column | str) -> Column:
     """The text, or null where it is blank."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.trim(c) != "", c)
+    return F.when(~X.blank(c), c)
 
 
-def adapt_crawl(df: DataFrame) -> DataFrame:
-    """Crawl records of either shape as articles. A null field counts as absent."""
+def adapt_crawl(df: DataFrame, mapping: dict[str, str] | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
+    """Crawl records of either shape as articles. A null field counts as absent.
+
+    mapping names further input columns and the field of a record that each one fills where it isn't null; defaults gives values for fields of the article
+    that are null at the end, besides those of source and author.
+    """
+    for source, field in (mapping or {}).items():
+        df = df.withColumn(field, F.coalesce(F.col(source), F.col(field)) if field in df.columns else F.col(source))
+    defaults = {"source_site": UNKNOWN_SOURCE, "author": UNKNOWN_AUTHOR} | (defaults or {})
+    out = _adapted(df)
+    return out.withColumns({field: F.coalesce(F.col(field), F.lit(value).cast(dict(out.dtypes)[field])) for field, value in defaults.items()})
+
+
+def _adapted(df: DataFrame) -> DataFrame:
     has = lambda n: F.col(n) if n in df.columns else F.lit(None).cast("string")
-    body = F.when(F.ltrim("content").startswith("{"), F.from_json("content", CONTENT))
+    body = F.when(X.strip(F.col("content")).startswith("{"), F.from_json("content", CONTENT))
     words = F.coalesce(body["text"], F.when(body.isNull(), F.col("content")))
     markdown = F.coalesce(present("markdown"), present(words))
     url = F.coalesce(filled("detail_url"), filled("url"))
     title = F.coalesce(filled("title"), filled(X.first_sentence_title(markdown)))
-    tags = F.filter(F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.when(filled("label").isNotNull(), F.array("label")).otherwise(F.array().cast("array<string>")))), lambda t: F.trim(t) != "")
+    tags = F.filter(F.array_distinct(F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.when(filled("label").isNotNull(), F.array("label")).otherwise(F.array().cast("array<string>")))), lambda t: ~X.blank(t))
     meta = F.map_concat(F.coalesce(F.from_json("metadata", "map<string,string>"), F.create_map().cast("map<string,string>")), F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in META]), F.array(*[has(n).cast("string") for n in META])), lambda _, v: v.isNotNull()))
     key = F.substring(F.md5(F.coalesce(url, title, F.lit(""))), 1, 16)
     return df.select(
@@ -41,8 +53,8 @@ def adapt_crawl(df: DataFrame) -> DataFrame:
         title.alias("title"),
         url.alias("url"),
         X.normalize_datetime(F.coalesce("date", "publish_date")).alias("publish_date"),
-        F.coalesce("source_site", "source", F.lit(UNKNOWN_SOURCE)).alias("source_site"),
-        F.coalesce("author", F.lit(UNKNOWN_AUTHOR)).alias("author"),
+        F.coalesce("source_site", "source").alias("source_site"),
+        F.col("author"),
         tags.alias("tags"),
         markdown.alias("content_markdown"),
         F.coalesce(present("content_text"), words, F.col("markdown")).alias("content_text"),
@@ -88,7 +100,7 @@ def validate_documents(df: DataFrame, domains: list[str] | None = None, required
         checks.append(F.when(given & ~ok, "url:domain"))
     size = F.length("title")
     checks.append(F.when(present("title").isNotNull() & ~size.between(*TITLE_LIMITS), "title:length"))
-    checks.append(F.when(text.isNotNull() & (F.trim(text) == ""), "content:blank").when(~F.length(text).between(*CONTENT_LIMITS), "content:length"))
+    checks.append(F.when(text.isNotNull() & X.blank(text), "content:blank").when(~F.length(text).between(*CONTENT_LIMITS), "content:length"))
     warnings = [F.when(present("news_id").isNotNull() & ~F.col("news_id").rlike(r"^[a-zA-Z0-9_\-]+$"), "news_id:characters")]
     return df.withColumn("errors", F.array_compact(F.array(*checks))).withColumn("warnings", F.array_compact(F.array(*warnings))).withColumn("is_valid", F.size("errors") == 0)
 
@@ -104,7 +116,7 @@ def normalize_records(df: DataFrame) -> DataFrame:
             "publish_date": date,
             "content_markdown": X.repair_markdown(F.coalesce("content_markdown", F.lit(""))),
             "content_text": F.coalesce(present("content_text"), X.markdown_to_text(F.col("content_markdown"))),
-            "attachments": F.filter(F.coalesce("attachments", F.array().cast("array<string>")), lambda a: F.trim(a) != ""),
+            "attachments": F.filter(F.coalesce("attachments", F.array().cast("array<string>")), lambda a: ~X.blank(a)),
             "crawl_version": F.coalesce("crawl_version", F.lit(1)),
             "metadata": filled(meta),
         }
@@ -119,7 +131,7 @@ def to_article_schema(df: DataFrame) -> DataFrame:
     for field in ARTICLE.fields:
         c = F.col(field.name).cast(field.dataType) if field.name in df.columns else F.lit(None).cast(field.dataType)
         columns.append((F.coalesce(c, defaults[field.name]) if field.name in defaults else c).alias(field.name))
-    return df.where(F.trim(F.col("news_id")) != "").select(columns)
+    return df.where(~X.blank(F.col("news_id"))).select(columns)
 
 
 #: Fields that conditions may name (fixed values).

@@ -17,12 +17,19 @@ def recent_turns(conv: DataFrame, n: int) -> DataFrame:
     return conv.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
 
 
-def trim_by_budget(conv: DataFrame, chars: int) -> DataFrame:
-    """The newest turns of each session whose roles and texts fit the budget together, the newest always; without a budget the last 6."""
+def observation_cost(*columns: str) -> Column:
+    """Length of an observation of these columns as JSON text, with a space after each comma and colon between fields."""
+    plain = F.length(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    return plain + (2 * len(columns) - 1)
+
+
+def trim_by_budget(conv: DataFrame, chars: int, cost: Column | None = None) -> DataFrame:
+    """The newest turns of each session whose roles and texts fit the budget together, the newest always; without a budget the last 6. Another cost of a turn, such as
+    observation_cost() of tool observations, takes the place of the length of role and text."""
     if chars <= 0:
         return recent_turns(conv, FALLBACK_TURNS)
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    cost = F.length(F.coalesce("role", F.lit(""))) + F.length(F.coalesce("text", F.lit("")))
+    cost = F.length(F.coalesce("role", F.lit(""))) + F.length(F.coalesce("text", F.lit(""))) if cost is None else cost
     rows = conv.withColumn("_sum", F.sum(cost).over(newest.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(newest))
     return rows.where((F.col("_sum") <= chars) | (F.col("_n") == 1)).drop("_sum", "_n")
 
@@ -53,5 +60,5 @@ def rag_context(queries: DataFrame, hits: DataFrame, corpus: DataFrame, chosen:
 
 def cited_sources(observations: DataFrame) -> DataFrame:
     """Per session the distinct URLs in the order in which they first occur. observations: session, pos, url."""
-    first = observations.where(F.trim("url") != "").groupBy("session", "url").agg(F.min("pos").alias("pos"))
+    first = observations.where(~X.blank(F.col("url"))).groupBy("session", "url").agg(F.min("pos").alias("pos"))
     return first.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"]).alias("urls"))

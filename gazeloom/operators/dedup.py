@@ -11,6 +11,10 @@ from gazeloom.functions import text as X
 from gazeloom.staging import broadcast_if_small, stage
 
 
+#: Rows of stored ids, URLs and dates (about 100 bytes each) up to which they are broadcast.
+SMALL_TABLE = 200_000
+
+
 def dedup_batch(df: DataFrame, seq: str = "seq") -> DataFrame:
     """Adds is_duplicate: false for the first row, by seq, of each URL hash. A URL that many rows share is ranked from one row per task, so it does not gather in one task."""
     hashed = df.withColumn("url_hash", X.url_hash(F.col("url")))
@@ -29,7 +33,7 @@ def near_duplicates(df: DataFrame, threshold: int = 3, text: str = "content_text
     edges_at = [64 * k // blocks for k in range(blocks + 1)]
     parts = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges_at, edges_at[1:], strict=False)]
     marked = stage(df.withColumn("simhash", X.simhash(F.col(text))), "simhash")
-    full = marked.where(F.trim(text) != "")
+    full = marked.where(~X.blank(F.col(text)))
     first = stage(full.groupBy("simhash").agg(F.min(seq).alias("seq")), "fingerprints")
     keys = F.array(*[F.xxhash64(F.lit(n), *[parts[k] for k in three]) for n, three in enumerate(combinations(range(blocks), 3))])
     keyed = first.select("simhash", "seq", F.explode(keys).alias("key"))
@@ -45,12 +49,12 @@ def near_duplicates(df: DataFrame, threshold: int = 3, text: str = "content_text
     lost = first.join(dropped.withColumnRenamed("b", "seq"), "seq", "left_semi") if dropped is not None else first.limit(0)
     decided = first.select("simhash", F.col("seq").alias("first_seq")).join(lost.select("simhash", F.lit(True).alias("lost")), "simhash", "left")
     joined = marked.join(decided, "simhash", "left")
-    return joined.withColumn("is_near_duplicate", F.coalesce((F.trim(F.col(text)) != "") & (F.col("lost") | (F.col(seq) > F.col("first_seq"))), F.lit(False))).drop("first_seq", "lost")
+    return joined.withColumn("is_near_duplicate", F.coalesce(~X.blank(F.col(text)) & (F.col("lost") | (F.col(seq) > F.col("first_seq"))), F.lit(False))).drop("first_seq", "lost")
 
 
 def classify_incoming(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds status new, upsert or duplicate: by id, normalised URL and date. Stored ids are unique."""
-    known = stored.select(F.col("news_id").alias("_id"), X.normalize_url(F.col("url")).alias("_url"), F.col("publish_date").alias("_date"))
+    known = broadcast_if_small(stored.select(F.col("news_id").alias("_id"), X.normalize_url(F.col("url")).alias("_url"), F.col("publish_date").alias("_date")), SMALL_TABLE)
     joined = incoming.join(known, incoming["news_id"] == known["_id"], "left")
     status = F.when(F.col("_id").isNull() | (X.normalize_url(F.col("url")) != F.col("_url")), "new").when(F.col("publish_date").eqNullSafe(F.col("_date")), "duplicate").otherwise("upsert")
     return joined.withColumn("status", status).drop("_id", "_url", "_date")
@@ -79,7 +83,7 @@ def upsert(stored: DataFrame, updates: DataFrame, key: str | list[str] = "news_i
         written = written.join(old, keys, "left").withColumn("crawl_version", F.coalesce("_v", F.col("crawl_version") - 0) + 1).drop("_v")
     elif bump:
         written = written.withColumn("crawl_version", F.coalesce("crawl_version", F.lit(1)) + 1)
-    return stored.join(updates.select(*keys), keys, "left_anti").select(stored.columns).unionByName(written.select(stored.columns))
+    return stored.join(broadcast_if_small(updates.select(*keys), SMALL_TABLE), keys, "left_anti").select(stored.columns).unionByName(written.select(stored.columns))
 
 
 def partial_update(stored: DataFrame, updates: DataFrame, key: str = "news_id", stamp=None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gazeloom.functions import html as H
+from gazeloom.functions import text as X
 
 MAX_PAGES = 31
 
@@ -22,7 +23,7 @@ def host_of(c):
 
 def extract_links(pages: DataFrame, html: str = "html", list_url: str = "list_url") -> DataFrame:
     """All columns but the HTML, and url: each href as an absolute URL. Script links and relative ones without a leading slash go."""
-    href = F.trim("href")
+    href = X.strip(F.col("href"))
     url = F.when(F.lower(href).startswith("javascript:") | (href == ""), None).when(href.rlike("^https?://"), href).when(href.startswith("/"), F.concat(F.lit("https://"), host_of(F.col(list_url)), href))
     found = pages.withColumn("href", F.explode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1)))).drop(html)
     return found.withColumn("url", url).where("url is not null").drop("href")
@@ -57,9 +58,9 @@ def incremental_urls(discovered: DataFrame, seen: DataFrame) -> tuple[DataFrame,
     return found.join(seen.select("list_url", "url"), ["list_url", "url"], "left_anti"), found.union(seen.select("list_url", "url")).distinct()
 
 
-def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds title, date and author."""
-    return pages.withColumn("_m", H.page_metadata(html)).select("*", "_m.title", "_m.date", "_m.author").drop("_m")
+def page_metadata(pages: DataFrame, html: str = "html", title: tuple[str, ...] = H.TITLE_SELECTORS, date: tuple[str, ...] = H.DATE_SELECTORS, author: tuple[str, ...] = H.AUTHOR_SELECTORS) -> DataFrame:
+    """Adds title, date and author, each by the first of its selectors that finds text: a tag, .class, or [class*=part]."""
+    return pages.withColumn("_m", H.page_metadata(html, title, date, author)).select("*", "_m.title", "_m.date", "_m.author").drop("_m")
 
 
 def crawl_report(results: DataFrame) -> DataFrame:

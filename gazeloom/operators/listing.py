@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazeloom.functions import text as X
 
+UNKNOWN = "未知"
 DATE_UNITS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 
 
@@ -31,8 +32,12 @@ def count_by_date(df: DataFrame, unit: str = "day", column: str = "publish_date"
 
 
 def corpus_stats(df: DataFrame) -> DataFrame:
-    """One row: articles, sources, first and last publish date."""
-    return df.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("source_site").alias("sources"), F.min("publish_date").alias("first_date"), F.max("publish_date").alias("last_date"))
+    """One row: articles, sources, articles by source (a map, null sources under UNKNOWN), first and last publish date."""
+    by_source = df.groupBy("source_site").agg(F.count(F.lit(1)).alias("n"), F.min("publish_date").alias("low"), F.max("publish_date").alias("high"))
+    share = F.struct(F.coalesce("source_site", F.lit(UNKNOWN)), "n")
+    return by_source.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("source_site").alias("sources"), F.map_from_entries(F.array_sort(F.collect_list(share))).alias("distribution"), F.min("low").alias("first_date"), F.max("high").alias("last_date")
+    )
 
 
 def count_by_category(tags: DataFrame) -> DataFrame:
@@ -45,15 +50,15 @@ def tags_by_category(tags: DataFrame, category: str) -> DataFrame:
 
 def _named(c: Column) -> Column:
     """Text that names something: neither blank nor none nor null."""
-    c = F.trim(c)
+    c = X.strip(c)
     return F.when((c == "") | F.lower(c).isin("none", "null"), None).otherwise(c)
 
 
 def project_notices(articles: DataFrame) -> DataFrame:
     """Articles as rows of the read model; rows without a usable id are left out."""
     meta = F.from_json("metadata", "label string, detail_url string, is_page boolean, date string")
-    first = F.trim(F.try_element_at("tags", F.lit(1)))
-    label = F.coalesce(F.nullif(first, F.lit("")), F.nullif(F.trim(meta["label"]), F.lit("")), "source_site", F.lit(""))
+    first = X.strip(F.try_element_at("tags", F.lit(1)))
+    label = F.coalesce(F.nullif(first, F.lit("")), F.nullif(X.strip(meta["label"]), F.lit("")), "source_site", F.lit(""))
     return articles.select(
         _named(F.col("news_id").cast("string")).alias("id"),
         label.alias("label"),
@@ -78,11 +83,11 @@ def notice_page(notices: DataFrame, page: int, size: int, label: str | None = No
 
 
 def labels(df: DataFrame) -> DataFrame:
-    return df.where(F.trim("label") != "").select("label").distinct()
+    return df.where(~X.blank(F.col("label"))).select("label").distinct().orderBy("label")
 
 
 def label_count(df: DataFrame) -> DataFrame:
-    return df.where(F.trim("label") != "").agg(F.countDistinct("label").alias("n"))
+    return df.where(~X.blank(F.col("label"))).agg(F.countDistinct("label").alias("n"))
 
 
 def dashboard(notices: DataFrame, keys: DataFrame) -> DataFrame:
