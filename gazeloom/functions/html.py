@@ -8,9 +8,12 @@ from html.parser import HTMLParser
 from urllib.parse import unquote
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gazeloom.functions import text as X
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Selectors of a page's title, date and author, in the order in which they are tried (fixed values).
 TITLE_SELECTORS = (".Article_Title", ".News-title", "h1", ".article-title", "[class*=title]")
@@ -107,14 +110,15 @@ def strip_html(pages: pd.Series) -> pd.Series:
     return pages.map(lambda x: spaced(" ".join(parse(x).strings(("script", "style")))) if x else "")
 
 
-@F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "date", "author")]))
-def page_metadata(pages: pd.Series) -> pd.DataFrame:
-    """Title (or else that of <title>), date and author of a page; '' for what it lacks."""
-    rows = []
-    for page in pages:
-        root = parse(page)
-        rows.append((first_text(root, TITLE_SELECTORS) or first_text(root, ("title",)), first_text(root, DATE_SELECTORS), first_text(root, AUTHOR_SELECTORS)))
-    return pd.DataFrame(rows, columns=["title", "date", "author"])
+def page_metadata(html: Column | str, title: tuple[str, ...] = TITLE_SELECTORS, date: tuple[str, ...] = DATE_SELECTORS, author: tuple[str, ...] = AUTHOR_SELECTORS) -> Column:
+    """Of a column of HTML: title (or else that of <title>), date and author of a page; '' for what it lacks."""
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "date", "author")]))
+    def found(pages: pd.Series) -> pd.DataFrame:
+        roots = [parse(page) for page in pages]
+        return pd.DataFrame({"title": [first_text(r, (*title, "title")) for r in roots], "date": [first_text(r, date) for r in roots], "author": [first_text(r, author) for r in roots]}, dtype=object)
+
+    return found(html)
 
 
 def written(node: Node) -> str:
@@ -146,51 +150,66 @@ def complex_tables(pages: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("url", "label")])))
-def pdf_links(pages: pd.Series, urls: pd.Series) -> pd.Series:
-    """Address and label of the PDF files that a page shows in a viewer."""
-    out = []
-    for page, url in zip(pages, urls, strict=True):
-        base = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", url or "")
-        found = []
-        for node in parse(page).walk() if page and "<iframe" in page.lower() else ():
-            if node.tag != "iframe" or "wp_pdf_player" not in node.attrs.get("class", "") or "viewer.html" not in node.attrs.get("src", ""):
-                continue
-            if named := re.search(r'file=([^&"]+)', node.attrs["src"]):
-                address = unquote(named[1])
-                if address.startswith("/"):
-                    address = (base[0] if base else "") + address
-                found.append({"url": address, "label": node.attrs.get("title") or address.rsplit("/", 1)[-1].replace(".pdf", "") or PDF_LABEL})
-        out.append(found)
-    return pd.Series(out, dtype=object)
+def shown_file(frame: Node) -> str | None:
+    """The address of the file that a viewer frame shows, with its escapes undone; null for any other element."""
+    source = frame.attrs.get("src", "")
+    if frame.tag == "iframe" and "wp_pdf_player" in frame.attrs.get("class", "") and "viewer.html" in source:
+        named = re.search(r'file=([^&"]+)', source)
+        return unquote(named[1]) if named else None
+    return None
 
 
-def clean_lines(text: str | None, title: str | None, date: str | None) -> str:
-    """Markdown without the title and date lines at its head, navigation tables and repeated dates."""
-    lines = (text or "").split("\n")
-    at = 0
-    for at, line in enumerate(lines):
-        s = line.strip()
-        if not (not s or (title and title in s) or (date and date in s and at <= 4) or re.fullmatch(r"[|\-]+", s)):
-            break
-    else:
-        return ""
-    out = []
-    while at < len(lines):
-        s = lines[at].strip()
-        if s.startswith("|  |"):
-            end = at + 1
-            while end < len(lines) and lines[end].strip().startswith("|"):
-                end += 1
-            if end - at - 1 > 3:
-                at = end
-                continue
-        if not (s == (date or "") or s == f"|  {date or ''}  |"):
-            out.append(lines[at])
-        at += 1
-    return "\n".join(out).strip()
+def file_label(frame: Node, address: str) -> str:
+    return frame.attrs.get("title") or address.rsplit("/", 1)[-1].replace(".pdf", "") or PDF_LABEL
 
 
-@F.pandas_udf(T.StringType())
-def clean_article_markdown(text: pd.Series, title: pd.Series, date: pd.Series) -> pd.Series:
-    return pd.Series([clean_lines(x, y, z) for x, y, z in zip(text, title, date, strict=True)], dtype=object)
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("url", "label")])))
+def pdf_links(pages: pd.Series, urls: pd.Series) -> pd.Series:
+    """Address and label of the PDF files that a page shows in a viewer; a path gets the page's scheme and host."""
+    host = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*")
+
+    def links(page: str | None, url: str | None) -> list[dict]:
+        nodes = list(parse(page).walk()) if page and "<iframe" in page.lower() else []
+        shown = [(n, a) for n, a in zip(nodes, map(shown_file, nodes), strict=True) if a is not None]
+        base = host.match(url or "")
+        whole = [(n, (base[0] if base else "") + a if a.startswith("/") else a) for n, a in shown]
+        return [{"url": a, "label": file_label(n, a)} for n, a in whole]
+
+    return pd.Series([links(p, u) for p, u in zip(pages, urls, strict=True)], dtype=object)
+
+
+#: Lines of the head in which the date is looked for, and rows from which on a table of links is one for navigation (fixed values).
+HEAD_LINES, NAVIGATION_ROWS = 5, 4
+
+
+def clean_article_markdown(text: Column, title: Column, date: Column) -> Column:
+    """Markdown without the title and date lines at its head, navigation tables and repeated dates, by what each line is and how long its run of bars is.
+
+    The head is the lines before the first that is neither blank, nor a rule of bars and dashes, nor holds the title, nor (in the first HEAD_LINES lines) the
+    date. A navigation table is a line of two bars first and the run of lines of a bar that follows, if these are NAVIGATION_ROWS or more. Null text gives ''.
+    """
+    title, date = F.coalesce(title, F.lit("")), F.coalesce(date, F.lit(""))
+
+    def marks(line: Column, n: Column) -> Column:
+        s = X.strip(line)
+        head = (s == "") | s.rlike(r"\A[|\-]+\z") | ((title != "") & F.contains(s, title)) | ((date != "") & F.contains(s, date) & (n < HEAD_LINES))
+        dated = (s == date) | (s == F.concat(F.lit("|  "), date, F.lit("  |")))
+        return F.struct(line.alias("line"), n.alias("n"), head.alias("head"), s.startswith("|").alias("bar"), s.startswith("|  |").alias("opens"), dated.alias("dated"))
+
+    def body(all_lines: Column) -> Column:
+        begin = F.try_element_at(F.filter(all_lines, lambda x: ~x["head"]), F.lit(1))["n"]
+        return F.filter(all_lines, lambda x: x["n"] >= begin)
+
+    def kept(lines: Column) -> Column:
+        # Where each line's run of bars ends: the first line after it without a bar. A line that opens a table takes its run with it.
+        plain = F.transform(F.filter(lines, lambda x: ~x["bar"]), lambda x: x["n"])
+        last = F.try_element_at(lines, F.lit(-1))["n"] + 1
+        end = lambda x: F.coalesce(F.array_min(F.filter(plain, lambda n: n > x["n"])), last)
+        tables = F.transform(F.filter(lines, lambda x: x["opens"]), lambda x: F.struct(x["n"].alias("a"), end(x).alias("b")))
+        tables = F.filter(tables, lambda t: t["b"] - t["a"] - 1 >= NAVIGATION_ROWS)
+        inside = lambda x: F.exists(tables, lambda t: (t["a"] <= x["n"]) & (x["n"] < t["b"]))
+        return F.transform(F.filter(lines, lambda x: ~inside(x) & ~x["dated"]), lambda x: x["line"])
+
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), marks)
+    joined = X.let(lines, lambda found: X.let(body(found), lambda rest: F.array_join(kept(rest), "\n")))
+    return X.strip(F.coalesce(joined, F.lit("")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazeloom.functions import text as X
 from gazeloom.operators.vectors import cosine, vector_search
-from gazeloom.staging import broadcast_if_small
+from gazeloom.staging import broadcast_if_small, stage
 
 K1, B = 1.2, 0.75
 FIELDS = ("title", "content_text", "source_site", "author")
@@ -47,54 +47,56 @@ def top(df: DataFrame, k: int, key: str, offset: int = 0) -> DataFrame:
     return ranked.where(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset) if offset else ranked
 
 
-def fulltext_search(queries: DataFrame, corpus: DataFrame, k: int, fields: tuple[str, ...] = ("title", "content_text"), key: str = "news_id", offset: int = 0) -> DataFrame:
-    """BM25: query_id, key, score, rank. queries: query_id, query.
+def fulltext_search(queries: DataFrame, corpus: DataFrame, k: int | None, fields: tuple[str, ...] = ("title", "content_text"), key: str = "news_id", offset: int = 0) -> DataFrame:
+    """BM25: query_id, key, score, rank. queries: query_id, query. k None gives all hits.
 
-    Only the occurrences of query terms leave the scan; they are counted by document in the scan itself, so no term gathers
-    its occurrences in a task. A query's repeated terms count once. Scores are rounded to nine digits, so that ties don't hang on the order of sums.
+    Texts are cut into words once. Only the occurrences of query terms leave the scan, counted by document in the scan itself, so no term gathers
+    its occurrences in a task; each document gives one more row of the empty term, from which the number and mean length of documents come. A query's repeated terms count once. Scores are
+    rounded to nine digits, so that ties don't hang on the order of sums.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    terms = asked.select("term").union(queries.sparkSession.range(1).select(F.lit(""))).distinct()
     docs = corpus.select(key, tokens(F.concat_ws(" ", *fields)).alias("words"))
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
-    terms = asked.select("term").distinct()
-    held = docs.select(key, F.size("words").alias("length"), F.explode("words").alias("term")).join(broadcast_if_small(terms), "term", "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    words = docs.select(key, F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
+    held = stage(words.join(broadcast_if_small(terms), "term", "left_semi").groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf")), "held-terms")
+    size = held.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    held = held.where("term <> ''")
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = held.join(broadcast_if_small(df), "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     parts = scored.select(key, "term", weight.alias("w")).join(broadcast_if_small(asked), "term")
-    return top(parts.groupBy("query_id", key).agg(F.round(F.sum("w"), 9).alias("score")), k, key, offset)
+    hits = parts.groupBy("query_id", key).agg(F.round(F.sum("w"), 9).alias("score"))
+    if k is None:
+        return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))).where(F.col("rank") > offset)
+    return top(hits, k, key, offset)
+
+
+#: Distinct terms of queries that are held against a row at once.
+TERM_BLOCK = 500
 
 
-def simple_text_search(queries: DataFrame, corpus: DataFrame, k: int, fields: tuple[str, ...] = FIELDS, key: str = "news_id", block: int = 200) -> DataFrame:
+def simple_text_search(queries: DataFrame, corpus: DataFrame, k: int, fields: tuple[str, ...] = FIELDS, key: str = "news_id") -> DataFrame:
     """Per field and per white-space term of a query: 2 if the field equals the term, 1.5 if it holds it as a word, 1 if it holds it; sums above 0 are ranked.
 
-    The stated queries are held against all rows, `block` queries in a pass.
+    The stated queries are held against all rows, in blocks of their distinct terms; only the terms that a row holds leave the scan. A term that a query repeats counts as often.
     """
-    out = None
-    rows = []
-    found = queries.select("query_id", "query").toLocalIterator()
-    kinds = dict(queries.dtypes)
-    while True:
-        rows = [r for _, r in zip(range(block), found, strict=False)]
-        if not rows and out is not None:
-            break
-        asked = queries.sparkSession.createDataFrame(rows, f"query_id {kinds['query_id']}, query string").select("query_id", F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda t: t != "").alias("terms"))
-        joined = corpus.select(key, *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields]).crossJoin(F.broadcast(asked))  # at most `block` rows
-
-        def weigh(term, text):
-            inside = F.concat(F.lit(r"(?U)\b\Q"), term, F.lit(r"\E\b"))
-            return F.when(~F.contains(text, term), 0.0).when(text == term, 2.0).when(F.regexp_like(text, inside), 1.5).otherwise(1.0)
-
-        def field(f):
-            return F.aggregate("terms", F.lit(0.0), lambda s, t: s + weigh(t, F.col(f)))
-
-        score = sum(map(field, fields), F.lit(0.0))
-        part = joined.select("query_id", key, score.alias("score")).where("score > 0")
-        out = part if out is None else out.union(part)
-        if len(rows) < block:
-            break
-    return top(out, k, key)
+    split = F.filter(F.split(F.lower(X.strip(F.col("query"))), r"(?U)\s+"), lambda t: t != "")
+    asked = queries.select("query_id", F.explode(split).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = asked.select("term").distinct()
+    n = max(1, -(-terms.count() // TERM_BLOCK))
+    blocks = terms.groupBy(F.pmod(F.xxhash64("term"), F.lit(n)).alias("block")).agg(F.collect_list("term").alias("terms")).select("terms")
+    rows = corpus.select(key, *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields]).crossJoin(F.broadcast(blocks))  # about TERM_BLOCK terms a row
+
+    def weigh(term, text):
+        inside = F.concat(F.lit(r"(?U)\b\Q"), term, F.lit(r"\E\b"))
+        return F.when(~F.contains(text, term), 0.0).when(text == term, 2.0).when(F.regexp_like(text, inside), 1.5).otherwise(1.0)
+
+    weight = lambda t: sum((weigh(t, F.col(f)) for f in fields), F.lit(0.0))
+    held = F.filter("terms", lambda t: F.contains(F.concat_ws("\n", *fields), t))  # most terms end here
+    found = rows.select(key, F.explode(F.transform(held, lambda t: F.struct(t.alias("term"), weight(t).alias("weight")))).alias("h")).select(key, "h.term", "h.weight").where("weight > 0")
+    scores = found.join(broadcast_if_small(asked), "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    return top(scores, k, key)
 
 
 def merge_field_ranks(title_hits: DataFrame, content_hits: DataFrame, key: str = "news_id") -> DataFrame:
@@ -146,15 +148,15 @@ def semantic_search(queries: DataFrame, corpus: DataFrame, threshold: float = 0.
     return vector_search(queries, corpus, k, vector, key).where(F.col("score") >= threshold)
 
 
-def keyword_search(queries: DataFrame, corpus: DataFrame, k: int, match: str = "any", fields: tuple[str, ...] = ("title", "content_text"), key: str = "news_id") -> DataFrame:
-    """Keyword hits (the best 3 * k) that hold any, all, or the whole phrase of the query's words; the best k, with their rank among these."""
-    hits = fulltext_search(queries, corpus, 3 * k, fields, key)
+def keyword_search(queries: DataFrame, corpus: DataFrame, k: int, match: str = "any", fields: tuple[str, ...] = ("title", "content_text"), key: str = "news_id", complete: bool = False) -> DataFrame:
+    """Keyword hits that hold any, all, or the whole phrase of the query's words; the best k, with their rank among these. The best 3 * k hits are looked at, or with complete all of them."""
+    if match not in ("any", "all", "phrase"):
+        raise ValueError("match is any, all or phrase")
+    hits = fulltext_search(queries, corpus, None if complete else 3 * k, fields, key)
     if match != "any":
-        joined = hits.join(queries.select("query_id", F.lower(F.trim("query")).alias("_q")), "query_id").join(corpus.select(key, F.lower(F.concat_ws(" ", *fields)).alias("_text")), key)
-        fits = F.contains("_text", "_q") if match == "phrase" else F.forall(F.filter(F.split("_q", r"\s+"), lambda t: t != ""), lambda t: F.contains("_text", t))
-        if match not in ("phrase", "all"):
-            raise ValueError("match is any, all or phrase")
-        hits = joined.where(fits).select("query_id", key, "score")
+        joined = hits.join(queries.select("query_id", F.lower(X.strip(F.col("query"))).alias("_q")), "query_id").join(corpus.select(key, F.lower(F.concat_ws(" ", *fields)).alias("_text")), key)
+        fits = F.contains("_text", "_q") if match == "phrase" else F.forall(F.filter(F.split("_q", r"(?U)\s+"), lambda t: t != ""), lambda t: F.contains("_text", t))
+        hits = joined.where(fits)
     return top(hits.select("query_id", key, "score"), k, key)
 
 

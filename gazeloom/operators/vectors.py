@@ -19,28 +19,37 @@ INDEX_ROWS, CELLS = 256, (4, 256)
 
 
 def hashing_encoder(width: int) -> Callable:
-    """The default encoder: signed hashes of words, normalised. Deterministic and without a model."""
+    """The default encoder: signed hashes of words, normalised. Deterministic and without a model. A word's first 32 bits of MD5 give its place (modulo the width) and, by the highest, its sign."""
+    known: dict[str, int] = {}
 
     def encode(texts: list[str]):
-        import zlib
+        import hashlib
 
         import numpy as np
 
         out = np.zeros((len(texts), width), np.float32)
         for row, text in enumerate(texts):
+            hashes = []
             for word in text.lower().split():
-                h = zlib.crc32(word.encode())
-                out[row, h % width] += 1 if h >> 31 else -1
+                h = known.get(word)
+                if h is None:
+                    if len(known) > 100_000:
+                        known.clear()
+                    h = known[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+                hashes.append(h)
+            h = np.array(hashes, np.int64)
+            np.add.at(out[row], h % width, np.where(h >> 31, 1, -1))
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm)
 
     return encode
 
 
-def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: Callable[[int], Callable] = hashing_encoder, normalise: bool = True, batch: int = 32) -> DataFrame:
+def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: Callable[[int], Callable] = hashing_encoder, normalise: bool = True, batch: int = 32, failures=None) -> DataFrame:
     """Adds vectors: columns maps a new column to (text column, width); encoder(width) gives a function of a list of texts.
 
-    Blank texts, and batches for which the encoder fails, give zero vectors; vectors are cut or filled with zeros to their width.
+    Blank texts, and batches for which the encoder fails, give zero vectors; vectors are cut or filled with zeros to their width. failures, an accumulator of
+    the caller (SparkContext.accumulator(0)), counts the texts whose batch failed, so that a dead encoder shows.
     """
     schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.ArrayType(T.FloatType())) for name in columns]])
 
@@ -57,6 +66,8 @@ def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: C
                     try:
                         found = np.asarray(tools[width]([frame[text].iloc[k] for k in part]), np.float32)
                     except Exception:  # noqa: BLE001  the encoder is the caller's
+                        if failures is not None:
+                            failures.add(len(part))
                         continue
                     out[part, : min(width, found.shape[1])] = found[:, :width]
                 if normalise:
@@ -101,11 +112,23 @@ def weighted_sum(a: Column, b: Column, wa: float, wb: float) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different width"))).otherwise(F.zip_with(a, b, lambda x, y: x.cast("double") * wa + y.cast("double") * wb))
 
 
+def scores(asked, sizes, rows, similarity: str):
+    """Similarities of query vectors (with their lengths) to rows, as a matrix."""
+    import numpy as np
+
+    product = asked @ rows.T
+    if similarity == "cosine":
+        scale = np.outer(sizes, np.linalg.norm(rows, axis=1))
+        return np.where(scale == 0, 0.0, np.clip(product / np.where(scale == 0, 1, scale), -1, 1))
+    far = np.sqrt(np.maximum(0, sizes[:, None] ** 2 + (rows * rows).sum(1)[None, :] - 2 * product))
+    return 1 - np.minimum(far / math.sqrt(2), 1)
+
+
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "content_embedding", key: str = "news_id", similarity: str = "cosine", exclude_self: bool = False, offset: int = 0) -> DataFrame:
     """query_id, key, score, rank of the k nearest corpus rows of each query; ties to the smaller key.
 
     queries: query_id, vector. Queries are taken in blocks of QUERY_BLOCK, a pass over the corpus each; a task keeps its best k + offset for each query
-    of the block, and only these are shuffled. Rows without a vector of the query's width never match.
+    of the block in arrays, and only these are shuffled. Rows without a vector of the query's width never match.
     """
     spark, want = queries.sparkSession, k + offset
     out = None
@@ -121,36 +144,35 @@ def vector_search(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "
             for width in {len(v) for v in vectors}:
                 own = [n for n, v in enumerate(vectors) if len(v) == width]
                 m = np.array([vectors[n] for n in own], np.float64)
-                asked[width] = ([names[n] for n in own], m, np.linalg.norm(m, axis=1))
-            best: dict[int, list] = {}
+                asked[width] = (np.array([names[n] for n in own], dtype=object), m, np.linalg.norm(m, axis=1))
+            best: dict[int, tuple] = {}  # scores, -inf where there is none, and keys, both of one row a query
             for frame in frames:
                 widths = frame[vector].map(lambda v: -1 if v is None else len(v))
                 for width, (ids, m, size) in asked.items():
                     rows = frame[widths == width]
                     if rows.empty:
                         continue
-                    c = np.stack(rows[vector].to_numpy()).astype(np.float64)
                     keys = rows[key].to_numpy()
-                    if similarity == "cosine":
-                        scale = np.outer(size, np.linalg.norm(c, axis=1))
-                        score = np.where(scale == 0, 0.0, np.clip(m @ c.T / np.where(scale == 0, 1, scale), -1, 1))
-                    else:
-                        far = np.sqrt(np.maximum(0, size[:, None] ** 2 + (c * c).sum(1)[None, :] - 2 * m @ c.T))
-                        score = 1 - np.minimum(far / math.sqrt(2), 1)
+                    order = np.argsort(keys, kind="stable")  # so that equal scores stand by key
+                    keys, c = keys[order], np.stack(rows[vector].to_numpy()[order]).astype(np.float64)
+                    score = scores(m, size, c, similarity)
                     if exclude_self:
-                        score = np.where(keys[None, :] == np.array(ids, dtype=object)[:, None], -np.inf, score)
-                    for q in range(len(ids)):
-                        own = score[q]
-                        if len(own) > want:
-                            kth = np.partition(own, len(own) - want)[len(own) - want]
-                            near = np.flatnonzero(own >= kth)
-                        else:
-                            near = np.arange(len(own))
-                        merged = best.get(width * QUERY_BLOCK + q, []) + [(-own[n], keys[n]) for n in near if own[n] > -np.inf]
-                        merged.sort()
-                        best[width * QUERY_BLOCK + q] = merged[:want]
-            rows = [(asked[n // QUERY_BLOCK][0][n % QUERY_BLOCK], i, -s) for n, found in best.items() for s, i in found]
-            yield pd.DataFrame(rows, columns=["query_id", key, "score"]).astype({"score": float})
+                        score = np.where(keys[None, :] == ids[:, None], -np.inf, score)
+                    name = np.broadcast_to(keys, score.shape)
+                    if width in best:
+                        score, name = np.concatenate([best[width][0], score], 1), np.concatenate([best[width][1], name], 1)
+                    if score.shape[1] > want:
+                        # The kth score, and all that reach it: few columns more than want, unless scores tie.
+                        kth = np.partition(score, score.shape[1] - want, axis=1)[:, score.shape[1] - want]
+                        width_kept = int((score >= kth[:, None]).sum(1).max())
+                        few = np.argpartition(-score, min(width_kept, score.shape[1]) - 1, axis=1)[:, :width_kept]
+                        score, name = np.take_along_axis(score, few, 1), np.take_along_axis(name, few, 1)
+                        tied = np.lexsort((name, -score), axis=1)[:, :want]
+                        score, name = np.take_along_axis(score, tied, 1), np.take_along_axis(name, tied, 1)
+                    best[width] = (score, name)
+            for width, (score, name) in best.items():
+                q, place = np.nonzero(score > -np.inf)
+                yield pd.DataFrame({"query_id": asked[width][0][q], key: name[q, place], "score": score[q, place]})
 
         kinds = dict(corpus.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
         found = corpus.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
@@ -204,40 +226,35 @@ def embed_tags(tags: DataFrame, manual: DataFrame | None = None, encoder: Callab
     return embed_columns(both.withColumn("_text", text), {"embedding": ("_text", width)}, encoder).drop("_text")
 
 
-def match_tags(articles: DataFrame, tags: DataFrame, threshold: float = STRICT, max_tags: int = MAX_TAGS, similarity: str = "cosine", vector: str = "content_embedding", key: str = "news_id", most: int = 200_000) -> DataFrame:
+#: Bytes of tag vectors, as 32-bit numbers, that go to every task.
+TAG_BYTES = 512 << 20
+
+
+def match_tags(articles: DataFrame, tags: DataFrame, threshold: float = STRICT, max_tags: int = MAX_TAGS, similarity: str = "cosine", vector: str = "content_embedding", key: str = "news_id", most_bytes: int = TAG_BYTES) -> DataFrame:
     """key, tag_id, score, rank: the tags of each article that are similar enough, best first. Tags (tag_id, embedding) of another width than the article's are ignored.
 
-    The tags are one matrix in every task; more than `most` tags are refused, since then an index over tags is due.
+    The tags are one matrix of 32-bit numbers a width in every task. Their bytes are summed before they are fetched; more than most_bytes are refused, since then an index over tags is due.
     """
-    rows = tags.where(F.col("embedding").isNotNull()).select("tag_id", "embedding").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} tags")
-    rows.sort(key=lambda r: r[0])
-    sent = articles.sparkSession.sparkContext.broadcast([(r[0], list(r[1])) for r in rows])
+    given = tags.where(F.col("embedding").isNotNull()).select("tag_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    size = given.agg(F.sum(4 * F.size("embedding") + 64)).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of tag vectors; the bound is {most_bytes}")
+    sent = articles.sparkSession.sparkContext.broadcast(_tag_matrices(given))
     kinds = dict(articles.dtypes) | {"tag_id": dict(tags.dtypes)["tag_id"]}
 
     def run(frames):
         import numpy as np
         import pandas as pd
 
-        by_width: dict[int, tuple] = {}
-        for width in {len(v) for _, v in sent.value}:
-            own = [(i, v) for i, v in sent.value if len(v) == width]
-            m = np.array([v for _, v in own], np.float64)
-            by_width[width] = (np.array([i for i, _ in own], dtype=object), m, np.linalg.norm(m, axis=1))
+        lengths = {width: np.linalg.norm(m.astype(np.float64), axis=1) for width, (_, m) in sent.value.items()}
         for frame in frames:
             out = []
             widths = frame[vector].map(lambda v: -1 if v is None else len(v))
-            for width, (ids, m, size) in by_width.items():
+            for width, (ids, m) in sent.value.items():
                 part = frame[widths == width]
                 if part.empty:
                     continue
-                c = np.stack(part[vector].to_numpy()).astype(np.float64)
-                if similarity == "cosine":
-                    scale = np.outer(np.linalg.norm(c, axis=1), size)
-                    score = np.where(scale == 0, 0.0, np.clip(c @ m.T / np.where(scale == 0, 1, scale), -1, 1))
-                else:
-                    score = 1 - np.minimum(np.sqrt(np.maximum(0, (c * c).sum(1)[:, None] + size[None, :] ** 2 - 2 * c @ m.T)) / math.sqrt(2), 1)
+                score = scores(m.astype(np.float64), lengths[width], np.stack(part[vector].to_numpy()).astype(np.float64), similarity).T
                 for name, row in zip(part[key], score, strict=True):
                     near = np.flatnonzero(row >= threshold)
                     near = near[np.argsort(-row[near], kind="stable")][:max_tags]
@@ -247,6 +264,27 @@ def match_tags(articles: DataFrame, tags: DataFrame, threshold: float = STRICT,
     return articles.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"{key} {kinds[key]}, tag_id {kinds['tag_id']}, score double, rank int")
 
 
+def _tag_matrices(tags: DataFrame) -> dict:
+    """Ids, in order, and vectors of the tags of each width, drawn row by row into arrays of 32-bit numbers."""
+    import numpy as np
+
+    held: dict[int, tuple[list, list]] = {}
+    for name, vector in tags.orderBy("tag_id").toLocalIterator():
+        own = held.setdefault(len(vector), ([], []))
+        own[0].append(name)
+        own[1].append(np.array(vector, np.float32))
+    return {width: (np.array(ids, dtype=object), np.stack(rows)) for width, (ids, rows) in held.items()}
+
+
+def find_tags(tags: DataFrame, query: str, k: int = 20) -> DataFrame:
+    """Tags whose name holds words of the query, by BM25 over names: the k best, with score and rank."""
+    from gazeloom.operators.retrieval import fulltext_search
+
+    asked = tags.sparkSession.createDataFrame([(0, query)], "query_id int, query string")
+    hits = fulltext_search(asked, tags, k, ("name",), "tag_id").drop("query_id")
+    return tags.join(F.broadcast(hits), "tag_id")  # at most k rows
+
+
 def merge_tags(articles: DataFrame, matches: DataFrame, key: str = "news_id") -> DataFrame:
     """Articles with matched tags behind their own ones, best first, each once."""
     found = matches.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag_id"))), lambda x: x["tag_id"]).alias("_found"))

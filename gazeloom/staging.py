@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder of our own where it is unset, as in tests."""
+    """spark.checkpoint.dir, or a local folder of our own where it is unset and the master is local, as in tests. On a cluster an unset folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not own.isDefined() and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = own.get() if own.isDefined() else "file://" + tempfile.mkdtemp(prefix="gazeloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

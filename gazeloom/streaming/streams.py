@@ -30,14 +30,26 @@ def committed(spark: SparkSession, table: str) -> list[int]:
     return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
 
 
-def stream_ingest(source: DataFrame, table: str, checkpoint: str, schema: T.StructType, trigger: dict | None = None, **options) -> StreamingQuery:
-    """Ingest each micro-batch of articles (with seq) into a table of snapshots. A batch that runs again starts from the snapshot before it and writes its own anew."""
+def forget(spark: SparkSession, table: str, numbers: list[int]) -> None:
+    """Delete the snapshots of these batches."""
+    for number in numbers:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch={number}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stream_ingest(source: DataFrame, table: str, checkpoint: str, schema: T.StructType, trigger: dict | None = None, keep: int = 3, **options) -> StreamingQuery:
+    """Ingest each micro-batch of articles (with seq) into a table of snapshots. A batch that runs again starts from the snapshot before it and writes its own anew.
+
+    The last `keep` snapshots stay (2 at least: the one a batch that runs again starts from, and its own); readers of older ones have as many batches' time. A snapshot holds
+    the whole table, so a trigger should span enough rows to be worth it.
+    """
 
     def commit(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = [b for b in committed(spark, table) if b < number]
         stored = spark.read.schema(schema).parquet(f"{table}/batch={max(before)}") if before else spark.createDataFrame([], schema)
         ingest(batch, stored, **options)["table"].write.mode("overwrite").parquet(f"{table}/batch={number}")
+        forget(spark, table, [b for b in before[: 1 - max(2, keep)] if b < number])
 
     return source.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
