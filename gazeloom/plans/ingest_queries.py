@@ -8,7 +8,8 @@ from gazeloom.functions import text as X
 from gazeloom.operators import adapt as A
 from gazeloom.operators import dedup as D
 from gazeloom.operators import ingest as I
-from gazeloom.plans.views import ARTICLES, INCOMING, STATUS, articles, incoming, norm_url_sql, table
+from gazeloom.operators.vectors import embed_tags
+from gazeloom.plans.views import ARTICLES, INCOMING, STATUS, articles, incoming, norm_url_sql, strip_sql, table, vector_sql, words_sql
 from gazeloom.sources.crawl import append_articles, read_crawl_json, write_articles_json
 from gazeloom.staging import new_path
 
@@ -29,11 +30,6 @@ def crawled(spark, sf):
 
 
 def read_crawl(spark, sf):
-    """n is the length of the first 200 characters, as in the SQL."""
-    return crawled(spark, sf).select("news_id", "url", F.element_at("tags", 1).alias("tag"), F.length(F.left("content_text", F.lit(200))).cast("long").alias("n"), "title")
-
-
-def read_crawl_whole(spark, sf):
     return crawled(spark, sf).select("news_id", "url", F.element_at("tags", 1).alias("tag"), F.length("content_text").cast("long").alias("n"), F.md5("content_text").alias("text_md5"), "title")
 
 
@@ -65,15 +61,15 @@ def crawl_records(spark, sf):
 
 
 def adapt_crawl(spark, sf):
-    a = A.adapt_crawl(crawl_records(spark, sf).where("title is not null"))
-    return a.select("news_id", "url", F.date_format("publish_date", "yyyy-MM-dd HH:mm").alias("at"), "source_site", "author", F.array_join("tags", ",").alias("tags"), F.md5("content_markdown").alias("markdown_md5"), F.md5("content_text").alias("text_md5"), F.array_join("attachments", ",").alias("attachments"), F.get_json_object("metadata", "$.label").alias("label"), F.get_json_object("metadata", "$.is_page").alias("is_page"))
+    a = A.adapt_crawl(crawl_records(spark, sf))
+    return a.select("news_id", F.when(F.expr("substr(url, 10)").cast("long") % 6 != 0, F.col("title")).alias("title"), "url", F.date_format("publish_date", "yyyy-MM-dd HH:mm").alias("at"), "source_site", "author", F.array_join("tags", ",").alias("tags"), F.md5("content_markdown").alias("markdown_md5"), F.md5("content_text").alias("text_md5"), F.array_join("attachments", ",").alias("attachments"), F.get_json_object("metadata", "$.label").alias("label"), F.get_json_object("metadata", "$.is_page").alias("is_page"))
 
 
-ADAPT_SQL = """SELECT CASE WHEN doc_id % 3 = 0 THEN 'id' || doc_id ELSE left(md5('http://h/' || doc_id), 16) END AS news_id, 'http://h/' || doc_id AS url,
+ADAPT_SQL = """SELECT CASE WHEN doc_id % 3 = 0 THEN 'id' || doc_id ELSE left(md5('http://h/' || doc_id), 16) END AS news_id, CASE WHEN doc_id % 6 <> 0 THEN coalesce(nullif(left(text, 30), ''), '') END AS title, 'http://h/' || doc_id AS url,
   CASE WHEN doc_id % 2 = 1 THEN '2024-03-05 00:00' ELSE '2024-02-01 10:30' END AS at, CASE WHEN doc_id % 7 <> 0 THEN source ELSE '未知来源' END AS source_site, CASE WHEN doc_id % 5 <> 0 THEN lang ELSE '未知作者' END AS author,
   CASE WHEN doc_id % 4 = 0 THEN lang || ',' || source ELSE lang END AS tags, md5(CASE WHEN doc_id % 8 = 0 THEN '# Head' || chr(10) || 'body' ELSE text END) AS markdown_md5, md5(text) AS text_md5,
   CASE WHEN doc_id % 2 = 1 THEN 'a.pdf' ELSE '' END AS attachments, CASE WHEN doc_id % 4 = 0 THEN source END AS label, CASE WHEN doc_id % 2 = 1 THEN 'true' ELSE 'false' END AS is_page
-FROM documents WHERE doc_id % 6 <> 0"""
+FROM documents"""
 
 
 def submissions(spark, sf):
@@ -97,9 +93,10 @@ def dirty(spark, sf):
     n = F.col("doc_id")
     return articles(spark, sf).withColumns(
         {
-            "news_id": F.when(n % 19 == 0, " ").when(n % 13 == 0, F.concat("news_id", F.lit("!"))).otherwise(F.col("news_id")),
+            "news_id": F.when(n % 19 == 0, "\t\n").when(n % 13 == 0, F.concat("news_id", F.lit("!"))).otherwise(F.col("news_id")),
             "url": F.when(n % 11 == 0, F.concat(F.lit("ftp://h/"), n.cast("string"))).when(n % 7 == 0, "nohost").otherwise(F.col("url")),
-            "content_text": F.when(n % 5 == 0, "short").when(n % 29 == 0, "   ").otherwise(F.col("content_text")),
+            "content_text": F.when(n % 5 == 0, "short").when(n % 29 == 0, "\n" * 20 + "\t ").otherwise(F.col("content_text")),
+            "title": F.when(n % 31 == 0, " \n\t").otherwise(F.col("title")),
         }
     )
 
@@ -110,14 +107,14 @@ def validate(spark, sf):
 
 
 VALIDATE_SQL = f"""WITH {ARTICLES}, dirty AS (
-  SELECT doc_id, title, CASE WHEN doc_id % 19 = 0 THEN ' ' WHEN doc_id % 13 = 0 THEN news_id || '!' ELSE news_id END AS news_id,
+  SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN ' ' || chr(10) || chr(9) ELSE title END AS title, CASE WHEN doc_id % 19 = 0 THEN chr(9) || chr(10) WHEN doc_id % 13 = 0 THEN news_id || '!' ELSE news_id END AS news_id,
     CASE WHEN doc_id % 11 = 0 THEN 'ftp://h/' || doc_id WHEN doc_id % 7 = 0 THEN 'nohost' ELSE url END AS url,
-    CASE WHEN doc_id % 5 = 0 THEN 'short' WHEN doc_id % 29 = 0 THEN '   ' ELSE content_text END AS content_text FROM articles
+    CASE WHEN doc_id % 5 = 0 THEN 'short' WHEN doc_id % 29 = 0 THEN repeat(chr(10), 20) || chr(9) || ' ' ELSE content_text END AS content_text FROM articles
 ), checked AS (
-  SELECT doc_id, news_id, list_filter([CASE WHEN trim(news_id) = '' THEN 'missing:news_id' END, CASE WHEN trim(title) = '' OR title IS NULL THEN 'missing:title' END,
+  SELECT doc_id, news_id, list_filter([CASE WHEN {strip_sql('news_id')} = '' THEN 'missing:news_id' END, CASE WHEN {strip_sql('title')} = '' OR title IS NULL THEN 'missing:title' END,
     CASE WHEN url LIKE 'ftp%' OR url = 'nohost' THEN 'url:scheme' END, CASE WHEN url = 'nohost' THEN 'url:host' END, CASE WHEN url LIKE 'ftp%' OR url = 'nohost' THEN 'url:domain' END,
-    CASE WHEN trim(content_text) = '' THEN 'content:blank' WHEN length(content_text) NOT BETWEEN 10 AND 1000000 THEN 'content:length' END], lambda x: x IS NOT NULL) AS e FROM dirty)
-SELECT doc_id, array_to_string(e, ',') AS errors, CASE WHEN trim(news_id) <> '' AND NOT regexp_matches(news_id, '^[a-zA-Z0-9_\\-]+$') THEN 'news_id:characters' ELSE '' END AS warnings, len(e) = 0 AS is_valid FROM checked"""
+    CASE WHEN {strip_sql('content_text')} = '' THEN 'content:blank' WHEN length(content_text) NOT BETWEEN 10 AND 1000000 THEN 'content:length' END], lambda x: x IS NOT NULL) AS e FROM dirty)
+SELECT doc_id, array_to_string(e, ',') AS errors, CASE WHEN {strip_sql('news_id')} <> '' AND NOT regexp_matches(news_id, '^[a-zA-Z0-9_\\-]+$') THEN 'news_id:characters' ELSE '' END AS warnings, len(e) = 0 AS is_valid FROM checked"""
 
 
 def normalize_dates(spark, sf):
@@ -147,16 +144,34 @@ def clean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(X.clean_text(raw)).alias("clean_md5"), X.clean_text(raw, 50).alias("cut"))
 
 
-CLEAN_SQL = """WITH t AS (SELECT doc_id, trim(regexp_replace('& ' || replace(nfc_normalize(text), chr(13), chr(10)) || ' <x>', '\\s+', ' ', 'g')) AS c FROM documents WHERE text NOT LIKE '%&%;%')
+#: Entities decoded by the SQL, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def decoded_sql(c: str) -> str:
+    for entity, text in ENTITIES:
+        c = f"replace({c}, '{entity}', '{text}')"
+    return c
+
+
+CLEAN_SQL = f"""WITH t AS (SELECT doc_id, {strip_sql("regexp_replace(" + decoded_sql("' &amp; ' || replace(nfc_normalize(text), chr(13), chr(10)) || ' &lt;x&gt; '") + ", '[\\s\u00a0]+', ' ', 'g')")} AS c FROM documents)
 SELECT doc_id, md5(c) AS clean_md5, CASE WHEN length(c) > 50 THEN left(c, 47) || '...' ELSE c END AS cut FROM t"""
 
+HEAD = "# Head\n\n![img](u.png) [word](http://l) **bold** `code`\n> quote\n- item\n1. one\n---\n"
+
 
 def markdown(spark, sf):
-    md = F.concat(F.lit("# Head\n\n![img](u.png) [word](http://l) **bold** `code`\n> quote\n- item\n1. one\n---\n"), F.regexp_replace("text", r"[*_`#>\[\]()~-]", ""))
-    return table(spark, sf, "documents").select("doc_id", F.md5(X.markdown_to_text(md)).alias("text_md5"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(X.markdown_to_text(F.concat(F.lit(HEAD), "text"))).alias("text_md5"))
+
 
+def text_sql(c: str) -> str:
+    """markdown_to_text of an expression, by DuckDB's own expressions."""
+    for pattern, to in X.MARKDOWN_MARKS:
+        c = f"regexp_replace({c}, '{pattern}', '{to.replace('$', chr(92))}', 'g')"
+    return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
-MARKDOWN_SQL = """SELECT doc_id, md5(trim('Head img word bold quote item one ' || trim(regexp_replace(regexp_replace(text, '[*_`#>\\[\\]()~-]', '', 'g'), '\\s+', ' ', 'g')))) AS text_md5 FROM documents"""
+
+MARKDOWN_SQL = f"SELECT doc_id, md5({text_sql(f"'{HEAD}' || text")}) AS text_md5 FROM documents"
 
 
 def repaired(spark, sf):
@@ -164,6 +179,12 @@ def repaired(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(X.repair_markdown(md)).alias("repaired_md5"))
 
 
+REPAIRED_SQL = """WITH t AS (SELECT doc_id, list_concat([''], string_split(regexp_replace(text, '[*|\\-:#!`]', '', 'g'), chr(10))) AS ls FROM documents),
+k AS (SELECT doc_id, ls, list_transform(ls, lambda x: regexp_full_match(x, '[\\s\u00a0]*')) AS bare FROM t),
+o AS (SELECT doc_id, list_transform(list_filter(range(1, len(ls) + 1), lambda i: i = 1 OR NOT (bare[i] AND bare[i - 1])), lambda i: CASE WHEN bare[i] THEN '' WHEN bare[i - 1] THEN ls[i] ELSE chr(10) || ls[i] END) AS o FROM k)
+SELECT doc_id, md5('ab' || chr(10) || chr(10) || 'cd' || chr(10) || 'x | y' || chr(10) || '|-|-|' || chr(10) || array_to_string(o, chr(10))) AS repaired_md5 FROM o"""
+
+
 def titles(spark, sf):
     t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x\n## Head of it \n"), "text")).otherwise(F.regexp_replace("text", r"[*_`#>\[\]()~\-+0-9&]", ""))
     return table(spark, sf, "documents").select("doc_id", X.first_sentence_title(t).alias("title"))
@@ -176,16 +197,15 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Head of it' WHEN length(s) <= 100
 
 
 def content_titles(spark, sf):
-    n = F.col("doc_id")
-    t = F.when(n % 4 == 0, F.concat(F.lit("line\n【通知】About "), F.col("source"), F.lit("\nrest"))).when(n % 4 == 1, F.concat(F.lit("\n# Title "), "source")).when(n % 4 == 2, F.concat(F.lit("于5月28日"), F.lit("举行。"))).otherwise(F.lit("![x](y)"))
-    return table(spark, sf, "documents").select("doc_id", X.title_from_content(t).alias("title"), X.date_from_content(t).alias("date"))
-
-
-def content_titles_whole(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.title_from_content(F.col("text")).alias("title"), X.date_from_content(F.col("text")).alias("date"))
 
 
-CONTENT_SQL = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'About ' || source WHEN 1 THEN 'Title ' || source WHEN 2 THEN '于5月28日举行' ELSE '' END AS title, CASE WHEN doc_id % 4 = 2 THEN '5月28日' ELSE '' END AS date FROM documents"""
+CONTENT_SQL = f"""WITH t AS (SELECT doc_id, text, list_transform(string_split({strip_sql("text")}, chr(10)), lambda x: {strip_sql("x")}) AS ls, {strip_sql("regexp_extract(text, '^[^。.]*')")} AS first FROM documents),
+c AS (SELECT *, list_concat(
+    list_transform(ls[1:5], lambda x: coalesce(CASE WHEN length({strip_sql("regexp_extract(x, '【[^】]+】(.+)', 1)")}) > 2 THEN {strip_sql("regexp_extract(x, '【[^】]+】(.+)', 1)")} END, CASE WHEN length({strip_sql("regexp_extract(x, '【(.+)】', 1)")}) > 3 THEN {strip_sql("regexp_extract(x, '【(.+)】', 1)")} END)),
+    list_transform(ls[1:3], lambda x: CASE WHEN starts_with(x, '#') AND length({strip_sql("regexp_replace(x, '^#+', '')")}) > 2 THEN {strip_sql("regexp_replace(x, '^#+', '')")} END)) AS found FROM t)
+SELECT doc_id, coalesce(list_filter(found, lambda x: x IS NOT NULL)[1], CASE WHEN first = '' OR starts_with(first, '![') THEN '' WHEN length(first) > 100 THEN left(first, 100) || '...' ELSE first END) AS title,
+  coalesce(regexp_extract(text, '([0-9]{{1,2}}年)?[0-9]{{1,2}}月[0-9]{{1,2}}[日号]'), '') AS date FROM c"""
 
 
 def normalized_rows(spark, sf):
@@ -193,17 +213,12 @@ def normalized_rows(spark, sf):
     return A.normalize_records(articles(spark, sf).withColumn("content_text", F.when(F.col("doc_id") % 2 == 0, F.col("content_text"))).withColumn("crawl_version", F.when(F.col("doc_id") % 4 != 0, F.col("crawl_version"))))
 
 
-def normalized_whole(spark, sf):
-    return normalized_rows(spark, sf).select("news_id", "title", _day("publish_date").alias("day"), F.md5("content_text").alias("text_md5"), "crawl_version", "metadata")
-
-
 def normalized(spark, sf):
-    """The rows of the SQL, which cannot derive text from markdown."""
-    return normalized_rows(spark, sf).where("doc_id % 2 = 0").select("news_id", "title", _day("publish_date").alias("day"), F.md5("content_text").alias("text_md5"), "crawl_version", "metadata")
+    return normalized_rows(spark, sf).select("news_id", "title", _day("publish_date").alias("day"), F.md5("content_text").alias("text_md5"), "crawl_version", "metadata")
 
 
-NORMALIZED_SQL = f"""WITH {ARTICLES} SELECT news_id, title, strftime(publish_date, '%Y-%m-%d') AS day, md5(content_text) AS text_md5, CASE WHEN doc_id % 4 <> 0 THEN crawl_version ELSE 1 END AS crawl_version,
-  CASE WHEN doc_id % 5 = 0 THEN '{{"label":"' || meta_label || '","detail_url":"' || meta_url || '","is_page":false}}' WHEN doc_id % 5 = 1 THEN '{{bad' END AS metadata FROM articles WHERE doc_id % 2 = 0 AND trim(title) <> ''"""
+NORMALIZED_SQL = f"""WITH {ARTICLES} SELECT news_id, CASE WHEN {strip_sql('title')} <> '' THEN title ELSE '' END AS title, strftime(publish_date, '%Y-%m-%d') AS day, md5(CASE WHEN doc_id % 2 = 0 AND {strip_sql('content_text')} <> '' THEN content_text ELSE {text_sql('content_text')} END) AS text_md5, CASE WHEN doc_id % 4 <> 0 THEN crawl_version ELSE 1 END AS crawl_version,
+  CASE WHEN doc_id % 5 = 0 THEN '{{"label":"' || meta_label || '","detail_url":"' || meta_url || '","is_page":false}}' WHEN doc_id % 5 = 1 THEN '{{bad' END AS metadata FROM articles"""
 
 
 def urls(spark, sf):
@@ -240,6 +255,13 @@ def near(spark, sf):
     return D.near_duplicates(rows).select("seq", "simhash", "is_near_duplicate")
 
 
+#: Rows one after the other, in order of doc_id, against the fingerprints kept so far.
+NEAR_SQL = SIMHASH_SQL.replace("SELECT d.doc_id, CAST(", ", f AS MATERIALIZED (SELECT d.doc_id, text, CAST(").replace("AS simhash FROM documents d LEFT JOIN s USING (doc_id)", f"""AS simhash FROM documents d LEFT JOIN s USING (doc_id)),
+r AS MATERIALIZED (SELECT simhash, min(doc_id) AS doc_id, CAST(row_number() OVER (ORDER BY min(doc_id)) AS INTEGER) AS n FROM f WHERE {strip_sql("text")} <> '' GROUP BY simhash),
+g(n, kept, near) AS (SELECT 0, CAST([] AS BIGINT[]), false UNION ALL SELECT r.n, CASE WHEN len(list_filter(kept, lambda k: bit_count(xor(k, simhash)) <= 3)) > 0 THEN kept ELSE list_append(kept, simhash) END, len(list_filter(kept, lambda k: bit_count(xor(k, simhash)) <= 3)) > 0 FROM g JOIN r ON r.n = g.n + 1)
+SELECT f.doc_id AS seq, f.simhash, coalesce({strip_sql("text")} <> '' AND (g.near OR f.doc_id > r.doc_id), false) AS is_near_duplicate FROM f LEFT JOIN r USING (simhash) LEFT JOIN g USING (n)""").replace("WITH t AS", "WITH RECURSIVE t AS", 1)
+
+
 def classified(spark, sf):
     return D.classify_incoming(incoming(spark, sf), articles(spark, sf)).select("seq", "news_id", "status")
 
@@ -282,8 +304,8 @@ def by_ids(spark, sf):
 
 
 def ingested(spark, sf):
-    """The classified batch against the stored articles, all steps."""
-    return I.classify(incoming(spark, sf).drop("doc_id"), articles(spark, sf))
+    """The statuses of a batch against the stored articles, all steps."""
+    return I.statuses(incoming(spark, sf).drop("doc_id"), articles(spark, sf))
 
 
 def statuses(spark, sf):
@@ -294,6 +316,32 @@ def summary(spark, sf):
     return I.ingest_summary(ingested(spark, sf))
 
 
+def source_tags(spark, sf):
+    """A tag for each source, named by a text of it, so that their number grows with the table's sources; embedded by their names."""
+    named = table(spark, sf, "documents").where(F.length("text") > 0).groupBy("source").agg(F.min(F.struct("doc_id", F.left("text", F.lit(400)).alias("text"))).alias("m"))
+    tags = named.select(F.concat(F.lit("tag_"), "source").alias("tag_id"), F.col("m.text").alias("name"), F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("category"))
+    return embed_tags(tags, width=64)
+
+
+def ingest_all(spark, sf):
+    """Every step: faults, duplicates, near-duplicates, vectors, tags, and the writing, which fails for one of two tables; the rows to write with their tags, and all statuses."""
+    raw, stored = incoming(spark, sf).drop("doc_id"), articles(spark, sf).drop("doc_id")
+
+    def broken(table):
+        raise OSError("no room")
+
+    vectors = {"content_embedding": ("content_text", 64)}
+    done = I.ingest(raw, stored, vectors=vectors, tags=source_tags(spark, sf), threshold=0.5)
+    failed = I.ingest(raw, stored, write=broken)["statuses"].where("status = 'error'").select("seq", "message")
+    rows = done["statuses"].join(failed, "seq", "left").join(done["articles"].select("seq", F.array_join(F.array_sort("tags"), ",").alias("tags")), "seq", "left")
+    return rows.select("seq", "news_id", "status", F.coalesce(failed["message"], F.lit("")).alias("fault"), "tags")
+
+
+def ingest_near(spark, sf):
+    """Statuses where near-duplicates within the batch count as duplicates."""
+    return I.statuses(incoming(spark, sf).drop("doc_id"), articles(spark, sf), near=True).select("seq", "status")
+
+
 def ingest_table(spark, sf):
     a = articles(spark, sf).drop("doc_id")
     done = I.ingest(incoming(spark, sf).drop("doc_id"), a)
@@ -301,20 +349,30 @@ def ingest_table(spark, sf):
 
 
 INGEST = f"""WITH {ARTICLES}, {INCOMING}, {STATUS}, titled AS (
-  SELECT *, CASE WHEN trim(coalesce(title, '')) = '' OR length(content_text) NOT BETWEEN 10 AND 1000000 OR trim(content_text) = '' THEN 'invalid' END AS bad FROM checked
+  SELECT *, CASE WHEN {strip_sql("coalesce(title, '')")} = '' OR length(content_text) NOT BETWEEN 10 AND 1000000 OR {strip_sql('content_text')} = '' THEN 'invalid' END AS bad FROM checked
 ), valid AS (SELECT seq, seq > min(seq) OVER (PARTITION BY nurl) AS dup FROM titled WHERE bad IS NULL),
 final AS (SELECT t.*, CASE WHEN bad IS NOT NULL THEN 'invalid' WHEN v.dup THEN 'duplicate' WHEN kind = 'new' THEN 'success' ELSE kind END AS status FROM titled t LEFT JOIN valid v USING (seq))"""
 
+INGEST_ALL_SQL = f"""{INGEST}, named AS (SELECT source, arg_min(left(text, 400), doc_id) || ': ' AS text FROM documents WHERE length(text) > 0 GROUP BY source),
+dw AS (SELECT seq AS id, {words_sql("content_text")} AS w FROM final WHERE status IN ('success', 'upsert')), tw AS (SELECT 'tag_' || source AS id, {words_sql("text")} AS w FROM named),
+dv AS ({vector_sql("dw", 64)}), tv AS ({vector_sql("tw", 64)}),
+dl AS (SELECT id, sqrt(sum(x * x)) AS n FROM dv GROUP BY id), tl AS (SELECT id, sqrt(sum(x * x)) AS n FROM tv GROUP BY id),
+c AS (SELECT d.id AS seq, t.id AS tag_id, round(sum(d.x * t.x) / any_value(dl.n) / any_value(tl.n), 6) AS s FROM dv d JOIN tv t USING (i) JOIN dl ON dl.id = d.id JOIN tl ON tl.id = t.id GROUP BY ALL),
+m AS (SELECT seq, tag_id, row_number() OVER (PARTITION BY seq ORDER BY s DESC, tag_id) AS rank FROM c WHERE s >= 0.5), g AS (SELECT seq, list(tag_id ORDER BY rank) AS t FROM m WHERE rank <= 5 GROUP BY seq)
+SELECT f.seq, f.news_id, f.status, CASE WHEN f.status IN ('success', 'upsert') THEN 'no room' ELSE '' END AS fault, CASE WHEN f.status IN ('success', 'upsert') THEN array_to_string(list_sort(list_concat(f.tags, coalesce(g.t, []))), chr(44)) END AS tags FROM final f LEFT JOIN g USING (seq)"""
+
 QUERIES = {
-    "read_crawl_json": read_crawl, "read_crawl_json_whole": read_crawl_whole, "write_articles_json": articles_json, "append_articles": appended, "adapt_crawl": adapt_crawl, "adapt_submission": adapt_submission, "validate_documents": validate,
-    "normalize_datetime": normalize_dates, "format_date": dates, "clean_text": clean, "markdown_to_text": markdown, "repair_markdown": repaired, "first_sentence_title": titles, "title_from_content": content_titles, "title_from_content_whole": content_titles_whole,
-    "normalize_records_whole": normalized_whole, "normalize_records": lambda s, d: normalized(s, d).where(F.trim("title") != ""), "normalize_url": urls, "safe_filter": filtered, "dedup_batch": dedup, "simhash": fingerprints, "hamming": hamming, "near_duplicates": near, "classify_incoming": classified,
-    "upsert": upserted, "upsert_update_only": updated, "partial_update": partial, "delete_ids": deleted, "existing_urls": known_urls, "fetch_by_ids": by_ids, "ingest_statuses": statuses, "ingest_summary": summary, "ingest_table": ingest_table,
+    "read_crawl_json": read_crawl, "write_articles_json": articles_json, "append_articles": appended, "adapt_crawl": adapt_crawl, "adapt_submission": adapt_submission, "validate_documents": validate,
+    "normalize_datetime": normalize_dates, "format_date": dates, "clean_text": clean, "markdown_to_text": markdown, "repair_markdown": repaired, "first_sentence_title": titles, "title_from_content": content_titles,
+    "normalize_records": normalized, "normalize_url": urls, "safe_filter": filtered, "dedup_batch": dedup, "simhash": fingerprints, "hamming": hamming, "near_duplicates": near, "classify_incoming": classified,
+    "upsert": upserted, "upsert_update_only": updated, "partial_update": partial, "delete_ids": deleted, "existing_urls": known_urls, "fetch_by_ids": by_ids, "ingest_statuses": statuses, "ingest_summary": summary, "ingest_table": ingest_table, "ingest_all": ingest_all, "ingest_near": ingest_near,
 }
 
 ORACLE_SQL = {
-    "read_crawl_json": "SELECT 'c' || doc_id AS news_id, 'http://x/' || doc_id AS url, source AS tag, CAST(length(left(text, 200)) AS BIGINT) AS n, left(text, 40) AS title FROM documents",
-    "read_crawl_json_whole": "SELECT 'c' || doc_id AS news_id, 'http://x/' || doc_id AS url, source AS tag, CAST(length(text) AS BIGINT) AS n, md5(text) AS text_md5, left(text, 40) AS title FROM documents",
+    "read_crawl_json": "SELECT 'c' || doc_id AS news_id, 'http://x/' || doc_id AS url, source AS tag, CAST(length(text) AS BIGINT) AS n, md5(text) AS text_md5, left(text, 40) AS title FROM documents",
+    "repair_markdown": REPAIRED_SQL,
+    "near_duplicates": NEAR_SQL,
+    "ingest_all": INGEST_ALL_SQL,
     "write_articles_json": f"WITH {ARTICLES} SELECT news_id, strftime(publish_date, '%Y-%m-%d') AS day, array_to_string(tags, ',') AS tags FROM articles",
     "append_articles": f"WITH {ARTICLES} SELECT news_id, '未知作者' AS author, CAST(0 AS INTEGER) AS n_tags, crawl_version FROM articles WHERE doc_id % 2 = 0 OR doc_id % 9 <> 0",
     "adapt_crawl": ADAPT_SQL,

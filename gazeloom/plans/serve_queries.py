@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazeloom.functions import html as H
 from gazeloom.functions import text as X
@@ -15,7 +16,7 @@ from gazeloom.operators import reviews as W
 from gazeloom.operators import vectors as V
 from gazeloom.operators.adapt import adapt_submission
 from gazeloom.plans.ingest_queries import INGEST, submissions
-from gazeloom.plans.views import ARTICLES, LIST_PAGES, REQUESTS, api_keys, articles, list_pages, requests, table
+from gazeloom.plans.views import ARTICLES, LIST_PAGES, REQUESTS, api_keys, articles, list_pages, requests, strip_sql, table, vector_sql, words_sql
 from gazeloom.sources.crawl import read_app_logs
 from gazeloom.staging import new_path
 from gazeloom.streaming import streams as S
@@ -79,17 +80,34 @@ def report(spark, sf):
     return D.crawl_report(list_pages(spark, sf).withColumn("source", F.lit("")))
 
 
-HOST = "regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+#: Entities that the pages hold.
+PAGE_ENTITIES = (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def page_text_sql(c: str, entities=PAGE_ENTITIES) -> str:
+    """Text of HTML: scripts, styles, comments and tags give way to a space, entities are decoded, white space is single spaces."""
+    c = f"regexp_replace({c}, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g')"
+    for entity, text in entities:
+        c = f"replace({c}, '{entity}', '{text}')"
+    return f"trim(regexp_replace({c}, '[\\s\u00a0]+', ' ', 'g'))"
 
-# --- vectors
 
+STRIPPED_SQL = f"SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n FROM (SELECT page_id, {page_text_sql('html')} AS t FROM pages)"
+METADATA_SQL = f"""WITH p AS (SELECT page_id, {page_text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h, {page_text_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS t FROM pages)
+SELECT page_id, CASE WHEN h <> '' THEN h ELSE t END AS title, '' AS date, '' AS author FROM p"""
+TABLES_SQL = f"""SELECT page_id, '<table align="left"><tr><td colspan="2">' || replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&quot;', '"'), '&middot;', '·'), '&copy;', '©') || '</td><td></td></tr></table>' AS table FROM pages"""
+CLEANED_SQL = f"""WITH {ARTICLES}, t AS (SELECT news_id, title, string_split('|--|' || chr(10) || title || chr(10) || chr(10) || '2024-01-02' || chr(10) || content_text, chr(10)) AS ls FROM articles),
+l AS (SELECT *, list_transform(ls, lambda x: {strip_sql("x")}) AS s FROM t),
+h AS (SELECT *, list_filter(range(1, len(s) + 1), lambda i: NOT (s[i] = '' OR regexp_full_match(s[i], '[|-]+') OR (title <> '' AND contains(s[i], title)) OR (i <= 5 AND contains(s[i], '2024-01-02'))))[1] AS begin FROM l)
+SELECT news_id, {strip_sql("array_to_string(list_append(CASE WHEN begin IS NULL THEN [] ELSE list_transform(list_filter(range(begin, len(s) + 1), lambda i: s[i] <> '2024-01-02'), lambda i: ls[i]) END, 'end'), chr(10))")} AS markdown FROM h"""
 
-def queries_(spark, sf, n=20):
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+HOST = "regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+
+# --- vectors
 
 
-def shared_queries(spark, sf):
-    """A share of the vectors that grows with the table. The query set of the queries named ..._whole; the others keep the 20 rows of their SQL."""
+def queries_(spark, sf):
+    """A share of the vectors that grows with the table."""
     return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
@@ -111,42 +129,72 @@ def vector_ops(spark, sf):
 
 def embedded(spark, sf):
     out = V.embed_columns(articles(spark, sf).select("news_id", "title", "content_text"), {"title_embedding": ("title", 384), "content_embedding": ("content_text", 1024)})
-    return out.select("news_id", F.size("title_embedding").alias("title_width"), F.size("content_embedding").alias("content_width"), F.round(V.norm(F.col("content_embedding")), 4).alias("length"))
+    return out.select("news_id", *[c for name, short in (("title_embedding", "title"), ("content_embedding", "content")) for c in (F.size(name).alias(f"{short}_width"), *value_sums(name, short))])
+
 
+def value_sums(vector, name):
+    """Sums over a vector in which each place has another weight, so that two vectors with the same sums are the same."""
+    places = lambda f: F.aggregate(F.transform(vector, f), F.lit(0.0), lambda s, x: s + x)
+    return F.round(places(lambda x, i: x * (i % 97 + 1)), 2).alias(f"{name}_a"), F.round(places(lambda x, i: x * ((i * 31) % 89 - 44)), 2).alias(f"{name}_b")
 
-#: The tags of the queries named ..._whole, a share of the vectors that grows with the table.
+
+def value_sums_sql(vectors, name):
+    """The same sums from rows of (id, i, x)."""
+    return f"SELECT id, round(sum(x * (i % 97 + 1)) / sqrt(sum(x * x)), 2) AS {name}_a, round(sum(x * ((i * 31) % 89 - 44)) / sqrt(sum(x * x)), 2) AS {name}_b FROM ({vectors}) GROUP BY id"
+
+
+EMBED_SQL = f"""WITH {ARTICLES}, tw AS (SELECT news_id AS id, {words_sql("title")} AS w FROM articles), cw AS (SELECT news_id AS id, {words_sql("content_text")} AS w FROM articles),
+t AS ({value_sums_sql(vector_sql("tw", 384), "title")}), c AS ({value_sums_sql(vector_sql("cw", 1024), "content")})
+SELECT news_id, 384 AS title_width, coalesce(title_a, 0.0) AS title_a, coalesce(title_b, 0.0) AS title_b, 1024 AS content_width, coalesce(content_a, 0.0) AS content_a, coalesce(content_b, 0.0) AS content_b
+FROM articles a LEFT JOIN t ON t.id = a.news_id LEFT JOIN c ON c.id = a.news_id"""
+
+
+#: The rows that tags come from, a share of the vectors that grows with the table.
 SHARED_TAGS = "vec_id % 50 = 0"
 
 
-def tags_(spark, sf, which="vec_id < 10"):
+def tags_(spark, sf, which=SHARED_TAGS):
     return table(spark, sf, "embeddings").where(which).select(F.concat(F.lit("tag_"), F.col("vec_id").cast("string")).alias("tag_id"), F.concat(F.lit("name"), F.col("vec_id").cast("string")).alias("name"), F.lit(None).cast("string").alias("description"), F.concat(F.lit("c"), (F.col("label") % 3).cast("string")).alias("category"), "embedding")
 
 
-def tag_embeddings(spark, sf, which="vec_id < 10"):
-    t = tags_(spark, sf, which).drop("embedding")
-    return V.embed_tags(t.where("tag_id < 'tag_5'"), t.where("tag_id >= 'tag_5'").withColumn("category", F.lit(None).cast("string")), width=64).select("tag_id", "category", F.size("embedding").alias("width"))
+def tag_embeddings(spark, sf):
+    t = tags_(spark, sf).drop("embedding").withColumn("description", F.when(F.col("tag_id") < "tag_3", F.concat(F.lit("about "), "category")))
+    out = V.embed_tags(t.where("tag_id < 'tag_2'"), t.where("tag_id >= 'tag_2'").withColumn("category", F.lit(None).cast("string")), width=64)
+    return out.select("tag_id", "category", F.size("embedding").alias("width"), *value_sums("embedding", "sum"))
 
 
-def matched(spark, sf):
-    return V.match_tags(corpus(spark, sf).where("news_id >= 10"), tags_(spark, sf), V.RELAXED).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
+EMBED_TAGS_SQL = f"""WITH t AS (SELECT 'tag_' || vec_id AS tag_id, 'c' || (label % 3) AS category, 'name' || vec_id || ': ' || CASE WHEN 'tag_' || vec_id < 'tag_3' THEN 'about c' || (label % 3) ELSE '' END AS text FROM embeddings WHERE {SHARED_TAGS}),
+w AS (SELECT tag_id AS id, {words_sql("text")} AS w FROM t), v AS ({value_sums_sql(vector_sql("w", 64), "sum")})
+SELECT tag_id, CASE WHEN tag_id < 'tag_2' THEN category ELSE 'general' END AS category, 64 AS width, sum_a, sum_b FROM t JOIN v ON v.id = t.tag_id"""
 
 
-def matched_whole(spark, sf):
-    return V.match_tags(corpus(spark, sf), tags_(spark, sf, SHARED_TAGS), V.RELAXED).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
+#: Least similarity of a tag; the vectors here are seldom nearer.
+TAGGED_FROM = 0.3
 
 
-def merged_tags_whole(spark, sf):
-    a = articles(spark, sf, vectors=True)
-    return V.merge_tags(a, V.match_tags(a, tags_(spark, sf, SHARED_TAGS), V.RELAXED)).select("news_id", F.array_join("tags", ",").alias("tags"))
+def matched(spark, sf):
+    return V.match_tags(corpus(spark, sf), tags_(spark, sf), TAGGED_FROM).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
 
 
 def merged_tags(spark, sf):
-    a = articles(spark, sf, vectors=True).where("doc_id >= 10")
-    return V.merge_tags(a, V.match_tags(a, tags_(spark, sf), V.RELAXED)).select("news_id", F.array_join("tags", ",").alias("tags"))
+    a = articles(spark, sf, vectors=True)
+    return V.merge_tags(a, V.match_tags(a, tags_(spark, sf), TAGGED_FROM)).select("news_id", F.array_join("tags", ",").alias("tags"))
+
+
+def like_tags(spark, sf):
+    return V.similar_tags(corpus(spark, sf), tags_(spark, sf), 3, 0.2).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
 
 
-def like_tags(spark, sf, which="vec_id < 10"):
-    return V.similar_tags(corpus(spark, sf), tags_(spark, sf, which), 3, 0.2).select("news_id", "tag_id", F.round("score", 6).alias("score"), "rank")
+def named_tags(spark, sf):
+    """Tags of the sources, by the words of their names."""
+    names = table(spark, sf, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).select(F.concat_ws("_", "source", "lang").alias("tag_id"), F.concat_ws(" ", "source", "lang", "source").alias("name"))
+    return V.find_tags(names, "src3 FR nothing", 10).select("tag_id", F.round("score", 6).alias("score"), "rank")
+
+
+NAMED_SQL = """WITH t AS (SELECT DISTINCT source || '_' || lang AS tag_id, source, lang FROM documents), n AS (SELECT count(*) AS n FROM t),
+w AS (SELECT tag_id, 'src3' AS term, 2 AS tf FROM t WHERE source = 'src3' UNION ALL SELECT tag_id, 'fr', 1 FROM t WHERE lang = 'fr'), d AS (SELECT term, count(*) AS df FROM w GROUP BY term),
+s AS (SELECT tag_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 9) AS s FROM w JOIN d USING (term), n GROUP BY tag_id)
+SELECT tag_id, round(s, 6) AS score, CAST(row_number() OVER (ORDER BY s DESC, tag_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10"""
 
 
 def nearest(spark, sf, queries=queries_):
@@ -158,7 +206,7 @@ def approximate(spark, sf, queries=queries_):
 
 
 def semantic(spark, sf, queries=queries_):
-    return R.semantic_search(queries(spark, sf), corpus(spark, sf), 0.5, 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
+    return R.semantic_search(queries(spark, sf), corpus(spark, sf), 0.3, 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
 
 
 def alike(spark, sf):
@@ -167,7 +215,7 @@ def alike(spark, sf):
 
 
 def matches_sql(threshold: float, k: int, articles: str) -> str:
-    return f"""WITH t AS (SELECT 'tag_' || vec_id AS tag_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 10),
+    return f"""WITH t AS (SELECT 'tag_' || vec_id AS tag_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {SHARED_TAGS}),
 s AS (SELECT a.vec_id AS news_id, tag_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), t.e) AS s FROM embeddings a, t WHERE {articles}),
 m AS (SELECT news_id, tag_id, s, CAST(row_number() OVER (PARTITION BY news_id ORDER BY s DESC, tag_id) AS INTEGER) AS rank FROM s WHERE s >= {threshold})
 SELECT news_id, tag_id, round(s, 6) AS score, rank FROM m WHERE rank <= {k}"""
@@ -202,23 +250,28 @@ hits AS (SELECT query_id, news_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.
 text_hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, news_id) AS INTEGER) AS rank FROM hits)"""
 
 
-def weigh_sql(f: str) -> str:
-    return f"CASE WHEN NOT contains({f}, t) THEN 0 WHEN {f} = t THEN 2 WHEN regexp_matches(' ' || {f} || ' ', '[^\\p{{L}}\\p{{N}}_]' || regexp_escape(t) || '[^\\p{{L}}\\p{{N}}_]') THEN 1.5 ELSE 1 END"
+def is_word_sql(c: str) -> str:
+    return f"regexp_matches({c}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]')"
 
 
-SIMPLE_SQL = f"""WITH {ARTICLES}, q AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower(trim(array_to_string(string_split(text, ' ')[1:3], ' '))), '\\s+'), lambda t: t <> '')) AS t FROM benchmark WHERE item_id < 10 AND NOT regexp_matches(array_to_string(string_split(text, ' ')[1:3], ' '), '[^\\p{{L}}\\p{{N}}_ ]')),
-s AS (SELECT query_id, news_id, CAST(sum({weigh_sql("lower(title)")} + {weigh_sql("lower(content_text)")} + {weigh_sql("lower(source_site)")} + {weigh_sql("lower(author)")}) AS DOUBLE) AS score FROM q, articles GROUP BY ALL),
+def weigh_sql(f: str) -> str:
+    """2, 1.5, 1 or 0 for a term t in a field; a word's edge lies where of two characters side by side one belongs to a word and one doesn't."""
+    parts = f"string_split(' ' || {f} || ' ', t)"
+    # Where nothing stands between two occurrences, they are each other's neighbours.
+    before = f"{is_word_sql(f"right(CASE WHEN {parts}[i] = '' THEN t ELSE {parts}[i] END, 1)")} <> {is_word_sql('left(t, 1)')}"
+    after = f"{is_word_sql(f"left(CASE WHEN {parts}[i + 1] = '' THEN t ELSE {parts}[i + 1] END, 1)")} <> {is_word_sql('right(t, 1)')}"
+    return f"CASE WHEN NOT contains({f}, t) THEN 0 WHEN {f} = t THEN 2 WHEN len(list_filter(range(1, len({parts})), lambda i: {before} AND {after})) > 0 THEN 1.5 ELSE 1 END"
+
+
+SIMPLE_SQL = f"""WITH {ARTICLES}, q AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower({strip_sql("array_to_string(string_split(text, ' ')[1:3], ' ')")}), '\\s+'), lambda t: t <> '')) AS t FROM benchmark),
+low AS (SELECT news_id, lower(title) AS f1, lower(content_text) AS f2, lower(source_site) AS f3, lower(author) AS f4 FROM articles), d AS (SELECT DISTINCT t FROM q),
+w AS (SELECT news_id, t, {weigh_sql("f1")} + {weigh_sql("f2")} + {weigh_sql("f3")} + {weigh_sql("f4")} AS w FROM low, d WHERE contains(f1, t) OR contains(f2, t) OR contains(f3, t) OR contains(f4, t)),
+s AS (SELECT query_id, news_id, CAST(sum(w) AS DOUBLE) AS score FROM q JOIN w USING (t) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, news_id) AS rank FROM s WHERE score > 0)
 SELECT query_id, news_id, score FROM r WHERE rank <= 5"""
 
 
 def simple_plain(spark, sf):
-    """simple_text_search for queries without marks in them, for which its word edges are those of the SQL."""
-    q = text_queries(spark, sf).where("query_id < 10").where(~F.col("query").rlike(r"[^\p{L}\p{N}_ ]"))
-    return R.simple_text_search(q, articles(spark, sf), 5).select("query_id", "news_id", "score")
-
-
-def simple_whole(spark, sf):
     """simple_text_search for every benchmark item, marks and all."""
     return R.simple_text_search(text_queries(spark, sf), articles(spark, sf), 5).select("query_id", "news_id", "score")
 
@@ -240,50 +293,57 @@ def fused(spark, sf, queries=queries_):
 
 
 VECTOR_HITS = """vector_hits AS (SELECT * FROM (SELECT query_id, news_id, s, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, news_id) AS INTEGER) AS rank FROM (
-  SELECT q.vec_id AS query_id, 'doc_' || c.vec_id AS news_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings c WHERE q.vec_id < 20 AND c.vec_id IN (SELECT doc_id FROM documents))) WHERE rank <= 20)"""
+  SELECT q.vec_id AS query_id, 'doc_' || c.vec_id AS news_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings c WHERE q.vec_id % 50 = 0 AND c.vec_id IN (SELECT doc_id FROM documents))) WHERE rank <= 20)"""
 TWENTY = "th AS (SELECT * FROM text_hits WHERE rank <= 20)"
 FUSE = """parts AS (SELECT query_id, news_id, 0.7 / rank * greatest(0.5, 1 - (rank - 1) / 20) AS p FROM {v} UNION ALL SELECT query_id, news_id, 0.3 / rank * greatest(0.3, 1 - (rank - 1) / 15) FROM th),
 fused AS (SELECT query_id, news_id, sum(p) AS s FROM parts GROUP BY ALL), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, news_id) AS INTEGER) AS rank FROM fused)"""
 
 
-def both_queries(spark, sf):
-    return text_queries(spark, sf).join(queries_(spark, sf), "query_id")
-
-
 def all_queries(spark, sf):
     """Every benchmark item, with the vector of the same number if there is one."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return text_queries(spark, sf).join(e, "query_id", "left")
 
 
-def hybrid(spark, sf, queries=both_queries):
-    return R.hybrid_search(queries(spark, sf), articles(spark, sf, vectors=True), 10, title_vector=None).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
+def two_vectors(spark, sf):
+    """Articles whose title has a vector of its own: that of the content from its end."""
+    return articles(spark, sf, vectors=True).withColumn("title_embedding", F.reverse("content_embedding"))
+
+
+def hybrid(spark, sf):
+    return R.hybrid_search(all_queries(spark, sf), two_vectors(spark, sf), 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
+
 
+def hits_sql(name: str, vector: str) -> str:
+    """The 20 nearest articles of each query that has a vector."""
+    return f"""{name} AS (SELECT * FROM (SELECT query_id, news_id, s, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, news_id) AS INTEGER) AS rank FROM (
+  SELECT q.vec_id AS query_id, 'doc_' || c.vec_id AS news_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST({vector} AS DOUBLE[])) AS s FROM embeddings q, embeddings c WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND c.vec_id IN (SELECT doc_id FROM documents))) WHERE rank <= 20)"""
 
-HYBRID = f"""WITH {BM25}, {TWENTY}, {VECTOR_HITS}, merged AS (SELECT query_id, news_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY 0.7 / rank DESC, news_id) AS INTEGER) AS rank FROM vector_hits), {FUSE.format(v="merged")},
-hybrid AS (SELECT * FROM ranked WHERE rank <= 10 AND query_id < 20)"""
 
+HYBRID = f"""WITH {BM25}, {TWENTY}, {hits_sql("content_hits", "c.embedding")}, {hits_sql("title_hits", "list_reverse(c.embedding)")},
+both_hits AS (SELECT query_id, news_id, sum(p) AS p FROM (SELECT query_id, news_id, 0.7 / rank AS p FROM content_hits UNION ALL SELECT query_id, news_id, 0.3 / rank FROM title_hits) GROUP BY ALL),
+merged AS (SELECT query_id, news_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY p DESC, news_id) AS INTEGER) AS rank FROM both_hits), {FUSE.format(v="merged")},
+hybrid AS (SELECT * FROM ranked WHERE rank <= 10)"""
 
-def advanced(spark, sf, queries=both_queries):
-    a = articles(spark, sf, vectors=True).withColumn("title_embedding", F.col("content_embedding"))
-    q = queries(spark, sf)
-    h = R.hybrid_search(q, a, 10, title_vector=None)
-    return R.advanced_search(q, a, h).select("query_id", "news_id", F.round("score", 5).alias("score"))
 
+def advanced(spark, sf):
+    a, q = two_vectors(spark, sf), all_queries(spark, sf)
+    return R.advanced_search(q, a, R.hybrid_search(q, a, 10)).select("query_id", "news_id", F.round("score", 5).alias("score"))
 
-def keyword(match):
+
+def keyword(match, complete=False):
     def run(spark, sf):
         q = text_queries(spark, sf)
-        return R.keyword_search(q, articles(spark, sf), 5, match).select("query_id", "news_id", F.round("score", 5).alias("score"))
+        return R.keyword_search(q, articles(spark, sf), 5, match, complete=complete).select("query_id", "news_id", F.round("score", 5).alias("score"))
 
     return run
 
 
-def keyword_sql(match: str) -> str:
-    q = "lower(trim(array_to_string(string_split(b.text, ' ')[1:3], ' ')))"
+def keyword_sql(match: str, most: int = 15) -> str:
+    q = f"lower({strip_sql("array_to_string(string_split(b.text, ' ')[1:3], ' ')")})"
     text = "lower(a.title || ' ' || a.content_text)"
     fits = {"any": "true", "all": f"len(list_filter(list_filter(string_split_regex({q}, '\\s+'), lambda t: t <> ''), lambda t: NOT contains({text}, t))) = 0", "phrase": f"contains({text}, {q})"}[match]
-    return f"""WITH {BM25}, f AS (SELECT h.query_id, h.news_id, h.s FROM text_hits h JOIN benchmark b ON b.item_id = h.query_id JOIN articles a ON a.news_id = h.news_id WHERE h.rank <= 15 AND {fits}),
+    return f"""WITH {BM25}, f AS (SELECT h.query_id, h.news_id, h.s FROM text_hits h JOIN benchmark b ON b.item_id = h.query_id JOIN articles a ON a.news_id = h.news_id WHERE h.rank <= {most} AND {fits}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, news_id) AS rank FROM f) SELECT query_id, news_id, round(s, 5) AS score FROM r WHERE rank <= 5"""
 
 
@@ -297,7 +357,11 @@ def snippets(spark, sf):
     return R.search_snippets(articles(spark, sf), content=1000).select("news_id", "summary", F.md5("content").alias("content_md5"), "content_truncated", "published_date")
 
 
-SNIP = "CASE WHEN length(trim(content_text)) > {0} THEN rtrim(left(trim(content_text), {0})) || '…' ELSE trim(content_text) END"
+STRIPPED = strip_sql("content_text")
+
+
+def snip_sql(n: int) -> str:
+    return f"CASE WHEN length({STRIPPED}) > {n} THEN regexp_replace(left({STRIPPED}, {n}), '\\s+$', '') || '…' ELSE {STRIPPED} END"
 
 # --- lists and statistics
 
@@ -324,8 +388,8 @@ def keys_(spark, sf):
 # --- reviews
 
 
-def ids(spark, sf, limit=3000):
-    return W.submission_ids(submissions(spark, sf), limit).select("submission_id", "seq", "size")
+def ids(spark, sf):
+    return W.submission_ids(submissions(spark, sf)).select("submission_id", "seq", "size")
 
 
 def decisions_(spark, sf, subs):
@@ -333,13 +397,6 @@ def decisions_(spark, sf, subs):
 
 
 def reviewed(spark, sf):
-    subs = W.submission_ids(submissions(spark, sf), 3000)
-    decisions = decisions_(spark, sf, subs)
-    stored = articles(spark, sf).drop("doc_id").limit(0)
-    return W.apply_reviews(subs, decisions, stored)["submissions"].select("submission_id", "status", "review")
-
-
-def reviewed_whole(spark, sf):
     """All that the default limit lets through, against the articles and a part of the submissions that are stored already: as they are (seq % 10 = 0), or with a
     later date (seq % 10 = 5, of those with a URL of their own), which makes them updates, and an approval of these isn't accepted."""
     subs = W.submission_ids(submissions(spark, sf))
@@ -349,9 +406,9 @@ def reviewed_whole(spark, sf):
     return W.apply_reviews(subs, decisions_(spark, sf, subs), stored)["submissions"].select("submission_id", "status", "review")
 
 
-REVIEWS_SQL = """WITH d AS (SELECT doc_id, sha256(left(text, 25) || '2024-04-05' || CASE WHEN doc_id % 3 = 0 THEN 'http://s/' || (doc_id % 50) ELSE '' END) AS submission_id, text, left(text, 25) AS title FROM documents WHERE length(text) <= 3000),
+REVIEWS_SQL = f"""WITH d AS (SELECT doc_id, sha256(left(text, 25) || '2024-04-05' || CASE WHEN doc_id % 3 = 0 THEN 'http://s/' || (doc_id % 50) ELSE '' END) AS submission_id, text, left(text, 25) AS title FROM documents WHERE length(text) <= 10000),
 s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY doc_id) AS n FROM d) WHERE n = 1),
-j AS (SELECT s.*, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' WHEN l.doc_id IS NOT NULL THEN 'pending' END AS action, trim(title) <> '' AND trim(text) <> '' AND length(text) >= 10 AS good FROM s LEFT JOIN labels l USING (doc_id))
+j AS (SELECT s.*, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'approved' WHEN l.doc_id IS NOT NULL THEN 'pending' END AS action, {strip_sql('title')} <> '' AND {strip_sql('text')} <> '' AND length(text) >= 10 AND NOT (doc_id % 10 = 5 AND doc_id % 3 <> 0) AS good FROM s LEFT JOIN labels l USING (doc_id))
 SELECT submission_id, CASE WHEN action = 'rejected' THEN 'rejected' WHEN action = 'approved' AND good THEN 'approved' ELSE 'pending' END AS status, CASE WHEN action IS NULL OR (action = 'approved' AND NOT good) THEN '' ELSE 'ok' END AS review FROM j"""
 
 
@@ -418,21 +475,9 @@ def trimmed(spark, sf):
     return C.trim_by_budget(table(spark, sf, "conversations"), 500).select("conv_id", "turn")
 
 
-#: Words that make queries of every kind, turned through by number (fixed values).
-ASKED = ("近3天的通知", "近 2 周 count", "近1个月", "本周的安排 详情", "本月多少", "最新 http://a/b", "链接 真伪", "20240101-ab 全文", "how are you", "RECENT news", "网址")
-
-
-def query_log(spark, sf):
-    pick = F.element_at(F.array(*[F.lit(q) for q in ASKED]), (F.col("event_id") % len(ASKED) + 1).cast("int"))
-    return table(spark, sf, "events").select("event_id", pick.alias("query"))
-
-
-def intents(spark, sf):
-    return C.classify_queries(query_log(spark, sf))
-
-
-def time_windows(spark, sf):
-    return C.infer_time_windows(query_log(spark, sf), F.lit("2024-02-01").cast("date"))
+def observed(spark, sf):
+    """Turns as observations, whose cost is their length as JSON."""
+    return C.trim_by_budget(table(spark, sf, "conversations"), 700, C.observation_cost("turn", "role", "text")).select("conv_id", "turn")
 
 
 def asked_texts(spark, sf):
@@ -444,29 +489,34 @@ def asked_texts(spark, sf):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-def intents_whole(spark, sf):
+def intents(spark, sf):
     return C.classify_queries(asked_texts(spark, sf)).drop("query")
 
 
-def time_windows_whole(spark, sf):
+def time_windows(spark, sf):
     return C.infer_time_windows(asked_texts(spark, sf), F.lit("2024-02-01").cast("date")).drop("query")
 
 
-ASKED_SQL = f"asked AS (SELECT event_id, (['{chr(39).join(ASKED).replace(chr(39), chr(39) + ', ' + chr(39))}'])[event_id % {len(ASKED)} + 1] AS query FROM events)"
+ASKED_SQL = f"""asked AS (SELECT *, {strip_sql("query")} AS q, lower({strip_sql("query")}) AS low FROM (
+  SELECT 'documents' AS kind, doc_id AS id, CAST(NULL AS BIGINT) AS turn, text AS query FROM documents UNION ALL SELECT 'benchmark', item_id, NULL, text FROM benchmark UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations))"""
 
 
-def rag(spark, sf):
-    a = articles(spark, sf, vectors=True)
-    q = queries_(spark, sf).unionByName(queries_(spark, sf).where("query_id < 2").select((F.col("query_id") + 100).alias("query_id"), "vector"))
-    h = V.vector_search(queries_(spark, sf), a, 10)
-    chosen = q.where("query_id % 2 = 0 and query_id < 100").select("query_id", F.concat(F.lit("doc_"), (F.col("query_id") + 3).cast("string")).alias("news_id"), F.lit(1).alias("position"))
-    return C.rag_context(q.select("query_id"), h, a, chosen).select("query_id", F.md5("context").alias("context_md5"))
+def any_sql(words) -> str:
+    return f"regexp_matches(low, '{'|'.join(words)}')"
+
+
+INTENT_SQL = f"""WITH {ASKED_SQL} SELECT kind, id, turn, CASE WHEN regexp_matches(q, 'https?://\\S+') OR ({any_sql(X.LINK_WORDS)} AND {any_sql(X.VERIFY_WORDS)}) THEN 'link_verification' WHEN {any_sql(X.COUNT_WORDS)} THEN 'statistics'
+  WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])[0-9]{{6,8}}[_-][A-Za-z0-9_-]*[A-Za-z0-9_]($|[^\\p{{L}}\\p{{N}}_])') OR {any_sql(X.DETAIL_WORDS)} THEN 'detail' ELSE 'fuzzy_qa' END AS intent FROM asked"""
+WINDOW_SQL = f"""WITH {ASKED_SQL}, n AS (SELECT *, regexp_extract(low, '近\\s*([0-9]{{1,3}})\\s*(天|日|周|星期|个月|月)', 2) AS unit, greatest(1, coalesce(TRY_CAST(regexp_extract(low, '近\\s*([0-9]{{1,3}})\\s*(天|日|周|星期|个月|月)', 1) AS INTEGER), 1)) AS n FROM asked),
+w AS (SELECT kind, id, turn, CASE WHEN unit IN ('天', '日') THEN ['近' || n || '天', CAST(DATE '2024-02-01' - (n - 1) AS VARCHAR)] WHEN unit IN ('周', '星期') THEN ['近' || n || '周', CAST(DATE '2024-02-01' - (7 * n - 1) AS VARCHAR)] WHEN unit <> '' THEN ['近' || n || '月', CAST(DATE '2024-02-01' - (30 * n - 1) AS VARCHAR)]
+  WHEN contains(query, '本周') THEN ['本周', '2024-01-29'] WHEN contains(query, '本月') THEN ['本月', '2024-02-01'] WHEN {any_sql(X.RECENT_WORDS)} THEN ['近期(近30天)', '2024-01-03'] END AS w FROM n)
+SELECT kind, id, turn, w[1] AS label, w[2] || 'T00:00:00' AS start_date, CASE WHEN w IS NOT NULL THEN '2024-02-01T23:59:59' END AS end_date FROM w"""
 
 
-def rag_whole(spark, sf):
+def rag(spark, sf):
     """Every second query has a chosen article; queries of negative id have no hits."""
     a = articles(spark, sf, vectors=True)
-    q = shared_queries(spark, sf)
+    q = queries_(spark, sf)
     h = V.vector_search(q, a, 10)
     chosen = q.where("query_id % 100 = 0").select("query_id", F.concat(F.lit("doc_"), (F.col("query_id") + 3).cast("string")).alias("news_id"), F.lit(1).alias("position"))
     missed = q.where("query_id % 150 = 0").select((-1 - F.col("query_id")).alias("query_id"))
@@ -482,46 +532,62 @@ def cited(spark, sf):
 
 
 def drain(frame, name, mode="append"):
+    """Run a stream to its end; in update mode the rows of all batches, with their number in column batch."""
     spark = frame.sparkSession
     path = new_path(spark, name)
     if mode == "append":
         frame.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    else:
-        frame.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(frame.schema).parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+    frame.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).option("checkpointLocation", path + "-state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(T.StructType([*frame.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
 
 
-def streamed(spark, sf, frame, name):
-    """A frame written as files and read as a stream of them."""
+def streamed(spark, sf, frame, name, parts=None):
+    """A frame written as files and read as a stream of them. Conditions in parts cut it into batches, written one after the other and read so: state goes from each to the next."""
     path = new_path(spark, name)
-    frame.write.parquet(path)
-    return spark.readStream.schema(frame.schema).parquet(path)
+    if parts is None:
+        frame.write.parquet(path)
+        return spark.readStream.schema(frame.schema).parquet(path)
+    for part in parts:
+        frame.where(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def quarters(frame, column):
+    """Conditions that cut a frame into four parts by ascending values of a column."""
+    low, middle, high = frame.approxQuantile(column, [0.25, 0.5, 0.75], 0.01)
+    c = F.col(column)
+    return [c < low, (c >= low) & (c < middle), (c >= middle) & (c < high), (c >= high) | c.isNull()]
 
 
 def stream_urls(spark, sf):
-    return drain(S.stream_new_urls(streamed(spark, sf, links(spark, sf).select("list_url", "url"), "links")), "new-urls")
+    found = links(spark, sf).select("list_url", "url", "page")
+    return drain(S.stream_new_urls(streamed(spark, sf, found, "links", quarters(found, "page")).drop("page")), "new-urls")
 
 
 def stream_admission(spark, sf):
-    events = requests(spark, sf).join(api_keys(spark, sf).drop("bound"), "key", "left").select("key", "event_id", "device", "ts", "is_active", "max_devices")
-    return drain(S.stream_admission(streamed(spark, sf, events.repartition(1), "requests")), "admission").select("event_id", "outcome")
+    events = requests(spark, sf).join(api_keys(spark, sf).drop("bound"), "key", "left").select("key", "event_id", "device", "ts", "is_active", "max_devices", F.unix_micros("ts").alias("at"))
+    return drain(S.stream_admission(streamed(spark, sf, events, "requests", quarters(events, "at")).drop("at")), "admission").select("event_id", "outcome")
 
 
 def stream_turns(spark, sf):
-    conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").repartition(1)
-    out = drain(S.stream_recent_turns(streamed(spark, sf, conv, "turns"), 3), "recent-turns", "update")
-    turns = F.from_json("turns", "array<array<string>>")
-    return out.select("conv_id", F.explode(turns).alias("t")).select("conv_id", F.col("t")[0].cast("long").alias("turn"))
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    out = drain(S.stream_recent_turns(streamed(spark, sf, conv, "turns", [F.col("turn") % 3 == k for k in range(3)]), 3), "recent-turns", "update")
+    last = out.groupBy("conv_id").agg(F.max_by("turns", "batch").alias("turns"))  # each batch gives the sessions that it touches anew
+    return last.select("conv_id", F.explode(F.from_json("turns", "array<array<string>>")).alias("t")).select("conv_id", F.col("t")[0].cast("long").alias("turn"))
 
 
 def stream_ingest(spark, sf):
+    """The incoming articles in four batches, and a fifth in which those of doc_id % 10 = 6 come with another day again, which makes them updates."""
     from gazeloom.plans.views import incoming
 
-    batch = incoming(spark, sf).drop("doc_id").repartition(1)
+    batch = incoming(spark, sf)
+    again = batch.where("doc_id % 10 = 6 AND seq % 2 = 0").withColumns({"publish_date": F.lit("2025-01-01").cast("timestamp"), "seq": F.col("seq") + 10**9})
+    parts = [F.expr(f"seq < {10**9} AND doc_id % 4 = {k}") for k in range(4)] + [F.col("seq") >= 10**9]
     schema = articles(spark, sf).drop("doc_id").schema
     path = new_path(spark, "table")
-    S.stream_ingest(streamed(spark, sf, batch, "incoming"), path, path + "-state", schema).awaitTermination()
-    return S.snapshot(spark, path, schema).select("news_id", "url")
+    S.stream_ingest(streamed(spark, sf, batch.unionByName(again), "incoming", parts).drop("doc_id"), path, path + "-state", schema).awaitTermination()
+    return S.snapshot(spark, path, schema).select("news_id", "url", X.format_date(F.col("publish_date")).alias("day"))
 
 
 QUERIES = {
@@ -529,24 +595,15 @@ QUERIES = {
     "vector_ops": vector_ops, "embed_columns": embedded, "embed_tags": tag_embeddings, "match_tags": matched, "merge_tags": merged_tags, "similar_tags": like_tags, "vector_search": nearest, "ann_search": approximate, "semantic_search": semantic, "similar_documents": alike,
     "article_filter": filtered, "fulltext_search": fulltext, "simple_text_search": simple_plain, "merge_field_ranks": merged_fields, "fuse_ranks": fused, "hybrid_search": hybrid, "advanced_search": advanced, "keyword_search_any": keyword("any"), "keyword_search_all": keyword("all"), "keyword_search_phrase": keyword("phrase"), "search_results": results, "search_snippets": snippets,
     "latest": lambda s, d: L.latest(articles(s, d), 20, 5).select("news_id"), "oldest": lambda s, d: L.latest(articles(s, d), 20, oldest=True).select("news_id"), "find_articles": found, "count_by_source": lambda s, d: L.count_by_source(articles(s, d)),
-    "count_by_date": lambda s, d: L.count_by_date(table(s, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp")), "month", "at"), "corpus_stats": lambda s, d: L.corpus_stats(articles(s, d)).select("total", "sources", X.format_date(F.col("first_date")).alias("first_date"), X.format_date(F.col("last_date")).alias("last_date")),
-    "count_by_category": lambda s, d: L.count_by_category(tags_(s, d)), "tags_by_category": lambda s, d: L.tags_by_category(tags_(s, d), "c1").select("tag_id"), "project_notices": notices, "list_page": paged, "labels": lambda s, d: L.labels(L.project_notices(articles(s, d))), "label_count": lambda s, d: L.label_count(L.project_notices(articles(s, d))), "dashboard": lambda s, d: L.dashboard(L.project_notices(articles(s, d)), keys_(s, d)),
+    "count_by_date": lambda s, d: L.count_by_date(table(s, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp")), "month", "at"), "corpus_stats": lambda s, d: L.corpus_stats(articles(s, d)).select("total", "sources", F.array_join(F.transform(F.map_entries("distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("distribution"), X.format_date(F.col("first_date")).alias("first_date"), X.format_date(F.col("last_date")).alias("last_date")),
+    "find_tags": named_tags, "trim_observations": observed, "keyword_search_complete": keyword("phrase", True), "count_by_category": lambda s, d: L.count_by_category(tags_(s, d)), "tags_by_category": lambda s, d: L.tags_by_category(tags_(s, d), "c1").select("tag_id"), "project_notices": notices, "list_page": paged, "labels": lambda s, d: L.labels(L.project_notices(articles(s, d))), "label_count": lambda s, d: L.label_count(L.project_notices(articles(s, d))), "dashboard": lambda s, d: L.dashboard(L.project_notices(articles(s, d)), keys_(s, d)),
     "submission_ids": ids, "apply_reviews": reviewed, "my_submissions": mine, "apply_registrations": registrations,
     "admission_replay": replay, "usage_totals": usage, "latest_devices": devices, "parse_logs": lambda s, d: logs(s, d).select("ts", "level", "module", "message"), "filter_logs": error_logs, "log_modules": lambda s, d: A.log_modules(logs(s, d)),
     "recent_turns": recent, "trim_by_budget": trimmed, "classify_queries": intents, "infer_time_window": time_windows, "rag_context": rag, "cited_sources": cited,
     "stream_new_urls": stream_urls, "stream_admission": stream_admission, "stream_recent_turns": stream_turns, "stream_ingest": stream_ingest,
 }
 
-QUERIES |= {
-    "vector_search_whole": lambda s, d: nearest(s, d, shared_queries), "ann_search_whole": lambda s, d: approximate(s, d, shared_queries), "semantic_search_whole": lambda s, d: semantic(s, d, shared_queries), "merge_field_ranks_whole": lambda s, d: merged_fields(s, d, shared_queries), "fuse_ranks_whole": lambda s, d: fused(s, d, shared_queries),
-    "hybrid_search_whole": lambda s, d: hybrid(s, d, all_queries), "advanced_search_whole": lambda s, d: advanced(s, d, all_queries), "search_results_whole": lambda s, d: results(s, d, shared_queries), "rag_context_whole": rag_whole, "simple_text_search_whole": simple_whole,
-    "submission_ids_whole": lambda s, d: ids(s, d, W.MAX_LENGTH), "apply_reviews_whole": reviewed_whole,
-    "match_tags_whole": matched_whole, "merge_tags_whole": merged_tags_whole, "similar_tags_whole": lambda s, d: like_tags(s, d, SHARED_TAGS), "embed_tags_whole": lambda s, d: tag_embeddings(s, d, SHARED_TAGS),
-    "count_by_category_whole": lambda s, d: L.count_by_category(tags_(s, d, SHARED_TAGS)), "tags_by_category_whole": lambda s, d: L.tags_by_category(tags_(s, d, SHARED_TAGS), "c1").select("tag_id"),
-    "classify_queries_whole": intents_whole, "infer_time_window_whole": time_windows_whole,
-}
-
-TAGGED = "(SELECT 'tag_' || vec_id AS tag_id, 'c' || (label % 3) AS category FROM embeddings WHERE vec_id < 10)"
+TAGGED = "(SELECT 'tag_' || vec_id AS tag_id, 'c' || (label % 3) AS category FROM embeddings WHERE vec_id % 50 = 0)"
 NOTICE = f"{ARTICLES}, notices AS (SELECT news_id AS id, source_site AS label, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS date FROM articles)"
 
 ORACLE_SQL = {
@@ -555,17 +612,22 @@ ORACLE_SQL = {
     "filter_links": f"WITH {LIST_PAGES} SELECT list_url, page, url FROM links WHERE (regexp_matches(url, '/[A-M]') OR regexp_matches(url, '/th')) AND NOT regexp_matches(url, 'ing')",
     "pagination_cut": f"WITH {LIST_PAGES}, f AS (SELECT list_url, url, min(page) AS page FROM links GROUP BY ALL), stop AS (SELECT list_url, min(page) AS stop FROM list_pages p WHERE NOT success OR (page > 1 AND NOT EXISTS (SELECT 1 FROM f WHERE f.list_url = p.list_url AND f.page = p.page)) GROUP BY ALL) SELECT list_url, url FROM f LEFT JOIN stop USING (list_url) WHERE stop IS NULL OR page < stop",
     "incremental_urls": f"WITH {LIST_PAGES}, d AS (SELECT DISTINCT list_url, url FROM links), o AS (SELECT DISTINCT list_url, url FROM links WHERE page = 1) SELECT list_url, count(*) FILTER ((list_url, url) NOT IN (SELECT (list_url, url) FROM o)) AS n, count(*) AS seen FROM d GROUP BY ALL",
+    "strip_html": STRIPPED_SQL,
+    "page_metadata": METADATA_SQL,
+    "complex_tables": TABLES_SQL,
+    "clean_article_markdown": CLEANED_SQL,
     "absolutize_images": f"SELECT page_id, '![a$1](' || regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/_upload/' || page_id || '.png) ![b](/other/x.png) ![c](http://z/y.png)' AS md FROM pages",
     "pdf_links": "SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || '/_upload/f ' || page_id || '.pdf' AS url, 'f ' || page_id AS label FROM pages",
     "crawl_report": f"WITH {LIST_PAGES} SELECT list_url, count(*) AS total, count(*) FILTER (success) AS succeeded, count(*) FILTER (NOT success) AS failed, {HOST.format('list_url')} AS source FROM list_pages GROUP BY ALL",
     "vector_ops": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), j AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, q FROM embeddings, q) SELECT vec_id, round(list_cosine_similarity(a, q), 6) AS cosine, round(list_distance(a, q), 6) AS distance, round(1 - least(list_distance(a, q) / sqrt(2), 1), 6) AS similarity, CAST(1.0 AS DOUBLE) AS length, round(0.3 * list_inner_product(a, q) + 0.7 * list_inner_product(q, q), 6) AS mixed FROM j",
-    "embed_columns": f"WITH {ARTICLES} SELECT news_id, 384 AS title_width, 1024 AS content_width, CAST(CASE WHEN trim(content_text) = '' THEN 0 ELSE 1 END AS DOUBLE) AS length FROM articles",
-    "embed_tags": f"SELECT tag_id, CASE WHEN tag_id < 'tag_5' THEN category ELSE 'general' END AS category, 64 AS width FROM {TAGGED}",
-    "match_tags": matches_sql(0.5, 5, "a.vec_id >= 10"),
-    "merge_tags": f"WITH {ARTICLES}, m AS ({matches_sql(0.5, 5, 'a.vec_id >= 10')}), g AS (SELECT news_id AS doc_id, list(tag_id ORDER BY rank) AS t FROM m GROUP BY ALL) SELECT news_id, array_to_string(list_concat(tags, coalesce(t, [])), ',') AS tags FROM articles LEFT JOIN g USING (doc_id) WHERE doc_id >= 10",
+    "embed_columns": EMBED_SQL,
+    "embed_tags": EMBED_TAGS_SQL,
+    "find_tags": NAMED_SQL,
+    "match_tags": matches_sql(TAGGED_FROM, 5, "true"),
+    "merge_tags": f"WITH {ARTICLES}, m AS ({matches_sql(TAGGED_FROM, 5, 'true')}), g AS (SELECT news_id AS doc_id, list(tag_id ORDER BY rank) AS t FROM m GROUP BY ALL) SELECT news_id, array_to_string(list_concat(tags, coalesce(t, [])), ',') AS tags FROM articles LEFT JOIN g USING (doc_id)",
     "similar_tags": matches_sql(0.2, 3, "true"),
-    "vector_search": nearest_sql("q.vec_id < 20", 10),
-    "semantic_search": nearest_sql("q.vec_id < 20", 10, threshold=0.5),
+    "vector_search": nearest_sql("q.vec_id % 50 = 0", 10),
+    "semantic_search": nearest_sql("q.vec_id % 50 = 0", 10, threshold=0.3),
     "similar_documents": nearest_sql("q.vec_id % 25 = 0", 5, "q.vec_id <> c.vec_id"),
     "article_filter": f"WITH {ARTICLES} SELECT news_id FROM articles WHERE source_site = 'src3' AND author IN ('en', 'fr') AND publish_date BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-11-30' AND crawl_version >= 2",
     "fulltext_search": f"WITH {BM25} SELECT query_id, news_id, round(s, 5) AS score FROM text_hits WHERE rank <= 10",
@@ -573,18 +635,19 @@ ORACLE_SQL = {
     "merge_field_ranks": f"WITH {BM25}, {TWENTY}, {VECTOR_HITS}, p AS (SELECT query_id, news_id, 0.3 / rank AS t, 0.0 AS c FROM th UNION ALL SELECT query_id, news_id, 0.0, 0.7 / rank FROM vector_hits) SELECT query_id, news_id, round(sum(t) + sum(c), 6) AS score, round(sum(t), 6) AS title_score FROM p GROUP BY ALL",
     "fuse_ranks": f"WITH {BM25}, {TWENTY}, {VECTOR_HITS}, {FUSE.format(v='vector_hits')} SELECT query_id, news_id, round(s, 6) AS score, rank FROM ranked WHERE rank <= 10",
     "hybrid_search": f"{HYBRID} SELECT query_id, news_id, round(s, 6) AS score, rank FROM hybrid",
-    "advanced_search": f"{HYBRID} SELECT h.query_id, h.news_id, round(0.6 * coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 0) + 0.4 * h.s, 5) AS score FROM hybrid h JOIN embeddings q ON q.vec_id = h.query_id LEFT JOIN embeddings c ON 'doc_' || c.vec_id = h.news_id",
+    "advanced_search": f"{HYBRID} SELECT h.query_id, h.news_id, round(0.6 * (0.3 * coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(list_reverse(c.embedding) AS DOUBLE[])), 0) + 0.7 * coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 0)) + 0.4 * h.s, 5) AS score FROM hybrid h LEFT JOIN embeddings q ON q.vec_id = h.query_id LEFT JOIN embeddings c ON 'doc_' || c.vec_id = h.news_id",
     "keyword_search_any": keyword_sql("any"),
     "keyword_search_all": keyword_sql("all"),
     "keyword_search_phrase": keyword_sql("phrase"),
+    "keyword_search_complete": keyword_sql("phrase", 1_000_000_000),
     "search_results": f"WITH {ARTICLES}, {VECTOR_HITS} SELECT query_id, rank, h.news_id, source_site AS label, coalesce(meta_url, url) AS detail_url, is_page, round(s, 6) AS similarity_score, round(greatest(0, 1 - s), 6) AS distance FROM vector_hits h JOIN articles a ON a.news_id = h.news_id WHERE rank <= 10 AND s >= 0.3",
-    "search_snippets": f"WITH {ARTICLES} SELECT news_id, {SNIP.format(220)} AS summary, md5({SNIP.format(1000)}) AS content_md5, length(content_text) > 1000 AS content_truncated, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS published_date FROM articles",
+    "search_snippets": f"WITH {ARTICLES} SELECT news_id, {snip_sql(220)} AS summary, md5({snip_sql(1000)}) AS content_md5, length(content_text) > 1000 AS content_truncated, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS published_date FROM articles",
     "latest": f"WITH {ARTICLES} SELECT news_id FROM articles ORDER BY publish_date DESC NULLS LAST, news_id LIMIT 20 OFFSET 5",
     "oldest": f"WITH {ARTICLES} SELECT news_id FROM articles ORDER BY publish_date ASC NULLS LAST, news_id LIMIT 20",
     "find_articles": f"WITH {ARTICLES} SELECT news_id FROM articles WHERE author = 'en' AND source_site IN ('src1', 'src2', 'src5') ORDER BY publish_date DESC NULLS LAST, news_id LIMIT 15",
     "count_by_source": f"WITH {ARTICLES} SELECT source_site, count(*) AS n FROM articles GROUP BY ALL",
     "count_by_date": "SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS period, count(*) AS n FROM orders WHERE o_orderdate IS NOT NULL GROUP BY ALL",
-    "corpus_stats": f"WITH {ARTICLES} SELECT count(*) AS total, count(DISTINCT source_site) AS sources, strftime(min(publish_date), '%Y-%m-%d') AS first_date, strftime(max(publish_date), '%Y-%m-%d') AS last_date FROM articles",
+    "corpus_stats": f"WITH {ARTICLES} SELECT count(*) AS total, count(DISTINCT source_site) AS sources, (SELECT string_agg(s || ':' || n, ',' ORDER BY s) FROM (SELECT source_site AS s, count(*) AS n FROM articles GROUP BY ALL)) AS distribution, strftime(min(publish_date), '%Y-%m-%d') AS first_date, strftime(max(publish_date), '%Y-%m-%d') AS last_date FROM articles",
     "count_by_category": f"SELECT category, count(*) AS n FROM {TAGGED} GROUP BY ALL",
     "tags_by_category": f"SELECT tag_id FROM {TAGGED} WHERE category = 'c1'",
     "project_notices": f"WITH {ARTICLES} SELECT news_id AS id, CASE WHEN doc_id % 2 = 1 THEN source_site ELSE coalesce(meta_label, source_site) END AS label, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS date, coalesce(meta_url, url) AS detail_url, is_page, '[]' AS attachments FROM articles WHERE doc_id % 31 <> 0",
@@ -592,7 +655,7 @@ ORACLE_SQL = {
     "labels": f"WITH {NOTICE} SELECT DISTINCT label FROM notices",
     "label_count": f"WITH {NOTICE} SELECT count(DISTINCT label) AS n FROM notices",
     "dashboard": f"WITH {REQUESTS} SELECT (SELECT count(*) FROM documents) AS total_notices, (SELECT count(*) FROM keys WHERE is_active) AS active_keys, (SELECT count(*) FROM replay WHERE outcome = 'accepted') AS total_calls",
-    "submission_ids": "WITH d AS (SELECT doc_id AS seq, sha256(left(text, 25) || '2024-04-05' || CASE WHEN doc_id % 3 = 0 THEN 'http://s/' || (doc_id % 50) ELSE '' END) AS submission_id, CAST(greatest(length(source), length(left(text, 25)), CASE WHEN doc_id % 3 = 0 THEN length('http://s/' || (doc_id % 50)) ELSE 0 END, length(text), 2) AS INTEGER) AS size FROM documents) SELECT submission_id, seq, size FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY seq) AS n FROM d WHERE size <= 3000) WHERE n = 1",
+    "submission_ids": "WITH d AS (SELECT doc_id AS seq, sha256(left(text, 25) || '2024-04-05' || CASE WHEN doc_id % 3 = 0 THEN 'http://s/' || (doc_id % 50) ELSE '' END) AS submission_id, CAST(greatest(length(source), length(left(text, 25)), CASE WHEN doc_id % 3 = 0 THEN length('http://s/' || (doc_id % 50)) ELSE 0 END, length(text), 2) AS INTEGER) AS size FROM documents) SELECT submission_id, seq, size FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY seq) AS n FROM d WHERE size <= 10000) WHERE n = 1",
     "apply_reviews": REVIEWS_SQL,
     "my_submissions": "SELECT doc_id AS seq, left(text, 25) AS title FROM documents WHERE doc_id % 20 = 7",
     "apply_registrations": REGISTRATIONS_SQL,
@@ -603,36 +666,19 @@ ORACLE_SQL = {
     "filter_logs": f"WITH {LOGS} SELECT module, message FROM logs WHERE level = 'ERROR' AND contains(lower(message), 'signup')",
     "log_modules": f"WITH {LOGS} SELECT DISTINCT module FROM logs",
     "recent_turns": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3",
+    "trim_observations": "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(CAST(to_json({'turn': turn, 'role': role, 'text': text}) AS VARCHAR)) + 5) OVER w AS s, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE s <= 700 OR n = 1",
     "trim_by_budget": "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(coalesce(role, '')) + length(coalesce(text, ''))) OVER w AS s, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)) WHERE s <= 500 OR n = 1",
-    "classify_queries": f"WITH {ASKED_SQL} SELECT event_id, query, CASE event_id % 11 WHEN 1 THEN 'statistics' WHEN 3 THEN 'detail' WHEN 4 THEN 'statistics' WHEN 5 THEN 'link_verification' WHEN 6 THEN 'link_verification' WHEN 7 THEN 'detail' ELSE 'fuzzy_qa' END AS intent FROM asked",
-    "infer_time_window": f"WITH {ASKED_SQL}, w AS (SELECT *, CASE event_id % 11 WHEN 0 THEN ['近3天', '2024-01-30'] WHEN 1 THEN ['近2周', '2024-01-19'] WHEN 2 THEN ['近1月', '2024-01-03'] WHEN 3 THEN ['本周', '2024-01-29'] WHEN 4 THEN ['本月', '2024-02-01'] WHEN 5 THEN ['近期(近30天)', '2024-01-03'] WHEN 9 THEN ['近期(近30天)', '2024-01-03'] END AS w FROM asked) SELECT event_id, query, w[1] AS label, w[2] || 'T00:00:00' AS start_date, CASE WHEN w IS NOT NULL THEN '2024-02-01T23:59:59' END AS end_date FROM w",
-    "rag_context": f"""WITH {ARTICLES}, {VECTOR_HITS}, q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 20 UNION ALL SELECT vec_id + 100 FROM embeddings WHERE vec_id < 2),
-c AS (SELECT query_id, '资讯标题：' || title || chr(10) || '资讯正文：' || content_text || chr(10) || '资讯日期：' || coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS c FROM q JOIN articles a ON a.doc_id = q.query_id + 3 WHERE query_id % 2 = 0 AND query_id < 100),
+    "classify_queries": INTENT_SQL,
+    "infer_time_window": WINDOW_SQL,
+    "rag_context": f"""WITH {ARTICLES}, {VECTOR_HITS}, q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT -1 - vec_id FROM embeddings WHERE vec_id % 150 = 0),
+c AS (SELECT query_id, '资讯标题：' || title || chr(10) || '资讯正文：' || content_text || chr(10) || '资讯日期：' || coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS c FROM q JOIN articles a ON a.doc_id = q.query_id + 3 WHERE query_id % 100 = 0 AND query_id >= 0),
 h AS (SELECT h.query_id, string_agg(rank || '. 标题：' || title || chr(10) || '日期：' || coalesce(strftime(publish_date, '%Y-%m-%d'), '') || chr(10) || '链接：' || url || chr(10) || '正文：' || CASE WHEN length(content_text) > 180 THEN left(content_text, 180) || '...' ELSE content_text END, chr(10) || chr(10) ORDER BY rank) AS h
   FROM vector_hits h JOIN articles a ON a.news_id = h.news_id LEFT JOIN c ON c.query_id = h.query_id WHERE rank <= CASE WHEN c.query_id IS NULL THEN 10 ELSE 3 END GROUP BY ALL)
 SELECT q.query_id, md5(coalesce(c || chr(10) || chr(10), '') || coalesce(h, '未检索到相关资讯。')) AS context_md5 FROM q LEFT JOIN c USING (query_id) LEFT JOIN h USING (query_id)""",
     "cited_sources": "SELECT session, string_agg(url, ' ' ORDER BY pos) AS urls FROM (SELECT user_id AS session, 'http://' || event_type || '/' || (event_id % 5) AS url, min(event_id) AS pos FROM events GROUP BY ALL) GROUP BY ALL",
     "stream_new_urls": f"WITH {LIST_PAGES} SELECT DISTINCT list_url, url FROM links",
     "stream_admission": f"WITH {REQUESTS} SELECT event_id, outcome FROM replay",
-    "stream_ingest": f"{INGEST}, kept AS (SELECT t.* FROM titled t JOIN valid v USING (seq) WHERE NOT v.dup) SELECT news_id, url FROM (SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY seq DESC) AS n FROM kept) WHERE n = 1",
+    "stream_ingest": f"{INGEST}, kept AS (SELECT t.* FROM titled t JOIN valid v USING (seq) WHERE NOT v.dup) SELECT news_id, url, CASE WHEN doc_id % 10 = 6 THEN '2025-01-01' ELSE coalesce(strftime(publish_date, '%Y-%m-%d'), '') END AS day FROM (SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY seq DESC) AS n FROM kept) WHERE n = 1",
     "stream_recent_turns": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3",
 }
 
-
-#: SQL of the queries over whole query sets; ann_search, rag_context and simple_text_search have none, tests hold them against plain versions.
-ORACLE_SQL |= {
-    "vector_search_whole": nearest_sql("q.vec_id % 50 = 0", 10),
-    "semantic_search_whole": nearest_sql("q.vec_id % 50 = 0", 10, threshold=0.5),
-} | {f"{name}_whole": ORACLE_SQL[name].replace("q.vec_id < 20", "q.vec_id % 50 = 0") for name in ("merge_field_ranks", "fuse_ranks", "search_results")} | {
-    f"{name}_whole": ORACLE_SQL[name].replace("q.vec_id < 20", "q.vec_id IN (SELECT item_id FROM benchmark)").replace(" AND query_id < 20", "").replace("h JOIN embeddings q", "h LEFT JOIN embeddings q") for name in ("hybrid_search", "advanced_search")
-}
-
-ORACLE_SQL |= {
-    "submission_ids_whole": ORACLE_SQL["submission_ids"].replace("size <= 3000", "size <= 10000"),
-    "apply_reviews_whole": REVIEWS_SQL.replace("length(text) <= 3000", "length(text) <= 10000").replace("length(text) >= 10 AS good", "length(text) >= 10 AND NOT (doc_id % 10 = 5 AND doc_id % 3 <> 0) AS good"),
-}
-
-ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace("vec_id < 10", SHARED_TAGS) for name in ("similar_tags", "embed_tags", "count_by_category", "tags_by_category")} | {
-    "match_tags_whole": matches_sql(0.5, 5, "true").replace("vec_id < 10", SHARED_TAGS),
-    "merge_tags_whole": ORACLE_SQL["merge_tags"].replace("vec_id < 10", SHARED_TAGS).replace("a.vec_id >= 10", "true").replace(" WHERE doc_id >= 10", ""),
-}

@@ -71,8 +71,22 @@ INCOMING = """moved AS (
 )"""
 
 
+def strip_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+|[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+$', '', 'g')"
+
+
+def words_sql(c: str) -> str:
+    """Rows of the words of a text in lower case."""
+    return f"unnest(list_filter(string_split_regex(lower({c}), '[\\s\\x0b\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+'), lambda w: w <> ''))"
+
+
+def vector_sql(words: str, width: int) -> str:
+    """id, i and x: the places of the hashing encoder's vectors, before they are normalised, from rows of (id, w)."""
+    return f"SELECT id, CAST(h % {width} AS INTEGER) AS i, sum(CASE WHEN h >= 2147483648 THEN 1.0 ELSE -1.0 END) AS x FROM (SELECT id, CAST('0x' || left(md5(w), 8) AS UBIGINT) AS h FROM {words}) GROUP BY ALL"
+
+
 def norm_url_sql(c: str) -> str:
-    low = f"regexp_replace(trim(lower({c})), '/+$', '')"
+    low = f"regexp_replace({strip_sql(f'lower({c})')}, '/+$', '')"
     return f"coalesce(regexp_replace(regexp_replace({low}, '[?&](utm_\\w+|ref|source|from)=[^&]*', '', 'g'), '\\?$', ''), '')"
 
 
@@ -107,7 +121,8 @@ LIST_PAGES = """list_pages AS (
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.get_json_object("props", "$.k").alias("device"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "user_id")
+    """Events as requests; some name no device."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.when(F.col("event_id") % 29 != 0, F.get_json_object("props", "$.k")).alias("device"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "user_id")
 
 
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +132,7 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUESTS = """requests AS (
-  SELECT CAST(user_id AS VARCHAR) AS key, json_extract_string(props, '$.k') AS device, ts, event_id, event_type, user_id FROM events
+  SELECT CAST(user_id AS VARCHAR) AS key, CASE WHEN event_id % 29 <> 0 THEN json_extract_string(props, '$.k') END AS device, ts, event_id, event_type, user_id FROM events
 ), keys AS (
   SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, user_id % 13 <> 0 AS is_active, 3 + user_id % 5 AS max_devices FROM events WHERE user_id % 17 <> 3
 ), firsts AS (

@@ -75,8 +75,8 @@ def test_html(spark):
     assert one(spark, lambda c: H.complex_tables(c), table) == ['<table><tr><td rowspan="2">a</td><td></td></tr></table>']
     frame = '<iframe class="wp_pdf_player" title="Name" src="/v/viewer.html?file=/f%20a.pdf&x"></iframe>'
     assert one(spark, lambda c, u: H.pdf_links(c, u), frame, "http://h/p")[0][:] == ("http://h/f a.pdf", "Name")
-    assert H.clean_lines("|--|\nTitle\n2024\n\nbody\n2024\n|  | a\n| b\n| c\n| d\n| e\nend", "Title", "2024") == "body\nend"
-    assert H.clean_lines(None, None, None) == ""
+    assert one(spark, H.clean_article_markdown, "|--|\nTitle\n2024\n\nbody\n2024\n|  | a\n| b\n| c\n| d\n| e\nend", "Title", "2024") == "body\nend"
+    assert one(spark, H.clean_article_markdown, None, None, None) == ""
 
 
 @pytest.mark.parametrize(("query", "want"), [("看 http://a/b", "link_verification"), ("这个链接的真伪", "link_verification"), ("真伪", "fuzzy_qa"), ("有多少", "statistics"), ("20240101-ab", "detail"), ("hello", "fuzzy_qa")])

@@ -40,20 +40,20 @@ def test_simple_text_search_with_marks(spark, folder):
         terms = " ".join(text.split(" ")[:3]).lower().split()
         scores = [(-sum(weigh(t, (f or "").lower()) for t in terms for f in ((x or "")[:60], x, f"src{k}", "en")), f"doc_{k}") for k, x in enumerate(texts)]
         expected += [(q, n, -s) for s, n in sorted(scores)[:5] if s]
-    assert sorted(map(tuple, RUN["simple_text_search_whole"](spark, out).collect())) == sorted(expected)
+    assert sorted(map(tuple, RUN["simple_text_search"](spark, out).collect())) == sorted(expected)
 
 
 def test_every_query_row(spark, folder):
     out, _, asked = folder
-    for name in ("vector_search_whole", "ann_search_whole", "search_results_whole"):
+    for name in ("vector_search", "ann_search", "search_results"):
         assert {r["query_id"] for r in RUN[name](spark, out).select("query_id").collect()} == {0, 50, 100, 150, 200}, name
-    assert {r["query_id"] for r in RUN["rag_context_whole"](spark, out).collect()} == {0, 50, 100, 150, 200, -1, -151}
-    for name in ("hybrid_search_whole", "advanced_search_whole"):
+    assert {r["query_id"] for r in RUN["rag_context"](spark, out).collect()} == {0, 50, 100, 150, 200, -1, -151}
+    for name in ("hybrid_search", "advanced_search"):
         assert {r["query_id"] for r in RUN[name](spark, out).select("query_id").collect()} == set(asked), name
 
 
 def test_ann_recall_of_a_growing_share(spark):
-    exact, near = ({(r["query_id"], r["news_id"]) for r in RUN[n](spark, "/root/testdata/sf0.01").collect()} for n in ("vector_search_whole", "ann_search_whole"))
+    exact, near = ({(r["query_id"], r["news_id"]) for r in RUN[n](spark, "/root/testdata/sf0.01").collect()} for n in ("vector_search", "ann_search"))
     assert len({q for q, _ in exact}) == 10
     assert len(exact & near) >= 0.9 * len(exact)
 
@@ -83,7 +83,7 @@ def test_clean_text_decodes_every_document(spark, marked):
 
 
 def test_normalize_records_derives_text_from_markdown(spark, marked):
-    found = {r["news_id"]: r for r in RUN["normalize_records_whole"](spark, marked).collect()}
+    found = {r["news_id"]: r for r in RUN["normalize_records"](spark, marked).collect()}
     assert len(found) == len(MARKED)
     for k, text, derived in MARKED:
         assert found[f"doc_{k}"]["text_md5"] == hashlib.md5((text if k % 2 == 0 else derived).encode()).hexdigest(), k
@@ -95,11 +95,11 @@ def test_long_and_odd_texts(spark, tmp_path):
     out = str(tmp_path)
     spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([(k, 1, 0) for k in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
-    back = {r["news_id"]: r["text_md5"] for r in RUN["read_crawl_json_whole"](spark, out).collect()}
+    back = {r["news_id"]: r["text_md5"] for r in RUN["read_crawl_json"](spark, out).collect()}
     assert back == {f"c{k}": hashlib.md5(t.encode()).hexdigest() for k, t in enumerate(texts)}
-    numbers = {r["seq"]: r["submission_id"] for r in RUN["submission_ids_whole"](spark, out).collect()}
+    numbers = {r["seq"]: r["submission_id"] for r in RUN["submission_ids"](spark, out).collect()}
     assert sorted(numbers) == [0, 1, 2, 3, 5]
-    status = {r["submission_id"]: r["status"] for r in RUN["apply_reviews_whole"](spark, out).collect()}
+    status = {r["submission_id"]: r["status"] for r in RUN["apply_reviews"](spark, out).collect()}
     assert {k: status[i] for k, i in numbers.items()} == {0: "approved", 1: "approved", 2: "approved", 3: "approved", 5: "pending"}
 
 
@@ -109,15 +109,15 @@ def test_rules_read_the_texts(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([(7, "近 2 周 count")], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
     spark.createDataFrame([(1, 2, "user", "链接 真伪")], "conv_id long, turn long, role string, text string").write.parquet(f"{out}/conversations.parquet")
-    titles = {r["doc_id"]: (r["title"], r["date"]) for r in RUN["title_from_content_whole"](spark, out).collect()}
+    titles = {r["doc_id"]: (r["title"], r["date"]) for r in RUN["title_from_content"](spark, out).collect()}
     assert titles == {0: ("近3天的通知", ""), 1: ("About it", ""), 2: ("于5月28日举行", "5月28日"), 3: ("", ""), 4: ("Title of it", "")}
-    kinds = {(r["kind"], r["id"], r["turn"]): r["intent"] for r in RUN["classify_queries_whole"](spark, out).collect()}
+    kinds = {(r["kind"], r["id"], r["turn"]): r["intent"] for r in RUN["classify_queries"](spark, out).collect()}
     assert len(kinds) == 7
     assert (kinds["documents", 0, None], kinds["benchmark", 7, None], kinds["conversations", 1, 2]) == ("fuzzy_qa", "statistics", "link_verification")
-    times = {(r["kind"], r["id"]): r["start_date"] for r in RUN["infer_time_window_whole"](spark, out).collect()}
+    times = {(r["kind"], r["id"]): r["start_date"] for r in RUN["infer_time_window"](spark, out).collect()}
     assert (times["documents", 0], times["benchmark", 7], times["conversations", 1]) == ("2024-01-30T00:00:00", "2024-01-19T00:00:00", None)
 
 
 def test_tags_grow_with_the_table(spark):
-    count = lambda sf: sum(r["n"] for r in RUN["count_by_category_whole"](spark, f"/root/testdata/{sf}").collect())
+    count = lambda sf: sum(r["n"] for r in RUN["count_by_category"](spark, f"/root/testdata/{sf}").collect())
     assert (count("sf0.01"), count("sf0.1")) == (10, 40)
