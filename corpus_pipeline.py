@@ -1,49 +1,63 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input.
 
-Each stage works on all that the one before it kept. A row with a null doc_id cannot be named by a decision and stays;
-a doc_id that is rejected in one of its rows goes in all of them.
+Each stage works on all that the one before it kept. A document is known by its doc_id: one that is rejected in one of its rows goes in all
+of them. A row without doc_id is a document of its own, known by a number from its content, and is kept or rejected as others are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import stage, table, without
+from gazeloom.llm.common import small, stage, table
 from gazeloom.llm.decontamination import decontaminate
 from gazeloom.llm.near_duplicates import near_duplicates
 from gazeloom.llm.quality import classify_quality
 from gazeloom.llm.sentencepiece_codec import digest_documents
 from gazeloom.llm.toxicity import score_toxicity
 
+#: Numbers of documents without doc_id begin here; every doc_id in use is smaller, so that of a group one with doc_id stays.
+NAMELESS = 1 << 62
+
+
+def number(docs: DataFrame) -> Column:
+    """doc_id, or for a row without it a number from its content, the same for equal rows."""
+    own = F.xxhash64(*[c for c in ("text", "lang", "source") if c in docs.columns]).bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+    return F.coalesce(F.col("doc_id").cast("long"), own)
+
+
+def without(docs: DataFrame, rejected: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of docs, with their number in column _id_, but for the documents whose numbers `rejected` gives as doc_id when it is asked with numbers for ids."""
+    ids = rejected(docs.withColumn("doc_id", number(docs)))
+    gone = stage(ids.select(F.col("doc_id").alias("_id_")).distinct(), "gone")
+    return docs.withColumn("_id_", number(docs)).join(small(gone), "_id_", "left_anti")
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the trusted-text model accepts."""
-    found = classify_quality(docs, table(spark, sf_dir, "labels"))
-    return without(docs, found.where(~F.col("accepted")))
+    return without(docs, lambda d: classify_quality(d, table(spark, sf_dir, "labels")).where(~F.col("accepted"))).select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted to be toxic."""
-    found = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    return without(docs, found.where(F.col("predicted") == 1))
+    return without(docs, lambda d: score_toxicity(d, table(spark, sf_dir, "labels")).where("predicted = 1")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of smallest doc_id. Of rows that repeat a doc_id, the first by text stays."""
-    kept = without(docs, near_duplicates(docs).where(~F.col("kept")))
-    repeated = stage(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1"), "repeated")
+    """One document of each near-duplicate group: the one of smallest doc_id. Of rows that repeat a document, the first by text stays."""
+    kept = without(docs, lambda d: near_duplicates(d).where(~F.col("kept")))
+    repeated = stage(docs.select(number(docs).alias("_id_")).groupBy("_id_").count().where("count > 1").select("_id_"), "repeated")
     if repeated.isEmpty():
-        return kept
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    rows = kept.join(repeated.select("doc_id"), "doc_id", "left_semi").select(*docs.columns, first.alias("_row_")).where("_row_ = 1").drop("_row_")
-    return without(kept, repeated).unionByName(rows)
+        return kept.select(docs.columns)
+    first = kept.join(small(repeated), "_id_", "left_semi").groupBy("_id_").agg(F.min(F.struct(F.col("text").alias("_text_"), F.struct(*docs.columns).alias("_row_"))).alias("_first_"))
+    return kept.join(small(repeated), "_id_", "left_anti").select(docs.columns).unionByName(first.select("_first_._row_.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no more than a small part of benchmark text."""
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where("contaminated"))
+    return without(docs, lambda d: decontaminate(d, table(spark, sf_dir, "benchmark")).where("contaminated")).select(docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
