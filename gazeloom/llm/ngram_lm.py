@@ -233,7 +233,8 @@ def cross_entropies(docs: DataFrame, models: int, keep: list[str], name: str) ->
     vocabulary = units.distinct().count() + 1
     known = None
     for k, orders in enumerate(trained):
-        found = log_probabilities(wanted, orders, vocabulary).withColumnRenamed("logp", f"logp{k}")
+        # Staged one model after the other, so that no plan holds the joins of all models.
+        found = stage(log_probabilities(wanted, orders, vocabulary).withColumnRenamed("logp", f"logp{k}"), f"{name}-model-{k}")
         known = found if known is None else known.join(found, "gram")
     folder = new_path(spark, f"{name}-slices")
     logs = [f"logp{k}" for k in range(models)]
