@@ -107,12 +107,6 @@ def small(staged: DataFrame) -> DataFrame:
     return F.broadcast(staged) if staged.count() <= BROADCAST_IDS else staged
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not among ids. Rows with a null doc_id stay: no decision can name them."""
-    gone = stage(ids.where(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

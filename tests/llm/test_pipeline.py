@@ -1,4 +1,7 @@
+import hashlib
 import random
+import re
+from array import array
 
 import corpus_pipeline
 import pytest
@@ -61,6 +64,78 @@ def test_stages(spark, folder):
     assert all(x["n_tokens"] == len(tool.encode(text[x["doc_id"]])) // 4 for x in found)
 
 
+def test_rows_without_id(spark, folder):
+    """Rows without doc_id are judged as others are: the toxic, contaminated and repeated ones go, a clean one stays once."""
+    out, rows = folder
+    r = random.Random(77)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    prose = ". ".join(" ".join(word() for _ in range(9)) for _ in range(6))
+    item = spark.read.parquet(f"{out}/benchmark.parquet").first()["text"]
+    texts = {"clean": prose, "again": prose, "copy": rows[3][1], "toxic": prose[::-1] + " zorkum zorkel zorkum", "bench": item, "junk": "#$%*@! " * 90, "null": None}
+    base = spark.read.parquet(f"{out}/documents.parquet")
+    more = spark.createDataFrame([(None, t) for t in texts.values()], "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("score"))
+    docs = corpus_pipeline.stage(base.where("doc_id is not null").unionByName(more), "test")
+    left = lambda d: [x["text"] for x in d.where("doc_id is null").collect()]
+    assert texts["junk"] not in left(corpus_pipeline.quality(spark, docs, out)) and None not in left(corpus_pipeline.quality(spark, docs, out))
+    assert texts["toxic"] not in left(corpus_pipeline.toxicity(spark, docs, out))
+    deduped = left(corpus_pipeline.near_dedup(spark, docs, out))
+    assert deduped.count(prose) == 1 and rows[3][1] not in deduped
+    assert item not in left(corpus_pipeline.decontamination(spark, docs, out)) and prose in left(corpus_pipeline.decontamination(spark, docs, out))
+
+
+def plain_run(spark, out, rows):
+    """doc_ids that the stages keep by plain rules, from each stage's scores alone: what is rejected goes, of each component of linked texts the smallest stays."""
+    from gazeloom.llm.quality import classify_quality
+    from gazeloom.llm.toxicity import score_toxicity
+
+    docs = spark.read.parquet(f"{out}/documents.parquet").where("doc_id is not null")
+    labels = spark.read.parquet(f"{out}/labels.parquet")
+    only = lambda ids: docs.where(F.col("doc_id").isin(sorted(ids)))
+    kept = {i for i, _ in rows if i is not None}
+    kept -= {x["doc_id"] for x in classify_quality(docs, labels).collect() if not x["accepted"]}
+    kept -= {x["doc_id"] for x in score_toxicity(only(kept), labels).collect() if x["score"] >= 0.7}
+    sets, top = {}, {}
+    for i, text in rows:
+        if i in kept and text and text.split():
+            w = text.encode().lower().split()
+            sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+
+    def root(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    for i in sorted(sets):
+        for j in sets:
+            if j < i and any(100 * len(a & b) >= 75 * len(a | b) for a in sets[i] for b in sets[j]):
+                x, y = root(i), root(j)
+                top[max(x, y)] = min(x, y)
+    kept = {i for i in kept if root(i) == i}
+    item = spark.read.parquet(f"{out}/benchmark.parquet").first()["text"].split()
+    windows = {tuple(item[k : k + 13]) for k in range(len(item) - 12)}
+    for i, text in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+        hit = {p for k in range(len(w) - 12) if tuple(w[k : k + 13]) in windows for p in range(k, k + 13)}
+        if hit and 20 * len(hit) >= len(w):
+            kept.discard(i)
+    return kept
+
+
+def test_run_by_plain_rules(spark, folder):
+    out, rows = folder
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.model_path())
+    found = [x for x in corpus_pipeline.run(spark, out).collect() if x["doc_id"] is not None]
+    assert sorted(x["doc_id"] for x in found) == sorted(plain_run(spark, out, rows))
+    text = dict(rows)
+    for x in found:
+        ids = model.encode(text[x["doc_id"]], add_bos=True, add_eos=True)
+        assert x["n_tokens"] == len(ids)
+        assert x["ids_sha256"] == hashlib.sha256(array("I", ids).tobytes()).hexdigest()
+        assert x["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
+
+
 def test_run_is_its_stages(spark, folder):
     out, _ = folder
     once = sorted(map(tuple, corpus_pipeline.run(spark, out).collect()), key=str)
