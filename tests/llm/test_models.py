@@ -198,6 +198,48 @@ def test_toxicity(spark, documents):
     assert X.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_is_a_noisy_or(spark, documents):
+    """Scores are those of a plain noisy-or over sentences with the trained weights, and the fit makes labels likelier than where it begins."""
+    rows = toxic_rows(300, 7)
+    docs = documents([(i, t) for i, t, _ in rows] + [(9000, "one. zorkum " + "w " * 95 + "zorkel! end"), (9001, "...")])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    weights, (bias, scale, shift) = X.train(docs, labels)
+
+    def plain(text):
+        absent = 0.0
+        for sentence in re.split(r"[.!?\n]+", text):
+            words = sentence.split()
+            for k in range(0, len(words), X.WINDOW):
+                z = bias
+                for w in set(words[k : k + X.WINDOW]):
+                    w = w.lower().strip(X.EDGES)
+                    if w:
+                        z += weights.get(w, 0.0) + sum(weights.get(f"{w[:n]}-", 0.0) for n in X.STEMS if len(w) > n)
+                absent += math.log(1 - 1 / (1 + math.exp(-z)))
+        if not text.replace(".", "").split():
+            return 0.0
+        odds = min(12, max(-12, math.log(max(1 - math.exp(absent), 1e-300)) - absent))
+        return 1 / (1 + math.exp(-scale * odds - shift))
+
+    text = {x["doc_id"]: x["text"] for x in docs.collect()}
+    found = {x["doc_id"]: x["score"] for x in X.score_toxicity(docs, labels).collect()}
+    assert set(found) == set(text)
+    for i, score in found.items():
+        assert score == pytest.approx(plain(text[i]), rel=1e-6, abs=1e-9)
+    loss = lambda steps: -sum(math.log(p if y else 1 - p) for p, y in zip(fitted(rows, steps), [y for _, _, y in rows], strict=True))
+    assert loss(X.STEPS) < loss(5)
+
+
+def fitted(rows, steps):
+    """Probabilities of the rows' labels after so many steps of training on them."""
+    weights, (bias, scale, shift) = X.fit([t for _, t, _ in rows], [y for _, _, y in rows], steps)
+    out = []
+    for _, text, _ in rows:
+        z = np.array([bias + sum(weights.get(f, 0.0) for w in set(words) for f in X.features(w)) for words in X.instances(text)])
+        out.append(float(np.clip(1 / (1 + np.exp(-scale * X.logit(-np.logaddexp(0, z).sum()) - shift)), 1e-9, 1 - 1e-9)))
+    return out
+
+
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
