@@ -7,7 +7,7 @@ end mark. The work takes two passes over the texts and moves no text:
 1. Texts are staged once, in chunks: stretches of rows of one file. A task counts the distinct n-grams of each chunk, for
    each model's training texts and for all texts.
 2. Counts are summed by n-gram. Lower orders count distinct left extensions. Joins by n-gram, by context and by
-   suffix give the log probability of every n-gram that occurs, for each model.
+   suffix give the log probability of every n-gram that occurs. Models are columns: all of them go through the same joins.
 3. These go back to the chunks that hold the n-gram, as a table in the shared folder: as many files as shuffle partitions, each
    sorted by chunk in small row groups, whose statistics are the index by which a task reads its chunk's rows alone. The second pass sums them by document.
 
@@ -145,16 +145,20 @@ def context(gram: Column) -> Column:
 
 @dataclass
 class Order:
-    """Counts of one order: grams (gram, a), contexts (context, s, gamma), and the discounts of counts 1, 2 and 3 or more."""
+    """Counts of one order, for all models at once: grams (gram, a0, a1, ...), contexts (context, s0, gamma0, ...), and each model's discounts of counts 1, 2 and 3 or more."""
 
     grams: DataFrame
     contexts: DataFrame
-    discounts: tuple[float, float, float]
+    discounts: list[tuple[float, float, float]]
 
 
-def discounts(grams: DataFrame) -> tuple[float, float, float]:
-    """Discounts from the numbers of n-grams that were counted once to four times; 0.5, 1 and 1.5 where these don't give any."""
-    n1, n2, n3, n4 = (x or 0 for x in grams.agg(*[F.count(F.when(F.col("a") == k, 1)) for k in (1, 2, 3, 4)]).first())
+def discounts(grams: DataFrame, models: int) -> list[tuple[float, float, float]]:
+    """Each model's discounts from the numbers of n-grams that were counted once to four times; 0.5, 1 and 1.5 where these don't give any."""
+    seen = grams.agg(*[F.count(F.when(F.col(f"a{m}") == k, 1)) for m in range(models) for k in (1, 2, 3, 4)]).first()
+    return [_discounts(*(x or 0 for x in seen[4 * m : 4 * m + 4])) for m in range(models)]
+
+
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     found = []
     y = n1 / (n1 + 2 * n2) if n1 else 0.0
     for k, low, high in ((1, n1, n2), (2, n2, n3), (3, n3, n4)):
@@ -164,39 +168,41 @@ def discounts(grams: DataFrame) -> tuple[float, float, float]:
 
 
 def discount(a: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(a == 1, d[0]).when(a == 2, d[1]).otherwise(d[2])
+    return F.when(a == 0, 0.0).when(a == 1, d[0]).when(a == 2, d[1]).otherwise(d[2])
 
 
-def train(counts: DataFrame) -> list[Order]:
-    """Orders 1 to 4 from the counts (gram, a) of order 4."""
+def train(counts: DataFrame, models: int = 1) -> list[Order]:
+    """Orders 1 to 4 of all models from the counts (gram, a0, a1, ...) of order 4, 0 where a model has not seen the gram."""
     orders, level = [], counts
+    each = range(models)
     for n in range(ORDER, 0, -1):
         level = stage(level, f"order-{n}")
-        d = discounts(level)
-        contexts = (
-            level.groupBy(context(F.col("gram")).alias("context"))
-            .agg(F.sum("a").cast("double").alias("s"), F.sum(discount(F.col("a"), d)).alias("held"))
-            .select("context", "s", (F.col("held") / F.col("s")).alias("gamma"))
-        )
+        d = discounts(level, models)
+        sums = [c for m in each for c in (F.sum(f"a{m}").cast("double").alias(f"s{m}"), F.sum(discount(F.col(f"a{m}"), d[m])).alias(f"held{m}"))]
+        contexts = level.groupBy(context(F.col("gram")).alias("context")).agg(*sums)
+        contexts = contexts.select("context", *[c for m in each for c in (f"s{m}", F.when(F.col(f"s{m}") > 0, F.col(f"held{m}") / F.col(f"s{m}")).alias(f"gamma{m}"))])
         orders.append(Order(level, contexts, d))
-        level = level.select(suffix(F.col("gram"), n - 1).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("a"))
+        level = level.select(suffix(F.col("gram"), n - 1).alias("gram"), *[f"a{m}" for m in each]).groupBy("gram").agg(*[F.count_if(F.col(f"a{m}") > 0).alias(f"a{m}") for m in each])
     return orders[::-1]
 
 
 def log_probabilities(wanted: DataFrame, orders: list[Order], vocabulary: int) -> DataFrame:
-    """gram and logp, the natural logarithm of the last unit's probability after the first three, for distinct grams."""
+    """gram and logp0, logp1, ..., the natural logarithm of the last unit's probability after the first three under each model, for distinct grams."""
     below = None
+    each = range(len(orders[0].discounts))
     for n, order in enumerate(orders, 1):
         level = wanted.select(suffix(F.col("gram"), n).alias("gram")).distinct() if n < ORDER else wanted
         level = level.withColumn("context", context(F.col("gram"))).join(order.grams, "gram", "left").join(order.contexts, "context", "left")
-        seen = F.coalesce((F.col("a") - discount(F.col("a"), order.discounts)) / F.col("s"), F.lit(0.0))
-        rest = F.coalesce("gamma", F.lit(1.0))
-        if below is None:
-            level = level.select("gram", (seen + rest / vocabulary).alias("p"))
-        else:
-            level = level.withColumn("shorter", suffix(F.col("gram"), n - 1)).join(below.select(F.col("gram").alias("shorter"), F.col("p").alias("q")), "shorter").select("gram", (seen + rest * F.col("q")).alias("p"))
-        below = level
-    return below.select("gram", F.log("p").alias("logp"))
+        if below is not None:
+            level = level.withColumn("shorter", suffix(F.col("gram"), n - 1)).join(below.withColumnRenamed("gram", "shorter"), "shorter")
+
+        def p(m: int, order=order, first=below is None) -> Column:
+            a = F.col(f"a{m}")
+            seen = F.when(a > 0, (a - discount(a, order.discounts[m])) / F.col(f"s{m}")).otherwise(0.0)
+            return seen + F.coalesce(f"gamma{m}", F.lit(1.0)) * (F.lit(1 / vocabulary) if first else F.col(f"q{m}"))
+
+        below = level.select("gram", *[p(m).alias(f"q{m}") for m in each])
+    return below.select("gram", *[F.log(f"q{m}").alias(f"logp{m}") for m in each])
 
 
 def slice_of(store, path: str, chunk: int, columns: list[str]):
@@ -225,17 +231,10 @@ def cross_entropies(docs: DataFrame, models: int, keep: list[str], name: str) ->
     counted = stage(count_grams(placed, models), f"{name}-grams")
     columns = [f"n{k}" for k in range(models)]
     sums = stage(counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in columns]), f"{name}-sums")
-    wanted = sums.select("gram")
-    trained = [train(sums.where(F.col(c) > 0).select("gram", F.col(c).alias("a"))) for c in columns]
-    units = trained[0][0].grams.select("gram")
-    for orders in trained[1:]:
-        units = units.union(orders[0].grams.select("gram"))
-    vocabulary = units.distinct().count() + 1
-    known = None
-    for k, orders in enumerate(trained):
-        # Staged one model after the other, so that no plan holds the joins of all models.
-        found = stage(log_probabilities(wanted, orders, vocabulary).withColumnRenamed("logp", f"logp{k}"), f"{name}-model-{k}")
-        known = found if known is None else known.join(found, "gram")
+    seen = " OR ".join(f"{c} > 0" for c in columns)
+    orders = train(sums.where(seen).select("gram", *[F.col(c).alias(f"a{m}") for m, c in enumerate(columns)]), models)
+    vocabulary = orders[0].grams.count() + 1
+    known = log_probabilities(sums.select("gram"), orders, vocabulary)
     folder = new_path(spark, f"{name}-slices")
     logs = [f"logp{k}" for k in range(models)]
     shards = shuffle_partitions(spark)

@@ -62,13 +62,13 @@ def test_losses_are_those_of_a_plain_model(spark):
 
 def test_probabilities_sum_to_one(spark):
     counts = Counter(int(k) for t in sentences(40, 3) for k in L.grams([t])[0].view(np.int64))
-    orders = L.train(spark.createDataFrame(list(counts.items()), "gram long, a long"))
+    orders = L.train(spark.createDataFrame(list(counts.items()), "gram long, a0 long"))
     units = sorted({k & 0xFFFF for k in counts})
     some = sorted({k >> 16 for k in counts})[:20] + [(7 << 32) | (7 << 16) | 7]
     wanted = spark.createDataFrame([((h << 16) | u,) for h in some for u in [*units, 9]], "gram long")
     sums = {}
     for x in L.log_probabilities(wanted, orders, len(units) + 1).collect():
-        sums[x["gram"] >> 16] = sums.get(x["gram"] >> 16, 0) + math.exp(x["logp"])
+        sums[x["gram"] >> 16] = sums.get(x["gram"] >> 16, 0) + math.exp(x["logp0"])
     assert all(s == pytest.approx(1, abs=1e-6) for s in sums.values())
 
 
