@@ -1,8 +1,10 @@
 """Queries of this subpackage, and the SQL for those that SQL can express."""
 
+from gazeloom.llm.byte_bpe import op13_byte_bpe
 from gazeloom.llm.chat import op3_chat
 from gazeloom.llm.decontamination import op5_decontamination
 from gazeloom.llm.near_duplicates import op2_near_duplicates
+from gazeloom.llm.periodic_runs import op11_periodic_runs
 from gazeloom.llm.quality import op1_lm_scoring, op6_quality
 from gazeloom.llm.sentencepiece_codec import op10_sentencepiece
 from gazeloom.llm.sharding import op9_sharding
@@ -21,6 +23,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL = {"op7_topk": OP7_SQL}
