@@ -1,12 +1,12 @@
 """Operator 7: exact top-k by inner product with block-at-a-time pruning.
 
-Vectors are dealt into ranges of ids. Within a range, a tree of cuts along the widest
+Vectors are dealt into ranges. Within a range, a tree of cuts along the widest
 component lays similar vectors side by side, and the range is cut into blocks. A block
 keeps its forward index (the vectors themselves) and, for each component, its largest
 and smallest value. For a query, the sum over components of the better of
 component * largest and component * smallest bounds every score in the block.
 
-A first pass gives each query a k-th score to start from: that among PILOT_ROWS vectors, those of smallest hash of vec_id. A final
+A first pass gives each query a k-th score to start from: that among PILOT_ROWS vectors of one range, which is a mixture of all rows. A final
 k-th score is never below it, so it holds in every range. Bounds are taken on two levels: of supers, each some
 neighbouring blocks, then of the blocks in those supers that a query still needs. Blocks are visited in order of their bounds, and a query's visit ends when the
 bound falls below its k-th score so far. Queries are taken together: one block is scored for all queries that still need it by one matrix product.
@@ -16,21 +16,20 @@ Every range is visited for every block of queries; each gives its best k per que
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazeloom.llm.common import shuffle_partitions, stage, table, tidy
+from gazeloom.llm.common import stage, staged_batches, table, tidy
+from gazeloom.llm.vector_tables import LARGEST, LEAST, exact_dtype, fitting, met, packed, quantise, ranges_of, vectors_of
 
 BLOCK = 64
 SUPER = 16
 RANGE_ROWS = 8192
 QUERY_ROWS = 1024
-PILOT_ROWS = 4096
+PILOT_ROWS = 512
+#: Widths of vectors that get a pilot; others start from nothing.
+PILOT_WIDTHS = 16
 SCALE = 64
-EXACT = 1 << 53
-LARGEST = (1 << 63) - 1
 
 
 def cut(matrix, rows, size: int) -> list:
@@ -51,23 +50,6 @@ def cut(matrix, rows, size: int) -> list:
     return out
 
 
-def exact_dtype(a, b):
-    """float64 while every sum of products stays a whole number in it, int64 while it fits, else Python's integers."""
-    import numpy as np
-
-    most = max(abs(int(a.max(initial=0))), abs(int(a.min(initial=0)))) * max(abs(int(b.max(initial=0))), abs(int(b.min(initial=0)))) * max(1, a.shape[1])
-    return np.float64 if most < EXACT else np.int64 if most <= LARGEST else object
-
-
-def fitting(score):
-    """Scores as int64; an error where one does not fit."""
-    import numpy as np
-
-    if score.dtype == object and score.size and max(abs(int(score.max())), abs(int(score.min()))) > LARGEST:
-        raise OverflowError("a score does not fit 64 bits")
-    return score.astype(np.int64)
-
-
 def bounds(asked, top, low):
     """Upper bounds of each query's scores in each box of components from low to top."""
     import numpy as np
@@ -141,72 +123,30 @@ def search_range(ids, matrix, query_ids, queries, k: int, block: int = BLOCK, st
     return q, best_id[q, place], best_score[q, place], (visited, len(asked) * len(blocks))
 
 
-def quantise(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id and floor(scale * component) as an array of longs; vectors that are null, or hold a null or non-finite component, are left out. A component that doesn't fit is an error."""
-    x = F.col("embedding").cast("array<double>")
-    whole = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
-    return vectors.where(whole).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.when(F.abs(c * scale) < 2.0**63, F.floor(c * scale).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit 64 bits")).cast("long"))).alias("v"))
-
-
-def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows of vec_id and v as blobs of at most `size` vectors of one width: (<name>_no, dim, ids, data)."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        part, n = TaskContext.get().partitionId(), 0
-        held: dict[int, tuple[list, list]] = {}
-
-        def out(dim):
-            nonlocal n
-            ids, data = held.pop(dim)
-            n += 1
-            return pa.RecordBatch.from_pylist(
-                [{"no": (part << 32) + n, "dim": dim, "ids": np.array(ids, "<i8").tobytes(), "data": np.array(data, "<i8").reshape(len(ids), dim).tobytes()}],
-                pa.schema([("no", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]),
-            )
-
-        for batch in batches:
-            for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
-                own = held.setdefault(len(v), ([], []))
-                own[0].append(i)
-                own[1].append(v)
-                if len(own[0]) >= size:
-                    yield out(len(v))
-        for dim in list(held):
-            yield out(dim)
-
-    return rows.mapInArrow(run, "no long, dim int, ids binary, data binary").select(*[F.col(c).alias(c if c == "dim" else f"{name}_{c}") for c in ("no", "dim", "ids", "data")])
-
-
-def pilot(vectors: DataFrame, rows: int) -> DataFrame:
-    """One row for each width, of at most so many vectors: dim, pilot_ids, pilot_data."""
-    first = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
-    few = vectors.withColumn("dim", F.size("v")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= rows)
-    return packed(few.select("vec_id", "v").coalesce(1), rows, "pilot").drop("pilot_no")
-
-
-def starting(batches, k: int):
-    """Blocks of queries with starts: each query's k-th score among the pilot, or the least integer where the pilot has fewer others."""
+def starting(batches, pilot_path: str, rows: int, k: int):
+    """Blocks of queries with starts: each query's k-th score among the first rows of the pilot's range of its width, or the least integer where there are fewer others."""
     import numpy as np
     import pyarrow as pa
 
+    pilots: dict[int, dict] = {}
+    for part in staged_batches(pilot_path, ["no", "dim", "ids", "data"], 1):
+        row = part.to_pylist()[0]
+        if row["dim"] not in pilots or row["no"] < pilots[row["dim"]]["no"]:
+            pilots[row["dim"]] = row
     for batch in batches:
         for at in range(batch.num_rows):
             part = batch.slice(at, 1)
             row = part.to_pylist()[0]
-            names = np.frombuffer(row["query_ids"], "<i8")
-            starts = np.full(len(names), np.iinfo(np.int64).min, "<i8")
-            if row["pilot_ids"] is not None:
-                ids = np.frombuffer(row["pilot_ids"], "<i8")
-                q, _, score, _ = search_range(ids, np.frombuffer(row["pilot_data"], "<i8").reshape(len(ids), -1), names, np.frombuffer(row["query_data"], "<i8").reshape(len(names), -1), k)
+            names, asked = vectors_of(row)
+            starts = np.full(len(names), LEAST, "<i8")
+            if row["dim"] in pilots:
+                ids, data = vectors_of(pilots[row["dim"]])
+                q, _, score, _ = search_range(ids[:rows], data[:rows], names, asked, k)
                 lowest = np.full(len(names), LARGEST, "<i8")
                 np.minimum.at(lowest, q, score)
                 full = np.bincount(q, minlength=len(names)) >= k
                 starts[full] = lowest[full]
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in ("query_no", "dim", "query_ids", "query_data")] + [pa.array([starts.tobytes()], pa.binary())], ["query_no", "dim", "query_ids", "query_data", "starts"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([starts.tobytes()], pa.binary())], [*part.schema.names, "starts"])
 
 
 @tidy
@@ -217,40 +157,36 @@ def block_topk(candidates: DataFrame, queries: DataFrame, k: int = 20, range_row
     rank (from 1), vec_id, score; ties go to the smaller vec_id; a candidate with the query's own vec_id is left
     out; a query with fewer candidates returns all of them. Vectors that are null, empty, or hold a null or non-finite component, and null
     vec_ids, take no part; vectors of different width never meet. Repeated candidate rows count each, repeated query rows once.
-    A score or component beyond 63 bits is an error. Candidates are cut into ranges of range_rows and queries into blocks of query_rows, so that
-    a task holds one range and one block at a time.
+    A score or component beyond 63 bits is an error. Candidates are dealt into ranges of range_rows and queries into blocks of query_rows, so that
+    a task holds one range and one block at a time. Where there are several ranges, pilot_rows vectors of one of them give each query a score to start from; they change no result.
     """
-    spark = candidates.sparkSession
     vectors = quantise(candidates, scale).where(F.size("v") > 0)
-    n = candidates.count()
-    ranges = stage(packed(vectors.repartitionByRange(max(1, math.ceil(n / range_rows)), "vec_id"), range_rows, "range"), "ranges")
+    ranges = ranges_of(vectors, candidates.count(), range_rows)
     asked = quantise(queries, scale).where(F.size("v") > 0).dropDuplicates(["vec_id"])
-    n_asked = queries.count()
-    blocks = stage(packed(asked.repartitionByRange(max(1, math.ceil(n_asked / query_rows)), "vec_id"), query_rows, "query"), "query-blocks")
-    # The pilot: at most PILOT_ROWS vectors of each width, held against all queries for a score to start from.
-    few = stage(pilot(vectors, pilot_rows), "pilot")
-    started = stage(blocks.join(F.broadcast(few), "dim", "left").mapInArrow(lambda batches: starting(batches, k), "query_no long, dim int, query_ids binary, query_data binary, starts binary"), "started")
-    # Each block of queries is sent to each range by an equal key. The list of ranges has a number for each range_rows vectors.
-    targets = ranges.groupBy("dim", F.pmod("range_no", F.lit(64)).alias("part")).agg(F.collect_list("range_no").alias("targets")).drop("part")
-    sent = started.join(F.broadcast(targets), "dim").withColumn("range_no", F.explode("targets")).drop("targets", "dim")
-
-    def run(batches):
+    blocks = stage(packed(asked, query_rows), "query-blocks")
+    # A pilot of all rows would be the search itself.
+    if ranges.count() > 1:
+        first = ranges.groupBy("dim").agg(F.min("no").alias("no"))
+        pilot = stage(ranges.join(F.broadcast(first) if first.count() <= PILOT_WIDTHS else first, ["dim", "no"]).limit(PILOT_WIDTHS), "pilot")._staged_at
+        blocks = stage(blocks.mapInArrow(lambda batches: starting(batches, pilot, pilot_rows, k), "no long, dim long, ids binary, data binary, starts binary"), "started")
+
+    def search(row, queries_of):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, names = np.frombuffer(row["range_ids"], "<i8"), np.frombuffer(row["query_ids"], "<i8")
-                data, asked = np.frombuffer(row["range_data"], "<i8").reshape(len(ids), -1), np.frombuffer(row["query_data"], "<i8").reshape(len(names), -1)
-                q, found, score, _ = search_range(ids, data, names, asked, k, start=np.frombuffer(row["starts"], "<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+        ids, data = vectors_of(row)
+        for block in queries_of:
+            names, asked = vectors_of(block)
+            q, found, score, _ = search_range(ids, data, names, asked, k, start=np.frombuffer(block["starts"], "<i8") if "starts" in block else None)
+            yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
-    found = sent.join(ranges.drop("dim"), "range_no").repartition(shuffle_partitions(spark), "range_no", "query_no").mapInArrow(run, "query_id long, vec_id long, score long")
+    found = met(ranges, blocks, "query_id long, vec_id long, score long", search)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all embeddings for every 20th."""
     vectors = table(spark, sf_dir, "embeddings")
     return block_topk(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
