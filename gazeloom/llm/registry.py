@@ -3,6 +3,7 @@
 from gazeloom.llm.byte_bpe import op13_byte_bpe
 from gazeloom.llm.chat import op3_chat
 from gazeloom.llm.decontamination import op5_decontamination
+from gazeloom.llm.hard_negatives import OP12_SQL, op12_hard_negatives
 from gazeloom.llm.near_duplicates import op2_near_duplicates
 from gazeloom.llm.periodic_runs import op11_periodic_runs
 from gazeloom.llm.quality import op1_lm_scoring, op6_quality
@@ -24,7 +25,8 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
-ORACLE_SQL = {"op7_topk": OP7_SQL}
+ORACLE_SQL = {"op7_topk": OP7_SQL, "op12_hard_negatives": OP12_SQL}

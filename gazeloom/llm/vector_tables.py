@@ -87,7 +87,7 @@ def vectors_of(row: dict):
     import numpy as np
 
     ids = np.frombuffer(row["ids"], "<i8")
-    return ids, np.frombuffer(row["data"], "<i8").reshape(len(ids), -1)
+    return ids, np.frombuffer(row["data"], "<i8").reshape(len(ids), row["dim"])
 
 
 def ranges_of(vectors: DataFrame, n: int, rows: int, values: tuple[str, ...] = ()) -> DataFrame:
@@ -110,7 +110,7 @@ def met(ranges: DataFrame, blocks: DataFrame, result: str, search) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
-                yield from search(row, (b for part in staged_batches(path, columns, 1) for b in part.to_pylist() if b["dim"] == row["dim"] and b["no"] % slices == row["slice"]))
+                yield from search(row, (b for part in staged_batches(path, columns, 1) for b in part.to_pylist() if b["dim"] == row["dim"] and ((b["no"] >> 32) + b["no"]) % slices == row["slice"]))
 
     dealt = ranges.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return dealt.repartition(shuffle_partitions(spark), "no", "slice").mapInArrow(run, result)
