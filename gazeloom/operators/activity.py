@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gazeloom.functions import text as X
+
 MAX_DEVICES = 3
 #: Header of a log record: time, level, module, place, message (fixed value).
 LOG_HEADER = r"^\[(.*?)\] \[(.*?)\] \[(.*?)\] \[(.*?)\] - (.*)$"
@@ -45,7 +47,7 @@ def latest_devices(logins: DataFrame) -> DataFrame:
 
 
 def parse_logs(lines: DataFrame) -> DataFrame:
-    """file, record, ts, level, module, place, message of log lines (file, line_no, value); lines without a header belong to the record before, those before the first header go.
+    """file, record, ts, level (without the white space that pads it), module, place, message of log lines (file, line_no, value); lines without a header belong to the record before, those before the first header go.
 
     record is the place of the header's line among the lines of its file. line_no is a struct (block, n) that ascends within a file; the lines of one block of a file are numbered together, so a large file is
     worked on in as many tasks as it has blocks, and lines before a block's first header go to the last header of the blocks before it.
@@ -61,7 +63,7 @@ def parse_logs(lines: DataFrame) -> DataFrame:
     whole = placed.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "n", "value"))).alias("_p")).withColumn("_h", F.col("_p")[0]["value"])
     field = lambda n: F.regexp_extract("_h", LOG_HEADER, n)
     more = F.transform(F.slice("_p", F.lit(2), F.size("_p")), lambda x: x["value"])
-    return whole.select("file", "record", field(1).alias("ts"), field(2).alias("level"), field(3).alias("module"), field(4).alias("place"), F.array_join(F.concat(F.array(field(5)), more), "\n").alias("message"))
+    return whole.select("file", "record", field(1).alias("ts"), X.strip(field(2)).alias("level"), field(3).alias("module"), field(4).alias("place"), F.array_join(F.concat(F.array(field(5)), more), "\n").alias("message"))
 
 
 def filter_logs(logs: DataFrame, level: str | None = None, module: str | None = None, keyword: str | None = None) -> DataFrame:

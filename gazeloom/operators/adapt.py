@@ -28,6 +28,8 @@ def present(c: Column | str) -> Column:
 def adapt_crawl(df: DataFrame, mapping: dict[str, str] | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
     """Crawl records of either shape as articles. A null field counts as absent.
 
+    content_text is the text of the content where this is an object, else the content where it isn't blank, else a given content_text, else the markdown; what is found so, but blank, is null.
+
     mapping names further input columns and the field of a record that each one fills where it isn't null; defaults gives values for fields of the article
     that are null at the end, besides those of source and author.
     """
@@ -57,7 +59,7 @@ def _adapted(df: DataFrame) -> DataFrame:
         F.col("author"),
         tags.alias("tags"),
         markdown.alias("content_markdown"),
-        F.coalesce(present("content_text"), words, F.col("markdown")).alias("content_text"),
+        present(F.coalesce(body["text"], present(F.when(body.isNull(), F.col("content"))), F.col("content_text"), F.col("markdown"))).alias("content_text"),
         F.filter(F.coalesce(body["attachment_urls"], F.col("attachments"), F.array().cast("array<string>")), lambda a: a != "").alias("attachments"),
         F.lit(1).alias("crawl_version"),
         F.to_json(meta).alias("metadata"),
@@ -87,7 +89,7 @@ def adapt_submission(df: DataFrame, host: str = "submissions.invalid") -> DataFr
 
 
 def validate_documents(df: DataFrame, domains: list[str] | None = None, required: tuple[str, ...] = ("news_id", "title", "url")) -> DataFrame:
-    """Adds errors, warnings and is_valid."""
+    """Adds errors, warnings and is_valid. Content is judged where there is any: null and empty content is none."""
     scheme, host = (F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)", k) for k in (1, 2))
     given = present("url").isNotNull()
     text = F.col("content_text")
@@ -100,7 +102,7 @@ def validate_documents(df: DataFrame, domains: list[str] | None = None, required
         checks.append(F.when(given & ~ok, "url:domain"))
     size = F.length("title")
     checks.append(F.when(present("title").isNotNull() & ~size.between(*TITLE_LIMITS), "title:length"))
-    checks.append(F.when(text.isNotNull() & X.blank(text), "content:blank").when(~F.length(text).between(*CONTENT_LIMITS), "content:length"))
+    checks.append(F.when((text != "") & X.blank(text), "content:blank").when((text != "") & ~F.length(text).between(*CONTENT_LIMITS), "content:length"))
     warnings = [F.when(present("news_id").isNotNull() & ~F.col("news_id").rlike(r"^[a-zA-Z0-9_\-]+$"), "news_id:characters")]
     return df.withColumn("errors", F.array_compact(F.array(*checks))).withColumn("warnings", F.array_compact(F.array(*warnings))).withColumn("is_valid", F.size("errors") == 0)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazeloom.functions import html as H
 from gazeloom.functions import text as X
@@ -21,11 +23,21 @@ def host_of(c):
     return F.regexp_extract(c, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(c: pd.Series) -> pd.Series:
+    """With HTML entities decoded; Spark has no function for it."""
+    import html
+
+    return c.map(lambda x: None if x is None else html.unescape(x))
+
+
 def extract_links(pages: DataFrame, html: str = "html", list_url: str = "list_url") -> DataFrame:
-    """All columns but the HTML, and url: each href as an absolute URL. Script links and relative ones without a leading slash go."""
+    """All columns but the HTML, and url: each href, in quotes of either kind, as an absolute URL with its entities decoded. Script links and relative ones without a leading slash go."""
+    found = pages.withColumn("href", F.explode(F.regexp_extract_all(html, F.lit("""(?i)\\bhref\\s*=\\s*("[^"]*"|'[^']*')"""), F.lit(1)))).drop(html)
+    found = found.withColumn("href", F.substring("href", F.lit(2), F.length("href") - 2))
+    found = found.withColumn("href", F.when(F.contains("href", F.lit("&")), _decoded(F.col("href"))).otherwise(F.col("href")))
     href = X.strip(F.col("href"))
     url = F.when(F.lower(href).startswith("javascript:") | (href == ""), None).when(href.rlike("^https?://"), href).when(href.startswith("/"), F.concat(F.lit("https://"), host_of(F.col(list_url)), href))
-    found = pages.withColumn("href", F.explode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1)))).drop(html)
     return found.withColumn("url", url).where("url is not null").drop("href")
 
 

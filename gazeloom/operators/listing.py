@@ -55,17 +55,18 @@ def _named(c: Column) -> Column:
 
 
 def project_notices(articles: DataFrame) -> DataFrame:
-    """Articles as rows of the read model; rows without a usable id are left out."""
+    """Articles as rows of the read model; rows without a usable id are left out. is_page is true where metadata doesn't name it, and false where it names null."""
     meta = F.from_json("metadata", "label string, detail_url string, is_page boolean, date string")
+    names_null = F.coalesce(F.map_contains_key(F.from_json("metadata", "map<string,string>"), "is_page") & F.from_json("metadata", "map<string,string>")["is_page"].isNull(), F.lit(False))
     first = X.strip(F.try_element_at("tags", F.lit(1)))
-    label = F.coalesce(F.nullif(first, F.lit("")), F.nullif(X.strip(meta["label"]), F.lit("")), "source_site", F.lit(""))
+    label = F.coalesce(F.nullif(first, F.lit("")), F.nullif(X.strip(meta["label"]), F.lit("")), X.strip(F.col("source_site")), F.lit(""))
     return articles.select(
         _named(F.col("news_id").cast("string")).alias("id"),
         label.alias("label"),
         F.coalesce("title", F.lit("")).alias("title"),
         X.format_date(F.col("publish_date")).alias("date"),
         F.coalesce(F.nullif(meta["detail_url"], F.lit("")), "url", F.lit("")).alias("detail_url"),
-        F.coalesce(meta["is_page"], F.lit(True)).alias("is_page"),
+        F.coalesce(meta["is_page"], ~names_null).alias("is_page"),
         F.coalesce("content_text", F.lit("")).alias("content_text"),
         F.to_json(F.coalesce("attachments", F.array().cast("array<string>"))).alias("attachments"),
     ).where("id is not null")

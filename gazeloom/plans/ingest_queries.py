@@ -48,28 +48,23 @@ def appended(spark, sf):
 
 
 def crawl_records(spark, sf):
-    """Documents as crawl records of both shapes."""
+    """Documents as crawl records of both shapes; some have empty or blank content, with markdown or without, or content without text beside a given text."""
     n = F.col("doc_id")
     odd = n % 2 == 1
     url = F.concat(F.lit("http://h/"), n.cast("string"))
+    text = F.when(n % 18 == 1, "  ").when(n % 24 == 9, None).otherwise(F.col("text"))
+    flat = F.when(n % 16 == 0, "").when(n % 16 == 4, " \n ").otherwise(F.col("text"))
     return table(spark, sf, "documents").select(
         F.when(n % 3 == 0, F.concat(F.lit("id"), n.cast("string"))).alias("id"), F.when(n % 4 == 0, F.col("source")).alias("label"), F.when(n % 6 != 0, F.left("text", F.lit(30))).alias("title"),
         F.when(odd, "2024年3月5日").alias("date"), F.when(odd, url).alias("detail_url"), F.when(~odd, url).alias("url"), F.when(~odd, "2024-02-01 10:30").alias("publish_date"), F.when(n % 5 != 0, F.col("lang")).alias("author"),
-        F.when(odd, F.to_json(F.struct(F.col("text"), F.array(F.lit("a.pdf"), F.lit("")).alias("attachment_urls")))).otherwise(F.col("text")).alias("content"), F.when(n % 8 == 0, F.lit("# Head\nbody")).alias("markdown"), F.lit(None).cast("string").alias("content_text"),
+        F.when(odd, F.to_json(F.struct(text.alias("text"), F.array(F.lit("a.pdf"), F.lit("")).alias("attachment_urls")))).otherwise(flat).alias("content"), F.when((n % 8 == 0) | (n % 36 == 1), F.lit("# Head\nbody")).alias("markdown"), F.when(n % 24 == 9, "given").alias("content_text"),
         F.when(n % 7 != 0, F.col("source")).alias("source"), F.lit(None).cast("string").alias("source_site"), F.lit(None).cast("string").alias("error"), odd.alias("is_page"), F.lit(None).cast("boolean").alias("success"), F.array("lang", "lang").alias("tags"), F.lit(None).cast("array<string>").alias("attachments"), F.lit(None).cast("string").alias("metadata"),
     )
 
 
 def adapt_crawl(spark, sf):
     a = A.adapt_crawl(crawl_records(spark, sf))
-    return a.select("news_id", F.when(F.expr("substr(url, 10)").cast("long") % 6 != 0, F.col("title")).alias("title"), "url", F.date_format("publish_date", "yyyy-MM-dd HH:mm").alias("at"), "source_site", "author", F.array_join("tags", ",").alias("tags"), F.md5("content_markdown").alias("markdown_md5"), F.md5("content_text").alias("text_md5"), F.array_join("attachments", ",").alias("attachments"), F.get_json_object("metadata", "$.label").alias("label"), F.get_json_object("metadata", "$.is_page").alias("is_page"))
-
-
-ADAPT_SQL = """SELECT CASE WHEN doc_id % 3 = 0 THEN 'id' || doc_id ELSE left(md5('http://h/' || doc_id), 16) END AS news_id, CASE WHEN doc_id % 6 <> 0 THEN coalesce(nullif(left(text, 30), ''), '') END AS title, 'http://h/' || doc_id AS url,
-  CASE WHEN doc_id % 2 = 1 THEN '2024-03-05 00:00' ELSE '2024-02-01 10:30' END AS at, CASE WHEN doc_id % 7 <> 0 THEN source ELSE '未知来源' END AS source_site, CASE WHEN doc_id % 5 <> 0 THEN lang ELSE '未知作者' END AS author,
-  CASE WHEN doc_id % 4 = 0 THEN lang || ',' || source ELSE lang END AS tags, md5(CASE WHEN doc_id % 8 = 0 THEN '# Head' || chr(10) || 'body' ELSE text END) AS markdown_md5, md5(text) AS text_md5,
-  CASE WHEN doc_id % 2 = 1 THEN 'a.pdf' ELSE '' END AS attachments, CASE WHEN doc_id % 4 = 0 THEN source END AS label, CASE WHEN doc_id % 2 = 1 THEN 'true' ELSE 'false' END AS is_page
-FROM documents"""
+    return a.select("news_id", "title", "url", F.date_format("publish_date", "yyyy-MM-dd HH:mm").alias("at"), "source_site", "author", F.array_join("tags", ",").alias("tags"), F.md5("content_markdown").alias("markdown_md5"), F.md5("content_text").alias("text_md5"), F.array_join("attachments", ",").alias("attachments"), F.get_json_object("metadata", "$.label").alias("label"), F.get_json_object("metadata", "$.is_page").alias("is_page"))
 
 
 def submissions(spark, sf):
@@ -95,7 +90,7 @@ def dirty(spark, sf):
         {
             "news_id": F.when(n % 19 == 0, "\t\n").when(n % 13 == 0, F.concat("news_id", F.lit("!"))).otherwise(F.col("news_id")),
             "url": F.when(n % 11 == 0, F.concat(F.lit("ftp://h/"), n.cast("string"))).when(n % 7 == 0, "nohost").otherwise(F.col("url")),
-            "content_text": F.when(n % 5 == 0, "short").when(n % 29 == 0, "\n" * 20 + "\t ").otherwise(F.col("content_text")),
+            "content_text": F.when(n % 10 == 0, "").when(n % 5 == 0, "short").when(n % 29 == 0, "\n" * 20 + "\t ").otherwise(F.col("content_text")),
             "title": F.when(n % 31 == 0, " \n\t").otherwise(F.col("title")),
         }
     )
@@ -109,11 +104,11 @@ def validate(spark, sf):
 VALIDATE_SQL = f"""WITH {ARTICLES}, dirty AS (
   SELECT doc_id, CASE WHEN doc_id % 31 = 0 THEN ' ' || chr(10) || chr(9) ELSE title END AS title, CASE WHEN doc_id % 19 = 0 THEN chr(9) || chr(10) WHEN doc_id % 13 = 0 THEN news_id || '!' ELSE news_id END AS news_id,
     CASE WHEN doc_id % 11 = 0 THEN 'ftp://h/' || doc_id WHEN doc_id % 7 = 0 THEN 'nohost' ELSE url END AS url,
-    CASE WHEN doc_id % 5 = 0 THEN 'short' WHEN doc_id % 29 = 0 THEN repeat(chr(10), 20) || chr(9) || ' ' ELSE content_text END AS content_text FROM articles
+    CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 5 = 0 THEN 'short' WHEN doc_id % 29 = 0 THEN repeat(chr(10), 20) || chr(9) || ' ' ELSE content_text END AS content_text FROM articles
 ), checked AS (
   SELECT doc_id, news_id, list_filter([CASE WHEN {strip_sql('news_id')} = '' THEN 'missing:news_id' END, CASE WHEN {strip_sql('title')} = '' OR title IS NULL THEN 'missing:title' END,
     CASE WHEN url LIKE 'ftp%' OR url = 'nohost' THEN 'url:scheme' END, CASE WHEN url = 'nohost' THEN 'url:host' END, CASE WHEN url LIKE 'ftp%' OR url = 'nohost' THEN 'url:domain' END,
-    CASE WHEN {strip_sql('content_text')} = '' THEN 'content:blank' WHEN length(content_text) NOT BETWEEN 10 AND 1000000 THEN 'content:length' END], lambda x: x IS NOT NULL) AS e FROM dirty)
+    CASE WHEN content_text = '' THEN NULL WHEN {strip_sql('content_text')} = '' THEN 'content:blank' WHEN length(content_text) NOT BETWEEN 10 AND 1000000 THEN 'content:length' END], lambda x: x IS NOT NULL) AS e FROM dirty)
 SELECT doc_id, array_to_string(e, ',') AS errors, CASE WHEN {strip_sql('news_id')} <> '' AND NOT regexp_matches(news_id, '^[a-zA-Z0-9_\\-]+$') THEN 'news_id:characters' ELSE '' END AS warnings, len(e) = 0 AS is_valid FROM checked"""
 
 
@@ -175,25 +170,52 @@ MARKDOWN_SQL = f"SELECT doc_id, md5({text_sql(f"'{HEAD}' || text")}) AS text_md5
 
 
 def repaired(spark, sf):
-    md = F.concat(F.lit("a**  **b\nc****d\nx | y\n-|-\n---\n"), F.regexp_replace("text", r"[*|\-:#!`]", ""))
+    """Whole texts, marks and all, behind lines with faults of every kind."""
+    md = F.concat(F.lit("a**  **b\nc****d\nx | y\n-|-\n---\n\n**bold**|\n![](a)x[l](b)\n"), "text", F.lit("\n| | | | |\nend **x**"))
     return table(spark, sf, "documents").select("doc_id", F.md5(X.repair_markdown(md)).alias("repaired_md5"))
 
 
-REPAIRED_SQL = """WITH t AS (SELECT doc_id, list_concat([''], string_split(regexp_replace(text, '[*|\\-:#!`]', '', 'g'), chr(10))) AS ls FROM documents),
-k AS (SELECT doc_id, ls, list_transform(ls, lambda x: regexp_full_match(x, '[\\s\u00a0]*')) AS bare FROM t),
-o AS (SELECT doc_id, list_transform(list_filter(range(1, len(ls) + 1), lambda i: i = 1 OR NOT (bare[i] AND bare[i - 1])), lambda i: CASE WHEN bare[i] THEN '' WHEN bare[i - 1] THEN ls[i] ELSE chr(10) || ls[i] END) AS o FROM k)
-SELECT doc_id, md5('ab' || chr(10) || chr(10) || 'cd' || chr(10) || 'x | y' || chr(10) || '|-|-|' || chr(10) || array_to_string(o, chr(10))) AS repaired_md5 FROM o"""
+#: White space within a class of a pattern; and at the end of a line.
+BLANK = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}"
+REPAIRED_SQL = f"""WITH t AS (SELECT doc_id, 'a**  **b' || chr(10) || 'c****d' || chr(10) || 'x | y' || chr(10) || '-|-' || chr(10) || '---' || chr(10) || chr(10) || '**bold**|' || chr(10) || '![](a)x[l](b)' || chr(10) || text || chr(10) || '| | | | |' || chr(10) || 'end **x**' AS t FROM documents),
+-- Pairs of stars around nothing, and longer runs of stars, go; then bold cells, bold at the end, and runs of bars.
+stars AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*[ \\t\\r\\n]*\\*\\*', '', 'g'), '!\\[\\]([^\\[\\n]*)\\[', '![]\\1 [', 'g'), '\\*{{4,}}', '', 'g') AS t FROM t),
+bars AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\*\\*([^*]+)\\*\\*\\|', '\\1|', 'g'), '\\*\\*([^*]+)\\*\\*([{BLANK}]*)\\z', '\\1\\2', 'g'), '(?:\\|[{BLANK}]*){{4,}}', '', 'g') AS t FROM stars),
+ls AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda x: CASE WHEN contains(x, '|') AND contains(x, '-') THEN CASE WHEN starts_with(x, '|') THEN '' ELSE '|' END || CASE WHEN ends_with(regexp_replace(x, '[{BLANK}]+$', ''), '|') THEN x ELSE regexp_replace(x, '[{BLANK}]+$', '') || '|' END ELSE x END) AS ls FROM bars),
+bare AS (SELECT doc_id, ls, list_transform(ls, lambda x: NOT regexp_matches(x, '[^-:{BLANK}]')) AS bare FROM ls),
+kept AS (SELECT doc_id, list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT bare[i] OR i = 1 OR NOT bare[i - 1]), lambda i: CASE WHEN bare[i] THEN '' ELSE ls[i] END) AS ls FROM bare),
+kinds AS (SELECT doc_id, ls, list_transform(ls, lambda x: CASE WHEN {strip_sql("x")} = '' OR starts_with({strip_sql("x")}, '![') OR starts_with({strip_sql("x")}, '|') THEN 'break'
+  WHEN (contains(x, '|') AND regexp_matches({strip_sql("x")}, '[^\\s|:-]')) OR starts_with({strip_sql("x")}, '#') OR starts_with({strip_sql("x")}, '- [') OR starts_with({strip_sql("x")}, '```') THEN 'flow' ELSE 'text' END) AS kinds FROM kept)
+SELECT doc_id, md5(array_to_string(list_transform(range(1, len(ls) + 1), lambda i: CASE WHEN i > 1 AND kinds[i] = 'text' AND kinds[i - 1] <> 'break' THEN chr(10) ELSE '' END || ls[i]), chr(10))) AS repaired_md5 FROM kinds"""
 
 
 def titles(spark, sf):
-    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x\n## Head of it \n"), "text")).otherwise(F.regexp_replace("text", r"[*_`#>\[\]()~\-+0-9&]", ""))
+    """Titles of whole texts, marks and all; every third has a heading below its first line."""
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x\n## Head **of** it \n"), "text")).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", X.first_sentence_title(t).alias("title"))
 
 
-TITLES_SQL = """WITH t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[*_`#>\\[\\]()~\\-+0-9&]', '', 'g'), '\\s+', ' ', 'g')) AS c FROM documents),
-s AS (SELECT doc_id, trim(regexp_extract(c, '^[^。！？?!.…]*[。！？?!.…]*')) AS s FROM t)
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Head of it' WHEN length(s) <= 100 THEN s WHEN contains(left(s, 100), '!') THEN regexp_extract(left(s, 100), '^(.*!)') WHEN contains(left(s, 100), '?') THEN regexp_extract(left(s, 100), '^(.*\\?)') WHEN contains(left(s, 100), '.') THEN regexp_extract(left(s, 100), '^(.*\\.)')
-  WHEN contains(left(s, 100), ',') THEN regexp_extract(left(s, 100), '^(.*,)') WHEN contains(left(s, 100), ';') THEN regexp_extract(left(s, 100), '^(.*;)') ELSE left(s, 100) || '...' END AS title FROM s"""
+def title_sql(c: str) -> str:
+    """first_sentence_title of an expression."""
+    head, sentence = text_sql(f"regexp_extract({c}, '(?m)^#+\\s*(\\S.*?)$', 1)"), f"trim(regexp_extract({text_sql(c)}, '^[^。！？?!.…]*[。！？?!.…]*'))"
+    cuts = " ".join(f"WHEN contains(left({sentence}, 100), '{d}') THEN regexp_extract(left({sentence}, 100), '^(?s:.*[{d}])')" for d in X.CUTS)
+    return f"CASE WHEN length({head}) > 100 THEN left({head}, 97) || '...' WHEN {head} <> '' THEN {head} WHEN length({sentence}) <= 100 THEN {sentence} {cuts} ELSE left({sentence}, 100) || '...' END"
+
+
+TITLES_SQL = f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' || chr(10) || '## Head **of** it ' || chr(10) || text ELSE text END AS t FROM documents)
+SELECT doc_id, {title_sql("t")} AS title FROM t"""
+
+
+ADAPT_SQL = f"""WITH r AS (SELECT *, CASE WHEN doc_id % 8 = 0 OR doc_id % 36 = 1 THEN '# Head' || chr(10) || 'body' END AS markdown,
+  -- Content that names a text has that one, blank or not; other content counts where it isn't blank.
+  CASE WHEN doc_id % 24 = 9 OR doc_id % 18 = 1 OR doc_id % 16 IN (0, 4) OR {strip_sql("text")} = '' THEN NULL ELSE text END AS words FROM documents),
+a AS (SELECT *, coalesce(markdown, words) AS md, CASE WHEN doc_id % 24 = 9 THEN 'given' WHEN doc_id % 18 = 1 OR (doc_id % 2 = 1 AND words IS NULL) THEN NULL ELSE coalesce(words, markdown) END AS body FROM r)
+SELECT CASE WHEN doc_id % 3 = 0 THEN 'id' || doc_id ELSE left(md5('http://h/' || doc_id), 16) END AS news_id,
+  nullif(CASE WHEN doc_id % 6 <> 0 AND text <> '' THEN left(text, 30) WHEN markdown IS NOT NULL THEN 'Head' ELSE {title_sql("coalesce(md, '')")} END, '') AS title, 'http://h/' || doc_id AS url,
+  CASE WHEN doc_id % 2 = 1 THEN '2024-03-05 00:00' ELSE '2024-02-01 10:30' END AS at, CASE WHEN doc_id % 7 <> 0 THEN source ELSE '未知来源' END AS source_site, CASE WHEN doc_id % 5 <> 0 THEN lang ELSE '未知作者' END AS author,
+  CASE WHEN doc_id % 4 = 0 THEN lang || ',' || source ELSE lang END AS tags, md5(md) AS markdown_md5, md5(body) AS text_md5,
+  CASE WHEN doc_id % 2 = 1 THEN 'a.pdf' ELSE '' END AS attachments, CASE WHEN doc_id % 4 = 0 THEN source END AS label, CASE WHEN doc_id % 2 = 1 THEN 'true' ELSE 'false' END AS is_page
+FROM a"""
 
 
 def content_titles(spark, sf):

@@ -33,6 +33,12 @@ def links(spark, sf):
     return D.extract_links(list_pages(spark, sf).drop("url")).select("list_url", "page", "url")
 
 
+def odd_links(spark, sf):
+    """Links of the list pages, behind one in single quotes and one with entities."""
+    more = F.concat(F.lit("<a href='/q"), "page", F.lit("'>q</a><a href=\"/a?x=1&amp;y=&quot;"), "page", F.lit('&quot;">a</a>'))
+    return D.extract_links(list_pages(spark, sf).drop("url").withColumn("html", F.concat(more, "html"))).select("list_url", "page", "url")
+
+
 def kept_links(spark, sf):
     return D.filter_links(links(spark, sf), ["/[A-M]", "/th"], ["ing"])
 
@@ -377,7 +383,9 @@ def found(spark, sf):
 
 
 def notices(spark, sf):
-    a = articles(spark, sf)
+    n = F.col("doc_id")
+    a = articles(spark, sf).withColumn("source_site", F.when(n % 14 == 0, " \t").when(n % 14 == 2, F.concat(F.lit(" "), "source_site", F.lit("\t"))).otherwise(F.col("source_site")))
+    a = a.withColumn("metadata", F.when(n % 35 == 10, '{"is_page":null,"label":" m9 "}').otherwise(F.col("metadata")))
     return L.project_notices(a.withColumn("tags", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(" "))).otherwise(F.col("tags"))).withColumn("news_id", F.when(F.col("doc_id") % 31 == 0, "None").otherwise(F.col("news_id")))).select("id", "label", "date", "detail_url", "is_page", "attachments")
 
 
@@ -449,7 +457,7 @@ def devices(spark, sf):
 
 def logs(spark, sf):
     e = table(spark, sf, "events")
-    level = F.when(F.col("event_id") % 7 == 0, "ERROR").otherwise("INFO")
+    level = F.rpad(F.when(F.col("event_id") % 7 == 0, "ERROR").otherwise("INFO"), 8, " ")  # as log files have it
     head = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] ["), level, F.lit("] [m"), (F.col("user_id") % 5).cast("string"), F.lit("] [f.py:1] - event "), F.col("event_id").cast("string"))
     more = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("\nTraceback\n  of "), "event_type")).otherwise("")
     path = new_path(spark, "logs")
@@ -591,7 +599,7 @@ def stream_ingest(spark, sf):
 
 
 QUERIES = {
-    "list_page_urls": page_urls, "extract_links": links, "filter_links": kept_links, "pagination_cut": cut, "incremental_urls": new_urls, "page_metadata": metadata, "strip_html": stripped, "clean_article_markdown": cleaned, "complex_tables": tables_, "absolutize_images": images, "pdf_links": pdfs, "crawl_report": report,
+    "list_page_urls": page_urls, "extract_links": odd_links, "filter_links": kept_links, "pagination_cut": cut, "incremental_urls": new_urls, "page_metadata": metadata, "strip_html": stripped, "clean_article_markdown": cleaned, "complex_tables": tables_, "absolutize_images": images, "pdf_links": pdfs, "crawl_report": report,
     "vector_ops": vector_ops, "embed_columns": embedded, "embed_tags": tag_embeddings, "match_tags": matched, "merge_tags": merged_tags, "similar_tags": like_tags, "vector_search": nearest, "ann_search": approximate, "semantic_search": semantic, "similar_documents": alike,
     "article_filter": filtered, "fulltext_search": fulltext, "simple_text_search": simple_plain, "merge_field_ranks": merged_fields, "fuse_ranks": fused, "hybrid_search": hybrid, "advanced_search": advanced, "keyword_search_any": keyword("any"), "keyword_search_all": keyword("all"), "keyword_search_phrase": keyword("phrase"), "search_results": results, "search_snippets": snippets,
     "latest": lambda s, d: L.latest(articles(s, d), 20, 5).select("news_id"), "oldest": lambda s, d: L.latest(articles(s, d), 20, oldest=True).select("news_id"), "find_articles": found, "count_by_source": lambda s, d: L.count_by_source(articles(s, d)),
@@ -608,7 +616,7 @@ NOTICE = f"{ARTICLES}, notices AS (SELECT news_id AS id, source_site AS label, c
 
 ORACLE_SQL = {
     "list_page_urls": "SELECT l AS list_url, CAST(p AS INTEGER) AS page, CASE WHEN p = 1 OR k % 3 = 2 THEN l ELSE 'http://h' || k || '/list' || p || '.htm' END AS page_url FROM (SELECT n_nationkey AS k, 'http://h' || n_nationkey || CASE n_nationkey % 3 WHEN 0 THEN '/list.htm' WHEN 1 THEN '/list7.htm' ELSE '/index' END AS l FROM nation), range(1, 6) r(p)",
-    "extract_links": f"WITH {LIST_PAGES} SELECT list_url, page, url FROM links",
+    "extract_links": f"WITH {LIST_PAGES} SELECT list_url, page, url FROM links UNION ALL SELECT list_url, page, regexp_extract(list_url, '^[^/]*//[^/?#]*') || unnest(['/q' || page, '/a?x=1&y=\"' || page || '\"']) FROM list_pages",
     "filter_links": f"WITH {LIST_PAGES} SELECT list_url, page, url FROM links WHERE (regexp_matches(url, '/[A-M]') OR regexp_matches(url, '/th')) AND NOT regexp_matches(url, 'ing')",
     "pagination_cut": f"WITH {LIST_PAGES}, f AS (SELECT list_url, url, min(page) AS page FROM links GROUP BY ALL), stop AS (SELECT list_url, min(page) AS stop FROM list_pages p WHERE NOT success OR (page > 1 AND NOT EXISTS (SELECT 1 FROM f WHERE f.list_url = p.list_url AND f.page = p.page)) GROUP BY ALL) SELECT list_url, url FROM f LEFT JOIN stop USING (list_url) WHERE stop IS NULL OR page < stop",
     "incremental_urls": f"WITH {LIST_PAGES}, d AS (SELECT DISTINCT list_url, url FROM links), o AS (SELECT DISTINCT list_url, url FROM links WHERE page = 1) SELECT list_url, count(*) FILTER ((list_url, url) NOT IN (SELECT (list_url, url) FROM o)) AS n, count(*) AS seen FROM d GROUP BY ALL",
@@ -650,7 +658,7 @@ ORACLE_SQL = {
     "corpus_stats": f"WITH {ARTICLES} SELECT count(*) AS total, count(DISTINCT source_site) AS sources, (SELECT string_agg(s || ':' || n, ',' ORDER BY s) FROM (SELECT source_site AS s, count(*) AS n FROM articles GROUP BY ALL)) AS distribution, strftime(min(publish_date), '%Y-%m-%d') AS first_date, strftime(max(publish_date), '%Y-%m-%d') AS last_date FROM articles",
     "count_by_category": f"SELECT category, count(*) AS n FROM {TAGGED} GROUP BY ALL",
     "tags_by_category": f"SELECT tag_id FROM {TAGGED} WHERE category = 'c1'",
-    "project_notices": f"WITH {ARTICLES} SELECT news_id AS id, CASE WHEN doc_id % 2 = 1 THEN source_site ELSE coalesce(meta_label, source_site) END AS label, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS date, coalesce(meta_url, url) AS detail_url, is_page, '[]' AS attachments FROM articles WHERE doc_id % 31 <> 0",
+    "project_notices": f"WITH {ARTICLES} SELECT news_id AS id, CASE WHEN doc_id % 2 = 1 THEN source_site WHEN doc_id % 35 = 10 THEN 'm9' ELSE coalesce(meta_label, CASE WHEN doc_id % 14 = 0 THEN '' ELSE source_site END) END AS label, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS date, CASE WHEN doc_id % 35 = 10 THEN url ELSE coalesce(meta_url, url) END AS detail_url, is_page AND doc_id % 35 <> 10 AS is_page, '[]' AS attachments FROM articles WHERE doc_id % 31 <> 0",
     "list_page": f"WITH {NOTICE} SELECT id, label, date, (SELECT count(*) FROM notices) AS total FROM notices ORDER BY date DESC, id DESC LIMIT 20 OFFSET 20",
     "labels": f"WITH {NOTICE} SELECT DISTINCT label FROM notices",
     "label_count": f"WITH {NOTICE} SELECT count(DISTINCT label) AS n FROM notices",
