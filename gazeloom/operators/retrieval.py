@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeloom.functions import text as X
-from gazeloom.operators.vectors import cosine, vector_search
-from gazeloom.staging import broadcast_if_small, stage
+from gazeloom.operators.vectors import best_places, cosine, nearest_neighbours, vector_search
+from gazeloom.staging import broadcast_if_small, stage, staged_batches, tidy
 
 K1, B = 1.2, 0.75
 FIELDS = ("title", "content_text", "source_site", "author")
@@ -72,31 +72,127 @@ def fulltext_search(queries: DataFrame, corpus: DataFrame, k: int | None, fields
     return top(hits, k, key, offset)
 
 
-#: Distinct terms of queries that are held against a row at once.
-TERM_BLOCK = 500
-
-
+#: Queries whose terms are one automaton, and rows that are scored at once.
+TERM_QUERIES, SCORED_ROWS = 2048, 1024
+
+
+class TermScorer:
+    """An automaton over all terms of some queries, with the queries of each term and how often these name it."""
+
+    def __init__(self, terms_of_queries: list[list[tuple[str, int]]]) -> None:
+        import ahocorasick
+        import numpy as np
+
+        numbers: dict[str, int] = {}
+        entries: list[list[tuple[int, int]]] = []
+        for q, terms in enumerate(terms_of_queries):
+            for term, times in terms:
+                if numbers.setdefault(term, len(numbers)) == len(entries):
+                    entries.append([])
+                entries[numbers[term]].append((q, times))
+        self.n = len(terms_of_queries)
+        self.found = ahocorasick.Automaton()
+        for term, number in numbers.items():
+            self.found.add_word(term, (number, len(term)))
+        if numbers:
+            self.found.make_automaton()
+        self.terms = [np.array(x, np.int64).reshape(-1, 2) for x in entries]
+        self.kinds: dict[str, bool] = {"": False}
+
+    def is_word(self, c: str) -> bool:
+        known = self.kinds.get(c)
+        if known is None:
+            import unicodedata
+
+            known = self.kinds[c] = c == "_" or unicodedata.category(c)[0] in "LNM"
+        return known
+
+    def weights(self, text: str) -> dict[int, float]:
+        """For each term in a text: 2 if the text is the term, 1.5 if it holds it with a word's edge on both sides, else 1."""
+        out: dict[int, float] = {}
+        is_word = self.is_word
+        for end, (number, size) in self.found.iter(text):
+            if out.get(number, 0) >= 1.5:
+                continue
+            if size == len(text):
+                out[number] = 2.0
+                continue
+            begin = end - size + 1
+            before, after = text[begin - 1] if begin else "", text[end + 1 : end + 2]
+            out[number] = 1.5 if is_word(before) != is_word(text[begin]) and is_word(text[end]) != is_word(after) else 1.0
+        return out
+
+    def score(self, texts: list[str]):
+        """The scores of a row's fields for all queries."""
+        import numpy as np
+
+        total: dict[int, float] = {}
+        for text in texts:
+            if text and len(self.terms):
+                for number, weight in self.weights(text).items():
+                    total[number] = total.get(number, 0.0) + weight
+        if not total:
+            return np.zeros(self.n)
+        entries = [self.terms[number] for number in total]
+        hit = np.concatenate(entries)
+        return np.bincount(hit[:, 0], np.repeat(list(total.values()), [len(x) for x in entries]) * hit[:, 1], self.n)
+
+
+@tidy
 def simple_text_search(queries: DataFrame, corpus: DataFrame, k: int, fields: tuple[str, ...] = FIELDS, key: str = "news_id") -> DataFrame:
     """Per field and per white-space term of a query: 2 if the field equals the term, 1.5 if it holds it as a word, 1 if it holds it; sums above 0 are ranked.
 
-    The stated queries are held against all rows, in blocks of their distinct terms; only the terms that a row holds leave the scan. A term that a query repeats counts as often.
+    All terms of a block of queries are one automaton, so a text is passed over once a block, and word edges (letters, digits, marks and underscores are parts of words) are looked at where a term ends. Queries are a
+    staged table that tasks read; a task gives the best k of SCORED_ROWS rows for each query. A term that a query repeats counts as often.
     """
     split = F.filter(F.split(F.lower(X.strip(F.col("query"))), r"(?U)\s+"), lambda t: t != "")
-    asked = queries.select("query_id", F.explode(split).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    terms = asked.select("term").distinct()
-    n = max(1, -(-terms.count() // TERM_BLOCK))
-    blocks = terms.groupBy(F.pmod(F.xxhash64("term"), F.lit(n)).alias("block")).agg(F.collect_list("term").alias("terms")).select("terms")
-    rows = corpus.select(key, *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f) for f in fields]).crossJoin(F.broadcast(blocks))  # about TERM_BLOCK terms a row
-
-    def weigh(term, text):
-        inside = F.concat(F.lit(r"(?U)\b\Q"), term, F.lit(r"\E\b"))
-        return F.when(~F.contains(text, term), 0.0).when(text == term, 2.0).when(F.regexp_like(text, inside), 1.5).otherwise(1.0)
-
-    weight = lambda t: sum((weigh(t, F.col(f)) for f in fields), F.lit(0.0))
-    held = F.filter("terms", lambda t: F.contains(F.concat_ws("\n", *fields), t))  # most terms end here
-    found = rows.select(key, F.explode(F.transform(held, lambda t: F.struct(t.alias("term"), weight(t).alias("weight")))).alias("h")).select(key, "h.term", "h.weight").where("weight > 0")
-    scores = found.join(broadcast_if_small(asked), "term").groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
-    return top(scores, k, key)
+    counted = queries.select("query_id", F.explode(split).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).cast("int").alias("times"))
+    asked = counted.groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list("times").alias("times"))
+    path = stage(asked, "text-queries")._staged_at
+    kinds = dict(queries.dtypes)["query_id"], dict(corpus.dtypes)[key]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        blocks = None
+
+        def built():
+            for part in staged_batches(path, ["query_id", "terms", "times"], TERM_QUERIES):
+                yield part.column("query_id"), TermScorer([list(zip(*x, strict=True)) for x in zip(part.column("terms").to_pylist(), part.column("times").to_pylist(), strict=True)])
+
+        def search(held):
+            nonlocal blocks
+            rows = pa.Table.from_batches(held)
+            rows = rows.take(pc.sort_indices(rows, [(key, "ascending")])).combine_chunks()
+            keys, texts = rows.column(key).combine_chunks(), list(zip(*(rows.column(f"f{n}").to_pylist() for n in range(len(fields))), strict=True))
+            if blocks is None:  # a few blocks stay; more are built anew for each lot of rows
+                first = []
+                for block in built():
+                    first.append(block)
+                    if len(first) > 4:
+                        break
+                blocks = first if len(first) <= 4 else built
+            for ids, scorer in blocks if isinstance(blocks, list) else blocks():
+                score = np.stack([scorer.score(x) for x in texts], 1)
+                score[score == 0] = -np.inf
+                q, c = best_places(score, k)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), keys.take(pa.array(c)), pa.array(score[q, c])], ["query_id", key, "score"])
+
+        held, n = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                held.append(batch.slice(at, SCORED_ROWS))
+                n += held[-1].num_rows
+                if n >= SCORED_ROWS:
+                    yield from search(held)
+                    held, n = [], 0
+        if n:
+            yield from search(held)
+
+    rows = corpus.select(key, *[F.lower(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias(f"f{n}") for n, f in enumerate(fields)])
+    return top(rows.mapInArrow(run, f"query_id {kinds[0]}, {key} {kinds[1]}, score double"), k, key)
 
 
 def merge_field_ranks(title_hits: DataFrame, content_hits: DataFrame, key: str = "news_id") -> DataFrame:
@@ -167,8 +263,10 @@ def advanced_search(queries: DataFrame, corpus: DataFrame, hits: DataFrame, k: i
     return top(both.select("query_id", key, (0.6 * near + 0.4 * F.col("score")).alias("score")), k, key)
 
 
-def similar_documents(ids: DataFrame, corpus: DataFrame, k: int = 10, vector: str = "content_embedding", key: str = "news_id") -> DataFrame:
-    """Nearest rows of stored rows, themselves left out; unknown ids and rows without a vector give none."""
+def similar_documents(ids: DataFrame | None, corpus: DataFrame, k: int = 10, vector: str = "content_embedding", key: str = "news_id") -> DataFrame:
+    """Nearest rows of stored rows, themselves left out; unknown ids and rows without a vector give none. Without ids: of all stored rows, by a blocked self-join."""
+    if ids is None:
+        return nearest_neighbours(corpus, k, vector, key)
     asked = corpus.join(broadcast_if_small(ids.select(key).distinct()), key, "left_semi").select(F.col(key).alias("query_id"), F.col(vector).alias("vector"))
     return vector_search(asked, corpus, k, vector, key, exclude_self=True)
 

@@ -1,4 +1,4 @@
-"""Embeddings by a pluggable encoder, similarities, nearest rows and tags by similarity."""
+"""Embeddings by a pluggable encoder, similarities, exact nearest rows and tags by similarity."""
 
 from __future__ import annotations
 
@@ -9,13 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazeloom.staging import stage
+from gazeloom.staging import stage, staged_batches
 
-#: Query vectors that one pass over the corpus takes; more go in further passes.
-QUERY_BLOCK = 4096
 STRICT, RELAXED, MAX_TAGS = 0.75, 0.5, 5
-#: Rows from which an index is built, and the bounds of its number of cells (fixed values).
-INDEX_ROWS, CELLS = 256, (4, 256)
 
 
 def hashing_encoder(width: int) -> Callable:
@@ -45,18 +41,38 @@ def hashing_encoder(width: int) -> Callable:
     return encode
 
 
-def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: Callable[[int], Callable] = hashing_encoder, normalise: bool = True, batch: int = 32, failures=None) -> DataFrame:
+#: Encoders of this Python worker by the function that makes them and their width, so that a model is loaded once for each worker, not for each task.
+_encoders: dict[tuple, Callable] = {}
+MOST_ENCODERS = 8
+#: What is put before a query, and only there, for encoders that were trained so (fixed value).
+QUERY_PREFIX = "为这个句子生成表示以用于检索相关文章："
+
+
+def worker_encoder(make: Callable[[int], Callable], width: int) -> Callable:
+    """make(width), made once in this worker. A function arrives in each task as a new object, so it is known by what it is sent as."""
+    from pyspark import cloudpickle
+
+    key = (cloudpickle.dumps(make), width)
+    if key not in _encoders:
+        while len(_encoders) >= MOST_ENCODERS:
+            _encoders.pop(next(iter(_encoders)))
+        _encoders[key] = make(width)
+    return _encoders[key]
+
+
+def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: Callable[[int], Callable] = hashing_encoder, normalise: bool = True, batch: int = 32, failures=None, prefix: str = "") -> DataFrame:
     """Adds vectors: columns maps a new column to (text column, width); encoder(width) gives a function of a list of texts.
 
     Blank texts, and batches for which the encoder fails, give zero vectors; vectors are cut or filled with zeros to their width. failures, an accumulator of
-    the caller (SparkContext.accumulator(0)), counts the texts whose batch failed, so that a dead encoder shows.
+    the caller (SparkContext.accumulator(0)), counts the texts whose batch failed, so that a dead encoder shows. prefix is put before each text that isn't blank.
+    A worker makes each encoder once and keeps it.
     """
     schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.ArrayType(T.FloatType())) for name in columns]])
 
     def run(frames):
         import numpy as np
 
-        tools = {width: encoder(width) for _, width in columns.values()}
+        tools = {width: worker_encoder(encoder, width) for _, width in columns.values()}
         for frame in frames:
             for name, (text, width) in columns.items():
                 out = np.zeros((len(frame), width), np.float32)
@@ -64,7 +80,7 @@ def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: C
                 for at in range(0, len(full), batch):
                     part = full[at : at + batch]
                     try:
-                        found = np.asarray(tools[width]([frame[text].iloc[k] for k in part]), np.float32)
+                        found = np.asarray(tools[width]([prefix + frame[text].iloc[k] for k in part]), np.float32)
                     except Exception:  # noqa: BLE001  the encoder is the caller's
                         if failures is not None:
                             failures.add(len(part))
@@ -79,6 +95,11 @@ def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: C
     return df.mapInPandas(run, schema)
 
 
+def embed_queries(queries: DataFrame, width: int, encoder: Callable[[int], Callable] = hashing_encoder, prefix: str = "", text: str = "query") -> DataFrame:
+    """queries with column vector: the embedding of each query, with a prefix before it that articles don't have. QUERY_PREFIX is for encoders that were trained with it; the default encoder takes queries as it takes texts."""
+    return embed_columns(queries, {"vector": (text, width)}, encoder, prefix=prefix)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -124,98 +145,164 @@ def scores(asked, sizes, rows, similarity: str):
     return 1 - np.minimum(far / math.sqrt(2), 1)
 
 
+#: Queries in a block, and rows that are held against a block at once.
+QUERY_BLOCK, ROW_BLOCK = 512, 8192
+
+
+def rows_of(column, width: int):
+    """The vectors of one width in an Arrow column of arrays, as a matrix of doubles, and their places."""
+    import numpy as np
+
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    places = np.flatnonzero(np.asarray(column.value_lengths().fill_null(-1)) == width)
+    part = column.take(places)
+    return np.asarray(part.flatten(), np.float64).reshape(len(places), width), places
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """Queries (query_id, vector) as a staged table of blocks, a row for each block and width: width, ids, and the vectors as 64-bit numbers. Rows without a vector are left out."""
+    name = dict(queries.dtypes)["query_id"]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            lengths = batch.column("vector").value_lengths()
+            for width in sorted(set(lengths.to_pylist())):
+                m, places = rows_of(batch.column("vector"), width)
+                for at in range(0, len(places), QUERY_BLOCK):
+                    ids = batch.column("query_id").take(places[at : at + QUERY_BLOCK])
+                    yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.ListArray.from_arrays(np.array([0, len(ids)], np.int32), ids), pa.array([m[at : at + QUERY_BLOCK].tobytes()], pa.binary())], ["width", "ids", "data"])
+
+    return stage(queries.where(F.col("vector").isNotNull()).select("query_id", "vector").mapInArrow(run, f"width int, ids array<{name}>, data binary"), "query-blocks")
+
+
+def best_places(score, want: int):
+    """Rows and columns of the `want` highest scores of each row (all that are over -inf, if fewer), equal ones by column."""
+    import numpy as np
+
+    if score.shape[1] > want:
+        # The last score that counts, and all that reach it: few more than want, unless scores tie.
+        kth = np.partition(score, score.shape[1] - want, axis=1)[:, score.shape[1] - want]
+        q, c = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
+    else:
+        q, c = np.nonzero(score > -np.inf)
+    order = np.lexsort((c, -score[q, c], q))
+    q, c = q[order], c[order]
+    firsts = np.flatnonzero(np.diff(q, prepend=-1))
+    kept = np.arange(len(q)) - np.repeat(firsts, np.diff(np.append(firsts, len(q)))) < want
+    return q[kept], c[kept]
+
+
+def equal_keys(a, b):
+    """Pairs of places at which two Arrow arrays hold the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    codes = pa.chunked_array([a, b.cast(a.type)]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    left, right = codes[: len(a)], codes[len(a) :]
+    order = np.argsort(right, kind="stable")
+    low, high = np.searchsorted(right[order], left, "left"), np.searchsorted(right[order], left, "right")
+    places = np.repeat(np.arange(len(a)), high - low)
+    return places, order[np.repeat(low, high - low) + np.arange(len(places)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)]
+
+
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, vector: str = "content_embedding", key: str = "news_id", similarity: str = "cosine", exclude_self: bool = False, offset: int = 0) -> DataFrame:
     """query_id, key, score, rank of the k nearest corpus rows of each query; ties to the smaller key.
 
-    queries: query_id, vector. Queries are taken in blocks of QUERY_BLOCK, a pass over the corpus each; a task keeps its best k + offset for each query
-    of the block in arrays, and only these are shuffled. Rows without a vector of the query's width never match.
+    queries: query_id, vector. Queries are a staged table of blocks, which tasks read from the shared folder: one scan of the corpus serves all of them, and none passes through the driver. A task holds
+    ROW_BLOCK rows and one block at a time and gives the best k + offset of these for each query; before the shuffle a task's own ones are ranked once more.
+    Rows without a vector of the query's width never match.
     """
-    spark, want = queries.sparkSession, k + offset
-    out = None
-    for block in _query_blocks(queries):
-        sent = spark.sparkContext.broadcast(block)  # at most QUERY_BLOCK vectors
-
-        def run(frames, sent=sent):
-            import numpy as np
-            import pandas as pd
-
-            names, vectors = sent.value
-            asked: dict[int, tuple] = {}
-            for width in {len(v) for v in vectors}:
-                own = [n for n, v in enumerate(vectors) if len(v) == width]
-                m = np.array([vectors[n] for n in own], np.float64)
-                asked[width] = (np.array([names[n] for n in own], dtype=object), m, np.linalg.norm(m, axis=1))
-            best: dict[int, tuple] = {}  # scores, -inf where there is none, and keys, both of one row a query
-            for frame in frames:
-                widths = frame[vector].map(lambda v: -1 if v is None else len(v))
-                for width, (ids, m, size) in asked.items():
-                    rows = frame[widths == width]
-                    if rows.empty:
-                        continue
-                    keys = rows[key].to_numpy()
-                    order = np.argsort(keys, kind="stable")  # so that equal scores stand by key
-                    keys, c = keys[order], np.stack(rows[vector].to_numpy()[order]).astype(np.float64)
-                    score = scores(m, size, c, similarity)
-                    if exclude_self:
-                        score = np.where(keys[None, :] == ids[:, None], -np.inf, score)
-                    name = np.broadcast_to(keys, score.shape)
-                    if width in best:
-                        score, name = np.concatenate([best[width][0], score], 1), np.concatenate([best[width][1], name], 1)
-                    if score.shape[1] > want:
-                        # The kth score, and all that reach it: few columns more than want, unless scores tie.
-                        kth = np.partition(score, score.shape[1] - want, axis=1)[:, score.shape[1] - want]
-                        width_kept = int((score >= kth[:, None]).sum(1).max())
-                        few = np.argpartition(-score, min(width_kept, score.shape[1]) - 1, axis=1)[:, :width_kept]
-                        score, name = np.take_along_axis(score, few, 1), np.take_along_axis(name, few, 1)
-                        tied = np.lexsort((name, -score), axis=1)[:, :want]
-                        score, name = np.take_along_axis(score, tied, 1), np.take_along_axis(name, tied, 1)
-                    best[width] = (score, name)
-            for width, (score, name) in best.items():
-                q, place = np.nonzero(score > -np.inf)
-                yield pd.DataFrame({"query_id": asked[width][0][q], key: name[q, place], "score": score[q, place]})
-
-        kinds = dict(corpus.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
-        found = corpus.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        kinds = dict(corpus.dtypes) | dict(queries.dtypes)
-        return spark.createDataFrame([], f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return out.withColumn("rank", rank).where(F.col("rank") <= want).where(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset)
-
-
-def _query_blocks(queries: DataFrame):
-    """Lists of query ids and vectors, at most QUERY_BLOCK at once; rows without a vector are left out."""
-    names, vectors = [], []
-    for row in queries.where(F.col("vector").isNotNull()).select("query_id", "vector").toLocalIterator():
-        names.append(row[0])
-        vectors.append(list(row[1]))
-        if len(names) == QUERY_BLOCK:
-            yield names, vectors
-            names, vectors = [], []
-    if names:
-        yield names, vectors
-
-
-def ann_search(queries: DataFrame, corpus: DataFrame, k: int, nprobe: int | None = None, vector: str = "content_embedding", key: str = "news_id", sample: int = 20_000, seed: int = 1) -> DataFrame:
-    """Approximate vector_search: rows are put into cells by k-means fitted on a sample of at most about `sample` rows, each query looks into its nprobe nearest cells (three fifths
-    of them if not given, for a recall of 0.9 even where vectors hardly form groups), and what it finds there is ranked exactly. The number of cells follows 2 * sqrt(n) within its bounds. Below INDEX_ROWS rows the search is exact."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = corpus.where(F.col(vector).isNotNull()).count()
-    if n < INDEX_ROWS:
-        return vector_search(queries, corpus, k, vector, key)
-    cells = max(CELLS[0], min(CELLS[1], n, int(2 * math.sqrt(n))))
-    data = corpus.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("v"), array_to_vector(l2_normalize(F.col(vector))).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(data.sample(min(1.0, sample / n), seed) if n > sample else data)
-    placed = stage(model.transform(data).select(key, "v", F.col("prediction").alias("cell")), "cells")
-    centres = queries.sparkSession.createDataFrame([(c, [float(x) for x in v]) for c, v in enumerate(model.clusterCenters())], "cell int, centre array<double>")  # at most CELLS rows
-    near = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("closeness"), "cell"))
-    probes = queries.crossJoin(F.broadcast(centres)).withColumn("closeness", cosine(F.col("vector"), F.col("centre"))).withColumn("n", near).where(F.col("n") <= (nprobe or math.ceil(0.6 * cells))).select("query_id", "vector", "cell")
-    found = placed.join(probes, "cell").withColumn("score", cosine(F.col("vector"), F.col("v")))
+    want = k + offset
+    kinds = dict(corpus.dtypes) | {"query_id": dict(queries.dtypes)["query_id"]}
+    path = query_blocks(queries)._staged_at
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def search(held):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            rows = rows.take(pc.sort_indices(rows, [(key, "ascending")]))  # so that equal scores stand by key
+            keys, found = rows.column(key).combine_chunks(), {}
+            for part in staged_batches(path, ["width", "ids", "data"], 1):
+                width = part.column("width")[0].as_py()
+                ids = part.column("ids")[0].values
+                if width not in found:
+                    m, places = rows_of(rows.column(vector), width)
+                    found[width] = m, keys.take(places)
+                m, own = found[width]
+                if not len(own):
+                    continue
+                asked = np.frombuffer(part.column("data")[0].as_py(), np.float64).reshape(len(ids), width)
+                score = scores(asked, np.linalg.norm(asked, axis=1), m, similarity)
+                if exclude_self:
+                    score[equal_keys(ids, own)] = -np.inf
+                q, c = best_places(score, want)
+                yield pa.RecordBatch.from_arrays([ids.take(q), own.take(c), pa.array(score[q, c])], ["query_id", key, "score"])
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= ROW_BLOCK:
+                yield from search(held)
+                held, n = [], 0
+        if n:
+            yield from search(held)
+
+    found = corpus.select(key, vector).where(F.col(vector).isNotNull() & F.col(key).isNotNull()).mapInArrow(run, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return found.select("query_id", key, "score").withColumn("rank", rank).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= want)
+    return ranked.where(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset) if offset else ranked
+
+
+def nearest_neighbours(corpus: DataFrame, k: int, vector: str = "content_embedding", key: str = "news_id", similarity: str = "cosine", block_rows: int = ROW_BLOCK) -> DataFrame:
+    """query_id, key, score, rank: for every row with a vector its k nearest other rows; ties to the smaller key.
+
+    A blocked self-join: rows are dealt into blocks by a hash of the key, and each pair of blocks meets once, in one matrix product from which both sides take their best. Block i meets the blocks behind it, half way round the circle of
+    blocks, so every block carries the same load. Keys are unique; rows without a vector, or with a null key, take no part; vectors of different width never meet.
+    """
+    kind = dict(corpus.dtypes)[key]
+    given = corpus.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("key is not null and vector is not null")
+    n = max(1, math.ceil(given.count() / block_rows))
+    placed = given.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")).withColumn("width", F.size("vector"))
+    packed = placed.repartition(min(n, 4 * int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block").groupBy("block", "width").agg(F.array_sort(F.collect_list(F.struct("key", "vector"))).alias("rows"))
+    blocks = stage(packed.select("block", "width", F.col("rows.key").alias("keys"), F.flatten("rows.vector").alias("data")), "vector-blocks")  # about block_rows rows each, by the hash
+    met = blocks.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n // 2)), lambda d: F.pmod(F.col("block") + d, F.lit(n)))))
+    if n % 2 == 0:  # the block opposite is met from one side
+        met = met.where((F.col("block") < n // 2) | (F.pmod(F.col("other") - F.col("block"), F.lit(n)) < n // 2))
+    pairs = met.join(blocks.select(F.col("block").alias("other"), "width", F.col("keys").alias("other_keys"), F.col("data").alias("other_data")), ["other", "width"])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                width = row.column("width")[0].as_py()
+                (a, x), (b, y) = ((row.column(names)[0].values, np.asarray(row.column(data)[0].values).reshape(len(row.column(names)[0].values), width)) for names, data in (("keys", "data"), ("other_keys", "other_data")))
+                same = row.column("block")[0] == row.column("other")[0]
+                # Stretches of one side, so that no matrix has more than ROW_BLOCK * QUERY_BLOCK scores.
+                for begin in range(0, len(a), QUERY_BLOCK):
+                    own, part = a[begin : begin + QUERY_BLOCK], x[begin : begin + QUERY_BLOCK]
+                    score = scores(part, np.linalg.norm(part, axis=1), y, similarity)
+                    if same:
+                        score[np.arange(len(own)), begin + np.arange(len(own))] = -np.inf
+                    q, c = best_places(score, k)
+                    yield pa.RecordBatch.from_arrays([own.take(q), b.take(c), pa.array(score[q, c])], ["query_id", "key", "score"])
+                    if not same:
+                        q, c = best_places(np.ascontiguousarray(score.T), k)
+                        yield pa.RecordBatch.from_arrays([b.take(q), own.take(c), pa.array(score.T[q, c])], ["query_id", "key", "score"])
+
+    parts = int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = pairs.repartition(parts, "block", "other").mapInArrow(run, f"query_id {kind}, key {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score", "rank")
 
 
 def embed_tags(tags: DataFrame, manual: DataFrame | None = None, encoder: Callable[[int], Callable] = hashing_encoder, width: int = 1024) -> DataFrame:

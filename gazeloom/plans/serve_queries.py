@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from gazeloom.functions import html as H
 from gazeloom.functions import text as X
 from gazeloom.operators import activity as A
+from gazeloom.operators import ann as N
 from gazeloom.operators import conversations as C
 from gazeloom.operators import discover as D
 from gazeloom.operators import listing as L
@@ -122,7 +123,8 @@ def corpus(spark, sf):
 
 
 def text_queries(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    """Every benchmark text, whole, as a query."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def vector_ops(spark, sf):
@@ -208,7 +210,7 @@ def nearest(spark, sf, queries=queries_):
 
 
 def approximate(spark, sf, queries=queries_):
-    return V.ann_search(queries(spark, sf), corpus(spark, sf), 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
+    return N.ann_search(queries(spark, sf), corpus(spark, sf), 10).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
 
 
 def semantic(spark, sf, queries=queries_):
@@ -220,6 +222,17 @@ def alike(spark, sf):
     return R.similar_documents(ids, corpus(spark, sf), 5).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
 
 
+def all_alike(spark, sf):
+    """The nearest rows of every row."""
+    return R.similar_documents(None, corpus(spark, sf), 5).select("query_id", "news_id", F.round("score", 6).alias("score"), "rank")
+
+
+def embedded_queries(spark, sf):
+    """Benchmark texts as queries, with the prefix that articles don't have."""
+    out = V.embed_queries(text_queries(spark, sf), 256, prefix=V.QUERY_PREFIX)
+    return out.select("query_id", F.size("vector").alias("width"), *value_sums("vector", "sum"))
+
+
 def matches_sql(threshold: float, k: int, articles: str) -> str:
     return f"""WITH t AS (SELECT 'tag_' || vec_id AS tag_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE {SHARED_TAGS}),
 s AS (SELECT a.vec_id AS news_id, tag_id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), t.e) AS s FROM embeddings a, t WHERE {articles}),
@@ -245,7 +258,7 @@ def fulltext(spark, sf):
 
 
 BM25 = f"""{ARTICLES}, qt AS (
-  SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')) AS term FROM benchmark
+  SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')) AS term FROM benchmark
 ), w AS (
   SELECT news_id, unnest(list_filter(string_split_regex(lower(title || ' ' || content_text), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')) AS term FROM articles
 ), len AS (SELECT a.news_id, coalesce(n, 0) AS n FROM articles a LEFT JOIN (SELECT news_id, count(*) AS n FROM w GROUP BY 1) USING (news_id)),
@@ -260,18 +273,13 @@ def is_word_sql(c: str) -> str:
     return f"regexp_matches({c}, '[\\p{{L}}\\p{{N}}\\p{{M}}_]')"
 
 
-def weigh_sql(f: str) -> str:
-    """2, 1.5, 1 or 0 for a term t in a field; a word's edge lies where of two characters side by side one belongs to a word and one doesn't."""
-    parts = f"string_split(' ' || {f} || ' ', t)"
-    # Where nothing stands between two occurrences, they are each other's neighbours.
-    before = f"{is_word_sql(f"right(CASE WHEN {parts}[i] = '' THEN t ELSE {parts}[i] END, 1)")} <> {is_word_sql('left(t, 1)')}"
-    after = f"{is_word_sql(f"left(CASE WHEN {parts}[i + 1] = '' THEN t ELSE {parts}[i + 1] END, 1)")} <> {is_word_sql('right(t, 1)')}"
-    return f"CASE WHEN NOT contains({f}, t) THEN 0 WHEN {f} = t THEN 2 WHEN len(list_filter(range(1, len({parts})), lambda i: {before} AND {after})) > 0 THEN 1.5 ELSE 1 END"
-
-
-SIMPLE_SQL = f"""WITH {ARTICLES}, q AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower({strip_sql("array_to_string(string_split(text, ' ')[1:3], ' ')")}), '\\s+'), lambda t: t <> '')) AS t FROM benchmark),
-low AS (SELECT news_id, lower(title) AS f1, lower(content_text) AS f2, lower(source_site) AS f3, lower(author) AS f4 FROM articles), d AS (SELECT DISTINCT t FROM q),
-w AS (SELECT news_id, t, {weigh_sql("f1")} + {weigh_sql("f2")} + {weigh_sql("f3")} + {weigh_sql("f4")} AS w FROM low, d WHERE contains(f1, t) OR contains(f2, t) OR contains(f3, t) OR contains(f4, t)),
+# A word's edge lies where of two characters side by side one belongs to a word and one doesn't; where nothing stands between two occurrences of a term, they are each other's neighbours.
+BEFORE = f"{is_word_sql("right(CASE WHEN ps[i] = '' THEN t ELSE ps[i] END, 1)")} <> {is_word_sql('left(t, 1)')}"
+AFTER = f"{is_word_sql("left(CASE WHEN ps[i + 1] = '' THEN t ELSE ps[i + 1] END, 1)")} <> {is_word_sql('right(t, 1)')}"
+SIMPLE_SQL = f"""WITH {ARTICLES}, q AS (SELECT item_id AS query_id, unnest(list_filter(string_split_regex(lower({strip_sql("text")}), '\\s+'), lambda t: t <> '')) AS t FROM benchmark),
+fields AS (SELECT news_id, unnest([lower(title), lower(content_text), lower(source_site), lower(author)]) AS f FROM articles), d AS (SELECT DISTINCT t FROM q),
+p AS (SELECT news_id, t, f, string_split(' ' || f || ' ', t) AS ps FROM fields, d WHERE contains(f, t)),
+w AS (SELECT news_id, t, sum(CASE WHEN f = t THEN 2 WHEN len(list_filter(range(1, len(ps)), lambda i: {BEFORE} AND {AFTER})) > 0 THEN 1.5 ELSE 1 END) AS w FROM p GROUP BY ALL),
 s AS (SELECT query_id, news_id, CAST(sum(w) AS DOUBLE) AS score FROM q JOIN w USING (t) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, news_id) AS rank FROM s WHERE score > 0)
 SELECT query_id, news_id, score FROM r WHERE rank <= 5"""
@@ -346,7 +354,7 @@ def keyword(match, complete=False):
 
 
 def keyword_sql(match: str, most: int = 15) -> str:
-    q = f"lower({strip_sql("array_to_string(string_split(b.text, ' ')[1:3], ' ')")})"
+    q = f"lower({strip_sql("b.text")})"
     text = "lower(a.title || ' ' || a.content_text)"
     fits = {"any": "true", "all": f"len(list_filter(list_filter(string_split_regex({q}, '\\s+'), lambda t: t <> ''), lambda t: NOT contains({text}, t))) = 0", "phrase": f"contains({text}, {q})"}[match]
     return f"""WITH {BM25}, f AS (SELECT h.query_id, h.news_id, h.s FROM text_hits h JOIN benchmark b ON b.item_id = h.query_id JOIN articles a ON a.news_id = h.news_id WHERE h.rank <= {most} AND {fits}),
@@ -600,7 +608,7 @@ def stream_ingest(spark, sf):
 
 QUERIES = {
     "list_page_urls": page_urls, "extract_links": odd_links, "filter_links": kept_links, "pagination_cut": cut, "incremental_urls": new_urls, "page_metadata": metadata, "strip_html": stripped, "clean_article_markdown": cleaned, "complex_tables": tables_, "absolutize_images": images, "pdf_links": pdfs, "crawl_report": report,
-    "vector_ops": vector_ops, "embed_columns": embedded, "embed_tags": tag_embeddings, "match_tags": matched, "merge_tags": merged_tags, "similar_tags": like_tags, "vector_search": nearest, "ann_search": approximate, "semantic_search": semantic, "similar_documents": alike,
+    "vector_ops": vector_ops, "embed_columns": embedded, "embed_tags": tag_embeddings, "match_tags": matched, "merge_tags": merged_tags, "similar_tags": like_tags, "vector_search": nearest, "ann_search": approximate, "semantic_search": semantic, "similar_documents": alike, "similar_documents_all": all_alike, "embed_queries": embedded_queries,
     "article_filter": filtered, "fulltext_search": fulltext, "simple_text_search": simple_plain, "merge_field_ranks": merged_fields, "fuse_ranks": fused, "hybrid_search": hybrid, "advanced_search": advanced, "keyword_search_any": keyword("any"), "keyword_search_all": keyword("all"), "keyword_search_phrase": keyword("phrase"), "search_results": results, "search_snippets": snippets,
     "latest": lambda s, d: L.latest(articles(s, d), 20, 5).select("news_id"), "oldest": lambda s, d: L.latest(articles(s, d), 20, oldest=True).select("news_id"), "find_articles": found, "count_by_source": lambda s, d: L.count_by_source(articles(s, d)),
     "count_by_date": lambda s, d: L.count_by_date(table(s, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp")), "month", "at"), "corpus_stats": lambda s, d: L.corpus_stats(articles(s, d)).select("total", "sources", F.array_join(F.transform(F.map_entries("distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("distribution"), X.format_date(F.col("first_date")).alias("first_date"), X.format_date(F.col("last_date")).alias("last_date")),
@@ -636,6 +644,8 @@ ORACLE_SQL = {
     "similar_tags": matches_sql(0.2, 3, "true"),
     "vector_search": nearest_sql("q.vec_id % 50 = 0", 10),
     "semantic_search": nearest_sql("q.vec_id % 50 = 0", 10, threshold=0.3),
+    "similar_documents_all": nearest_sql("true", 5, "q.vec_id <> c.vec_id"),
+    "embed_queries": f"""WITH w AS (SELECT item_id AS id, {words_sql(f"'{V.QUERY_PREFIX}' || text")} AS w FROM benchmark), v AS ({value_sums_sql(vector_sql("w", 256), "sum")}) SELECT id AS query_id, 256 AS width, sum_a, sum_b FROM v""",
     "similar_documents": nearest_sql("q.vec_id % 25 = 0", 5, "q.vec_id <> c.vec_id"),
     "article_filter": f"WITH {ARTICLES} SELECT news_id FROM articles WHERE source_site = 'src3' AND author IN ('en', 'fr') AND publish_date BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-11-30' AND crawl_version >= 2",
     "fulltext_search": f"WITH {BM25} SELECT query_id, news_id, round(s, 5) AS score FROM text_hits WHERE rank <= 10",
