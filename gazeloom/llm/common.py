@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -10,45 +9,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.staging import shared_dir
+from gazeloom import staging
+from gazeloom.staging import new_path, stage, staged_batches
+
+__all__ = ["BATCH_ROWS", "labelled_text", "new_path", "release", "shuffle_partitions", "small", "small_batches", "stage", "staged_batches", "table", "texts", "tidy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Paths made by the operators that are running, innermost last.
-_scopes: list[list[str]] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, and a lost executor costs only its own tasks."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    staged = df.sparkSession.read.schema(df.schema).parquet(path)
-    staged._staged_at = path  # type: ignore[attr-defined]
-    return staged
-
-
-def staged_batches(path: str, columns: list[str], rows: int):
-    """Inside a task: the rows of a staged table, in Arrow batches of at most so many, from the shared folder."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(path)
-    for found in sorted(store.get_file_info(fs.FileSelector(root)), key=lambda x: x.path):
-        if found.path.endswith(".parquet"):
-            with store.open_input_file(found.path) as source:
-                yield from pq.ParquetFile(source).iter_batches(rows, columns=columns, use_threads=False)
-
-
 #: Rows of texts that go to a Python worker at once, while an operator runs.
 BATCH_ROWS = 1000
 
@@ -65,35 +35,14 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-@contextmanager
-def scope(made: list[str]) -> Iterator[None]:
-    """Paths made meanwhile are noted in the list."""
-    _scopes.append(made)
-    try:
-        yield
-    finally:
-        _scopes.pop()
-
-
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """An operator whose result is staged when it returns, and whose other tables are deleted then, or where it fails.
-
-    The result itself stays in the shared folder, since the caller reads from it.
-    """
+    """staging.tidy(), with texts in small batches meanwhile: an operator whose result is staged when it returns, and whose other tables are deleted then, or where it fails."""
+    whole = staging.tidy(operator)
 
     @wraps(operator)
     def run(*args, **kwargs) -> DataFrame:
-        spark = next(x for x in (*args, *kwargs.values()) if isinstance(x, DataFrame)).sparkSession
-        made: list[str] = []
-        try:
-            with small_batches(spark):
-                with scope(made):
-                    result = operator(*args, **kwargs)
-                return stage(result, operator.__name__.replace("_", "-"))
-        finally:
-            for path in made:
-                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        with small_batches(next(x for x in (*args, *kwargs.values()) if isinstance(x, DataFrame)).sparkSession):
+            return whole(*args, **kwargs)
 
     return run
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazeloom.llm.common import stage, table, tidy
@@ -22,6 +22,11 @@ LEVEL_TEXTS, SPREAD_TEXTS = 1, 50
 FOLDS = 4
 
 
+def part_of_text(n: int) -> Column:
+    """A number below n from the text alone, in lower case and without white space, so that copies of a text, whatever their doc_id, lie on the same side; 0 for null."""
+    return F.coalesce(F.crc32(F.lower(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("binary")) % n, F.lit(0)).cast("int")
+
+
 def with_flag(docs: DataFrame, labels: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """doc_id, text, the columns to keep, and flag: 1 where a label of the document is 1, 0 where labels say otherwise, null without label."""
     flags = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(column).cast("int")).alias("flag"))
@@ -35,15 +40,15 @@ def with_flag(docs: DataFrame, labels: DataFrame, column: str, keep: list[str])
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Cross-entropy of each document under a target and a background model, and their difference.
 
-    The target is the documents that labels mark with quality 1, the background all others. Both are halved by crc32 of doc_id, and each half trains a model of
-    the same order, smoothing and vocabulary; a document is scored by the two models of the other half, so neither its own text nor another row of its doc_id
-    has been seen by them. Returns doc_id, n_tokens, ce_target, ce_background (nats a token) and score, the mean over
+    The target is the documents that labels mark with quality 1, the background all others. Both are halved by the crc32 of the text in lower case without white space, and each half trains a model of
+    the same order, smoothing and vocabulary; a document is scored by the two models of the other half, so they have seen neither its text nor a copy of it that differs in
+    case or white space alone, under whatever doc_id. Near copies of other wording may lie in the other half. The models are matched in all but the amount of text: the background has as much as there is.
+    Returns doc_id, n_tokens, ce_target, ce_background (nats a token) and score, the mean over
     tokens of the target loss less the background loss: lower is closer to the target. Texts are taken whole. A null or empty text has no tokens and
-    null scores; a null doc_id has no label and is in the first half; repeated rows count and are scored each; other columns are not read. An empty table
+    null scores; a null doc_id has no label; repeated rows count and are scored each, and of a doc_id with several texts each is scored by itself; other columns are not read. An empty table
     gives no rows. A half without any labelled row has a uniform target model.
     """
-    half = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2, F.lit(0)).cast("int")
-    rows = with_flag(docs, labels, "quality", []).withColumn("half", half).select("doc_id", "text", "half", (F.when(F.col("flag") == 1, 0).otherwise(2) + F.col("half")).alias("model"))
+    rows = with_flag(docs, labels, "quality", []).withColumn("half", part_of_text(2)).select("doc_id", "text", "half", (F.when(F.col("flag") == 1, 0).otherwise(2) + F.col("half")).alias("model"))
     found = cross_entropies(rows, 4, ["half"], "difference")
     other = lambda first: F.when(F.col("half") == 0, F.col(f"loss{first + 1}")).otherwise(F.col(f"loss{first}"))
     n = F.nullif("n_tokens", F.lit(0))
@@ -55,7 +60,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, sure_tokens: int = SURE_TOKENS) -> DataFrame:
     """Perplexity of each document under a model of trusted text, and whether it is accepted.
 
-    Documents that labels mark with quality 1 are trusted. Three quarters of them (by crc32 of doc_id) train the model; of the others,
+    Documents that labels mark with quality 1 are trusted. Three quarters of them (by crc32 of the text in lower case without white space, so that no copy of a held-out text trains) train the model; of the others,
     the given quantile in each language of the lower bound of perplexity is that language's threshold (null lang is a language of its own), shrunk
     to what all languages have in common by weights that fall smoothly with the number of such texts in the language (see LEVEL_TEXTS): with many it
     is the language's quantile, with none the quantile over all. The bound is
@@ -66,7 +71,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     scored each. Other columns are not read. Without any trusted text the threshold is null and everything with text is accepted.
     """
     trusted = F.coalesce(F.col("flag") == 1, F.lit(False))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
+    held_out = part_of_text(FOLDS) == 0
     rows = with_flag(docs, labels, "quality", ["lang"]).select("doc_id", "text", "lang", F.when(trusted & ~held_out, 0).alias("model"), (trusted & held_out).alias("judged"))
     found = cross_entropies(rows, 1, ["lang", "judged"], "quality")
     found = stage(found.withColumn("log_ppl", F.expr("loss0 / nullif(n_tokens, 0)")).withColumn("bound", F.col("log_ppl") - margin * F.greatest(F.lit(0.0), 1 / F.sqrt(F.nullif("n_tokens", F.lit(0))) - sure_tokens**-0.5)), "perplexities")
@@ -96,8 +101,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents."""
     return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of all documents, and whether they are accepted."""
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
