@@ -14,42 +14,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gazeloom.operators.activity import MAX_DEVICES
 from gazeloom.operators.ingest import ingest
+from gazeloom.staging import delete, scope, stage
+from gazeloom.streaming.buckets import BUCKETS, read_buckets, touched, write_buckets
 
 
 def snapshot(spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-    """The current snapshot of a table folder: that of its newest committed batch."""
-    found = committed(spark, table)
-    return spark.read.schema(schema).parquet(f"{table}/batch={max(found)}") if found else spark.createDataFrame([], schema)
+    """The table of an ingest stream as its newest committed batch left it."""
+    return read_buckets(spark, table, schema)
 
 
-def committed(spark: SparkSession, table: str) -> list[int]:
-    """Numbers of the batches whose snapshot is whole (Spark writes _SUCCESS last)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch=*/_SUCCESS")) or []
-    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+def stream_ingest(source: DataFrame, table: str, checkpoint: str, schema: T.StructType, trigger: dict | None = None, keep: int = 3, buckets: int = BUCKETS, **options) -> StreamingQuery:
+    """Ingest each micro-batch of articles (with seq) into a table in hash buckets of news_id: only the buckets that hold ids of the batch are read and written.
 
-
-def forget(spark: SparkSession, table: str, numbers: list[int]) -> None:
-    """Delete the snapshots of these batches."""
-    for number in numbers:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/batch={number}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stream_ingest(source: DataFrame, table: str, checkpoint: str, schema: T.StructType, trigger: dict | None = None, keep: int = 3, **options) -> StreamingQuery:
-    """Ingest each micro-batch of articles (with seq) into a table of snapshots. A batch that runs again starts from the snapshot before it and writes its own anew.
-
-    The last `keep` snapshots stay (2 at least: the one a batch that runs again starts from, and its own); readers of older ones have as many batches' time. A snapshot holds
-    the whole table, so a trigger should span enough rows to be worth it.
+    An incoming row is compared with the stored row of its id, so the other buckets decide nothing. A batch that runs again starts from the state before it and writes its own buckets
+    anew. The last `keep` states stay readable (2 at least: the one a batch that runs again starts from, and its own). The number of buckets is set when the table begins; with many more buckets than ids in a
+    batch, most of the table is left alone.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
+        made: list[str] = []
         spark = batch.sparkSession
-        before = [b for b in committed(spark, table) if b < number]
-        stored = spark.read.schema(schema).parquet(f"{table}/batch={max(before)}") if before else spark.createDataFrame([], schema)
-        ingest(batch, stored, **options)["table"].write.mode("overwrite").parquet(f"{table}/batch={number}")
-        forget(spark, table, [b for b in before[: 1 - max(2, keep)] if b < number])
+        try:
+            with scope(made):
+                batch = stage(batch, "micro-batch")
+                which = touched(batch, "news_id", buckets)
+                stored = read_buckets(spark, table, schema, which, number)
+                write_buckets(ingest(batch, stored, **options)["table"], table, number, which, "news_id", buckets, max(2, keep))
+        finally:
+            delete(spark, made)
 
     return source.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
