@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeloom.functions import text as X
-from gazeloom.staging import broadcast_if_small, stage
+from gazeloom.staging import broadcast_if_small, stage, tidy
 
 
 #: Rows of stored ids, URLs and dates (about 100 bytes each) up to which they are broadcast.
@@ -25,6 +25,15 @@ def dedup_batch(df: DataFrame, seq: str = "seq") -> DataFrame:
 def near_duplicates(df: DataFrame, threshold: int = 3, text: str = "content_text", seq: str = "seq") -> DataFrame:
     """Adds simhash and is_near_duplicate: within threshold bits of a row kept earlier, in order of seq (which is unique).
 
+    Texts are looked at once, for their fingerprints; what is compared and staged is seq, fingerprint and a flag, which meet the rows again by seq.
+    """
+    return df.join(near_flags(df, threshold, text, seq), seq).select(*df.columns, "simhash", "is_near_duplicate")
+
+
+@tidy
+def near_flags(df: DataFrame, threshold: int, text: str, seq: str) -> DataFrame:
+    """seq, simhash, is_near_duplicate of each row.
+
     Rows without content are never compared. Rows of one fingerprint are decided by their first. Pairs of different fingerprints are found
     by keys: of threshold + 3 blocks of the fingerprint's bits at least three are equal in a near pair, so each choice of three blocks is
     a key of about half of the bits. A row is kept once no earlier near row is kept; rounds go on until all rows are decided.
@@ -32,8 +41,8 @@ def near_duplicates(df: DataFrame, threshold: int = 3, text: str = "content_text
     blocks = threshold + 3
     edges_at = [64 * k // blocks for k in range(blocks + 1)]
     parts = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges_at, edges_at[1:], strict=False)]
-    marked = stage(df.withColumn("simhash", X.simhash(F.col(text))), "simhash")
-    full = marked.where(~X.blank(F.col(text)))
+    marked = stage(df.select(F.col(seq), X.simhash(F.col(text)).alias("simhash"), F.coalesce(~X.blank(F.col(text)), F.lit(False)).alias("full")), "simhash")
+    full = marked.where("full")
     first = stage(full.groupBy("simhash").agg(F.min(seq).alias("seq")), "fingerprints")
     keys = F.array(*[F.xxhash64(F.lit(n), *[parts[k] for k in three]) for n, three in enumerate(combinations(range(blocks), 3))])
     keyed = first.select("simhash", "seq", F.explode(keys).alias("key"))
@@ -49,7 +58,7 @@ def near_duplicates(df: DataFrame, threshold: int = 3, text: str = "content_text
     lost = first.join(dropped.withColumnRenamed("b", "seq"), "seq", "left_semi") if dropped is not None else first.limit(0)
     decided = first.select("simhash", F.col("seq").alias("first_seq")).join(lost.select("simhash", F.lit(True).alias("lost")), "simhash", "left")
     joined = marked.join(decided, "simhash", "left")
-    return joined.withColumn("is_near_duplicate", F.coalesce(~X.blank(F.col(text)) & (F.col("lost") | (F.col(seq) > F.col("first_seq"))), F.lit(False))).drop("first_seq", "lost")
+    return joined.select(seq, "simhash", F.coalesce(F.col("full") & (F.col("lost") | (F.col(seq) > F.col("first_seq"))), F.lit(False)).alias("is_near_duplicate"))
 
 
 def classify_incoming(incoming: DataFrame, stored: DataFrame) -> DataFrame:

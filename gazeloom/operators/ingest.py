@@ -12,7 +12,7 @@ from gazeloom.operators.adapt import normalize_records, validate_documents
 from gazeloom.operators.dedup import classify_incoming, dedup_batch, near_duplicates, upsert
 from gazeloom.operators.listing import project_notices
 from gazeloom.operators.vectors import embed_columns, match_tags, merge_tags
-from gazeloom.staging import broadcast_if_small, stage
+from gazeloom.staging import broadcast_if_small, delete, scope, stage
 
 
 def statuses(raw: DataFrame, stored: DataFrame, validate: bool = True, normalise: bool = True, dedup: bool = True, near: bool = False) -> DataFrame:
@@ -57,17 +57,23 @@ def ingest(
     """statuses (seq, news_id, status, message for every row of raw), articles (the rows to write), table (stored with them) and notices.
 
     stored has the columns of the articles table in use; of several rows to write with one id the last by seq wins. vectors and tags are the steps of embedding and tag matching, left out where
-    not given. write stores the table; where it fails, the rows to write have status error and the fault as message.
+    not given. write stores the table; where it fails, the rows to write have status error and the fault as message. What stays in the shared folder is what these frames read from: the statuses, and where there are vectors or tags the articles and their matches.
     """
-    done = stage(statuses(raw, stored, normalise=normalise, near=near, **steps), "statuses")
+    spark, made = raw.sparkSession, []
+    with scope(made):
+        found = statuses(raw, stored, normalise=normalise, near=near, **steps)
+    done = stage(found, "statuses")
+    delete(spark, made)
     wanted = done.where(F.col("status").isin("success", "upsert")).select("seq", "status", "message")
     articles = raw.drop("errors", "warnings", "is_valid", "status", "message").join(broadcast_if_small(wanted), "seq")
     if normalise:
         articles = normalize_records(articles)
     if vectors:
         articles = embed_columns(articles, vectors, **({"encoder": encoder} if encoder else {}))
+    if vectors or tags is not None:
+        articles = stage(articles, "articles")  # normalised and embedded once for tags, table and notices
     if tags is not None:
-        articles = merge_tags(articles, match_tags(articles, tags, **({"threshold": threshold} if threshold is not None else {})))
+        articles = merge_tags(articles, stage(match_tags(articles, tags, **({"threshold": threshold} if threshold is not None else {})), "tag-matches"))
     shared = [c for c in stored.columns if c in articles.columns]
     table = upsert(stored.select(shared), articles.select(*shared, "seq"), order="seq")
     notices = project_notices(articles) if {"metadata", "attachments"} <= set(articles.columns) else None

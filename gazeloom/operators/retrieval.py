@@ -47,6 +47,7 @@ def top(df: DataFrame, k: int, key: str, offset: int = 0) -> DataFrame:
     return ranked.where(F.col("rank") > offset).withColumn("rank", F.col("rank") - offset) if offset else ranked
 
 
+@tidy
 def fulltext_search(queries: DataFrame, corpus: DataFrame, k: int | None, fields: tuple[str, ...] = ("title", "content_text"), key: str = "news_id", offset: int = 0) -> DataFrame:
     """BM25: query_id, key, score, rank. queries: query_id, query. k None gives all hits.
 

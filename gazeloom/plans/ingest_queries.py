@@ -346,17 +346,15 @@ def source_tags(spark, sf):
 
 
 def ingest_all(spark, sf):
-    """Every step: faults, duplicates, near-duplicates, vectors, tags, and the writing, which fails for one of two tables; the rows to write with their tags, and all statuses."""
+    """Every step at once: faults, duplicates, near-duplicates, vectors, tags, and a writer that fails; all statuses, and the rows to write with their tags."""
     raw, stored = incoming(spark, sf).drop("doc_id"), articles(spark, sf).drop("doc_id")
 
     def broken(table):
         raise OSError("no room")
 
-    vectors = {"content_embedding": ("content_text", 64)}
-    done = I.ingest(raw, stored, vectors=vectors, tags=source_tags(spark, sf), threshold=0.5)
-    failed = I.ingest(raw, stored, write=broken)["statuses"].where("status = 'error'").select("seq", "message")
-    rows = done["statuses"].join(failed, "seq", "left").join(done["articles"].select("seq", F.array_join(F.array_sort("tags"), ",").alias("tags")), "seq", "left")
-    return rows.select("seq", "news_id", "status", F.coalesce(failed["message"], F.lit("")).alias("fault"), "tags")
+    done = I.ingest(raw, stored, near=True, vectors={"content_embedding": ("content_text", 64)}, tags=source_tags(spark, sf), threshold=0.5, write=broken)
+    rows = done["statuses"].join(done["articles"].select("seq", F.array_join(F.array_sort("tags"), ",").alias("tags")), "seq", "left")
+    return rows.select("seq", "news_id", "status", F.when(F.col("status") == "error", F.col("message")).otherwise("").alias("fault"), "tags")
 
 
 def ingest_near(spark, sf):
@@ -375,13 +373,17 @@ INGEST = f"""WITH {ARTICLES}, {INCOMING}, {STATUS}, titled AS (
 ), valid AS (SELECT seq, seq > min(seq) OVER (PARTITION BY nurl) AS dup FROM titled WHERE bad IS NULL),
 final AS (SELECT t.*, CASE WHEN bad IS NOT NULL THEN 'invalid' WHEN v.dup THEN 'duplicate' WHEN kind = 'new' THEN 'success' ELSE kind END AS status FROM titled t LEFT JOIN valid v USING (seq))"""
 
-INGEST_ALL_SQL = f"""{INGEST}, named AS (SELECT source, arg_min(left(text, 400), doc_id) || ': ' AS text FROM documents WHERE length(text) > 0 GROUP BY source),
-dw AS (SELECT seq AS id, {words_sql("content_text")} AS w FROM final WHERE status IN ('success', 'upsert')), tw AS (SELECT 'tag_' || source AS id, {words_sql("text")} AS w FROM named),
+#: Near-duplicates among the valid rows, by the rule of NEAR_SQL, and the statuses with them.
+NEAR_ROWS, NEAR_LAST = NEAR_SQL.removeprefix("WITH RECURSIVE ").replace("FROM documents", "FROM near_in").rsplit("\nSELECT f.doc_id", 1)
+INGEST_NEAR = f"""{INGEST.replace("WITH ", "WITH RECURSIVE ", 1)}, near_in AS (SELECT seq AS doc_id, content_text AS text FROM titled WHERE bad IS NULL), {NEAR_ROWS}, near_found AS (SELECT f.doc_id{NEAR_LAST}),
+near_final AS (SELECT t.* EXCLUDE (status), CASE WHEN status IN ('success', 'upsert', 'duplicate') AND is_near_duplicate THEN 'duplicate' ELSE status END AS status FROM final t LEFT JOIN near_found USING (seq))"""
+INGEST_ALL_SQL = f"""{INGEST_NEAR}, named AS (SELECT source, arg_min(left(text, 400), doc_id) || ': ' AS text FROM documents WHERE length(text) > 0 GROUP BY source),
+dw AS (SELECT seq AS id, {words_sql("content_text")} AS w FROM near_final WHERE status IN ('success', 'upsert')), tw AS (SELECT 'tag_' || source AS id, {words_sql("text")} AS w FROM named),
 dv AS ({vector_sql("dw", 64)}), tv AS ({vector_sql("tw", 64)}),
 dl AS (SELECT id, sqrt(sum(x * x)) AS n FROM dv GROUP BY id), tl AS (SELECT id, sqrt(sum(x * x)) AS n FROM tv GROUP BY id),
-c AS (SELECT d.id AS seq, t.id AS tag_id, round(sum(d.x * t.x) / any_value(dl.n) / any_value(tl.n), 6) AS s FROM dv d JOIN tv t USING (i) JOIN dl ON dl.id = d.id JOIN tl ON tl.id = t.id GROUP BY ALL),
-m AS (SELECT seq, tag_id, row_number() OVER (PARTITION BY seq ORDER BY s DESC, tag_id) AS rank FROM c WHERE s >= 0.5), g AS (SELECT seq, list(tag_id ORDER BY rank) AS t FROM m WHERE rank <= 5 GROUP BY seq)
-SELECT f.seq, f.news_id, f.status, CASE WHEN f.status IN ('success', 'upsert') THEN 'no room' ELSE '' END AS fault, CASE WHEN f.status IN ('success', 'upsert') THEN array_to_string(list_sort(list_concat(f.tags, coalesce(g.t, []))), chr(44)) END AS tags FROM final f LEFT JOIN g USING (seq)"""
+like_tags AS (SELECT d.id AS seq, t.id AS tag_id, round(sum(d.x * t.x) / any_value(dl.n) / any_value(tl.n), 6) AS s FROM dv d JOIN tv t USING (i) JOIN dl ON dl.id = d.id JOIN tl ON tl.id = t.id GROUP BY ALL),
+m AS (SELECT seq, tag_id, row_number() OVER (PARTITION BY seq ORDER BY s DESC, tag_id) AS rank FROM like_tags WHERE s >= 0.5), own_tags AS (SELECT seq, list(tag_id ORDER BY rank) AS t FROM m WHERE rank <= 5 GROUP BY seq)
+SELECT f.seq, f.news_id, CASE WHEN f.status IN ('success', 'upsert') THEN 'error' ELSE f.status END AS status, CASE WHEN f.status IN ('success', 'upsert') THEN 'no room' ELSE '' END AS fault, CASE WHEN f.status IN ('success', 'upsert') THEN array_to_string(list_sort(list_concat(f.tags, coalesce(o.t, []))), chr(44)) END AS tags FROM near_final f LEFT JOIN own_tags o USING (seq)"""
 
 QUERIES = {
     "read_crawl_json": read_crawl, "write_articles_json": articles_json, "append_articles": appended, "adapt_crawl": adapt_crawl, "adapt_submission": adapt_submission, "validate_documents": validate,
@@ -395,6 +397,7 @@ ORACLE_SQL = {
     "repair_markdown": REPAIRED_SQL,
     "near_duplicates": NEAR_SQL,
     "ingest_all": INGEST_ALL_SQL,
+    "ingest_near": f"{INGEST_NEAR} SELECT seq, status FROM near_final",
     "write_articles_json": f"WITH {ARTICLES} SELECT news_id, strftime(publish_date, '%Y-%m-%d') AS day, array_to_string(tags, ',') AS tags FROM articles",
     "append_articles": f"WITH {ARTICLES} SELECT news_id, '未知作者' AS author, CAST(0 AS INTEGER) AS n_tags, crawl_version FROM articles WHERE doc_id % 2 = 0 OR doc_id % 9 <> 0",
     "adapt_crawl": ADAPT_SQL,

@@ -602,7 +602,7 @@ def stream_ingest(spark, sf):
     parts = [F.expr(f"seq < {10**9} AND doc_id % 4 = {k}") for k in range(4)] + [F.col("seq") >= 10**9]
     schema = articles(spark, sf).drop("doc_id").schema
     path = new_path(spark, "table")
-    S.stream_ingest(streamed(spark, sf, batch.unionByName(again), "incoming", parts).drop("doc_id"), path, path + "-state", schema).awaitTermination()
+    S.stream_ingest(streamed(spark, sf, batch.unionByName(again), "incoming", parts).drop("doc_id"), path, path + "-state", schema, buckets=8).awaitTermination()
     return S.snapshot(spark, path, schema).select("news_id", "url", X.format_date(F.col("publish_date")).alias("day"))
 
 
