@@ -12,6 +12,7 @@ from gazeloom.operators import ann as N
 from gazeloom.operators import conversations as C
 from gazeloom.operators import discover as D
 from gazeloom.operators import listing as L
+from gazeloom.operators import postings as P
 from gazeloom.operators import retrieval as R
 from gazeloom.operators import reviews as W
 from gazeloom.operators import vectors as V
@@ -285,6 +286,14 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ne
 SELECT query_id, news_id, score FROM r WHERE rank <= 5"""
 
 
+def fulltext_indexed(spark, sf):
+    """fulltext_search over stored postings, of two batches of articles one after the other."""
+    a, path = articles(spark, sf), new_path(spark, "postings")
+    P.add_postings(a.where("doc_id % 3 <> 0"), path, 0, buckets=8)
+    P.add_postings(a.where("doc_id % 3 = 0"), path, 1, buckets=8)
+    return P.search_postings(text_queries(spark, sf), path, 10, buckets=8).select("query_id", "news_id", F.round("score", 5).alias("score"))
+
+
 def simple_plain(spark, sf):
     """simple_text_search for every benchmark item, marks and all."""
     return R.simple_text_search(text_queries(spark, sf), articles(spark, sf), 5).select("query_id", "news_id", "score")
@@ -609,7 +618,7 @@ def stream_ingest(spark, sf):
 QUERIES = {
     "list_page_urls": page_urls, "extract_links": odd_links, "filter_links": kept_links, "pagination_cut": cut, "incremental_urls": new_urls, "page_metadata": metadata, "strip_html": stripped, "clean_article_markdown": cleaned, "complex_tables": tables_, "absolutize_images": images, "pdf_links": pdfs, "crawl_report": report,
     "vector_ops": vector_ops, "embed_columns": embedded, "embed_tags": tag_embeddings, "match_tags": matched, "merge_tags": merged_tags, "similar_tags": like_tags, "vector_search": nearest, "ann_search": approximate, "semantic_search": semantic, "similar_documents": alike, "similar_documents_all": all_alike, "embed_queries": embedded_queries,
-    "article_filter": filtered, "fulltext_search": fulltext, "simple_text_search": simple_plain, "merge_field_ranks": merged_fields, "fuse_ranks": fused, "hybrid_search": hybrid, "advanced_search": advanced, "keyword_search_any": keyword("any"), "keyword_search_all": keyword("all"), "keyword_search_phrase": keyword("phrase"), "search_results": results, "search_snippets": snippets,
+    "article_filter": filtered, "fulltext_search": fulltext, "fulltext_indexed": fulltext_indexed, "simple_text_search": simple_plain, "merge_field_ranks": merged_fields, "fuse_ranks": fused, "hybrid_search": hybrid, "advanced_search": advanced, "keyword_search_any": keyword("any"), "keyword_search_all": keyword("all"), "keyword_search_phrase": keyword("phrase"), "search_results": results, "search_snippets": snippets,
     "latest": lambda s, d: L.latest(articles(s, d), 20, 5).select("news_id"), "oldest": lambda s, d: L.latest(articles(s, d), 20, oldest=True).select("news_id"), "find_articles": found, "count_by_source": lambda s, d: L.count_by_source(articles(s, d)),
     "count_by_date": lambda s, d: L.count_by_date(table(s, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp")), "month", "at"), "corpus_stats": lambda s, d: L.corpus_stats(articles(s, d)).select("total", "sources", F.array_join(F.transform(F.map_entries("distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("distribution"), X.format_date(F.col("first_date")).alias("first_date"), X.format_date(F.col("last_date")).alias("last_date")),
     "find_tags": named_tags, "trim_observations": observed, "keyword_search_complete": keyword("phrase", True), "count_by_category": lambda s, d: L.count_by_category(tags_(s, d)), "tags_by_category": lambda s, d: L.tags_by_category(tags_(s, d), "c1").select("tag_id"), "project_notices": notices, "list_page": paged, "labels": lambda s, d: L.labels(L.project_notices(articles(s, d))), "label_count": lambda s, d: L.label_count(L.project_notices(articles(s, d))), "dashboard": lambda s, d: L.dashboard(L.project_notices(articles(s, d)), keys_(s, d)),
@@ -649,6 +658,7 @@ ORACLE_SQL = {
     "similar_documents": nearest_sql("q.vec_id % 25 = 0", 5, "q.vec_id <> c.vec_id"),
     "article_filter": f"WITH {ARTICLES} SELECT news_id FROM articles WHERE source_site = 'src3' AND author IN ('en', 'fr') AND publish_date BETWEEN TIMESTAMP '2024-02-01' AND TIMESTAMP '2024-11-30' AND crawl_version >= 2",
     "fulltext_search": f"WITH {BM25} SELECT query_id, news_id, round(s, 5) AS score FROM text_hits WHERE rank <= 10",
+    "fulltext_indexed": f"WITH {BM25} SELECT query_id, news_id, round(s, 5) AS score FROM text_hits WHERE rank <= 10",
     "simple_text_search": SIMPLE_SQL,
     "merge_field_ranks": f"WITH {BM25}, {TWENTY}, {VECTOR_HITS}, p AS (SELECT query_id, news_id, 0.3 / rank AS t, 0.0 AS c FROM th UNION ALL SELECT query_id, news_id, 0.0, 0.7 / rank FROM vector_hits) SELECT query_id, news_id, round(sum(t) + sum(c), 6) AS score, round(sum(t), 6) AS title_score FROM p GROUP BY ALL",
     "fuse_ranks": f"WITH {BM25}, {TWENTY}, {VECTOR_HITS}, {FUSE.format(v='vector_hits')} SELECT query_id, news_id, round(s, 6) AS score, rank FROM ranked WHERE rank <= 10",
