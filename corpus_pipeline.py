@@ -17,6 +17,7 @@ from gazeloom.llm.near_duplicates import near_duplicates
 from gazeloom.llm.quality import classify_quality
 from gazeloom.llm.sentencepiece_codec import digest_documents
 from gazeloom.llm.toxicity import score_toxicity
+from gazeloom.staging import delete, scope
 
 #: Numbers of documents without doc_id begin here; every doc_id in use is smaller, so that of a group one with doc_id stays.
 NAMELESS = 1 << 62
@@ -28,11 +29,19 @@ def number(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), own)
 
 
+def unused(docs: DataFrame, name: str = "_id_") -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, rejected: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows of docs, with their number in column _id_, but for the documents whose numbers `rejected` gives as doc_id when it is asked with numbers for ids."""
+    """Rows of docs, with their number in column unused(docs), but for the documents whose numbers `rejected` gives as doc_id when it is asked with numbers for ids."""
+    name = unused(docs)
     ids = rejected(docs.withColumn("doc_id", number(docs)))
-    gone = stage(ids.select(F.col("doc_id").alias("_id_")).distinct(), "gone")
-    return docs.withColumn("_id_", number(docs)).join(small(gone), "_id_", "left_anti")
+    gone = stage(ids.select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.withColumn(name, number(docs)).join(small(gone), name, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +56,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one of smallest doc_id. Of rows that repeat a document, the first by text stays."""
-    kept = without(docs, lambda d: near_duplicates(d).where(~F.col("kept")))
-    repeated = stage(docs.select(number(docs).alias("_id_")).groupBy("_id_").count().where("count > 1").select("_id_"), "repeated")
+    kept, name = without(docs, lambda d: near_duplicates(d).where(~F.col("kept"))), unused(docs)
+    repeated = stage(docs.select(number(docs).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(name), "repeated")
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    first = kept.join(small(repeated), "_id_", "left_semi").groupBy("_id_").agg(F.min(F.struct(F.col("text").alias("_text_"), F.struct(*docs.columns).alias("_row_"))).alias("_first_"))
-    return kept.join(small(repeated), "_id_", "left_anti").select(docs.columns).unionByName(first.select("_first_._row_.*"))
+    first = kept.join(small(repeated), name, "left_semi").groupBy(name).agg(F.min(F.struct(F.col("text").alias("text"), F.struct(*docs.columns).alias("row"))).alias("first"))
+    return kept.join(small(repeated), name, "left_anti").select(docs.columns).unionByName(first.select("first.row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), "pipeline-" + "-".join(name.split()).lower())
+    """All stages over documents. Every table but the result is deleted when the last stage is written, or where one fails."""
+    docs, made = table(spark, sf_dir, "documents"), []
+    try:
+        with scope(made):
+            for name, function in STAGES:
+                docs = stage(function(spark, docs, sf_dir), "pipeline-" + "-".join(name.split()).lower())
+        made.remove(docs._staged_at)
+    finally:
+        delete(spark, made)
     return docs
