@@ -151,3 +151,26 @@ def test_no_documents(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, out)
     assert docs.count() == 0
+
+
+def test_a_run_leaves_its_result_alone(spark, folder):
+    import os
+
+    from gazeloom.staging import shared_dir
+
+    place = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(place))
+    assert corpus_pipeline.run(spark, folder[0]).count() > 0
+    left = set(os.listdir(place)) - before
+    assert [x.startswith("pipeline-sentencepiece") for x in left] == [True]
+
+
+def test_columns_of_clashing_names(spark, folder):
+    """Columns that are named as the pipeline names its own stay as they are."""
+    out, _ = folder
+    docs = spark.read.parquet(f"{out}/documents.parquet").where("doc_id < 40 or doc_id between 3000 and 3009").withColumns({"_id_": F.lit("mine"), "_ID__": F.lit("too"), "rows": F.lit(3), "first": F.lit(4), "row": F.lit(5)})
+    kept = corpus_pipeline.near_dedup(spark, docs, out)
+    assert kept.columns == docs.columns
+    found = kept.collect()
+    assert {(r["_id_"], r["_ID__"], r["rows"], r["first"], r["row"]) for r in found} == {("mine", "too", 3, 4, 5)}
+    assert sorted(r["doc_id"] for r in found) == list(range(40))
