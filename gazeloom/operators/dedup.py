@@ -22,6 +22,58 @@ def dedup_batch(df: DataFrame, seq: str = "seq") -> DataFrame:
     return hashed.join(first, "url_hash").withColumn("is_duplicate", F.col(seq) > F.col("first_seq")).drop("first_seq")
 
 
+#: Fingerprints of one key from which on they are compared in blocks, and how many a block has.
+HOT_KEY, HOT_BLOCK = 1024, 2048
+
+
+def near_pairs(first: DataFrame, threshold: int, hot: int = HOT_KEY, block: int = HOT_BLOCK) -> DataFrame:
+    """Pairs (a, b) of seq, a the smaller, of fingerprints (simhash, seq; each simhash once) that differ in no more than threshold bits.
+
+    Of threshold + 3 blocks of the bits at least three are equal in a near pair, so each choice of three blocks is
+    a key of about half of the bits. Fingerprints of a key meet in a join; those of a key that more than `hot` share are dealt into blocks, and each pair of blocks is compared once, in
+    arrays, wherever Spark puts it: no task holds more than two blocks, and no candidate pair is a row.
+    """
+    cuts = [64 * k // (threshold + 3) for k in range(threshold + 4)]
+    parts = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    keys = F.array(*[F.xxhash64(F.lit(n), *[parts[k] for k in three]) for n, three in enumerate(combinations(range(threshold + 3), 3))])
+    keyed = first.select("simhash", "seq", F.explode(keys).alias("key"))
+    crowded = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot), "crowded-keys")
+    near = X.hamming(F.col("x.simhash"), F.col("y.simhash")) <= threshold
+    none = crowded.isEmpty()
+    few = keyed if none else keyed.join(broadcast_if_small(crowded), "key", "left_anti")
+    met = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.seq") < F.col("y.seq")) & near).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
+    if none:
+        return stage(met.distinct(), "near-pairs")
+    many = keyed.join(broadcast_if_small(crowded), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("simhash", "key"), F.col("blocks")).cast("int"))
+    # In order of the fingerprints, so that equal runs of a block stand the same however often it is made.
+    held = stage(many.groupBy("key", "blocks", "block").agg(F.array_sort(F.collect_list(F.struct("simhash", "seq"))).alias("rows")).select("key", "blocks", "block", F.col("rows.simhash").alias("x"), F.col("rows.seq").alias("x_seq")), "crowded-blocks")
+    others = F.expr("transform(sequence(0, blocks div 2), d -> cast(pmod(block + d, blocks) as int))")
+    # Half way round the circle of blocks; the block opposite is met from one side.
+    pairs = held.withColumn("other", F.explode(others)).where("blocks % 2 = 1 OR block < blocks / 2 OR pmod(other - block, blocks) < blocks / 2")
+    pairs = pairs.join(held.select("key", F.col("block").alias("other"), F.col("x").alias("y"), F.col("x_seq").alias("y_seq")), ["key", "other"])
+    kind = dict(first.dtypes)["seq"]
+
+    def compare(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                x, y, x_seq, y_seq = (np.asarray(row.column(c)[0].values) for c in ("x", "y", "x_seq", "y_seq"))
+                x, y = x.astype(np.int64).view(np.uint64), y.astype(np.int64).view(np.uint64)  # the sign is a bit like any other
+                for begin in range(0, len(x), 256):
+                    i, j = np.nonzero(np.bitwise_count(x[begin : begin + 256, None] ^ y[None, :]) <= threshold)
+                    a, b = x_seq[begin + i], y_seq[j]
+                    if row.column("block")[0] == row.column("other")[0]:
+                        a, b = a[a < b], b[a < b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    size = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = pairs.select("key", "block", "other", "x", "y", "x_seq", "y_seq").repartition(size, "key", "block", "other").mapInArrow(compare, f"a {kind}, b {kind}")
+    return stage(met.union(wide).distinct(), "near-pairs")
+
+
 def near_duplicates(df: DataFrame, threshold: int = 3, text: str = "content_text", seq: str = "seq") -> DataFrame:
     """Adds simhash and is_near_duplicate: within threshold bits of a row kept earlier, in order of seq (which is unique).
 
@@ -35,19 +87,12 @@ def near_flags(df: DataFrame, threshold: int, text: str, seq: str) -> DataFrame:
     """seq, simhash, is_near_duplicate of each row.
 
     Rows without content are never compared. Rows of one fingerprint are decided by their first. Pairs of different fingerprints are found
-    by keys: of threshold + 3 blocks of the fingerprint's bits at least three are equal in a near pair, so each choice of three blocks is
-    a key of about half of the bits. A row is kept once no earlier near row is kept; rounds go on until all rows are decided.
+    by near_pairs(). A row is kept once no earlier near row is kept; rounds go on until all rows are decided.
     """
-    blocks = threshold + 3
-    edges_at = [64 * k // blocks for k in range(blocks + 1)]
-    parts = [F.shiftrightunsigned("simhash", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges_at, edges_at[1:], strict=False)]
     marked = stage(df.select(F.col(seq), X.simhash(F.col(text)).alias("simhash"), F.coalesce(~X.blank(F.col(text)), F.lit(False)).alias("full")), "simhash")
     full = marked.where("full")
     first = stage(full.groupBy("simhash").agg(F.min(seq).alias("seq")), "fingerprints")
-    keys = F.array(*[F.xxhash64(F.lit(n), *[parts[k] for k in three]) for n, three in enumerate(combinations(range(blocks), 3))])
-    keyed = first.select("simhash", "seq", F.explode(keys).alias("key"))
-    near = X.hamming(F.col("x.simhash"), F.col("y.simhash")) <= threshold
-    edges = stage(keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.seq") < F.col("y.seq")) & near).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b")).distinct(), "near-pairs")
+    edges = near_pairs(first, threshold)
     dropped = None
     while not edges.isEmpty():
         later = edges.select(F.col("b").alias("a")).distinct()
