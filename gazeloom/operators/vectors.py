@@ -313,54 +313,54 @@ def embed_tags(tags: DataFrame, manual: DataFrame | None = None, encoder: Callab
     return embed_columns(both.withColumn("_text", text), {"embedding": ("_text", width)}, encoder).drop("_text")
 
 
-#: Bytes of tag vectors, as 32-bit numbers, that go to every task.
-TAG_BYTES = 512 << 20
+#: Scores of articles and tags that a task holds at once.
+TAG_SCORES = 4_000_000
 
 
-def match_tags(articles: DataFrame, tags: DataFrame, threshold: float = STRICT, max_tags: int = MAX_TAGS, similarity: str = "cosine", vector: str = "content_embedding", key: str = "news_id", most_bytes: int = TAG_BYTES) -> DataFrame:
-    """key, tag_id, score, rank: the tags of each article that are similar enough, best first. Tags (tag_id, embedding) of another width than the article's are ignored.
+def match_tags(articles: DataFrame, tags: DataFrame, threshold: float = STRICT, max_tags: int = MAX_TAGS, similarity: str = "cosine", vector: str = "content_embedding", key: str = "news_id") -> DataFrame:
+    """key, tag_id, score, rank: the tags of each article that are similar enough, best first; ties to the smaller tag_id. Tags (tag_id, embedding) of another width than the article's are ignored.
 
-    The tags are one matrix of 32-bit numbers a width in every task. Their bytes are summed before they are fetched; more than most_bytes are refused, since then an index over tags is due.
+    Tags are a staged table of blocks, in order of tag_id, which tasks read from the shared folder one at a time; an article keeps its best tags over the blocks. So their number has no bound, and none passes through the driver.
     """
-    given = tags.where(F.col("embedding").isNotNull()).select("tag_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    size = given.agg(F.sum(4 * F.size("embedding") + 64)).first()[0] or 0
-    if size > most_bytes:
-        raise ValueError(f"{size} bytes of tag vectors; the bound is {most_bytes}")
-    sent = articles.sparkSession.sparkContext.broadcast(_tag_matrices(given))
-    kinds = dict(articles.dtypes) | {"tag_id": dict(tags.dtypes)["tag_id"]}
+    given = tags.where(F.col("embedding").isNotNull() & F.col("tag_id").isNotNull()).select(F.col("tag_id").alias("query_id"), F.col("embedding").cast("array<float>").alias("vector"))
+    path = query_blocks(given.orderBy("query_id"))._staged_at
+    kinds = dict(articles.dtypes)[key], dict(tags.dtypes)["tag_id"]
 
-    def run(frames):
+    def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        lengths = {width: np.linalg.norm(m.astype(np.float64), axis=1) for width, (_, m) in sent.value.items()}
-        for frame in frames:
-            out = []
-            widths = frame[vector].map(lambda v: -1 if v is None else len(v))
-            for width, (ids, m) in sent.value.items():
-                part = frame[widths == width]
-                if part.empty:
+        def match(rows):
+            best: dict[int, tuple] = {}  # by width: the articles' places, vectors, and so far best scores and tags
+            for part in staged_batches(path, ["width", "ids", "data"], 1):
+                width, ids = part.column("width")[0].as_py(), np.array(part.column("ids")[0].as_py(), dtype=object)
+                if width not in best:
+                    m, places = rows_of(rows.column(vector), width)
+                    best[width] = places, m, np.full((len(places), 0), -np.inf), np.full((len(places), 0), None, object)
+                places, m, score, names = best[width]
+                if not len(places):
                     continue
-                score = scores(m.astype(np.float64), lengths[width], np.stack(part[vector].to_numpy()).astype(np.float64), similarity).T
-                for name, row in zip(part[key], score, strict=True):
-                    near = np.flatnonzero(row >= threshold)
-                    near = near[np.argsort(-row[near], kind="stable")][:max_tags]
-                    out += [(name, ids[n], float(row[n]), r) for r, n in enumerate(near, 1)]
-            yield pd.DataFrame(out, columns=[key, "tag_id", "score", "rank"])
-
-    return articles.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"{key} {kinds[key]}, tag_id {kinds['tag_id']}, score double, rank int")
-
-
-def _tag_matrices(tags: DataFrame) -> dict:
-    """Ids, in order, and vectors of the tags of each width, drawn row by row into arrays of 32-bit numbers."""
-    import numpy as np
+                asked = np.frombuffer(part.column("data")[0].as_py(), np.float64).reshape(len(ids), width)
+                near = scores(asked, np.linalg.norm(asked, axis=1), m, similarity).T
+                # Tags found before stand first, so that equal scores stay in order of tag_id.
+                both, who = np.concatenate([score, np.where(near >= threshold, near, -np.inf)], 1), np.concatenate([names, np.broadcast_to(ids, near.shape)], 1)
+                q, c = best_places(both, max_tags)
+                rank = np.arange(len(q)) - np.searchsorted(q, q)
+                score, names = np.full((len(places), max_tags), -np.inf), np.full((len(places), max_tags), None, object)
+                score[q, rank], names[q, rank] = both[q, c], who[q, c]
+                best[width] = places, m, score, names
+            for places, _, score, names in best.values():
+                q, rank = np.nonzero(score > -np.inf)
+                yield pa.RecordBatch.from_arrays([rows.column(key).take(pa.array(places[q])), pa.array(names[q, rank].tolist(), tag_type), pa.array(score[q, rank]), pa.array((rank + 1).astype(np.int32))], [key, "tag_id", "score", "rank"])
+
+        tag_type = next((part.column("ids").type.value_type for part in staged_batches(path, ["ids"], 1)), None)
+        for batch in batches:
+            if tag_type is None:
+                return
+            for at in range(0, batch.num_rows, TAG_SCORES // QUERY_BLOCK):
+                yield from match(batch.slice(at, TAG_SCORES // QUERY_BLOCK))
 
-    held: dict[int, tuple[list, list]] = {}
-    for name, vector in tags.orderBy("tag_id").toLocalIterator():
-        own = held.setdefault(len(vector), ([], []))
-        own[0].append(name)
-        own[1].append(np.array(vector, np.float32))
-    return {width: (np.array(ids, dtype=object), np.stack(rows)) for width, (ids, rows) in held.items()}
+    return articles.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"{key} {kinds[0]}, tag_id {kinds[1]}, score double, rank int")
 
 
 def find_tags(tags: DataFrame, query: str, k: int = 20) -> DataFrame:

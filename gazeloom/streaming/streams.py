@@ -56,14 +56,18 @@ def stream_new_urls(links: DataFrame, watermark: str | None = None) -> DataFrame
 ADMITTED = T.StructType([T.StructField("key", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("device", T.StringType()), T.StructField("outcome", T.StringType()), T.StructField("requests", T.LongType())])
 
 
-def stream_admission(events: DataFrame) -> DataFrame:
+def stream_admission(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Outcome of each request in order of arrival (within a batch by ts, then event_id).
 
     events: key, event_id, device, ts, and the key's is_active (null for an unknown key) and max_devices. A row with unbind = true
-    frees its device. State of a key: its bound devices, at most max_devices, and its accepted requests.
+    frees its device. State of a key: its bound devices, at most max_devices, and its accepted requests. A key that is idle for idle_ms is forgotten, with its devices; with
+    it Spark also runs batches without rows, so a trigger of availableNow would not end.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         devices, requests = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         out = []
@@ -82,11 +86,14 @@ def stream_admission(events: DataFrame) -> DataFrame:
                 outcome = "device_limit"
             out.append((key[0], event_id, device, outcome, requests))
         state.update((json.dumps(devices), requests))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=ADMITTED.names)
 
     if "unbind" not in events.columns:
         events = events.withColumn("unbind", F.lit(False))
-    return events.groupBy("key").applyInPandasWithState(step, ADMITTED, "devices string, requests long", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return events.groupBy("key").applyInPandasWithState(step, ADMITTED, "devices string, requests long", "append", timeout)
 
 
 def stream_recent_turns(conv: DataFrame, n: int, idle_ms: int | None = None) -> DataFrame:

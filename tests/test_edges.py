@@ -80,12 +80,21 @@ def test_tags_by_name(spark):
     assert vectors.find_tags(tags, "").count() == 0
 
 
-def test_tag_vectors_are_bounded(spark):
-    tags = spark.createDataFrame([("1", [1.0, 0.0])], "tag_id string, embedding array<double>")
-    rows = spark.createDataFrame([("n", [1.0, 0.0])], "news_id string, content_embedding array<double>")
-    assert vectors.match_tags(rows, tags).count() == 1
-    with pytest.raises(ValueError, match="bytes"):
-        vectors.match_tags(rows, tags, most_bytes=10)
+def test_many_tags(spark):
+    """Tags in several blocks, of two widths, with ties: the best of each row are those of all scores."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    tags = [(f"t{n:04d}", [float(x) for x in np.round(r.normal(0, 1, 4), 1)]) for n in range(1500)] + [(f"u{n}", [1.0, 2.0, 2.0, 1.0]) for n in range(20)] + [("w1", [1.0]), ("w2", [2.0]), ("none", None), (None, [1.0] * 4)]
+    rows = [(f"n{n}", [float(x) for x in np.round(r.normal(0, 1, 4), 1)]) for n in range(50)] + [("tied", [1.0, 2.0, 2.0, 1.0]), ("one", [3.0]), ("zero", [0.0] * 4), ("null", None)]
+    found = vectors.match_tags(spark.createDataFrame(rows, "news_id string, content_embedding array<float>"), spark.createDataFrame(tags, "tag_id string, embedding array<double>"), 0.6, 5)
+    want = []
+    for name, v in rows:
+        u = np.float32(v or []).astype(float)
+        near = [(-round(float(u @ np.float32(t).astype(float) / np.linalg.norm(u) / np.linalg.norm(np.float32(t).astype(float))), 9), i) for i, t in tags if t and i and len(t) == len(u) and np.linalg.norm(u) > 0]
+        want += [(name, i, k) for k, (s, i) in enumerate(sorted(x for x in near if -x[0] >= 0.6)[:5], 1)]
+    assert sorted(tuple(x) for x in found.select("news_id", "tag_id", "rank").collect()) == sorted(want)
+    assert vectors.match_tags(spark.createDataFrame(rows, "news_id string, content_embedding array<float>"), spark.createDataFrame([], "tag_id string, embedding array<double>")).count() == 0
 
 
 def test_failed_batches_are_counted(spark):
@@ -168,3 +177,28 @@ def test_markdown_repair_by_lines(spark):
     df = spark.createDataFrame(list(cases.items()), "md string, want string")
     for r in df.select("md", "want", X.repair_markdown(F.col("md")).alias("got")).collect():
         assert r["got"] == r["want"], r["md"]
+
+
+def test_idle_keys_are_forgotten(spark, tmp_path):
+    """A key that is idle for long has its devices free again when its next request comes, and no state of it stays."""
+    import time
+
+    from gazeloom.streaming import streams
+
+    def feed(event_id, key, device):
+        spark.createDataFrame([(key, event_id, device, event_id, True, 1)], "key string, event_id long, device string, ts long, is_active boolean, max_devices int").write.mode("append").parquet(f"{tmp_path}/in")
+
+    def drain():
+        source = spark.readStream.schema("key string, event_id long, device string, ts long, is_active boolean, max_devices int").parquet(f"{tmp_path}/in")
+        streams.stream_admission(source, idle_ms=4000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(once=True).start().awaitTermination(60)
+        return {r["event_id"]: r["outcome"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+
+    feed(1, "k", "a")
+    drain()
+    feed(2, "k", "b")
+    first = drain()
+    time.sleep(6)
+    feed(3, "other", "x")  # a batch in which k's time is up
+    drain()
+    feed(4, "k", "c")
+    assert first == {1: "accepted", 2: "device_limit"} and drain()[4] == "accepted"
