@@ -12,6 +12,7 @@ from gazeloom.operators import ann as N
 from gazeloom.operators import conversations as C
 from gazeloom.operators import discover as D
 from gazeloom.operators import listing as L
+from gazeloom.operators import pages as G
 from gazeloom.operators import postings as P
 from gazeloom.operators import retrieval as R
 from gazeloom.operators import reviews as W
@@ -21,6 +22,7 @@ from gazeloom.plans.ingest_queries import INGEST, submissions
 from gazeloom.plans.views import ARTICLES, LIST_PAGES, REQUESTS, api_keys, articles, list_pages, requests, strip_sql, table, vector_sql, words_sql
 from gazeloom.sources.crawl import read_app_logs
 from gazeloom.staging import new_path
+from gazeloom.streaming import seen as E
 from gazeloom.streaming import streams as S
 
 # --- discovery
@@ -410,6 +412,32 @@ def keys_(spark, sf):
     return api_keys(spark, sf).join(A.usage_totals(A.admission_replay(requests(spark, sf), api_keys(spark, sf))).select("key", F.col("requests").alias("total_requests")), "key", "left")
 
 
+def deep_page(spark, sf):
+    """The last full page of all notices, by a range index."""
+    index = G.index_pages(L.project_notices(articles(spark, sf)), "notices", new_path(spark, "notice-pages"), 500)
+    total = index.page(spark, 1, 1)[1].first()["total"]
+    page, total = index.page(spark, total // 20, 20)
+    return page.select("id", "label", "date").crossJoin(F.broadcast(total))  # one row
+
+
+def listed(spark, sf, kind):
+    """The rows of a list, in which several share their date or moment and some have none."""
+    if kind == "submissions":
+        n = F.col("seq")
+        rows = submissions(spark, sf).withColumn("date", F.when(n % 11 != 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (n % 40).cast("int")), "yyyy-MM-dd")))
+        return rows.select(F.concat(F.lit("s"), n.cast("string")).alias("id"), "title", "date", F.when(n % 3 == 0, "approved").otherwise("pending").alias("status"))
+    if kind == "keys":
+        n = F.col("key").cast("int")
+        return api_keys(spark, sf).select("key", F.concat(F.lit("o"), (n % 10).cast("string")).alias("owner"), F.date_add(F.lit("2024-01-01").cast("date"), n % 7).alias("created_at"))
+    n = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(n.alias("id"), F.col("c_name").alias("username"), F.when(n % 9 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (n % 20).cast("int"))).alias("created_at"), F.when(n % 5 == 0, "rejected").otherwise("pending").alias("status"), (n % 4 != 0).alias("is_active"))
+    return rows.drop("is_active") if kind == "registrations" else rows.drop("status")
+
+
+def listed_page(kind, page, size, value):
+    return lambda spark, sf: (lambda rows, total: rows.crossJoin(F.broadcast(total)))(*G.index_pages(listed(spark, sf, kind), kind, new_path(spark, f"{kind}-pages"), 200).page(spark, page, size, value))  # total: one row
+
+
 # --- reviews
 
 
@@ -590,6 +618,16 @@ def stream_urls(spark, sf):
     return drain(S.stream_new_urls(streamed(spark, sf, found, "links", quarters(found, "page")).drop("page")), "new-urls")
 
 
+def stream_seen(spark, sf):
+    """Links in four batches, and all of them once more in a fifth, when state has forgotten those before."""
+    found = links(spark, sf).select("list_url", "url", "page")
+    again = found.select("list_url", "url", F.lit(-1).alias("page"))
+    path = new_path(spark, "seen")
+    parts = [(F.col("page") >= 0) & p for p in quarters(found, "page")] + [F.col("page") < 0]
+    E.stream_seen_urls(streamed(spark, sf, found.unionByName(again), "links", parts), path, path + "-state", "1 millisecond", parts=8).awaitTermination()
+    return E.seen_links(spark, path)
+
+
 def stream_admission(spark, sf):
     events = requests(spark, sf).join(api_keys(spark, sf).drop("bound"), "key", "left").select("key", "event_id", "device", "ts", "is_active", "max_devices", F.unix_micros("ts").alias("at"))
     return drain(S.stream_admission(streamed(spark, sf, events, "requests", quarters(events, "at")).drop("at")), "admission").select("event_id", "outcome")
@@ -622,10 +660,11 @@ QUERIES = {
     "latest": lambda s, d: L.latest(articles(s, d), 20, 5).select("news_id"), "oldest": lambda s, d: L.latest(articles(s, d), 20, oldest=True).select("news_id"), "find_articles": found, "count_by_source": lambda s, d: L.count_by_source(articles(s, d)),
     "count_by_date": lambda s, d: L.count_by_date(table(s, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp")), "month", "at"), "corpus_stats": lambda s, d: L.corpus_stats(articles(s, d)).select("total", "sources", F.array_join(F.transform(F.map_entries("distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("distribution"), X.format_date(F.col("first_date")).alias("first_date"), X.format_date(F.col("last_date")).alias("last_date")),
     "find_tags": named_tags, "trim_observations": observed, "keyword_search_complete": keyword("phrase", True), "count_by_category": lambda s, d: L.count_by_category(tags_(s, d)), "tags_by_category": lambda s, d: L.tags_by_category(tags_(s, d), "c1").select("tag_id"), "project_notices": notices, "list_page": paged, "labels": lambda s, d: L.labels(L.project_notices(articles(s, d))), "label_count": lambda s, d: L.label_count(L.project_notices(articles(s, d))), "dashboard": lambda s, d: L.dashboard(L.project_notices(articles(s, d)), keys_(s, d)),
+    "list_page_deep": deep_page, "list_submissions": listed_page("submissions", 3, 25, "pending"), "list_registrations": listed_page("registrations", 2, 20, None), "list_users": listed_page("users", 2, 30, True), "list_keys": listed_page("keys", 1, 5, "o3"),
     "submission_ids": ids, "apply_reviews": reviewed, "my_submissions": mine, "apply_registrations": registrations,
     "admission_replay": replay, "usage_totals": usage, "latest_devices": devices, "parse_logs": lambda s, d: logs(s, d).select("ts", "level", "module", "message"), "filter_logs": error_logs, "log_modules": lambda s, d: A.log_modules(logs(s, d)),
     "recent_turns": recent, "trim_by_budget": trimmed, "classify_queries": intents, "infer_time_window": time_windows, "rag_context": rag, "cited_sources": cited,
-    "stream_new_urls": stream_urls, "stream_admission": stream_admission, "stream_recent_turns": stream_turns, "stream_ingest": stream_ingest,
+    "stream_new_urls": stream_urls, "stream_seen_urls": stream_seen, "stream_admission": stream_admission, "stream_recent_turns": stream_turns, "stream_ingest": stream_ingest,
 }
 
 TAGGED = "(SELECT 'tag_' || vec_id AS tag_id, 'c' || (label % 3) AS category FROM embeddings WHERE vec_id % 50 = 0)"
@@ -680,6 +719,11 @@ ORACLE_SQL = {
     "tags_by_category": f"SELECT tag_id FROM {TAGGED} WHERE category = 'c1'",
     "project_notices": f"WITH {ARTICLES} SELECT news_id AS id, CASE WHEN doc_id % 2 = 1 THEN source_site WHEN doc_id % 35 = 10 THEN 'm9' ELSE coalesce(meta_label, CASE WHEN doc_id % 14 = 0 THEN '' ELSE source_site END) END AS label, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS date, CASE WHEN doc_id % 35 = 10 THEN url ELSE coalesce(meta_url, url) END AS detail_url, is_page AND doc_id % 35 <> 10 AS is_page, '[]' AS attachments FROM articles WHERE doc_id % 31 <> 0",
     "list_page": f"WITH {NOTICE} SELECT id, label, date, (SELECT count(*) FROM notices) AS total FROM notices ORDER BY date DESC, id DESC LIMIT 20 OFFSET 20",
+    "list_page_deep": f"WITH {NOTICE} SELECT id, label, date, total FROM (SELECT *, row_number() OVER (ORDER BY date DESC, id DESC) AS n, count(*) OVER () AS total FROM notices) WHERE n > (total // 20 - 1) * 20 AND n <= total // 20 * 20",
+    "list_submissions": "WITH s AS (SELECT 's' || doc_id AS id, left(text, 25) AS title, CASE WHEN doc_id % 11 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 40 AS INTEGER), '%Y-%m-%d') END AS date, CASE WHEN doc_id % 3 = 0 THEN 'approved' ELSE 'pending' END AS status FROM documents) SELECT *, (SELECT count(*) FROM s WHERE status = 'pending') AS total FROM s WHERE status = 'pending' ORDER BY date DESC NULLS LAST, id DESC LIMIT 25 OFFSET 50",
+    "list_registrations": "SELECT c_custkey AS id, c_name AS username, CASE WHEN c_custkey % 9 <> 0 THEN DATE '2024-01-01' + CAST(c_custkey % 20 AS INTEGER) END AS created_at, CASE WHEN c_custkey % 5 = 0 THEN 'rejected' ELSE 'pending' END AS status, (SELECT count(*) FROM customer) AS total FROM customer ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 20 OFFSET 20",
+    "list_users": "SELECT c_custkey AS id, c_name AS username, CASE WHEN c_custkey % 9 <> 0 THEN DATE '2024-01-01' + CAST(c_custkey % 20 AS INTEGER) END AS created_at, true AS is_active, (SELECT count(*) FROM customer WHERE c_custkey % 4 <> 0) AS total FROM customer WHERE c_custkey % 4 <> 0 ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 30 OFFSET 30",
+    "list_keys": f"WITH {REQUESTS}, k AS (SELECT key, 'o' || (CAST(key AS INTEGER) % 10) AS owner, DATE '2024-01-01' + CAST(CAST(key AS INTEGER) % 7 AS INTEGER) AS created_at FROM keys) SELECT *, (SELECT count(*) FROM k) AS total FROM k WHERE owner = 'o3' ORDER BY created_at DESC, key DESC LIMIT 5",
     "labels": f"WITH {NOTICE} SELECT DISTINCT label FROM notices",
     "label_count": f"WITH {NOTICE} SELECT count(DISTINCT label) AS n FROM notices",
     "dashboard": f"WITH {REQUESTS} SELECT (SELECT count(*) FROM documents) AS total_notices, (SELECT count(*) FROM keys WHERE is_active) AS active_keys, (SELECT count(*) FROM replay WHERE outcome = 'accepted') AS total_calls",
@@ -705,6 +749,7 @@ h AS (SELECT h.query_id, string_agg(rank || '. 标题：' || title || chr(10) ||
 SELECT q.query_id, md5(coalesce(c || chr(10) || chr(10), '') || coalesce(h, '未检索到相关资讯。')) AS context_md5 FROM q LEFT JOIN c USING (query_id) LEFT JOIN h USING (query_id)""",
     "cited_sources": "SELECT session, string_agg(url, ' ' ORDER BY pos) AS urls FROM (SELECT user_id AS session, 'http://' || event_type || '/' || (event_id % 5) AS url, min(event_id) AS pos FROM events GROUP BY ALL) GROUP BY ALL",
     "stream_new_urls": f"WITH {LIST_PAGES} SELECT DISTINCT list_url, url FROM links",
+    "stream_seen_urls": f"WITH {LIST_PAGES} SELECT DISTINCT list_url, url FROM links",
     "stream_admission": f"WITH {REQUESTS} SELECT event_id, outcome FROM replay",
     "stream_ingest": f"{INGEST}, kept AS (SELECT t.* FROM titled t JOIN valid v USING (seq) WHERE NOT v.dup) SELECT news_id, url, CASE WHEN doc_id % 10 = 6 THEN '2025-01-01' ELSE coalesce(strftime(publish_date, '%Y-%m-%d'), '') END AS day FROM (SELECT *, row_number() OVER (PARTITION BY news_id ORDER BY seq DESC) AS n FROM kept) WHERE n = 1",
     "stream_recent_turns": "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 3",
