@@ -630,12 +630,14 @@ def stream_seen(spark, sf):
 
 def stream_admission(spark, sf):
     events = requests(spark, sf).join(api_keys(spark, sf).drop("bound"), "key", "left").select("key", "event_id", "device", "ts", "is_active", "max_devices", F.unix_micros("ts").alias("at"))
-    return drain(S.stream_admission(streamed(spark, sf, events, "requests", quarters(events, "at")).drop("at")), "admission").select("event_id", "outcome")
+    with S.keyed_state(spark):
+        return drain(S.stream_admission(streamed(spark, sf, events, "requests", quarters(events, "at")).drop("at")), "admission").select("event_id", "outcome")
 
 
 def stream_turns(spark, sf):
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    out = drain(S.stream_recent_turns(streamed(spark, sf, conv, "turns", [F.col("turn") % 3 == k for k in range(3)]), 3), "recent-turns", "update")
+    with S.keyed_state(spark):
+        out = drain(S.stream_recent_turns(streamed(spark, sf, conv, "turns", [F.col("turn") % 3 == k for k in range(3)]), 3), "recent-turns", "update")
     last = out.groupBy("conv_id").agg(F.max_by("turns", "batch").alias("turns"))  # each batch gives the sessions that it touches anew
     return last.select("conv_id", F.explode(F.from_json("turns", "array<array<string>>")).alias("t")).select("conv_id", F.col("t")[0].cast("long").alias("turn"))
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from gazeloom.operators.activity import MAX_DEVICES
 from gazeloom.operators.ingest import ingest
@@ -56,61 +56,119 @@ def stream_new_urls(links: DataFrame, watermark: str | None = None) -> DataFrame
 ADMITTED = T.StructType([T.StructField("key", T.StringType()), T.StructField("event_id", T.LongType()), T.StructField("device", T.StringType()), T.StructField("outcome", T.StringType()), T.StructField("requests", T.LongType())])
 
 
-def stream_admission(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """Outcome of each request in order of arrival (within a batch by ts, then event_id).
+#: The state store that keyed state with maps, lists and timers needs.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    events: key, event_id, device, ts, and the key's is_active (null for an unknown key) and max_devices. A row with unbind = true
-    frees its device. State of a key: its bound devices, at most max_devices, and its accepted requests. A key that is idle for idle_ms is forgotten, with its devices; with
-    it Spark also runs batches without rows, so a trigger of availableNow would not end.
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        devices, requests = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        out = []
-        for event_id, device, active, most, unbind in zip(rows.event_id, rows.device, rows.is_active, rows.max_devices, rows.unbind, strict=True):
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams of stream_admission() and stream_recent_turns() start inside: the session's state store is RocksDB meanwhile. A stream keeps the store that it started with."""
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])
+
+
+class Idle(StatefulProcessor):
+    """State of keys of which one that is idle for idle_ms is forgotten by a timer."""
+
+    def __init__(self, idle_ms: int | None) -> None:
+        self.idle_ms = idle_ms
+
+    def wake(self, timers) -> None:
+        if self.idle_ms:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.forget()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class Admission(Idle):
+    """Bound devices as a map, of which only what changes is written, and the number of accepted requests."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.devices = handle.getMapState("devices", "device string", "bound boolean")
+        self.requests = handle.getValueState("requests", "n long")
+
+    def forget(self) -> None:
+        self.devices.clear()
+        self.requests.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = {k for (k,) in self.devices.keys()}  # at most max_devices
+        devices, out = set(before), []
+        requests = self.requests.get()[0] if self.requests.exists() else 0
+        frame = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        for event_id, device, active, most, unbind in zip(frame.event_id, frame.device, frame.is_active, frame.max_devices, frame.unbind, strict=True):
+            bound = "" if pd.isna(device) else "=" + device  # no device is a device of its own
             if unbind:
-                devices = [d for d in devices if d != device]
+                devices.discard(bound)
                 continue
             if active is None or pd.isna(active):
                 outcome = "unknown_key"
             elif not active:
                 outcome = "inactive_key"
-            elif device in devices or len(devices) < (MAX_DEVICES if pd.isna(most) else int(most)):
+            elif bound in devices or len(devices) < (MAX_DEVICES if pd.isna(most) else int(most)):
                 outcome, requests = "accepted", requests + 1
-                devices = devices if device in devices else [*devices, device]
+                devices.add(bound)
             else:
                 outcome = "device_limit"
             out.append((key[0], event_id, device, outcome, requests))
-        state.update((json.dumps(devices), requests))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=ADMITTED.names)
+        for device in devices - before:
+            self.devices.updateValue((device,), (True,))
+        for device in before - devices:
+            self.devices.removeKey((device,))
+        self.requests.update((requests,))
+        self.wake(timerValues)
+        if out:
+            yield pd.DataFrame(out, columns=ADMITTED.names)
+
+
+class RecentTurns(Idle):
+    """The last turns of a session as a list."""
+
+    def __init__(self, n: int, idle_ms: int | None) -> None:
+        super().__init__(idle_ms)
+        self.n = n
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.turns = handle.getListState("turns", "turn long, role string, text string")
+
+    def forget(self) -> None:
+        self.turns.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        turns = [tuple(t) for t in self.turns.get()] if self.turns.exists() else []
+        for frame in rows:
+            turns += [(int(t), r, x) for t, r, x in zip(frame.turn, frame.role, frame.text, strict=True)]
+            turns = sorted(turns, key=lambda x: x[0])[-self.n :]
+        self.turns.put(turns)
+        self.wake(timerValues)
+        yield pd.DataFrame([(key[0], json.dumps([list(t) for t in turns], ensure_ascii=False))], columns=["conv_id", "turns"])
 
+
+def stream_admission(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Outcome of each request in order of arrival (within a batch by ts, then event_id). Starts inside keyed_state().
+
+    events: key, event_id, device, ts, and the key's is_active (null for an unknown key) and max_devices. A row with unbind = true
+    frees its device. State of a key: its bound devices, at most max_devices, and its accepted requests. A key that is idle for idle_ms is forgotten, with its devices; with
+    it Spark also runs batches without rows, so a trigger of availableNow would not end.
+    """
     if "unbind" not in events.columns:
         events = events.withColumn("unbind", F.lit(False))
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy("key").applyInPandasWithState(step, ADMITTED, "devices string, requests long", "append", timeout)
+    return events.groupBy("key").transformWithStateInPandas(Admission(idle_ms), ADMITTED, "append", "processingTime" if idle_ms else "none")
 
 
 def stream_recent_turns(conv: DataFrame, n: int, idle_ms: int | None = None) -> DataFrame:
-    """The last n turns of each session that a batch touches: conv_id, turns (texts by turn as JSON). A session that is idle for idle_ms is forgotten."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        turns = json.loads(state.get[0]) if state.exists else []
-        for frame in frames:
-            turns += [[int(t), r, x] for t, r, x in zip(frame.turn, frame.role, frame.text, strict=True)]
-        turns = sorted(turns, key=lambda x: x[0])[-n:]
-        state.update((json.dumps(turns),))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([(key[0], json.dumps(turns, ensure_ascii=False))], columns=["conv_id", "turns"])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return conv.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, turns string", "turns string", "update", timeout)
+    """The last n turns of each session that a batch touches: conv_id, turns (texts by turn as JSON). A session that is idle for idle_ms is forgotten. Starts inside keyed_state()."""
+    return conv.groupBy("conv_id").transformWithStateInPandas(RecentTurns(n, idle_ms), "conv_id long, turns string", "update", "processingTime" if idle_ms else "none")

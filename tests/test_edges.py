@@ -190,7 +190,8 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
 
     def drain():
         source = spark.readStream.schema("key string, event_id long, device string, ts long, is_active boolean, max_devices int").parquet(f"{tmp_path}/in")
-        streams.stream_admission(source, idle_ms=4000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(once=True).start().awaitTermination(60)
+        with streams.keyed_state(spark):
+            streams.stream_admission(source, idle_ms=4000).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(once=True).start().awaitTermination(60)
         return {r["event_id"]: r["outcome"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
 
     feed(1, "k", "a")
@@ -202,3 +203,32 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
     drain()
     feed(4, "k", "c")
     assert first == {1: "accepted", 2: "device_limit"} and drain()[4] == "accepted"
+
+
+def test_keyed_streams_keep_state_over_restarts(spark, tmp_path):
+    """Devices freed and bound again, requests without a device, unknown keys and turns without role or text, each batch a start of its own."""
+    from gazeloom.streaming import streams
+
+    before = spark.conf.get(streams.STATE_STORE[0], None)
+    events = "key string, event_id long, device string, ts long, is_active boolean, max_devices int, unbind boolean"
+    turns = "conv_id long, turn long, role string, text string"
+
+    def run(make, schema, name, batches, mode):
+        found = []
+        for batch in batches:
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}")
+            with streams.keyed_state(spark):
+                stream = make(spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}"))
+                stream.writeStream.foreachBatch(lambda b, n: found.append(sorted(map(tuple, b.collect())))).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}-state").trigger(availableNow=True).start().awaitTermination(90)
+        return found
+
+    k = lambda n, device, unbind=False, active=True, key="k": (key, n, device, n, active, 2, unbind)
+    got = run(streams.stream_admission, events, "events", [[k(1, "a"), k(3, "b"), k(2, None)], [k(4, "a", True), k(5, "b"), k(6, None), k(7, "x", True, key="u")], [k(8, "a"), k(9, "x", active=None, key="u"), k(10, "x", active=False, key="i")]], "append")
+    assert [[(r[1], r[3], r[4]) for r in sorted(b, key=lambda r: r[1])] for b in got] == [
+        [(1, "accepted", 1), (2, "accepted", 2), (3, "device_limit", 2)],
+        [(5, "accepted", 3), (6, "accepted", 4)],
+        [(8, "device_limit", 4), (9, "unknown_key", 0), (10, "inactive_key", 0)],
+    ]
+    got = run(lambda s: streams.stream_recent_turns(s, 2), turns, "turns", [[(1, 2, "user", "b"), (1, 0, "user", "z"), (1, 1, None, "a")], [(1, 3, "user", None), (2, 0, "user", "x")]], "update")
+    assert got == [[(1, '[[1, null, "a"], [2, "user", "b"]]')], [(1, '[[2, "user", "b"], [3, "user", null]]'), (2, '[[0, "user", "x"]]')]]
+    assert spark.conf.get(streams.STATE_STORE[0], None) == before
