@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gazeloom.staging import stage, staged_batches
+from gazeloom.staging import new_path, stage, staged_batches
 
 STRICT, RELAXED, MAX_TAGS = 0.75, 0.5, 5
 
@@ -313,46 +313,135 @@ def embed_tags(tags: DataFrame, manual: DataFrame | None = None, encoder: Callab
     return embed_columns(both.withColumn("_text", text), {"embedding": ("_text", width)}, encoder).drop("_text")
 
 
-#: Scores of articles and tags that a task holds at once.
-TAG_SCORES = 4_000_000
+#: Scores of articles and tags that a task holds at once, and rows of a result that it holds before it cuts them to the best of each article.
+TAG_SCORES, TAG_MATCHES = 4_000_000, 1_000_000
+#: Tags from which the cells are fitted (they change the work, not the result), the most cells, and tags of a cell below that number.
+TAG_SAMPLE, TAG_CELLS, CELL_TAGS = 4096, 256, 64
+
+
+def tag_blocks(tags: DataFrame, similarity: str) -> str:
+    """Where tags (query_id, vector) are staged in blocks of tags of one width that lie near each other: width, ids, data, and the block's centre and radius, an angle for cosine, else a distance."""
+    import numpy as np
+
+    from gazeloom.operators.ann import fit_means, nearest, unit
+
+    spark, name = tags.sparkSession, dict(tags.dtypes)["query_id"]
+    n = tags.count()
+    cells = min(TAG_CELLS, math.ceil(n / CELL_TAGS))
+    made: dict[int, list] = {}
+    for row in tags.orderBy(F.xxhash64("query_id")).limit(TAG_SAMPLE).select("vector").toLocalIterator() if cells > 1 else []:
+        made.setdefault(len(row["vector"]), []).append(row["vector"])
+    shaped = (lambda m: unit(m)) if similarity == "cosine" else (lambda m: m)
+    centres = {width: fit_means(np.nan_to_num(shaped(np.asarray(rows, np.float64))), cells) for width, rows in made.items() if width}
+
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cell = np.zeros(batch.num_rows, np.int32)
+            for width, middle in centres.items():
+                m, places = rows_of(batch.column("vector"), width)
+                cell[places] = nearest(np.nan_to_num(shaped(m)), middle)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vector"), pa.array(cell), batch.column("vector").value_lengths()], ["query_id", "vector", "cell", "width"])
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            kind = np.stack([np.asarray(batch.column("width")), np.asarray(batch.column("cell"))])
+            edges = [0, *(np.flatnonzero((np.diff(kind) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                width = int(kind[0, begin]) if end > begin else 0
+                for at in range(begin, end, QUERY_BLOCK):
+                    own = batch.slice(at, min(QUERY_BLOCK, end - at))
+                    ids, part = own.column("query_id"), rows_of(own.column("vector"), width)[0]
+                    shape = shaped(part)
+                    middle = shape.mean(axis=0)
+                    if similarity == "cosine":  # a vector of no length or direction is near everything
+                        radius = np.arccos(np.clip(shape @ unit(middle[None])[0], -1, 1)).max() if np.isfinite(part).all() and (part != 0).any(axis=1).all() and middle.any() else math.pi
+                    else:
+                        radius = np.linalg.norm(shape - middle, axis=1).max() if np.isfinite(part).all() else math.inf
+                    yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.ListArray.from_arrays(np.array([0, len(ids)], np.int32), ids), pa.array([part.tobytes()], pa.binary()), pa.array([middle.tobytes()], pa.binary()), pa.array([float(radius)])], ["width", "ids", "data", "centre", "radius"])
+
+    path = new_path(spark, "tag-blocks")
+    placed = tags.mapInArrow(place, f"query_id {name}, vector array<float>, cell int, width int").orderBy("width", "cell", "query_id")
+    # A block is a row group, so that a task reads the blocks that its rows can reach.
+    placed.mapInArrow(pack, f"width int, ids array<{name}>, data binary, centre binary, radius double").write.option("parquet.block.size", 1 << 18).option("parquet.block.size.row.check.min", 1).option("parquet.block.size.row.check.max", 1).parquet(path)
+    return path
+
+
+def highest_scores(rows, centre, radius: float, similarity: str):
+    """For each row the score that no vector of a block exceeds."""
+    import numpy as np
+
+    if not math.isfinite(radius) or not np.isfinite(centre).all():
+        return np.full(len(rows), np.inf)
+    if similarity == "cosine":
+        size = np.linalg.norm(rows, axis=1) * np.linalg.norm(centre)
+        angle = np.arccos(np.clip(rows @ centre / np.where(size == 0, 1, size), -1, 1))
+        most = np.where(size == 0, 1.0, np.cos(np.maximum(0, angle - radius)))
+    else:
+        most = 1 - np.minimum(np.maximum(0, np.linalg.norm(rows - centre, axis=1) - radius) / math.sqrt(2), 1)
+    return np.where(np.isnan(most), np.inf, most + 1e-6)  # room for rounding
 
 
 def match_tags(articles: DataFrame, tags: DataFrame, threshold: float = STRICT, max_tags: int = MAX_TAGS, similarity: str = "cosine", vector: str = "content_embedding", key: str = "news_id") -> DataFrame:
     """key, tag_id, score, rank: the tags of each article that are similar enough, best first; ties to the smaller tag_id. Tags (tag_id, embedding) of another width than the article's are ignored.
 
-    Tags are a staged table of blocks, in order of tag_id, which tasks read from the shared folder one at a time; an article keeps its best tags over the blocks. So their number has no bound, and none passes through the driver.
+    Tags are a staged table of blocks of tags near each other, which tasks read from the shared folder one at a time; an article meets the blocks whose centre and radius leave room for the threshold, and the others aren't
+    read. So the number of tags has no bound; of them a sample of TAG_SAMPLE passes through the driver.
     """
     given = tags.where(F.col("embedding").isNotNull() & F.col("tag_id").isNotNull()).select(F.col("tag_id").alias("query_id"), F.col("embedding").cast("array<float>").alias("vector"))
-    path = query_blocks(given.orderBy("query_id"))._staged_at
+    path = tag_blocks(given, similarity)
     kinds = dict(articles.dtypes)[key], dict(tags.dtypes)["tag_id"]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        def best(q, score, names):
+            """The best of each article: places, scores, tags and ranks."""
+            tag = np.unique(names, return_inverse=True)[1]
+            order = np.lexsort((tag, -score, q))
+            q, score, names = q[order], score[order], names[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+            kept = rank <= max_tags
+            return q[kept], score[kept], names[kept], rank[kept]
 
         def match(rows):
-            best: dict[int, tuple] = {}  # by width: the articles' places, vectors, and so far best scores and tags
-            for part in staged_batches(path, ["width", "ids", "data"], 1):
-                width, ids = part.column("width")[0].as_py(), np.array(part.column("ids")[0].as_py(), dtype=object)
-                if width not in best:
-                    m, places = rows_of(rows.column(vector), width)
-                    best[width] = places, m, np.full((len(places), 0), -np.inf), np.full((len(places), 0), None, object)
-                places, m, score, names = best[width]
-                if not len(places):
-                    continue
-                asked = np.frombuffer(part.column("data")[0].as_py(), np.float64).reshape(len(ids), width)
-                near = scores(asked, np.linalg.norm(asked, axis=1), m, similarity).T
-                # Tags found before stand first, so that equal scores stay in order of tag_id.
-                both, who = np.concatenate([score, np.where(near >= threshold, near, -np.inf)], 1), np.concatenate([names, np.broadcast_to(ids, near.shape)], 1)
-                q, c = best_places(both, max_tags)
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                score, names = np.full((len(places), max_tags), -np.inf), np.full((len(places), max_tags), None, object)
-                score[q, rank], names[q, rank] = both[q, c], who[q, c]
-                best[width] = places, m, score, names
-            for places, _, score, names in best.values():
-                q, rank = np.nonzero(score > -np.inf)
-                yield pa.RecordBatch.from_arrays([rows.column(key).take(pa.array(places[q])), pa.array(names[q, rank].tolist(), tag_type), pa.array(score[q, rank]), pa.array((rank + 1).astype(np.int32))], [key, "tag_id", "score", "rank"])
-
+            by_width: dict[int, tuple] = {}
+            q, score, names = np.empty(0, np.int64), np.empty(0), np.empty(0, object)
+            for at in files:
+                with store.open_input_file(at) as source:
+                    blocks = pq.ParquetFile(source)
+                    for group in range(blocks.num_row_groups):
+                        heads = blocks.read_row_group(group, ["width", "centre", "radius"]).to_pylist()
+                        near = []
+                        for head in heads:
+                            if head["width"] not in by_width:
+                                by_width[head["width"]] = rows_of(rows.column(vector), head["width"])
+                            near.append(np.flatnonzero(highest_scores(by_width[head["width"]][0], np.frombuffer(head["centre"], np.float64), head["radius"], similarity) >= threshold))
+                        if not any(map(len, near)):
+                            continue
+                        held = blocks.read_row_group(group, ["ids", "data"])
+                        for n, (head, some) in enumerate(zip(heads, near, strict=True)):
+                            if not len(some):
+                                continue
+                            m, places = by_width[head["width"]]
+                            ids = np.array(held.column("ids")[n].as_py(), dtype=object)
+                            asked = np.frombuffer(held.column("data")[n].as_py(), np.float64).reshape(len(ids), head["width"])
+                            found = scores(asked, np.linalg.norm(asked, axis=1), m[some], similarity).T
+                            a, c = np.nonzero(found >= threshold)
+                            q, score, names = np.concatenate([q, places[some[a]]]), np.concatenate([score, found[a, c]]), np.concatenate([names, ids[c]])
+                            if len(q) > TAG_MATCHES:
+                                q, score, names, _ = best(q, score, names)
+            q, score, names, rank = best(q, score, names)
+            yield pa.RecordBatch.from_arrays([rows.column(key).take(pa.array(q)), pa.array(names.tolist(), tag_type), pa.array(score), pa.array(rank.astype(np.int32))], [key, "tag_id", "score", "rank"])
+
+        store, root = fs.FileSystem.from_uri(path)
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".parquet"))
         tag_type = next((part.column("ids").type.value_type for part in staged_batches(path, ["ids"], 1)), None)
         for batch in batches:
             if tag_type is None:

@@ -103,3 +103,31 @@ def test_embedding_of_queries_and_one_encoder_a_worker(spark, tmp_path):
     assert all(r.vector[1] == 0 for r in plain_form)
     # Not once for each of the 40 tasks; workers come and go, so there may be some.
     assert len(open(made).read()) < 40
+
+
+def test_blocks_of_tags_bound_their_scores(spark, tmp_path):
+    """Tags in groups: no score exceeds its block's bound, few blocks are within reach, and the result is that of all scores; by angle and by distance."""
+    import numpy as np
+
+    from gazeloom.operators import vectors as V
+
+    r = np.random.default_rng(2)
+    groups = r.normal(0, 1, (30, 16))
+    tags = [(f"t{n:05d}", [float(x) for x in groups[n % 30] + r.normal(0, 0.05, 16)]) for n in range(9000)]
+    rows = [(f"n{n:03d}", [float(x) for x in groups[n % 30] + r.normal(0, 0.05, 16)]) for n in range(40)] + [("zero", [0.0] * 16)]
+    t = spark.createDataFrame(tags, "tag_id string, embedding array<float>")
+    a = spark.createDataFrame(rows, "news_id string, content_embedding array<float>")
+    x, y = (np.float32([v for _, v in part]).astype(np.float64) for part in (rows, tags))
+    for similarity, threshold in (("cosine", 0.9), ("euclid", 0.5)):
+        path = V.tag_blocks(t.selectExpr("tag_id AS query_id", "embedding AS vector"), similarity)
+        reached = total = 0
+        for row in spark.read.parquet(path).collect():
+            part = np.frombuffer(row["data"], np.float64).reshape(-1, 16)
+            real = V.scores(part, np.linalg.norm(part, axis=1), x, similarity).T.max(axis=1)
+            bound = V.highest_scores(x, np.frombuffer(row["centre"], np.float64), row["radius"], similarity)
+            assert (real <= bound).all()
+            reached, total = reached + int((bound[:40] >= threshold).sum()), total + 40
+        assert total >= 18 * 40 and reached < 0.35 * total
+        near = V.scores(y, np.linalg.norm(y, axis=1), x, similarity).T
+        want = [(rows[q][0], tags[c][0], k + 1) for q in range(len(rows)) for k, c in enumerate([c for c in np.lexsort((np.arange(len(tags)), -near[q])) if near[q, c] >= threshold][:5])]
+        assert sorted(tuple(r) for r in V.match_tags(a, t, threshold, 5, similarity).select("news_id", "tag_id", "rank").collect()) == sorted(want)
