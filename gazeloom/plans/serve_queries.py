@@ -94,18 +94,24 @@ def report(spark, sf):
 PAGE_ENTITIES = (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
-def page_text_sql(c: str, entities=PAGE_ENTITIES) -> str:
-    """Text of HTML: scripts, styles, comments and tags give way to a space, entities are decoded, white space is single spaces."""
-    c = f"regexp_replace({c}, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g')"
+def entities_sql(c: str, entities=PAGE_ENTITIES) -> str:
+    """Entities decoded, the ampersand last; as in HTML, one that a title cuts off before its semicolon counts too."""
     for entity, text in entities:
-        c = f"replace({c}, '{entity}', '{text}')"
+        c = f"regexp_replace({c}, '{entity}?', '{text}', 'g')"
+    return c
+
+
+def page_text_sql(c: str) -> str:
+    """Text of HTML: scripts, styles, comments and tags give way to a space, entities are decoded, white space is single spaces."""
+    c = entities_sql(f"regexp_replace({c}, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g')")
     return f"trim(regexp_replace({c}, '[\\s\u00a0]+', ' ', 'g'))"
 
 
 STRIPPED_SQL = f"SELECT page_id, md5(t) AS text_md5, CAST(length(t) AS INTEGER) AS n FROM (SELECT page_id, {page_text_sql('html')} AS t FROM pages)"
 METADATA_SQL = f"""WITH p AS (SELECT page_id, {page_text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h, {page_text_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS t FROM pages)
 SELECT page_id, CASE WHEN h <> '' THEN h ELSE t END AS title, '' AS date, '' AS author FROM p"""
-TABLES_SQL = f"""SELECT page_id, '<table align="left"><tr><td colspan="2">' || replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&quot;', '"'), '&middot;', '·'), '&copy;', '©') || '</td><td></td></tr></table>' AS table FROM pages"""
+#: The cell's text is decoded, and written with its ampersands and angle brackets escaped.
+TABLES_SQL = f"""SELECT page_id, '<table align="left"><tr><td colspan="2">' || replace(replace(replace({entities_sql("regexp_extract(html, '<title>([^<]*)', 1)")}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td><td></td></tr></table>' AS table FROM pages"""
 CLEANED_SQL = f"""WITH {ARTICLES}, t AS (SELECT news_id, title, string_split('|--|' || chr(10) || title || chr(10) || chr(10) || '2024-01-02' || chr(10) || content_text, chr(10)) AS ls FROM articles),
 l AS (SELECT *, list_transform(ls, lambda x: {strip_sql("x")}) AS s FROM t),
 h AS (SELECT *, list_filter(range(1, len(s) + 1), lambda i: NOT (s[i] = '' OR regexp_full_match(s[i], '[|-]+') OR (title <> '' AND contains(s[i], title)) OR (i <= 5 AND contains(s[i], '2024-01-02'))))[1] AS begin FROM l)
