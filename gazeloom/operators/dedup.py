@@ -41,7 +41,8 @@ def near_pairs(first: DataFrame, threshold: int, hot: int = HOT_KEY, block: int
     near = X.hamming(F.col("x.simhash"), F.col("y.simhash")) <= threshold
     none = crowded.isEmpty()
     few = keyed if none else keyed.join(broadcast_if_small(crowded), "key", "left_anti")
-    met = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.seq") < F.col("y.seq")) & near).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
+    # By a sort: twenty keys a row stand in the plan as the few bytes of one row, for which Spark would broadcast them all.
+    met = few.alias("x").hint("merge").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.seq") < F.col("y.seq")) & near).select(F.col("x.seq").alias("a"), F.col("y.seq").alias("b"))
     if none:
         return stage(met.distinct(), "near-pairs")
     many = keyed.join(broadcast_if_small(crowded), "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("simhash", "key"), F.col("blocks")).cast("int"))

@@ -43,3 +43,12 @@ def test_many_fingerprints_of_one_key(spark):
     want = sorted({(min(n, at[x ^ m]), max(n, at[x ^ m])) for n, x in enumerate(prints[:200]) for m in masks if x ^ m in at})
     assert sorted(p for p in found if p[0] < 200 or p[1] < 200) == want
     assert dedup.near_pairs(spark.createDataFrame([], "simhash long, seq long"), 3).count() == 0
+
+
+def test_keys_are_not_broadcast(spark, monkeypatch):
+    """Each fingerprint has twenty keys, which Spark's estimate leaves out: the join of the keys must not broadcast them."""
+    plans, stage = [], dedup.stage
+    monkeypatch.setattr(dedup, "stage", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), stage(df, name))[1])
+    assert pairs(spark, [1, 3, 1 << 40 | 7 << 20]) == [(0, 1)]
+    joins = [plan for name, plan in plans if name == "near-pairs"]
+    assert joins and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in joins)
