@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -601,15 +604,27 @@ def drain(frame, name, mode="append"):
     return spark.read.schema(T.StructType([*frame.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
 
 
+#: Rows of a file that a stream reads.
+FILE_ROWS = 20_000
+
+
 def streamed(spark, sf, frame, name, parts=None):
-    """A frame written as files and read as a stream of them. Conditions in parts cut it into batches, written one after the other and read so: state goes from each to the next."""
+    """A frame written as files and read as a stream of them. Conditions in parts cut it into batches, written one after the other and read so: state goes from each to the next.
+
+    A batch is as many files as the largest part has FILE_ROWS rows; a part that comes to fewer is filled up with files without rows.
+    """
     path = new_path(spark, name)
     if parts is None:
         frame.write.parquet(path)
         return spark.readStream.schema(frame.schema).parquet(path)
-    for part in parts:
-        frame.where(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    most = frame.agg(*[F.count_if(p if isinstance(p, Column) else F.expr(p)) for p in parts]).first()  # one row
+    files = max(1, math.ceil(max(most) / FILE_ROWS))
+    empty = spark.createDataFrame([], frame.schema).coalesce(1)
+    for n, part in enumerate(parts, 1):
+        frame.where(part).coalesce(files).write.mode("append").parquet(path)
+        while len(spark.read.schema(frame.schema).parquet(path).inputFiles()) < n * files:
+            empty.write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def quarters(frame, column):

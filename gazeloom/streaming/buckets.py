@@ -54,7 +54,9 @@ def touched(keys: DataFrame, key: str | list[str], buckets: int) -> set[int]:
 def write_buckets(rows: DataFrame, table: str, number: int, which: set[int], key: str | list[str] = "news_id", buckets: int = BUCKETS, keep: int = 3) -> None:
     """Commit batch `number`: rows are all rows of the buckets `which`; the others stand as they were."""
     spark = rows.sparkSession
-    target = rows.withColumn("bucket", bucket_of(key, buckets)).repartition(max(1, min(len(which), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "bucket")
+    # A bucket is dealt to as many tasks as Spark has room for, so no task holds a share of the table; small ones are joined by Spark.
+    slices = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(which)))
+    target = rows.withColumns({"bucket": bucket_of(key, buckets), "slice": F.pmod(F.xxhash64(F.lit(1), *([key] if isinstance(key, str) else key)), F.lit(slices))}).repartition("bucket", "slice").drop("slice")
     target.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/data/batch={number}")
     here = {int(p.getName().split("=")[1]) for p in _found(spark, f"{table}/data/batch={number}/bucket=*")}
     stands = {b: n for b, n in manifest(spark, table, number).items() if b not in which} | dict.fromkeys(here, number)
