@@ -60,6 +60,10 @@ def worker_encoder(make: Callable[[int], Callable], width: int) -> Callable:
     return _encoders[key]
 
 
+#: Rows that a worker embeds and gives back at once: their vectors, as Arrow makes them of single arrays, are what it holds.
+EMBED_ROWS = 1024
+
+
 def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: Callable[[int], Callable] = hashing_encoder, normalise: bool = True, batch: int = 32, failures=None, prefix: str = "") -> DataFrame:
     """Adds vectors: columns maps a new column to (text column, width); encoder(width) gives a function of a list of texts.
 
@@ -73,7 +77,7 @@ def embed_columns(df: DataFrame, columns: dict[str, tuple[str, int]], encoder: C
         import numpy as np
 
         tools = {width: worker_encoder(encoder, width) for _, width in columns.values()}
-        for frame in frames:
+        for frame in (whole.iloc[at : at + EMBED_ROWS].copy() for whole in frames for at in range(0, len(whole), EMBED_ROWS)):
             for name, (text, width) in columns.items():
                 out = np.zeros((len(frame), width), np.float32)
                 full = [k for k, x in enumerate(frame[text]) if isinstance(x, str) and x.strip()]
