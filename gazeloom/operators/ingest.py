@@ -14,6 +14,9 @@ from gazeloom.operators.listing import project_notices
 from gazeloom.operators.vectors import embed_columns, match_tags, merge_tags
 from gazeloom.staging import broadcast_if_small, delete, scope, stage
 
+#: Digits of an article's similarity to a tag: its vector has 32-bit numbers, whose rounding moves the eighth.
+TAG_DIGITS = 6
+
 
 def statuses(raw: DataFrame, stored: DataFrame, validate: bool = True, normalise: bool = True, dedup: bool = True, near: bool = False) -> DataFrame:
     """seq, news_id, status (success, upsert, duplicate or invalid) and message of each row of raw: articles with seq, which is unique.
@@ -73,7 +76,7 @@ def ingest(
     if vectors or tags is not None:
         articles = stage(articles, "articles")  # normalised and embedded once for tags, table and notices
     if tags is not None:
-        articles = merge_tags(articles, stage(match_tags(articles, tags, **({"threshold": threshold} if threshold is not None else {})), "tag-matches"))
+        articles = merge_tags(articles, stage(match_tags(articles, tags, digits=TAG_DIGITS, **({"threshold": threshold} if threshold is not None else {})), "tag-matches"))
     shared = [c for c in stored.columns if c in articles.columns]
     table = upsert(stored.select(shared), articles.select(*shared, "seq"), order="seq")
     notices = project_notices(articles) if {"metadata", "attachments"} <= set(articles.columns) else None

@@ -389,8 +389,9 @@ def highest_scores(rows, centre, radius: float, similarity: str):
     return np.where(np.isnan(most), np.inf, most + 1e-6)  # room for rounding
 
 
-def match_tags(articles: DataFrame, tags: DataFrame, threshold: float = STRICT, max_tags: int = MAX_TAGS, similarity: str = "cosine", vector: str = "content_embedding", key: str = "news_id") -> DataFrame:
+def match_tags(articles: DataFrame, tags: DataFrame, threshold: float = STRICT, max_tags: int = MAX_TAGS, similarity: str = "cosine", vector: str = "content_embedding", key: str = "news_id", digits: int | None = None) -> DataFrame:
     """key, tag_id, score, rank: the tags of each article that are similar enough, best first; ties to the smaller tag_id. Tags (tag_id, embedding) of another width than the article's are ignored.
+    With digits, scores are rounded to so many before they meet the threshold and each other, so that neither it nor ties hang on the rounding of the vectors.
 
     Tags are a staged table of blocks of tags near each other, which tasks read from the shared folder one at a time; an article meets the blocks whose centre and radius leave room for the threshold, and the others aren't
     read. So the number of tags has no bound; of them a sample of TAG_SAMPLE passes through the driver.
@@ -437,6 +438,8 @@ def match_tags(articles: DataFrame, tags: DataFrame, threshold: float = STRICT,
                             ids = np.array(held.column("ids")[n].as_py(), dtype=object)
                             asked = np.frombuffer(held.column("data")[n].as_py(), np.float64).reshape(len(ids), head["width"])
                             found = scores(asked, np.linalg.norm(asked, axis=1), m[some], similarity).T
+                            if digits is not None:
+                                found = np.round(found, digits)
                             a, c = np.nonzero(found >= threshold)
                             q, score, names = np.concatenate([q, places[some[a]]]), np.concatenate([score, found[a, c]]), np.concatenate([names, ids[c]])
                             if len(q) > TAG_MATCHES:

@@ -377,9 +377,16 @@ final AS (SELECT t.*, CASE WHEN bad IS NOT NULL THEN 'invalid' WHEN v.dup THEN '
 NEAR_ROWS, NEAR_LAST = NEAR_SQL.removeprefix("WITH RECURSIVE ").replace("FROM documents", "FROM near_in").rsplit("\nSELECT f.doc_id", 1)
 INGEST_NEAR = f"""{INGEST.replace("WITH ", "WITH RECURSIVE ", 1)}, near_in AS (SELECT seq AS doc_id, content_text AS text FROM titled WHERE bad IS NULL), {NEAR_ROWS}, near_found AS (SELECT f.doc_id{NEAR_LAST}),
 near_final AS (SELECT t.* EXCLUDE (status), CASE WHEN status IN ('success', 'upsert', 'duplicate') AND is_near_duplicate THEN 'duplicate' ELSE status END AS status FROM final t LEFT JOIN near_found USING (seq))"""
+
+
+def stored_sql(vectors: str) -> str:
+    """Rows of vector_sql as they are stored: normalised, in 32-bit numbers."""
+    return f"SELECT id, i, CAST(CAST(x AS FLOAT) / nullif(CAST(sqrt(sum(x * x) OVER (PARTITION BY id)) AS FLOAT), 0) AS DOUBLE) AS x FROM ({vectors})"
+
+
 INGEST_ALL_SQL = f"""{INGEST_NEAR}, named AS (SELECT source, arg_min(left(text, 400), doc_id) || ': ' AS text FROM documents WHERE length(text) > 0 GROUP BY source),
 dw AS (SELECT seq AS id, {words_sql("content_text")} AS w FROM near_final WHERE status IN ('success', 'upsert')), tw AS (SELECT 'tag_' || source AS id, {words_sql("text")} AS w FROM named),
-dv AS ({vector_sql("dw", 64)}), tv AS ({vector_sql("tw", 64)}),
+dv AS ({stored_sql(vector_sql("dw", 64))}), tv AS ({stored_sql(vector_sql("tw", 64))}),
 dl AS (SELECT id, sqrt(sum(x * x)) AS n FROM dv GROUP BY id), tl AS (SELECT id, sqrt(sum(x * x)) AS n FROM tv GROUP BY id),
 like_tags AS (SELECT d.id AS seq, t.id AS tag_id, round(sum(d.x * t.x) / any_value(dl.n) / any_value(tl.n), 6) AS s FROM dv d JOIN tv t USING (i) JOIN dl ON dl.id = d.id JOIN tl ON tl.id = t.id GROUP BY ALL),
 m AS (SELECT seq, tag_id, row_number() OVER (PARTITION BY seq ORDER BY s DESC, tag_id) AS rank FROM like_tags WHERE s >= 0.5), own_tags AS (SELECT seq, list(tag_id ORDER BY rank) AS t FROM m WHERE rank <= 5 GROUP BY seq)
