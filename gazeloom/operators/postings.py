@@ -2,12 +2,12 @@
 
     <table>/batch=N/bucket=B/*.parquet
 
-Documents are dealt into segments of SEGMENT_ROWS as they are scanned. For each term of a segment there is a row: the places of its documents in the segment, how often each holds the term, their lengths, and
-for the whole row the highest count and the least length, which bound what the term can add to a score there. The row of the empty term has the segment's keys and lengths.
-Rows lie in hash buckets of their terms, so a search reads the buckets of its terms alone. A batch is there once it is whole (Spark writes _SUCCESS last); one that is written again replaces itself.
+Documents are dealt into segments of SEGMENT_ROWS as they are scanned. For each term of a segment there is a row: the places of its documents in the segment, and how often each holds the term.
+The row of the empty term has the segment's keys and lengths. Rows lie in hash buckets of their terms, so a search reads the buckets of its terms alone; several tasks share a bucket.
+A batch is there once it is whole (Spark writes _SUCCESS last); one that is written again replaces itself.
 
-A search first sums bounds by query and segment, from the heads of the rows. The few segments of highest bound give each query a k-th score; of the others only those are read
-whose bound reaches it.
+A search deals the rows of its terms by segment, once, however many queries ask for a term. A task turns each segment back into documents, of the asked terms alone, and ranks them as fulltext_search() does: it gives the
+best k of some thousand documents for each query, so no pair of query and posting is a row.
 """
 
 from __future__ import annotations
@@ -15,16 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeloom.operators.retrieval import K1, B, tokens, top
+from gazeloom.operators.retrieval import best_hits, tokens, top
 from gazeloom.staging import broadcast_if_small, stage, tidy
 
 SEGMENT_ROWS, BUCKETS = 1024, 64
-#: Segments that give a query its k-th score to begin with.
-PILOT_SEGMENTS = 4
 
 
 def _schema(kind: str) -> str:
-    return f"segment long, term string, n int, most int, least int, places array<int>, counts array<int>, lengths array<int>, keys array<{kind}>"
+    return f"segment long, term string, n int, places array<int>, counts array<int>, lengths array<int>, keys array<{kind}>"
 
 
 def add_postings(documents: DataFrame, table: str, number: int, fields: tuple[str, ...] = ("title", "content_text"), key: str = "news_id", buckets: int = BUCKETS, segment_rows: int = SEGMENT_ROWS) -> None:
@@ -51,13 +49,12 @@ def add_postings(documents: DataFrame, table: str, number: int, fields: tuple[st
                     own = rows.setdefault(term, ([], []))
                     own[0].append(place)
                     own[1].append(count)
-            found = [(segment, "", len(held), None, None, None, None, lengths, [name for name, _ in held])]
+            found = [(segment, "", len(held), None, None, lengths, [name for name, _ in held])]
             for term, (places, counts) in rows.items():
-                own = [lengths[p] for p in places]
-                found.append((segment, term, len(places), max(counts), min(own), places, counts, own, None))
+                found.append((segment, term, len(places), places, counts, None, None))
             held.clear()
-            names = ["segment", "term", "n", "most", "least", "places", "counts", "lengths", "keys"]
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.list_(key_type)]
+            names = ["segment", "term", "n", "places", "counts", "lengths", "keys"]
+            kinds = [pa.int64(), pa.string(), pa.int32(), *[pa.list_(pa.int32())] * 3, pa.list_(key_type)]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
@@ -71,7 +68,9 @@ def add_postings(documents: DataFrame, table: str, number: int, fields: tuple[st
 
     cut = documents.where(F.col(key).isNotNull()).select(key, tokens(F.concat_ws(" ", *fields)).alias("words"))
     rows = cut.mapInArrow(run, _schema(kind)).withColumn("bucket", F.when(F.col("term") == "", -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int"))
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
+    slices = max(1, 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) // (buckets + 1))
+    dealt = rows.withColumn("slice", F.pmod(F.xxhash64("segment", "term"), F.lit(slices))).repartition("bucket", "slice").drop("slice")
+    dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={number}")
 
 
 def read_postings(spark: SparkSession, table: str, kind: str) -> DataFrame | None:
@@ -82,6 +81,41 @@ def read_postings(spark: SparkSession, table: str, kind: str) -> DataFrame | Non
     return spark.read.schema(f"{_schema(kind)}, batch int, bucket int").option("basePath", table).parquet(*paths) if paths else None
 
 
+def documents_of(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """Rows of postings (segment, number of a term, places, counts; the segment's lengths and keys under the number -1) dealt by segment, as documents: key, length, terms, counts."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out(parts):
+            part = pa.Table.from_batches(parts).combine_chunks()
+            number, (places, counts) = np.asarray(part.column("number")), (part.column(c).combine_chunks() for c in ("places", "counts"))
+            own = int(np.flatnonzero(number == -1)[0])
+            lengths, keys = (part.column(c).combine_chunks()[own].values for c in ("lengths", "keys"))
+            place, terms = np.asarray(places.flatten()), np.repeat(number, np.asarray(places.value_lengths().fill_null(0)))
+            order = np.argsort(place, kind="stable")
+            edges = pa.array(np.searchsorted(place[order], np.arange(len(keys) + 1)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([keys, lengths, *(pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (terms, np.asarray(counts.flatten())))], [key, "length", "terms", "counts"])
+
+        held, last = [], None
+        for batch in batches:
+            segment = np.asarray(batch.column("segment"))
+            edges = [0, *(np.flatnonzero(np.diff(segment)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                if begin == end:
+                    continue
+                if held and segment[begin] != last:
+                    yield out(held)
+                    held = []
+                held.append(batch.slice(begin, end - begin))
+                last = segment[begin]
+        if held:
+            yield out(held)
+
+    return rows.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, f"{key} {kind}, length int, terms array<long>, counts array<int>")
+
+
 @tidy
 def search_postings(queries: DataFrame, table: str, k: int, key: str = "news_id", kind: str = "string", buckets: int = BUCKETS) -> DataFrame:
     """BM25 as fulltext_search() gives it over all documents of the table: query_id, key, score, rank. queries: query_id, query."""
@@ -90,35 +124,15 @@ def search_postings(queries: DataFrame, table: str, k: int, key: str = "news_id"
     asked = stage(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "query-terms")
     if rows is None:
         return asked.limit(0).select("query_id", F.lit(None).cast(kind).alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    terms = asked.select("term").distinct()
+    terms = stage(asked.select("term").distinct().withColumn("number", F.monotonically_increasing_id()), "asked-terms")
     # The buckets of the queries' terms: numbers below `buckets`.
     own = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]
-    documents, rows = rows.where("bucket = -1"), rows.where(F.col("bucket").isin(own))
-    size = documents.agg(F.sum("n").alias("docs"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("words")).select("docs", (F.col("words") / F.col("docs")).alias("mean"))
-    heads = rows.select("segment", "term", "n", "most", "least").join(broadcast_if_small(terms), "term", "left_semi")
-    heads = stage(heads, "posting-heads")
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = stage(heads.groupBy("term").agg(F.sum("n").alias("df")).crossJoin(F.broadcast(size)).select("term", idf.alias("idf"), "mean"), "terms")  # one row
-
-    def weight(count, length):
-        return F.col("idf") * count * (K1 + 1) / (count + K1 * (1 - B + B * length / F.col("mean")))
-
-    wanted = asked.join(broadcast_if_small(known), "term")
-    bounds = heads.join(broadcast_if_small(wanted), "term").groupBy("query_id", "segment").agg(F.sum(weight(F.col("most"), F.col("least"))).alias("bound"))
-    bounds = stage(bounds, "bounds")  # numbers alone, for each query and segment
-
-    def scores(segments: DataFrame) -> DataFrame:
-        """query_id, segment, place, score of the documents of some segments (query_id, segment) that hold a term."""
-        needed = segments.join(broadcast_if_small(wanted), "query_id")
-        held = rows.select("segment", "term", F.explode(F.arrays_zip("places", "counts", "lengths")).alias("p"))
-        parts = needed.join(held, ["segment", "term"]).select("query_id", "segment", F.col("p.places").alias("place"), weight(F.col("p.counts"), F.col("p.lengths")).alias("w"))
-        return parts.groupBy("query_id", "segment", "place").agg(F.round(F.sum("w"), 9).alias("score"))
-
-    ranked = top(bounds.select("query_id", "segment", F.col("bound").alias("score")), PILOT_SEGMENTS, "segment").select("query_id", "segment")
-    first = stage(scores(ranked), "first-scores")
-    kth = stage(top(first, k, "segment").where(F.col("rank") == k).select("query_id", F.col("score").alias("kth")), "kth")
-    # What reaches the k-th score; the margin covers the order of sums.
-    rest = bounds.join(ranked, ["query_id", "segment"], "left_anti").join(broadcast_if_small(kth), "query_id", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 1e-6))
-    found = first.unionByName(scores(rest.select("query_id", "segment"))).join(broadcast_if_small(kth), "query_id", "left").where(F.col("kth").isNull() | (F.col("score") >= F.col("kth"))).drop("kth")
-    named = found.join(documents.select("segment", "keys"), "segment").select("query_id", F.element_at("keys", F.col("place") + 1).alias(key), "score")
-    return top(named, k, key)
+    documents, rows = rows.where("bucket = -1"), rows.where(F.col("bucket").isin(own)).join(broadcast_if_small(terms), "term")
+    # The number of documents and their mean length: one row.
+    docs, mean = documents.agg(F.sum("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)) / F.sum("n")).first()
+    df = rows.groupBy("number").agg(F.sum("n").alias("df"))
+    idf = df.select("number", F.log(1 + ((docs or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    wanted = asked.join(terms, "term").join(idf, "number").groupBy("query_id").agg(F.collect_list("number").alias("terms"), F.collect_list("idf").alias("idfs"))
+    lists = [F.lit(None).cast(f"array<{x}>").alias(c) for c, x in (("lengths", "int"), ("keys", kind))]
+    needed = rows.select("segment", "number", "places", "counts", *lists).unionByName(documents.select("segment", F.lit(-1).cast("long").alias("number"), "places", "counts", "lengths", "keys"))
+    return top(best_hits(documents_of(needed, key, kind), stage(wanted, "asked-numbers"), mean or 1.0, key, k), k, key)

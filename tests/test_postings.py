@@ -39,3 +39,16 @@ def test_only_buckets_of_the_terms_are_read(spark, tmp_path):
     assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert found.select("bucket").distinct().count() == 1
     assert P.search_postings(spark.createDataFrame([(1, "word7 common")], "query_id int, query string"), table, 2, buckets=16).orderBy("rank").first().news_id == "n7"
+
+
+def test_queries_and_postings_are_not_paired(spark, tmp_path, monkeypatch):
+    """20 queries ask for the same two terms; each of these has 3000 postings, which are ranked in tasks."""
+    docs = spark.range(3000).select(F.concat(F.lit("n"), "id").alias("news_id"), F.lit("all").alias("title"), F.concat(F.lit("share a word "), F.col("id") % 7).alias("content_text"))
+    queries = spark.range(20).select(F.col("id").alias("query_id"), F.concat(F.lit("word share "), F.col("id") % 7).alias("query"))
+    table, seen, staged, top = f"file://{tmp_path}/t", [], P.stage, P.top
+    P.add_postings(docs, table, 0, buckets=3)
+    monkeypatch.setattr(P, "top", lambda df, *more: (seen.append(df.count()), top(df, *more))[1])
+    monkeypatch.setattr(P, "stage", lambda df, name: (lambda s: (seen.append(s.count()), s)[1])(staged(df, name)))
+    found = P.search_postings(queries, table, 3, buckets=3).collect()
+    assert max(seen) <= 20 * 3 * 16
+    assert sorted(r.news_id for r in found if r.query_id == 2) == ["n100", "n1003", "n1010"]
