@@ -24,6 +24,8 @@ SAMPLE = 50_000
 CODEWORDS = 256
 #: Rows of a cell, and queries of a cell, that meet at once.
 CODE_ROWS, PROBE_ROWS = 4096, 256
+#: Closenesses of rows to centres that are held at once, and entries of short lists that a task holds before it gives them.
+CLOSE, LISTED = 1 << 20, 1 << 20
 #: Share of the nearest ten rows of a sampled vector whose cells are to be looked into.
 COVERED = 0.97
 
@@ -66,13 +68,16 @@ def fit_means(x, k: int, rounds: int = 10, seed: int = 1):
 
 def closeness(x, centres):
     """Falls with the distance of rows from centres."""
-    return x @ centres.T - (centres * centres).sum(1) / 2
+    out = x @ centres.T
+    out -= (centres * centres).sum(1) / 2
+    return out
 
 
 def nearest(x, centres):
     import numpy as np
 
-    return np.concatenate([np.empty(0, np.int64), *(closeness(x[at : at + 8192], centres).argmax(1) for at in range(0, len(x), 8192))])
+    rows = max(1, min(8192, CLOSE // len(centres)))
+    return np.concatenate([np.empty(0, np.int64), *(closeness(x[at : at + rows], centres).argmax(1) for at in range(0, len(x), rows))])
 
 
 def parts_of(width: int) -> int:
@@ -94,11 +99,13 @@ def fit(sample, cells: int, covered: float):
     size = max(len(w) for w in words)
     words = np.stack([np.pad(w, ((0, size - len(w)), (0, 0)), mode="edge") for w in words])
     asked = np.linspace(0, len(sample) - 1, min(len(sample), 256)).astype(int)
-    score = sample[asked] @ sample.T
-    score[np.arange(len(asked)), asked] = -np.inf
-    q, c = best_places(score, 10)
-    place = np.argsort(np.argsort(-closeness(sample[asked], centres), axis=1), axis=1)[q, own[c]]
-    return centres, words, int(np.quantile(place, covered, method="higher")) + 1
+    places = []
+    for some in np.array_split(asked, max(1, len(asked) * len(sample) // CLOSE)):
+        score = sample[some] @ sample.T
+        score[np.arange(len(some)), some] = -np.inf
+        q, c = best_places(score, 10)
+        places.append(np.argsort(np.argsort(-closeness(sample[some], centres), axis=1), axis=1)[q, own[c]])
+    return centres, words, int(np.quantile(np.concatenate(places), covered, method="higher")) + 1
 
 
 def read_model(path: str):
@@ -178,7 +185,9 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, nprobe: int | N
         import pyarrow as pa
 
         centres, _ = read_model(path)
-        for batch in batches:
+        # As many queries at once as leave room for their places among all cells; a block of queries is no smaller for it.
+        rows = max(PROBE_ROWS, CLOSE // len(centres))
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
             x = unit(rows_of(batch.column("vector"), width)[0])
             q, c = best_places(closeness(x, centres), nprobe)
             for cell in np.unique(c):
@@ -193,6 +202,22 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, nprobe: int | N
     def look_up(batches):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names, held, n = ["query_id", "key", "cell", "near"], [], 0
+        least: dict = {}  # what a query's row must reach, once this task has found enough for it: a number a query
+
+        def best():
+            """What is held, but for each query only its best so far."""
+            rows = pa.Table.from_batches(held)
+            rows = rows.take(pc.sort_indices(rows, [("query_id", "ascending"), ("near", "descending"), ("key", "ascending")])).combine_chunks()
+            ids = rows.column("query_id").combine_chunks()
+            firsts = np.concatenate([[0], np.flatnonzero(np.asarray(pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True))) + 1])
+            sizes = np.diff(np.append(firsts, len(ids)))
+            enough = firsts[sizes >= short] + short - 1
+            least.update(zip(ids.take(pa.array(enough)).to_pylist(), np.asarray(rows.column("near"))[enough].tolist(), strict=True))
+            kept = np.arange(len(ids)) - np.repeat(firsts, sizes) < short
+            return rows.filter(pa.array(kept)).combine_chunks().to_batches()
 
         centres, words = read_model(path)
         for batch in batches:
@@ -205,8 +230,21 @@ def search_index(index: VectorIndex, queries: DataFrame, k: int, nprobe: int | N
                 score = np.repeat((x @ centres[cell])[:, None], len(keys), axis=1)
                 for p in range(len(words)):
                     score += products[p][:, codes[:, p]]
+                own = ids.to_pylist()
+                score[score < np.array([least.get(i, -np.inf) for i in own])[:, None]] = -np.inf
                 q, c = best_places(score, short)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), keys.take(pa.array(c)), pa.array(np.full(len(q), cell, np.int32)), pa.array(score[q, c])], ["query_id", "key", "cell", "near"])
+                for i in np.flatnonzero(np.bincount(q, minlength=len(own)) == short):
+                    least[own[i]] = score[i, c[np.searchsorted(q, i, "right") - 1]]
+                held.append(pa.RecordBatch.from_arrays([ids.take(pa.array(q)), keys.take(pa.array(c)), pa.array(np.full(len(q), cell, np.int32)), pa.array(score[q, c])], names))
+                n += len(q)
+                if n >= LISTED:
+                    held = best()
+                    n = sum(part.num_rows for part in held)
+                    if n > LISTED // 2:  # many queries: what they have so far goes on to Spark
+                        yield from held
+                        held, n = [], 0
+        if n:
+            yield from best()
 
     seen = probes.join(index.codes, "cell").mapInArrow(look_up, f"query_id {kinds[0]}, key {kinds[1]}, cell int, near double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "key"))
