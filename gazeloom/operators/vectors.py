@@ -137,14 +137,23 @@ def weighted_sum(a: Column, b: Column, wa: float, wb: float) -> Column:
     return F.when(F.size(a) != F.size(b), F.raise_error(F.lit("vectors of different width"))).otherwise(F.zip_with(a, b, lambda x, y: x.cast("double") * wa + y.cast("double") * wb))
 
 
+#: Queries of a block whose scores are divided, or looked through, at once.
+STRETCH = 32
+
+
 def scores(asked, sizes, rows, similarity: str):
     """Similarities of query vectors (with their lengths) to rows, as a matrix."""
     import numpy as np
 
     product = asked @ rows.T
     if similarity == "cosine":
-        scale = np.outer(sizes, np.linalg.norm(rows, axis=1))
-        return np.where(scale == 0, 0.0, np.clip(product / np.where(scale == 0, 1, scale), -1, 1))
+        lengths = np.linalg.norm(rows, axis=1)
+        for at in range(0, len(product), STRETCH):  # in place, so that there is one such matrix
+            part, scale = product[at : at + STRETCH], np.outer(sizes[at : at + STRETCH], lengths)
+            np.divide(part, scale, out=part, where=scale != 0)
+            np.clip(part, -1, 1, out=part)
+            part[scale == 0] = 0.0
+        return product
     far = np.sqrt(np.maximum(0, sizes[:, None] ** 2 + (rows * rows).sum(1)[None, :] - 2 * product))
     return 1 - np.minimum(far / math.sqrt(2), 1)
 
@@ -188,7 +197,7 @@ def best_places(score, want: int):
 
     if score.shape[1] > want:
         # The last score that counts, and all that reach it: few more than want, unless scores tie.
-        kth = np.partition(score, score.shape[1] - want, axis=1)[:, score.shape[1] - want]
+        kth = np.concatenate([np.empty(0), *(np.partition(score[at : at + STRETCH], score.shape[1] - want, axis=1)[:, score.shape[1] - want].copy() for at in range(0, len(score), STRETCH))])
         q, c = np.nonzero((score >= kth[:, None]) & (score > -np.inf))
     else:
         q, c = np.nonzero(score > -np.inf)
