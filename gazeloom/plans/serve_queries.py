@@ -373,11 +373,12 @@ def keyword(match, complete=False):
     return run
 
 
-def keyword_sql(match: str, most: int = 15) -> str:
+def keyword_sql(match: str, most: int | None = 15) -> str:
+    """The best 5 hits that match, of all hits, or of the best `most`."""
     q = f"lower({strip_sql("b.text")})"
     text = "lower(a.title || ' ' || a.content_text)"
     fits = {"any": "true", "all": f"len(list_filter(list_filter(string_split_regex({q}, '\\s+'), lambda t: t <> ''), lambda t: NOT contains({text}, t))) = 0", "phrase": f"contains({text}, {q})"}[match]
-    return f"""WITH {BM25}, f AS (SELECT h.query_id, h.news_id, h.s FROM text_hits h JOIN benchmark b ON b.item_id = h.query_id JOIN articles a ON a.news_id = h.news_id WHERE h.rank <= {most} AND {fits}),
+    return f"""WITH {BM25}, f AS (SELECT h.query_id, h.news_id, h.s FROM text_hits h JOIN benchmark b ON b.item_id = h.query_id JOIN articles a ON a.news_id = h.news_id WHERE {f"h.rank <= {most} AND " if most else ""}{fits}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, news_id) AS rank FROM f) SELECT query_id, news_id, round(s, 5) AS score FROM r WHERE rank <= 5"""
 
 
@@ -727,7 +728,7 @@ ORACLE_SQL = {
     "hybrid_search": f"{HYBRID} SELECT query_id, news_id, round(s, 6) AS score, rank FROM hybrid",
     "advanced_search": f"{HYBRID} SELECT h.query_id, h.news_id, round(0.6 * (0.3 * coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(list_reverse(c.embedding) AS DOUBLE[])), 0) + 0.7 * coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 0)) + 0.4 * h.s, 5) AS score FROM hybrid h LEFT JOIN embeddings q ON q.vec_id = h.query_id LEFT JOIN embeddings c ON 'doc_' || c.vec_id = h.news_id",
     "keyword_search_any": keyword_sql("any"),
-    "keyword_search_all": keyword_sql("all"),
+    "keyword_search_all": keyword_sql("all", None),
     "keyword_search_phrase": keyword_sql("phrase"),
     "keyword_search_complete": keyword_sql("phrase", 1_000_000_000),
     "search_results": f"WITH {ARTICLES}, {VECTOR_HITS} SELECT query_id, rank, h.news_id, source_site AS label, coalesce(meta_url, url) AS detail_url, is_page, round(s, 6) AS similarity_score, round(greatest(0, 1 - s), 6) AS distance FROM vector_hits h JOIN articles a ON a.news_id = h.news_id WHERE rank <= 10 AND s >= 0.3",
