@@ -365,10 +365,10 @@ def advanced(spark, sf):
     return R.advanced_search(q, a, R.hybrid_search(q, a, 10)).select("query_id", "news_id", F.round("score", 5).alias("score"))
 
 
-def keyword(match, complete=False):
+def keyword(match):
     def run(spark, sf):
         q = text_queries(spark, sf)
-        return R.keyword_search(q, articles(spark, sf), 5, match, complete=complete).select("query_id", "news_id", F.round("score", 5).alias("score"))
+        return R.keyword_search(q, articles(spark, sf), 5, match).select("query_id", "news_id", F.round("score", 5).alias("score"))
 
     return run
 
@@ -683,7 +683,7 @@ QUERIES = {
     "article_filter": filtered, "fulltext_search": fulltext, "fulltext_indexed": fulltext_indexed, "simple_text_search": simple_plain, "merge_field_ranks": merged_fields, "fuse_ranks": fused, "hybrid_search": hybrid, "advanced_search": advanced, "keyword_search_any": keyword("any"), "keyword_search_all": keyword("all"), "keyword_search_phrase": keyword("phrase"), "search_results": results, "search_snippets": snippets,
     "latest": lambda s, d: L.latest(articles(s, d), 20, 5).select("news_id"), "oldest": lambda s, d: L.latest(articles(s, d), 20, oldest=True).select("news_id"), "find_articles": found, "count_by_source": lambda s, d: L.count_by_source(articles(s, d)),
     "count_by_date": lambda s, d: L.count_by_date(table(s, d, "orders").withColumn("at", F.col("o_orderdate").cast("timestamp")), "month", "at"), "corpus_stats": lambda s, d: L.corpus_stats(articles(s, d)).select("total", "sources", F.array_join(F.transform(F.map_entries("distribution"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",").alias("distribution"), X.format_date(F.col("first_date")).alias("first_date"), X.format_date(F.col("last_date")).alias("last_date")),
-    "find_tags": named_tags, "trim_observations": observed, "keyword_search_complete": keyword("phrase", True), "count_by_category": lambda s, d: L.count_by_category(tags_(s, d)), "tags_by_category": lambda s, d: L.tags_by_category(tags_(s, d), "c1").select("tag_id"), "project_notices": notices, "list_page": paged, "labels": lambda s, d: L.labels(L.project_notices(articles(s, d))), "label_count": lambda s, d: L.label_count(L.project_notices(articles(s, d))), "dashboard": lambda s, d: L.dashboard(L.project_notices(articles(s, d)), keys_(s, d)),
+    "find_tags": named_tags, "trim_observations": observed, "keyword_search_complete": keyword("phrase"), "count_by_category": lambda s, d: L.count_by_category(tags_(s, d)), "tags_by_category": lambda s, d: L.tags_by_category(tags_(s, d), "c1").select("tag_id"), "project_notices": notices, "list_page": paged, "labels": lambda s, d: L.labels(L.project_notices(articles(s, d))), "label_count": lambda s, d: L.label_count(L.project_notices(articles(s, d))), "dashboard": lambda s, d: L.dashboard(L.project_notices(articles(s, d)), keys_(s, d)),
     "list_page_deep": deep_page, "list_submissions": listed_page("submissions", 3, 25, "pending"), "list_registrations": listed_page("registrations", 2, 20, None), "list_users": listed_page("users", 2, 30, True), "list_keys": listed_page("keys", 1, 5, "o3"),
     "submission_ids": ids, "apply_reviews": reviewed, "my_submissions": mine, "apply_registrations": registrations,
     "admission_replay": replay, "usage_totals": usage, "latest_devices": devices, "parse_logs": lambda s, d: logs(s, d).select("ts", "level", "module", "message"), "filter_logs": error_logs, "log_modules": lambda s, d: A.log_modules(logs(s, d)),
@@ -729,7 +729,7 @@ ORACLE_SQL = {
     "advanced_search": f"{HYBRID} SELECT h.query_id, h.news_id, round(0.6 * (0.3 * coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(list_reverse(c.embedding) AS DOUBLE[])), 0) + 0.7 * coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 0)) + 0.4 * h.s, 5) AS score FROM hybrid h LEFT JOIN embeddings q ON q.vec_id = h.query_id LEFT JOIN embeddings c ON 'doc_' || c.vec_id = h.news_id",
     "keyword_search_any": keyword_sql("any"),
     "keyword_search_all": keyword_sql("all", None),
-    "keyword_search_phrase": keyword_sql("phrase"),
+    "keyword_search_phrase": keyword_sql("phrase", None),
     "keyword_search_complete": keyword_sql("phrase", 1_000_000_000),
     "search_results": f"WITH {ARTICLES}, {VECTOR_HITS} SELECT query_id, rank, h.news_id, source_site AS label, coalesce(meta_url, url) AS detail_url, is_page, round(s, 6) AS similarity_score, round(greatest(0, 1 - s), 6) AS distance FROM vector_hits h JOIN articles a ON a.news_id = h.news_id WHERE rank <= 10 AND s >= 0.3",
     "search_snippets": f"WITH {ARTICLES} SELECT news_id, {snip_sql(220)} AS summary, md5({snip_sql(1000)}) AS content_md5, length(content_text) > 1000 AS content_truncated, coalesce(strftime(publish_date, '%Y-%m-%d'), '') AS published_date FROM articles",

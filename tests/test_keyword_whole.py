@@ -6,7 +6,7 @@ import pytest
 from gazeloom.plans import registry
 
 
-@pytest.mark.parametrize("name", ["keyword_search_all"])
+@pytest.mark.parametrize("name", ["keyword_search_all", "keyword_search_phrase"])
 def test_a_match_behind_many_hits(spark, tmp_path, name):
     """Of 41 documents that hold words of the query 40 rank higher, without holding both of them or the phrase."""
     texts = ["red red red red sky"] * 20 + ["blue blue blue blue sky"] * 20 + ["a long text " + "of many other words " * 50 + "in which red blue stands at the end"]
