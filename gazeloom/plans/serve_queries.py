@@ -24,9 +24,10 @@ from gazeloom.operators.adapt import adapt_submission
 from gazeloom.plans.ingest_queries import INGEST, submissions
 from gazeloom.plans.views import ARTICLES, LIST_PAGES, REQUESTS, api_keys, articles, list_pages, requests, strip_sql, table, vector_sql, words_sql
 from gazeloom.sources.crawl import read_app_logs
-from gazeloom.staging import new_path
+from gazeloom.staging import delete, new_path, stage
 from gazeloom.streaming import seen as E
 from gazeloom.streaming import streams as S
+from gazeloom.streaming.buckets import found_paths
 
 # --- discovery
 
@@ -620,11 +621,15 @@ def streamed(spark, sf, frame, name, parts=None):
         return spark.readStream.schema(frame.schema).parquet(path)
     most = frame.agg(*[F.count_if(p if isinstance(p, Column) else F.expr(p)) for p in parts]).first()  # one row
     files = max(1, math.ceil(max(most) / FILE_ROWS))
-    empty = spark.createDataFrame([], frame.schema).coalesce(1)
+    spark.createDataFrame([], frame.schema).coalesce(1).write.parquet(path + "-none")
+    (none,) = found_paths(spark, f"{path}-none/*.parquet")
+    conf = spark._jsc.hadoopConfiguration()
+    store = none.getFileSystem(conf)
     for n, part in enumerate(parts, 1):
         frame.where(part).coalesce(files).write.mode("append").parquet(path)
-        while len(spark.read.schema(frame.schema).parquet(path).inputFiles()) < n * files:
-            empty.write.mode("append").parquet(path)
+        for k in range(len(found_paths(spark, f"{path}/*.parquet")), n * files):
+            spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store, none, store, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/none-{k}.parquet"), False, conf)
+    delete(spark, [path + "-none"])
     return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
@@ -652,8 +657,11 @@ def stream_seen(spark, sf):
 
 def stream_admission(spark, sf):
     events = requests(spark, sf).join(api_keys(spark, sf).drop("bound"), "key", "left").select("key", "event_id", "device", "ts", "is_active", "max_devices", F.unix_micros("ts").alias("at"))
+    events = stage(events, "events")  # it is passed over once a part, and to find the parts
+    source = streamed(spark, sf, events, "requests", quarters(events, "at")).drop("at")
+    delete(spark, [events._staged_at])
     with S.keyed_state(spark):
-        return drain(S.stream_admission(streamed(spark, sf, events, "requests", quarters(events, "at")).drop("at")), "admission").select("event_id", "outcome")
+        return drain(S.stream_admission(source), "admission").select("event_id", "outcome")
 
 
 def stream_turns(spark, sf):

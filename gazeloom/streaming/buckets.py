@@ -24,14 +24,14 @@ def bucket_of(key: str | list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*([key] if isinstance(key, str) else key)), F.lit(buckets)).cast("int")
 
 
-def _found(spark: SparkSession, pattern: str) -> list:
+def found_paths(spark: SparkSession, pattern: str) -> list:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
     return [f.getPath() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []]
 
 
 def committed(spark: SparkSession, table: str) -> list[int]:
     """Numbers of the batches that are committed."""
-    return sorted(int(p.getParent().getName().split("=")[1]) for p in _found(spark, f"{table}/manifest/batch=*/_SUCCESS"))
+    return sorted(int(p.getParent().getName().split("=")[1]) for p in found_paths(spark, f"{table}/manifest/batch=*/_SUCCESS"))
 
 
 def manifest(spark: SparkSession, table: str, before: int | None = None) -> dict[int, int]:
@@ -58,7 +58,7 @@ def write_buckets(rows: DataFrame, table: str, number: int, which: set[int], key
     slices = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, len(which)))
     target = rows.withColumns({"bucket": bucket_of(key, buckets), "slice": F.pmod(F.xxhash64(F.lit(1), *([key] if isinstance(key, str) else key)), F.lit(slices))}).repartition("bucket", "slice").drop("slice")
     target.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/data/batch={number}")
-    here = {int(p.getName().split("=")[1]) for p in _found(spark, f"{table}/data/batch={number}/bucket=*")}
+    here = {int(p.getName().split("=")[1]) for p in found_paths(spark, f"{table}/data/batch={number}/bucket=*")}
     stands = {b: n for b, n in manifest(spark, table, number).items() if b not in which} | dict.fromkeys(here, number)
     spark.createDataFrame(sorted(stands.items()), MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/batch={number}")
     _forget(spark, table, max(1, keep))
@@ -71,11 +71,11 @@ def _forget(spark: SparkSession, table: str, keep: int) -> None:
     if not gone:
         return
     named = {(r["batch"], r["bucket"]) for n in kept for r in spark.read.schema(MANIFEST).parquet(f"{table}/manifest/batch={n}").collect()}
-    old = [p for p in _found(spark, f"{table}/data/batch=*/bucket=*") if int(p.getParent().getName().split("=")[1]) <= kept[-1]]
+    old = [p for p in found_paths(spark, f"{table}/data/batch=*/bucket=*") if int(p.getParent().getName().split("=")[1]) <= kept[-1]]
     delete(spark, [str(p) for p in old if (int(p.getParent().getName().split("=")[1]), int(p.getName().split("=")[1])) not in named])
     delete(spark, [f"{table}/manifest/batch={n}" for n in gone])
-    full = {str(p.getParent()) for p in _found(spark, f"{table}/data/batch=*/bucket=*")}
-    delete(spark, [str(p) for p in _found(spark, f"{table}/data/batch=*") if str(p) not in full and int(p.getName().split("=")[1]) < kept[-1]])
+    full = {str(p.getParent()) for p in found_paths(spark, f"{table}/data/batch=*/bucket=*")}
+    delete(spark, [str(p) for p in found_paths(spark, f"{table}/data/batch=*") if str(p) not in full and int(p.getName().split("=")[1]) < kept[-1]])
 
 
 def upsert_buckets(updates: DataFrame, table: str, number: int, schema: T.StructType, key: str | list[str] = "news_id", buckets: int = BUCKETS, keep: int = 3, **options) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gazeloom.staging import delete, scope, stage
-from gazeloom.streaming.buckets import _found, read_buckets, touched, write_buckets
+from gazeloom.streaming.buckets import found_paths, read_buckets, touched, write_buckets
 
 LINK = ["list_url", "url"]
 LINKS = T.StructType([T.StructField(c, T.StringType()) for c in LINK])
@@ -32,7 +32,7 @@ FILTER_LINKS, FILTER_BITS, HASHES = 65_536, 10, 7
 
 
 def _whole(spark: SparkSession, table: str, before: int | None) -> list[tuple[int, int]]:
-    found = [tuple(int(x) for x in p.getParent().getName().split("=")[1].split("-")) for p in _found(spark, f"{table}/links/span=*/_SUCCESS")]
+    found = [tuple(int(x) for x in p.getParent().getName().split("=")[1].split("-")) for p in found_paths(spark, f"{table}/links/span=*/_SUCCESS")]
     return sorted((x for x in found if before is None or x[1] < before), key=lambda x: (x[0], -x[1]))
 
 
