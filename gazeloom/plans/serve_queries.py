@@ -613,7 +613,7 @@ FILE_ROWS = 20_000
 def streamed(spark, sf, frame, name, parts=None):
     """A frame written as files and read as a stream of them. Conditions in parts cut it into batches, written one after the other and read so: state goes from each to the next.
 
-    A batch is as many files as the largest part has FILE_ROWS rows; a part that comes to fewer is filled up with files without rows.
+    A batch is as many files as the largest part has FILE_ROWS rows; a part that comes to fewer is filled up with files without rows. Files are deleted once their batch is done.
     """
     path = new_path(spark, name)
     if parts is None:
@@ -630,7 +630,7 @@ def streamed(spark, sf, frame, name, parts=None):
         for k in range(len(found_paths(spark, f"{path}/*.parquet")), n * files):
             spark._jvm.org.apache.hadoop.fs.FileUtil.copy(store, none, store, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/none-{k}.parquet"), False, conf)
     delete(spark, [path + "-none"])
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", files).option("cleanSource", "delete").parquet(path)
 
 
 def quarters(frame, column):
