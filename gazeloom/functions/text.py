@@ -142,6 +142,10 @@ def _barred(line: Column) -> Column:
 def _without_rules(lines: Column) -> Column:
     """Each run of lines that hold nothing but dashes, colons and white space becomes one empty line."""
     bare = F.transform(lines, lambda line: ~line.rlike(r"(?U)[^-:\s\x1c-\x1f]"))
+    return let(bare, lambda bare: _first_of_runs(lines, bare))
+
+
+def _first_of_runs(lines: Column, bare: Column) -> Column:
     after = F.concat(F.array(F.lit(False)), F.slice(bare, F.lit(1), F.size(bare) - 1))
     rows = F.zip_with(F.arrays_zip(lines.alias("line"), bare.alias("bare")), after, lambda x, before: F.struct(F.when(x["bare"], "").otherwise(x["line"]).alias("line"), (x["bare"] & before).alias("repeated")))
     return F.transform(F.filter(rows, lambda x: ~x["repeated"]), lambda x: x["line"])
@@ -149,7 +153,10 @@ def _without_rules(lines: Column) -> Column:
 
 def _line_kind(line: Column) -> Column:
     """text, or flow for a line that stays as it is and that text may follow, or break for one after which text needs no blank line."""
-    s = strip(line)
+    return let(strip(line), _kind_of_stripped)
+
+
+def _kind_of_stripped(s: Column) -> Column:
     cells = s.contains("|") & s.rlike(r"[^\s|:-]")
     breaks = (s == "") | s.startswith("![") | s.startswith("|")
     return F.when(breaks, "break").when(cells | s.startswith("#") | s.startswith("- [") | s.startswith("```"), "flow").otherwise("text")
@@ -160,7 +167,7 @@ def repair_markdown(c: Column) -> Column:
     and a blank line between consecutive lines of text. Lines are those between line feeds. Null stays null."""
     for pattern, to in MARKDOWN_FAULTS:
         c = F.regexp_replace(c, pattern, to)
-    lines = _without_rules(F.transform(F.split(c, "\n", -1), _barred))
+    lines = let(F.transform(F.split(c, "\n", -1), _barred), _without_rules)
     return let(lines, lambda found: let(F.transform(found, _line_kind), lambda kinds: F.array_join(_spaced(found, kinds), "\n")))
 
 
